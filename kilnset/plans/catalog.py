@@ -4,7 +4,7 @@ import importlib
 
 from kilnset.plans.registry import QUERIES
 
-MODULES = ("sampling",)
+MODULES = ("sampling", "batching", "joins")
 
 for _m in MODULES:
     importlib.import_module(f"kilnset.plans.{_m}")
