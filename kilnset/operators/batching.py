@@ -73,6 +73,10 @@ def default_convert(df: DataFrame, fields: list[str]) -> DataFrame:
         F.col(c).cast(convert(schema[c].dataType)).alias(c) if c in fields else F.col(c) for c in df.columns])
 
 
+def _field(name: str):
+    return lambda row: row[name]
+
+
 def collate(df: DataFrame, batch: list[str], order: str, fields: list[str]) -> DataFrame:
     """One row per batch: every field stacked in order as an array. Array
     fields must have one length inside a batch; a batch is bounded by the
@@ -86,7 +90,7 @@ def collate(df: DataFrame, batch: list[str], order: str, fields: list[str]) -> D
     )
     out = [*batch, "size"]
     for f in fields:
-        stacked = F.transform("__rows", lambda r, f=f: r[f])
+        stacked = F.transform("__rows", _field(f))
         if isinstance(rows.schema[f].dataType, T.ArrayType):
             fail = F.raise_error(F.lit(f"each element of {f} in a batch must have equal size"))
             stacked = F.when(F.col(f"__min_{f}") == F.col(f"__max_{f}"), stacked).otherwise(fail)

@@ -69,8 +69,8 @@ cum as (select ordinal, n, sum(n) over (order by ordinal) - n as lo from sizes),
 
 @query("concat_addresses", "J4 W7", f"""
 with {SIZES}, req as (select event_id, cast(floor({u('addr', SEED, 0, 'event_id')} * (2 * total)) as bigint) - total::bigint as idx from events, tot),
-r as (select idx, case when idx < 0 then idx + total else idx end as at, count(*) as times from req, tot group by 1, 2)
-select cast(idx as bigint) as idx, times, ordinal, cast(at - lo as bigint) as local_idx from r join cum on at >= lo and at < lo + n""")
+r as (select idx, case when idx < 0 then idx + total else idx end as spot, count(*) as times from req, tot group by 1, 2)
+select cast(idx as bigint) as idx, times, ordinal, cast(spot - lo as bigint) as local_idx from r join cum on spot >= lo and spot < lo + n""")
 def concat_addresses(t):
     sizes = None
     for i, d in enumerate((t.documents, t.pages, t.benchmark)):
@@ -110,10 +110,10 @@ def mixup_pairs(t):
 
 
 @query("sample_pairing", "J6", f"""
-with p as (select vec_id as partner, embedding as other, row_number() over (order by vec_id) - 1 as at from embeddings),
-a as (select vec_id, embedding, cast(floor({u('pair', SEED, 0, 'vec_id')} * (select count(*) from embeddings)) as bigint) as at from embeddings)
+with p as (select vec_id as partner, embedding as other, row_number() over (order by vec_id) - 1 as spot from embeddings),
+a as (select vec_id, embedding, cast(floor({u('pair', SEED, 0, 'vec_id')} * (select count(*) from embeddings)) as bigint) as spot from embeddings)
 select vec_id, partner, round(list_sum([(embedding[i]::double * 0.7::double + other[i]::double * (1 - 0.7::double)) * i for i in range(1, 65)]), 6) as checksum
-from a join p using (at)""")
+from a join p using (spot)""")
 def sample_pairing(t):
     paired = J.sample_pairing(t.embeddings.select("vec_id", "embedding"), "vec_id", "embedding", 0.3, SEED)
     check = F.aggregate(F.transform("paired", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
@@ -121,9 +121,9 @@ def sample_pairing(t):
 
 
 @query("noise_pairing", "J7", f"""
-with p as (select vec_id as noise_id, embedding as noise, row_number() over (order by vec_id) - 1 as at from embeddings where label = 0),
-a as (select vec_id, embedding, cast(floor({u('noise', SEED, 0, 'vec_id')} * (select count(*) from p)) as bigint) as at from embeddings),
-j as (select *, list_max(embedding)::double / list_max(noise)::double as prop from a join p using (at))
+with p as (select vec_id as noise_id, embedding as noise, row_number() over (order by vec_id) - 1 as spot from embeddings where label = 0),
+a as (select vec_id, embedding, cast(floor({u('noise', SEED, 0, 'vec_id')} * (select count(*) from p)) as bigint) as spot from embeddings),
+j as (select *, list_max(embedding)::double / list_max(noise)::double as prop from a join p using (spot))
 select vec_id, noise_id, round(prop, 9) as prop,
   round(list_sum([(embedding[i]::double + noise[i]::double * prop * 0.5) * i for i in range(1, 65)]), 5) as checksum from j""")
 def noise_pairing(t):

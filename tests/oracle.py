@@ -85,7 +85,8 @@ if __name__ == "__main__":
     sqls = entry.oracle_sql()
     bad = 0
     for name, run in entry.queries().items():
-        if wanted and not any(w in name for w in wanted):
+        mod = entry.catalog.QUERIES[name].run.__module__.rsplit(".", 1)[-1]
+        if wanted and not any(w in name or w == mod for w in wanted):
             continue
         try:
             res = compare(spark, run, sqls.get(name), f"/root/testdata/sf{sf}")
