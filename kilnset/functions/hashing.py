@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kilnset.functions.binding import bind
+
 TWO_52 = float(1 << 52)
 
 
@@ -62,5 +64,7 @@ def beta_symmetric(alpha: float, tag: str, seed, epoch, *keys) -> Column:
 def dirichlet_one(n: int, tag: str, seed, epoch, *keys) -> Column:
     """Dirichlet(1, .., 1) weights of length n: normalised exponentials."""
     draws = F.array(*[-F.log(F.lit(1.0) - uniform(f"{tag}{i}", seed, epoch, *keys)) for i in range(n)])
-    total = F.aggregate(draws, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(draws, lambda x: x / total)
+    return bind(
+        lambda e: bind(
+            lambda norm: F.transform(e, lambda x: x / norm), F.aggregate(e, F.lit(0.0), lambda a, x: a + x)),
+        draws)

@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kilnset.functions.binding import bind
+
 # Published channel means and standard deviations.
 CHANNEL_STATS = {
     "cifar": ((0.4914, 0.4822, 0.4465), (0.2023, 0.1994, 0.2010)),
@@ -27,16 +29,21 @@ def total(a: Column) -> Column:
 
 
 def log_softmax(logits: Column) -> Column:
-    peak = F.array_max(logits)
-    lse = peak + F.log(total(F.transform(logits, lambda x: F.exp(x - peak))))
-    return F.transform(logits, lambda x: x - lse)
+    def shifted(z, peak):
+        norm = total(F.transform(z, lambda x: F.exp(x - peak)))
+        return bind(lambda lse: F.transform(z, lambda x: x - lse), peak + F.log(norm))
+
+    return bind(lambda z: bind(shifted, z, F.array_max(z)), logits)
 
 
 def softmax(logits: Column) -> Column:
-    peak = F.array_max(logits)
-    weights = F.transform(logits, lambda x: F.exp(x - peak))
-    norm = total(weights)
-    return F.transform(weights, lambda w: w / norm)
+    def weights(z, peak):
+        return F.transform(z, lambda x: F.exp(x - peak))
+
+    return bind(
+        lambda z: bind(
+            lambda w: bind(lambda n: F.transform(w, lambda x: x / n), total(w)), bind(weights, z, F.array_max(z))),
+        logits)
 
 
 def one_hot(target: Column, classes: int) -> Column:
@@ -49,9 +56,12 @@ def argmax(a: Column) -> Column:
 
 def target_rank(logits: Column, target: Column) -> Column:
     """1 for the best class; equal logits rank the lower class first."""
-    own = F.element_at(logits, target + 1)
-    ahead = F.transform(logits, lambda x, i: F.when((x > own) | ((x == own) & (i < target)), 1).otherwise(0))
-    return F.aggregate(ahead, F.lit(1), lambda acc, x: acc + x)
+
+    def rank(z, own, t):
+        ahead = F.transform(z, lambda x, i: F.when((x > own) | ((x == own) & (i < t)), 1).otherwise(0))
+        return F.aggregate(ahead, F.lit(1), lambda acc, x: acc + x)
+
+    return bind(lambda z, t: bind(rank, z, F.element_at(z, t + 1), t), logits, target)
 
 
 def top_k(a: Column, k: int) -> Column:
@@ -69,21 +79,27 @@ def normalise(pixels: Column, channels: int, stats: str) -> Column:
 
 
 def hwc_to_chw(pixels: Column, channels: int) -> Column:
-    plane = (F.size(pixels) / channels).cast("int")
-    return F.transform(pixels, lambda _, i: F.get(pixels, (i % plane) * channels + F.floor(i / plane).cast("int")))
+    def move(px, plane):
+        return F.transform(px, lambda _, i: F.get(px, (i % plane) * channels + F.floor(i / plane).cast("int")))
+
+    return bind(lambda px: bind(move, px, (F.size(px) / channels).cast("int")), pixels)
 
 
 def chw_to_hwc(pixels: Column, channels: int) -> Column:
-    plane = (F.size(pixels) / channels).cast("int")
-    return F.transform(pixels, lambda _, i: F.get(pixels, (i % channels) * plane + F.floor(i / channels).cast("int")))
+    def move(px, plane):
+        return F.transform(px, lambda _, i: F.get(px, (i % channels) * plane + F.floor(i / channels).cast("int")))
+
+    return bind(lambda px: bind(move, px, (F.size(px) / channels).cast("int")), pixels)
 
 
 def standardise(a: Column) -> Column:
     """Zero mean, unit sample standard deviation."""
-    n = F.size(a)
-    mean = total(a) / n
-    std = F.sqrt(total(F.transform(a, lambda x: (x - mean) * (x - mean))) / (n - 1))
-    return F.transform(a, lambda x: (x - mean) / std)
+
+    def centred(x, mean):
+        var = total(F.transform(x, lambda v: (v - mean) * (v - mean))) / (F.size(x) - 1)
+        return bind(lambda std: F.transform(x, lambda v: (v - mean) / std), F.sqrt(var))
+
+    return bind(lambda x: bind(centred, x, total(x) / F.size(x)), a)
 
 
 def fit_length(a: Column, length: int) -> Column:
@@ -94,11 +110,14 @@ def fit_length(a: Column, length: int) -> Column:
 
 def blend(a: Column, b: Column, factor) -> Column:
     """``a + factor * (b - a)``, clipped to 0..255 and truncated."""
-    f = factor if isinstance(factor, Column) else F.lit(float(factor))
-    return F.zip_with(
-        a, b,
-        lambda x, y: F.least(F.greatest(x.cast("double") + f * (y.cast("double") - x.cast("double")), F.lit(0.0)),
-                             F.lit(255.0)).cast("int"))
+
+    def mix(a, b, f):
+        return F.zip_with(
+            a, b,
+            lambda x, y: F.least(F.greatest(x.cast("double") + f * (y.cast("double") - x.cast("double")), F.lit(0.0)),
+                                 F.lit(255.0)).cast("int"))
+
+    return bind(mix, a, b, factor if isinstance(factor, Column) else float(factor))
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kilnset.functions.binding import bind
+
 # Symbols of the character vocabulary, in index order.
 VOCABULARY = "-#<>abcdefghijklmnopqrstuvwxyz .,?"
 UNKNOWN = 1
@@ -13,11 +15,15 @@ UNKNOWN = 1
 def vectorize_chars(text: Column, max_len: int) -> Column:
     """Lower-cased, cut to ``max_len - 2``, wrapped in < >, as vocabulary
     indices, zero padded to ``max_len``."""
-    body = F.concat(F.lit("<"), F.substring(F.lower(text), 1, max_len - 2), F.lit(">"))
-    chars = F.transform(
-        F.sequence(F.lit(1), F.length(body)),
-        lambda i: F.coalesce(F.nullif(F.instr(F.lit(VOCABULARY), body.substr(i, F.lit(1))), F.lit(0)), F.lit(UNKNOWN + 1)) - 1)
-    return F.concat(chars, F.array_repeat(F.lit(0), F.lit(max_len) - F.length(body)))
+    def encode(body):
+        chars = F.transform(
+            F.sequence(F.lit(1), F.length(body)),
+            lambda i: bind(
+                lambda at: F.when(at == 0, F.lit(UNKNOWN)).otherwise(at - 1),
+                F.instr(F.lit(VOCABULARY), body.substr(i, F.lit(1)))))
+        return F.concat(chars, F.array_repeat(F.lit(0), F.lit(max_len) - F.length(body)))
+
+    return bind(encode, F.concat(F.lit("<"), F.substring(F.lower(text), 1, max_len - 2), F.lit(">")))
 
 
 def first_segment(path: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kilnset.functions.binding import bind
 from kilnset.functions.hashing import beta_symmetric, pick, uniform
 from kilnset.operators.ranking import positions, running
 
@@ -63,7 +64,9 @@ def concat_index(datasets: list[DataFrame], key: str) -> DataFrame:
 
 def blend_arrays(a: Column, b: Column, weight_a: Column) -> Column:
     """Element-wise ``a*w + b*(1-w)``."""
-    return F.zip_with(a, b, lambda x, y: x.cast("double") * weight_a + y.cast("double") * (F.lit(1.0) - weight_a))
+    return bind(
+        lambda a, b, w: F.zip_with(a, b, lambda x, y: x.cast("double") * w + y.cast("double") * (F.lit(1.0) - w)),
+        a, b, weight_a)
 
 
 def mixup(df: DataFrame, key: str, data: str, target: str, seed: int, epoch: int, alpha: float = 1.0) -> DataFrame:
@@ -104,6 +107,8 @@ def add_noise(df: DataFrame, noises: DataFrame, key: str, audio: str, noise_key:
     rows = random_partner(df, pool, key, "noise_id", seed, "noise")
     prop = F.array_max(audio).cast("double") / F.array_max("__noise").cast("double")
     cut = F.slice("__noise", 1, F.size(audio))
-    louder = F.zip_with(
-        audio, cut, lambda a, b: a.cast("double") + F.coalesce(b.cast("double"), F.lit(0.0)) * F.col("prop") * F.lit(scale))
+    louder = bind(
+        lambda a, n, p: F.zip_with(
+            a, n, lambda x, y: x.cast("double") + F.coalesce(y.cast("double"), F.lit(0.0)) * p * F.lit(scale)),
+        F.col(audio), cut, F.col("prop"))
     return rows.withColumn("prop", prop).withColumn("noisy", louder).drop("__noise")

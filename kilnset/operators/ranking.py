@@ -19,7 +19,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from kilnset.functions.binding import bind
 
 MAX_BUCKETS = 4096
 SAMPLES_PER_BUCKET = 12
@@ -60,10 +61,10 @@ def _count_cuts_below(cuts: Column, count: int, key: Column) -> Column:
     if not powers:
         return F.lit(0)
     steps = F.array(*[F.lit(p) for p in reversed(powers)])
-    return F.aggregate(
-        steps,
-        F.lit(0),
-        lambda acc, s: F.when(F.get(cuts, acc + s - 1) <= key, acc + s).otherwise(acc),
+    return bind(
+        lambda key: F.aggregate(
+            steps, F.lit(0), lambda acc, s: F.when(F.get(cuts, acc + s - 1) <= key, acc + s).otherwise(acc)),
+        key,
     )
 
 
