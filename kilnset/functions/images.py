@@ -301,25 +301,25 @@ def autocontrast(px, c: int):
     return bind(ranges, px)
 
 
-def _below(ordered: Column, v: Column) -> Column:
+def _below(ordered: Column, steps: Column, v: Column) -> Column:
     """How many entries of a sorted array are < v, by binary search."""
-    n = F.size(ordered)
-    steps = F.array(*[F.lit(1 << k) for k in range(24, -1, -1)])
     return F.aggregate(
         steps, F.lit(0),
-        lambda acc, s: F.when((acc + s <= n) & (F.get(ordered, acc + s - 1) < v), acc + s).otherwise(acc))
+        lambda acc, s: F.when(F.get(ordered, acc + s - 1) < v, acc + s).otherwise(acc))
 
 
 def _equalize_table(channel: Column) -> Column:
-    def table(ordered, step):
+    def table(ordered, steps, step):
         return F.transform(
             F.sequence(F.lit(0), F.lit(255)),
             lambda v: F.when(step == 0, v).otherwise(
-                F.least(_div(_div(step, 2) + _below(ordered, v), F.greatest(step, F.lit(1))), F.lit(255))))
+                F.least(_div(_div(step, 2) + _below(ordered, steps, v), F.greatest(step, F.lit(1))), F.lit(255))))
 
     def prepare(ordered):
-        below_top = bind(lambda top: _below(ordered, top), F.get(ordered, F.size(ordered) - 1))
-        return bind(table, ordered, _div(below_top, 255))
+        powers = F.array(*[F.lit(1 << k) for k in range(24, -1, -1)])
+        return bind(
+            lambda steps, top: bind(table, ordered, steps, _div(_below(ordered, steps, top), 255)),
+            F.filter(powers, lambda p: p <= F.size(ordered)), F.get(ordered, F.size(ordered) - 1))
 
     return bind(prepare, F.sort_array(channel))
 

@@ -80,12 +80,14 @@ def with_buckets(
     group = F.struct(*[F.col(g) for g in groups]) if groups else F.lit(0)
     if uniform is not None:
         slot = F.least(F.floor(F.col(uniform) * buckets), F.lit(buckets - 1)).cast("int")
-        return df.withColumn("__g", group).withColumn("__b", slot)
+        # never null, so the join needs no second evaluation for a null filter
+        return df.withColumn("__g", group).withColumn("__b", F.coalesce(slot, F.lit(0)))
     key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate([*groups, *order])])
     text, dtype = _cuts(df, key, buckets)
     count = len(json.loads(text))
     cuts = F.from_json(F.lit(text), dtype)
-    return df.withColumn("__g", group).withColumn("__b", _count_cuts_below(cuts, count, key))
+    return df.withColumn("__g", group).withColumn(
+        "__b", F.coalesce(_count_cuts_below(cuts, count, key), F.lit(0)))
 
 
 def _carry(summary: DataFrame, grouped: bool):

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from kilnset.functions import images as I
 from kilnset.functions import tensors as X
+from kilnset.functions.binding import bind
 from kilnset.functions.hashing import gaussian, uniform
 from kilnset.plans.registry import query, u
 
@@ -18,8 +19,9 @@ OUT = "array_to_string({}, ',') as pixels"
 
 def images(t):
     q = F.transform("embedding", lambda x: F.least(F.greatest(F.floor((x.cast("double") + 0.6) / 1.2 * 256), F.lit(0)), F.lit(255)).cast("int"))
-    px = F.transform(F.sequence(F.lit(0), F.lit(191)), lambda k: F.get("q", ((F.floor(k / 3) + 21 * (k % 3)) % 64).cast("int")))
-    return t.embeddings.select("vec_id", "label", q.alias("q")).select("vec_id", "label", px.alias("px"))
+    px = bind(lambda q: F.transform(
+        F.sequence(F.lit(0), F.lit(191)), lambda k: F.get(q, ((F.floor(k / 3) + 21 * (k % 3)) % 64).cast("int"))), q)
+    return t.embeddings.select("vec_id", "label", px.alias("px"))
 
 
 def draw(tag):
@@ -167,17 +169,15 @@ register("affine_replace_images", "I28", gathered(fl(f"{XX} + 0.5 + v * ({YY} +
          lambda px: I.shear_x(px, H, W, C, _sign("shx") * 0.3, I.GREY_FILL),
          f", pre as (select *, {SGN.format(ud('shx'))} * 0.3::double as v from img)")
 register("identity_images", "I29", "px", lambda px: px)
-EQ = ("[case when st[c+1] = 0 then v else least((st[c+1] // 2 + len(list_filter(ch[c+1], lambda q: q < v))) // greatest(st[c+1], 1), 255) end for v in range(0, 256)]")
-
-
 @query("equalize_images", "I10", f"""
-with {IMG}, big as (select vec_id, [px[(k % 64) * 3 + (k % 3) + 1] // 8 for k in range(0, 1536)] as px from img),
-c as (select vec_id, px, [[px[3*j+1+c] for j in range(0, 512)] for c in range(0, 3)] as ch from big),
-s as (select *, [(512 - len(list_filter(x, lambda q: q = list_max(x)))) // 255 for x in ch] as st from c),
-l as (select vec_id, px, [{EQ} for c in range(0, 3)] as lut from s)
-select vec_id, array_to_string([lut[k % 3 + 1][px[k + 1] + 1] for k in range(0, 1536)], ',') as pixels from l""")
+with {IMG}, p as (select vec_id, k, k % 3 as ch, px[(k % 64) * 3 + (k % 3) + 1] // 8 as v from img, (select unnest(range(0, 1536)) as k)),
+r as (select *, rank() over (partition by vec_id, ch order by v) - 1 as below, max(v) over (partition by vec_id, ch) as top from p),
+s as (select *, max(case when v = top then below end) over (partition by vec_id, ch) // 255 as step from r)
+select vec_id, string_agg(cast(case when step = 0 then v else least((step // 2 + below) // greatest(step, 1), 255) end as varchar), ',' order by k) as pixels
+from s group by 1""")
 def equalize_images(t):
-    big = F.transform(F.sequence(F.lit(0), F.lit(1535)), lambda k: F.floor(F.get("px", (k % 64) * 3 + k % 3) / 8).cast("int"))
+    big = bind(lambda px: F.transform(
+        F.sequence(F.lit(0), F.lit(1535)), lambda k: F.floor(F.get(px, (k % 64) * 3 + k % 3) / 8).cast("int")), F.col("px"))
     return show(images(t).withColumn("px", big), I.equalize(F.col("px"), C))
 
 
