@@ -284,29 +284,22 @@ def apply_op(px, h, w, c: int, op: Column, arg: Column, draw, replace=0) -> Colu
     )
 
 
-def augment_images(df: DataFrame, key: str, px: str, h: str, w: str, c: int, steps: int, seed: int, epoch=0, mirror: tuple = ()) -> DataFrame:
-    """Apply the first ``steps`` planned ops in order; adds ``applied``, the
-    list of (op, arg) that ran. ``mirror`` names ops whose argument takes a
-    random sign. No shuffle: the plan travels in the row."""
-    out = df
-    for i in range(steps):
-        o = F.get("ops", F.lit(i))
+def augment_images(df: DataFrame, key: str, px: str, h: str, w: str, c: int, seed: int, epoch=0, mirror: tuple = ()) -> DataFrame:
+    """Apply the planned ops in order; adds ``applied``, the list of (op, arg)
+    that ran. ``mirror`` names ops whose argument takes a random sign. No
+    shuffle: the plan travels in the row, and one fold runs all its steps."""
 
-        def draw(name, i=i):
-            return uniform(name, seed, epoch, key, F.lit(i))
+    def signed(o, i):
+        turned = F.when(o["op"].isin(*mirror), o["arg"] * sign(uniform("mirror", seed, epoch, key, i))) if mirror else F.lit(None)
+        return F.struct(o["op"].alias("op"), F.coalesce(turned, o["arg"]).alias("arg"), i.alias("step"))
 
-        arg = F.when(o["op"].isin(*mirror), o["arg"] * sign(draw("mirror"))).otherwise(o["arg"]) if mirror else o["arg"]
-        out = out.withColumn("__op", F.struct(o["op"].alias("op"), arg.alias("arg"), o["applied"].alias("applied")))
+    steps = F.transform("ops", lambda o, i: F.struct(signed(o, i).alias("s"), o["applied"].alias("run")))
+    chosen = F.transform(F.filter(steps, lambda x: x["run"]), lambda x: x["s"])
+    planned = df.withColumn("applied", chosen)
 
-        def run(p, hh, ww, x, draw=draw):
-            return F.when(x["applied"], apply_op(p, hh, ww, c, x["op"], x["arg"], draw)).otherwise(p)
+    def step(acc, s):
+        return apply_op(
+            acc, F.col(h), F.col(w), c, s["op"], s["arg"], lambda name: uniform(name, seed, epoch, key, s["step"]))
 
-        out = out.withColumn(
-            px, F.get(F.transform(F.array(F.struct(F.col(px).alias("p"), F.col(h).alias("h"), F.col(w).alias("w"), F.col("__op").alias("x"))),
-                                  _one(run)), F.lit(0))).drop("__op")
-    ran = F.filter("ops", lambda o: o["applied"])
-    return out.withColumn("applied", F.transform(ran, lambda o: F.struct(o["op"].alias("op"), o["arg"].alias("arg"))))
-
-
-def _one(run):
-    return lambda s: run(s["p"], s["h"], s["w"], s["x"])
+    return planned.withColumn(px, F.aggregate("applied", F.col(px), step)).withColumn(
+        "applied", F.transform("applied", lambda s: F.struct(s["op"].alias("op"), s["arg"].alias("arg"))))

@@ -186,8 +186,8 @@ def running(
     return out.drop(*drop)
 
 
-BLOCK = 64
-BLOCK_LEVELS = 3
+BLOCK = 512
+BLOCK_LEVELS = 2
 
 
 def _compose(rows: Column) -> Column:
@@ -199,7 +199,7 @@ def _compose(rows: Column) -> Column:
     )
 
 
-def _states(rows: Column, carry: Column, dtype_a: str = "double") -> Column:
+def _states(rows: Column, carry: Column) -> Column:
     """All states of one bounded block, starting from ``carry``."""
     start = F.struct(carry.alias("y"), F.array().cast("array<double>").alias("out"))
 
@@ -244,7 +244,7 @@ def linear_recurrence(
 ) -> DataFrame:
     """``y = decay * y_before + gain`` along ``order``; the expressions may use
     ``pos``, the position in the group. Steps compose, so rows are folded in
-    blocks of 64 on three levels; no task sees a whole group's rows."""
+    blocks of 512 on two levels, then over the blocks of blocks; no task sees a whole group's rows."""
     cols = df.columns
     ranked = positions(df, order, groups, name="pos")
     steps = ranked.select(

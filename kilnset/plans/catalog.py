@@ -4,7 +4,7 @@ import importlib
 
 from kilnset.plans.registry import QUERIES
 
-MODULES = ("sampling", "batching", "joins", "metrics", "sources", "images", "policies", "scalars")
+MODULES = ("sampling", "batching", "joins", "metrics", "sources", "images", "policies", "scalars", "streams")
 
 for _m in MODULES:
     importlib.import_module(f"kilnset.plans.{_m}")

@@ -105,7 +105,7 @@ def _binned_sql(name):
     return f"""
 with {table_sql(name)}, c as (select doc_id, w, h, cast(floor({d('subpolicy')} * 25) as int) as policy_id from {SHAPE})
 select doc_id, policy_id, i as step, op, round(coalesce({mag_sql('autoaugment', 'level', 10)}, 0)
-  * case when {SIGNED} then {SGN.format(d('sign', 'i'))} else 1 end, 9) as arg, {d('gate', 'i')} <= prob as applied
+  * case when {SIGNED} then {SGN.format(d('sign', 'i'))} else 1 end, 9) + 0.0::double as arg, {d('gate', 'i')} <= prob as applied
 from c join pol using (policy_id)"""
 
 
@@ -118,14 +118,14 @@ for _name in ("imagenet", "cifar10", "svhn"):
 
 @query("binned_random_policy_plan", "P5 C9", f"""
 with s as (select doc_id, w, h, i, {names_sql(M.BINNED_OPS)}[1 + floor({d('op', 'i')} * 14)::int] as op from {SHAPE}, (values (0), (1)) v(i))
-select doc_id, i as step, op, round({mag_sql('autoaugment', '9', 31)} * case when {SIGNED} then {SGN.format(d('sign', 'i'))} else 1 end, 9) as arg, true as applied from s""")
+select doc_id, i as step, op, round({mag_sql('autoaugment', '9', 31)} * case when {SIGNED} then {SGN.format(d('sign', 'i'))} else 1 end, 9) + 0.0::double as arg, true as applied from s""")
 def binned_random_policy_plan(t):
     return _plan(P.binned_random_policy(_shape(t), "doc_id", 2, 9, 31, F.col("h"), F.col("w"), SEED), ())
 
 
 @query("one_op_policy_plan", "P6 C9", f"""
 with s as (select doc_id, i, {names_sql(M.BINNED_OPS)}[1 + floor({d('op', 'i')} * 14)::int] as op, floor({d('bin', 'i')} * 31) as b from documents, (values (0)) v(i))
-select doc_id, i as step, op, round({mag_sql('wide', 'b', 31)} * case when {SIGNED} then {SGN.format(d('sign', 'i'))} else 1 end, 9) as arg, true as applied from s""")
+select doc_id, i as step, op, round({mag_sql('wide', 'b', 31)} * case when {SIGNED} then {SGN.format(d('sign', 'i'))} else 1 end, 9) + 0.0::double as arg, true as applied from s""")
 def one_op_policy_plan(t):
     return _plan(P.one_op_policy(_docs(t), "doc_id", 31, SEED), ())
 
@@ -140,7 +140,7 @@ st as (select *, {names_sql(M.AUGMIX_OPS)}[1 + floor({d('op', 'chain', 'i')} * 1
 
 @query("mixed_chain_plan", "P7 C9 X7", f"""
 with {CHAINS} select doc_id, chain, round(weight, 9) as weight, round(m, 9) as original_weight, cast(i as int) as step, op,
-  round({mag_sql('augmix', 'b', 10)} * case when {SIGNED} then {SGN.format(d('sign', 'chain', 'i'))} else 1 end, 9) as arg from st""")
+  round({mag_sql('augmix', 'b', 10)} * case when {SIGNED} then {SGN.format(d('sign', 'chain', 'i'))} else 1 end, 9) + 0.0::double as arg from st""")
 def mixed_chain_plan(t):
     chains = P.mixed_chains(_shape(t), "doc_id", 3, -1, 3, F.col("h"), F.col("w"), SEED)
     plan = P.explode_plan(chains, ["doc_id", "chain", "weight", "original_weight"]).drop("applied")
@@ -172,7 +172,7 @@ def level_sql(level, sgn, cut, tr):
 
 @query("level_policy_plan", "P8 C6", f"""
 with {table_sql('detection_v0')}, {chosen_sql(25)}
-select doc_id, policy_id, i as step, op, round({level_sql('level', SGN.format(d('sign', 'i')), 100, 250)}, 9) as arg,
+select doc_id, policy_id, i as step, op, round({level_sql('level', SGN.format(d('sign', 'i')), 100, 250)}, 9) + 0.0::double as arg,
   floor({d('gate', 'i')} + prob) >= 1 as applied from c join pol using (policy_id)""")
 def level_policy_plan(t):
     return _plan(P.level_policy(_docs(t), "doc_id", policy_table(t.spark, "detection_v0"), SEED))
@@ -180,7 +180,7 @@ def level_policy_plan(t):
 
 @query("tensor_random_policy_plan", "P9 C6", f"""
 with s as (select doc_id, i, {names_sql(TENSOR_OPS)}[1 + floor({d('op', 'i')} * 16)::int] as op from documents, (values (0), (1), (2)) v(i))
-select doc_id, i as step, op, round({level_sql('7.0::double', SGN.format(d('sign', 'i')), 40, 100)}, 9) as arg, true as applied from s""")
+select doc_id, i as step, op, round({level_sql('7.0::double', SGN.format(d('sign', 'i')), 40, 100)}, 9) + 0.0::double as arg, true as applied from s""")
 def tensor_random_policy_plan(t):
     return _plan(P.tensor_random_policy(_docs(t), "doc_id", 3, 7.0, SEED), ())
 
@@ -272,5 +272,5 @@ def magnitude_bins(t):
 def augmented_images(t):
     rows = P.random_policy(images(t), "vec_id", "randaugment", 2, 9, SEED)
     rows = rows.withColumn("h", F.lit(8)).withColumn("w", F.lit(8))
-    out = P.augment_images(rows, "vec_id", "px", "h", "w", 3, 2, SEED, mirror=("Rotate", "ShearX", "ShearY", "TranslateXabs", "TranslateYabs"))
+    out = P.augment_images(rows, "vec_id", "px", "h", "w", 3, SEED, mirror=("Rotate", "ShearX", "ShearY", "TranslateXabs", "TranslateYabs"))
     return out.select("vec_id", F.array_join(F.transform("applied", lambda a: a["op"]), ",").alias("ops"), X.join_numbers(F.col("px")).alias("pixels"))

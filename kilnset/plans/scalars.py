@@ -45,7 +45,8 @@ def image_headers(t):
     body = kinds[-1]
     for i, k in enumerate(kinds[:-1]):
         body = F.when(F.col("doc_id") % 8 == i, k).otherwise(body)
-    return rows.select("doc_id", HD.image_header(F.unhex(body)).alias("m")).select("doc_id", "m.*")
+    files = rows.select("doc_id", F.unhex(body).alias("content"))
+    return files.select("doc_id", HD.image_header(F.col("content")).alias("m")).select("doc_id", "m.*")
 
 
 SM = "[x::double for x in embedding[1:10]]"
