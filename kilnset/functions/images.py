@@ -12,10 +12,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from kilnset.functions.binding import bind
 from kilnset.functions.tensors import blend
@@ -483,15 +481,28 @@ def _resize_one(px, h, w, c, left, top, bw, bh, out_h, out_w) -> np.ndarray:
     return to_pixels(np.einsum("oy,yxc->oxc", _cubic_weights(top, bh, h, out_h), img)).astype(np.int32).ravel()
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def resize_box(
-    px: pd.Series, h: pd.Series, w: pd.Series, c: pd.Series, left: pd.Series, top: pd.Series, bw: pd.Series,
-    bh: pd.Series, out_h: pd.Series, out_w: pd.Series,
-) -> pd.Series:
-    """Bicubic resize of a box (interpolation needs dense matrices: numpy)."""
-    return pd.Series([_resize_one(*row) for row in zip(px, h, w, c, left, top, bw, bh, out_h, out_w)])
+def resize_boxes(df: DataFrame, px: str, c: int, names: dict[str, str] | None = None) -> DataFrame:
+    """Bicubic resize of a box per image (interpolation needs dense matrices:
+    numpy). Columns h, w, left, top, box_h, box_w, out_h, out_w give the
+    geometry; ``names`` maps them to other column names. A map over whole
+    batches, so image expressions are finished before Python sees them."""
+    use = {k: (names or {}).get(k, k) for k in ("h", "w", "left", "top", "box_w", "box_h", "out_h", "out_w")}
 
+    def run(batches):
+        for pdf in batches:
+            rows = zip(*[pdf[use[k]] for k in ("h", "w", "left", "top", "box_w", "box_h", "out_h", "out_w")])
+            pdf[px] = [
+                _resize_one(p, h, w, c, left, top, bw, bh, oh, ow)
+                for p, (h, w, left, top, bw, bh, oh, ow) in zip(pdf[px], rows)]
+            yield pdf
 
-def resize(px, h, w, c, out_h, out_w):
+    return df.mapInPandas(run, df.schema)
+
+
+def resize(df: DataFrame, px: str, h: str, w: str, c: int, out_h, out_w) -> DataFrame:
+    """Bicubic resize of whole images."""
     zero = F.lit(0)
-    return resize_box(px, _c(h), _c(w), _c(c), zero, zero, _c(w), _c(h), _c(out_h), _c(out_w))
+    boxed = df.withColumns({
+        "__left": zero, "__top": zero, "__bw": F.col(w), "__bh": F.col(h), "__oh": _c(out_h), "__ow": _c(out_w)})
+    names = {"h": h, "w": w, "left": "__left", "top": "__top", "box_w": "__bw", "box_h": "__bh", "out_h": "__oh", "out_w": "__ow"}
+    return resize_boxes(boxed, px, c, names).drop("__left", "__top", "__bw", "__bh", "__oh", "__ow")

@@ -59,7 +59,13 @@ def concat_index(datasets: list[DataFrame], key: str) -> DataFrame:
     whole = tagged[0]
     for d in tagged[1:]:
         whole = whole.unionByName(d)
-    return positions(positions(whole, [key], ["ordinal"], name="local_idx"), ["ordinal", key], name="global_idx")
+    local = positions(whole, [key], ["ordinal"], name="local_idx")
+    # one row per dataset of the given list
+    before = Window.orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    starts = whole.groupBy("ordinal").agg(F.count(F.lit(1)).alias("n")).select(
+        "ordinal", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    return local.join(F.broadcast(starts), "ordinal").withColumn(
+        "global_idx", F.col("__start") + F.col("local_idx")).drop("__start")
 
 
 def blend_arrays(a: Column, b: Column, weight_a: Column) -> Column:

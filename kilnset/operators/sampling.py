@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kilnset.functions.hashing import pick, uniform
 from kilnset.operators.ranking import positions, running
+from kilnset.session import checkpoint
 
 
 def sequential(df: DataFrame, key: str) -> DataFrame:
@@ -59,7 +60,8 @@ def weighted_with_replacement(
         pick(uniform("weighted", seed, epoch, "id"), F.lit(total)).alias("at"), F.lit(1).alias("kind"),
         F.col("id").alias("no"), F.lit(None).cast("bigint").alias("owner"),
     )
-    merged = running(spans.unionByName(draws), {"hit": ("last", F.col("owner"))}, ["at", "kind", "no"])
+    # the scan below reads its input three times, so the totals are kept
+    merged = running(checkpoint(spans.unionByName(draws)), {"hit": ("last", F.col("owner"))}, ["at", "kind", "no"])
     return merged.where("kind = 1").select(F.col("no").alias("draw"), F.col("hit").alias(key))
 
 

@@ -299,6 +299,15 @@ def short_side_sizes(t):
     return _shapes(t).select("doc_id", out_h.alias("out_h"), out_w.alias("out_w"))
 
 
-@query("resized_images", "I24 I21", None)
+@query("resized_images", "I24", None)
 def resized_images(t):
-    return show(images(t), I.resize(F.col("px"), H, W, C, 12, 12))
+    rows = images(t).select("vec_id", "px", F.lit(H).alias("h"), F.lit(W).alias("w"))
+    return show(I.resize(rows, "px", "h", "w", C, 12, 12), F.col("px"))
+
+
+@query("random_resized_images", "I21", None)
+def random_resized_images(t):
+    box = I.random_resized_box(F.lit(H), F.lit(W), lambda name, k: draw(f"{name}{k}"))
+    rows = images(t).select("vec_id", "px", F.lit(H).alias("h"), F.lit(W).alias("w"), box.alias("b"), F.lit(6).alias("out_h"), F.lit(6).alias("out_w"))
+    rows = rows.select("*", F.col("b.left").alias("left"), F.col("b.top").alias("top"), F.col("b.w").alias("box_w"), F.col("b.h").alias("box_h")).drop("b")
+    return show(I.resize_boxes(rows, "px", C), F.col("px"))

@@ -6,6 +6,7 @@ from kilnset.functions.hashing import uniform
 from kilnset.operators import sampling as S
 from kilnset.operators import splits as P
 from kilnset.plans.registry import query, u
+from kilnset.session import checkpoint
 
 SEED = 42
 PERM = f"row_number() over (order by {u('perm', SEED, 0, 'o_orderkey')}, o_orderkey) - 1"
@@ -186,7 +187,7 @@ select o_orderkey, send_idx, arrival, max(arrival) over (order by send_idx) as r
 def restore_send_order(t):
     sent = S.sequential(t.orders.select("o_orderkey"), "o_orderkey").withColumnRenamed("pos", "send_idx")
     arrived = S.permutation(sent, "o_orderkey", 7).withColumnRenamed("pos", "arrival")
-    return S.restore_order(arrived, "send_idx", "arrival")
+    return S.restore_order(checkpoint(arrived), "send_idx", "arrival")
 
 
 SPLIT_SQL = f"select o_orderkey, case when {u('half', SEED, 0, 'o_orderkey')} < 0.8 then 0 else 1 end as split from orders"

@@ -69,13 +69,13 @@ with recursive s as (select user_id, event_id, value, row_number() over (partiti
 e as (select user_id, k, value as ema from s where k = 1
       union all select s.user_id, s.k, e.ema * 0.9::double + s.value * (1 - 0.9::double) from e join s on s.user_id = e.user_id and s.k = e.k + 1),
 l as (select user_id, arg_max(ema, k) as ema from e group by 1)
-select user_id as rank, count(*) as count, round(avg(value), 6) as avg, arg_max(value, event_id) as val, round(any_value(ema), 6) as ema
+select user_id as rank, count(*) as count, round(sum(value), 2) as sum, arg_max(value, event_id) as val, round(any_value(ema), 6) as ema
 from events join l using (user_id) group by 1""")
 def streamed_meters(t):
     rows = t.events.select("event_id", F.col("user_id").alias("rank"), F.col("event_id").alias("step"), "value")
     base = S.run_in_parts(rows, _part(), 3, "meters", ST.update_meters)
     return t.spark.read.parquet(f"{base}/meters/v=2").select(
-        "rank", "count", F.round(F.col("sum") / F.col("count"), 6).alias("avg"), "val", F.round("ema", 6).alias("ema"))
+        "rank", "count", F.round("sum", 2).alias("sum"), "val", F.round("ema", 6).alias("ema"))
 
 
 @query("ordered_reassembly", "T5 O15", f"""

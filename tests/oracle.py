@@ -81,7 +81,7 @@ if __name__ == "__main__":
 
     spark = build_session(master="local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
                           spark__driver__memory="12g")
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     sqls = entry.oracle_sql()
     bad = 0
     for name, run in entry.queries().items():
@@ -91,7 +91,7 @@ if __name__ == "__main__":
         try:
             res = compare(spark, run, sqls.get(name), f"/root/testdata/sf{sf}")
         except Exception as e:  # noqa: BLE001
-            res = {"status": "error", "rows": -1, "seconds": 0.0, "note": repr(e)[:900]}
+            res = {"status": "error", "rows": -1, "seconds": 0.0, "note": "\n".join(x for x in str(e).splitlines() if "Error" in x or "Exception" in x)[:3000]}
         if res["status"] not in ("ok", "rows") or res["rows"] == 0:
             bad += 1
         print(f"{res['status']:6s} {name:40s} rows={res['rows']:<7d} {res['seconds']:.2f}s {res['note']}", flush=True)
