@@ -6,8 +6,8 @@ go to ranges ("buckets") of the order first. Small per-bucket summaries are
 scanned, joined back, and the rest is a window inside (group, bucket).
 
 Buckets of a hashed order are equal slices of the uniform. For any other order
-the cut points are quantiles of a bounded key sample, picked by hash: the same
-kind of sampling job that Spark's own global sort runs. Cut points are taken
+the cut points are quantiles of a bounded key sample, picked by hash, as
+Spark's own global sort samples its range bounds. Cut points are taken
 over (group, order) together, so a group with a third of all rows spans a third
 of the buckets. Results never depend on the cut points.
 """
@@ -32,15 +32,17 @@ def default_buckets(df: DataFrame) -> int:
 
 
 def _cuts(df: DataFrame, key: Column, buckets: int):
-    """Quantile cut points of the struct ``key``; at most ``buckets - 1`` rows
-    reach the driver after a bounded sample of the smallest key hashes."""
-    sample = (
-        df.select(key.alias("k"))
-        .withColumn("h", F.xxhash64("k"))
-        .orderBy("h")
-        .limit(buckets * SAMPLES_PER_BUCKET)
-    )
-    ordered = sample.agg(F.sort_array(F.collect_list("k")).alias("ks"))
+    """Quantile cut points of the struct ``key``. A row count sets the share
+    of key hashes to keep, so both jobs are map-only scans of the key columns
+    and about ``buckets * SAMPLES_PER_BUCKET`` keys are gathered. The limit
+    bounds the sample when keys repeat; it moves cut points, never results."""
+    wanted = buckets * SAMPLES_PER_BUCKET
+    rows = df.count()
+    keys = df.select(key.alias("k"))
+    if rows > wanted:
+        share = F.pmod(F.xxhash64("k"), F.lit(1 << 30))
+        keys = keys.where(share < int(wanted / rows * (1 << 30)) + 1).limit(4 * wanted)
+    ordered = keys.agg(F.sort_array(F.collect_list("k")).alias("ks"))
     n = F.size("ks")
     step = F.transform(
         F.sequence(F.lit(1), F.lit(buckets - 1)),
