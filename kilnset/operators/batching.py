@@ -29,6 +29,15 @@ def fixed_batches(df: DataFrame, batch_size: int, drop_last: bool = False, total
     return out
 
 
+def fetch_batches(
+    samples: DataFrame, key: str, sampler: Callable[[DataFrame], DataFrame], batch_size: int, drop_last: bool = False
+) -> DataFrame:
+    """Samples in the batches of a user sampler: a function from the samples to
+    (key, pos, n), n being the number of positions."""
+    index = fixed_batches(sampler(samples).select(key, "pos", "n"), batch_size, drop_last)
+    return samples.join(index.drop("pos", "n"), key)
+
+
 def micro_batches(df: DataFrame, micro: int, mini: int, total: str = "n") -> DataFrame:
     """Two-level batch ids; an unfinished last micro-batch is always dropped."""
     if mini % micro:

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from kilnset.functions.binding import bind
 from kilnset.functions.hashing import beta_symmetric, pick, uniform
 from kilnset.operators.ranking import positions, running
+from kilnset.session import checkpoint
 
 
 def class_index(df: DataFrame, name: str) -> DataFrame:
     """Dense index of the sorted distinct class names."""
-    return positions(df.select(name).distinct(), [name], name="target")
+    # one row per class, kept because ranking reads it several times
+    return positions(checkpoint(df.select(name).distinct()), [name], name="target")
 
 
 def synonym_index(classes: DataFrame, idx: str, names: str, sep: str = ", ") -> DataFrame:
@@ -32,6 +34,7 @@ def resolve_addresses(requests: DataFrame, sizes: DataFrame, idx: str = "idx") -
     from the end; anything outside raises. Boundaries and requests are merged
     in one ordered scan instead of a range join.
     """
+    sizes = checkpoint(sizes)
     bounds = running(sizes, {"hi": ("sum", F.col("n"))}, ["ordinal"]).select(
         F.struct("ordinal", (F.col("hi") - F.col("n")).alias("lo")).alias("owner"),
         (F.col("hi") - F.col("n")).alias("at"), F.lit(0).alias("kind"), F.col("ordinal").cast("bigint").alias("no"),
@@ -47,7 +50,7 @@ def resolve_addresses(requests: DataFrame, sizes: DataFrame, idx: str = "idx") -
         F.lit(1).alias("kind"), F.col(idx).cast("bigint").alias("no"), idx, "times",
     )
     merged = running(
-        bounds.withColumn("times", F.lit(None).cast("bigint")).unionByName(asked),
+        checkpoint(bounds.withColumn("times", F.lit(None).cast("bigint")).unionByName(asked)),
         {"hit": ("last", F.col("owner"))}, ["at", "kind", "no"])
     return merged.where("kind = 1").select(
         idx, "times", F.col("hit.ordinal").alias("ordinal"), (F.col("at") - F.col("hit.lo")).alias("local_idx"))

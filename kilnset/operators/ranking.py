@@ -115,7 +115,12 @@ def positions(
     total: str | None = None,
     buckets: int | None = None,
 ) -> DataFrame:
-    """Zero-based position by ascending ``order`` (unique inside a group)."""
+    """Zero-based position by ascending ``order`` (unique inside a group).
+
+    The input is read for the count, the key sample, the bucket sizes and the
+    rows themselves, the first three with key columns only: checkpoint an
+    input that is costly to compute.
+    """
     rows = with_buckets(df, order, groups, uniform, buckets)
     summary = rows.groupBy("__g", "__b").agg(F.count(F.lit(1)).alias("__n"))
     before, whole = _carry(summary, bool(groups))

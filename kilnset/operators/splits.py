@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kilnset.functions.hashing import uniform
 from kilnset.operators.ranking import positions
 from kilnset.operators.sampling import permutation
+from kilnset.session import checkpoint
 
 
 def random_split(df: DataFrame, key: str, lengths: list[int], seed: int) -> DataFrame:
@@ -26,8 +27,9 @@ def class_quota(df: DataFrame, target: str, size: Column) -> DataFrame:
     """Rows per class so that they add up to ``size``: floor of the exact
     share, the rest by largest remainder (ties: smaller class first).
     ``size`` may use ``n``, the number of rows."""
-    counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("n_class"))
-    total = df.agg(F.count(F.lit(1)).alias("n"))
+    # one row per class, kept because ranking reads it several times
+    counts = checkpoint(df.groupBy(target).agg(F.count(F.lit(1)).alias("n_class")))
+    total = counts.agg(F.sum("n_class").alias("n"))
     shares = (
         counts.withColumn("n", total.scalar())
         .withColumn("size", size.cast("bigint"))

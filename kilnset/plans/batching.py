@@ -4,6 +4,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from kilnset.operators import batching as B
+from kilnset.operators.ranking import positions
 from kilnset.operators.sampling import permutation
 from kilnset.plans.registry import query, u
 
@@ -130,6 +131,16 @@ def loader_length_keep_last(t):
     return B.batch_length(t.lineitem, 256, drop_last=False)
 
 
+@query("sampler_hook", "X4 B8 J1", """
+select doc_id, lang, pos // 16 as batch_id, pos % 16 as pos_in_batch from (
+  select doc_id, lang, row_number() over (order by n_chars, doc_id) - 1 as pos from documents)""")
+def sampler_hook(t):
+    def shortest_first(samples):
+        return positions(samples.select("doc_id", "n_chars"), ["n_chars", "doc_id"], total="n")
+
+    return B.fetch_batches(t.documents.select("doc_id", "lang", "n_chars"), "doc_id", shortest_first, 16).drop("n_chars")
+
+
 LANES = f"""{DOCS}, m as (select pos // 32 as mini_id, pos // 4 as micro_id, cast(sum(n_chars) as bigint) as bytes
   from d where pos // 4 < n // 4 group by 1, 2),
 l as (select *, row_number() over (partition by mini_id order by bytes, micro_id desc) - 1 as place,

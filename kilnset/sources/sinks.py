@@ -12,10 +12,11 @@ def write_results(df: DataFrame, path: str, keys: list[str]) -> None:
     df.write.partitionBy(*keys).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
-def write_epoch(df: DataFrame, path: str, files_per_rank: int = 8) -> None:
-    """Training-ready shards by (epoch, rank), each file a run of batches in
-    (batch, position) order."""
-    spread = df.withColumn("__file", F.col("batch_id") % files_per_rank)
+def write_epoch(df: DataFrame, path: str, batches_per_file: int = 256) -> None:
+    """Training-ready shards by (epoch, rank), each file made of runs of
+    batches in (batch, position) order. The number of runs grows with the
+    data, so a rank is written by many tasks."""
+    spread = df.withColumn("__file", F.floor(F.col("batch_id") / batches_per_file))
     (
         spread.repartition("epoch", "rank", "__file").drop("__file")
         .sortWithinPartitions("epoch", "rank", "batch_id", "pos_in_batch")

@@ -51,14 +51,20 @@ def run_to_table(stream: DataFrame, label: str) -> DataFrame:
 
 
 class State:
-    """Tables by micro-batch: version n is written by batch n from version
-    n - 1, so a repeated batch overwrites its own version and nothing else."""
+    """State and output tables of a streaming job, by micro-batch.
+
+    Batch n reads the state of batch n - 1 and writes its own, so a repeated
+    batch overwrites only what it wrote before. State rotates over three
+    folders and does not pile up; output keeps one folder per batch.
+    """
+
+    KEEP = 3
 
     def __init__(self, base: str):
         self.base = base
 
     def path(self, name: str, batch_id: int) -> str:
-        return f"{self.base}/{name}/v={batch_id}"
+        return f"{self.base}/state/{name}/{batch_id % self.KEEP}"
 
     def before(self, spark: SparkSession, name: str, batch_id: int, schema: str) -> DataFrame:
         if batch_id == 0:
@@ -68,6 +74,9 @@ class State:
     def write(self, df: DataFrame, name: str, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(self.path(name, batch_id))
 
+    def emit(self, df: DataFrame, name: str, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.base}/{name}/v={batch_id}")
+
 
 def run_in_parts(
     rows: DataFrame, part: Column, parts: int, label: str, handle: Callable[[DataFrame, int, State], None],

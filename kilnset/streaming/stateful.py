@@ -33,7 +33,9 @@ def update_meters(batch: DataFrame, batch_id: int, state: State) -> None:
         rows.select("rank", "step", F.col("value").alias("val"), F.col("value").alias("sum"), F.lit(1).cast("bigint").alias("count")))
     sums = both.groupBy("rank").agg(
         F.max("step").alias("step"), F.max_by("val", "step").alias("val"), F.sum("sum").alias("sum"), F.sum("count").alias("count"))
-    state.write(sums.join(last, "rank").select("rank", "step", "val", "sum", "count", "ema"), "meters", batch_id)
+    meters = checkpoint(sums.join(last, "rank").select("rank", "step", "val", "sum", "count", "ema"))
+    state.write(meters, "meters", batch_id)
+    state.emit(meters, "meters", batch_id)
 
 
 def reassemble(batch: DataFrame, batch_id: int, state: State) -> None:
@@ -48,7 +50,7 @@ def reassemble(batch: DataFrame, batch_id: int, state: State) -> None:
     ranked = positions(pool, ["idx"], ["stream"]).join(nexts, "stream", "left")
     marked = checkpoint(ranked.withColumn("ready", F.col("idx") == F.coalesce("next", F.lit(0)) + F.col("pos")))
     ready = marked.where("ready")
-    state.write(ready.select("stream", "idx", "payload", F.lit(batch_id).alias("released_in")), "released", batch_id)
+    state.emit(ready.select("stream", "idx", "payload", F.lit(batch_id).alias("released_in")), "released", batch_id)
     state.write(marked.where("not ready").select("stream", "idx", "payload"), "held", batch_id)
     moved = ready.groupBy("stream").agg((F.max("idx") + 1).alias("moved"))
     state.write(
@@ -66,7 +68,7 @@ def close_epochs(ranks: int) -> Callable[[DataFrame, int, State], None]:
             return flags.groupBy("epoch").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == ranks).select("epoch")
 
         state.write(seen, "flags", batch_id)
-        state.write(full(seen).join(full(old), "epoch", "left_anti").withColumn("closed_in", F.lit(batch_id)), "closed", batch_id)
+        state.emit(full(seen).join(full(old), "epoch", "left_anti").withColumn("closed_in", F.lit(batch_id)), "closed", batch_id)
 
     return handle
 
@@ -81,7 +83,7 @@ def batch_arrivals(batch_size: int) -> Callable[[DataFrame, int, State], None]:
         at = F.col("pos") + offset
         placed = checkpoint(positions(batch, ["sample_id"])).select(
             "sample_id", F.floor(at / batch_size).alias("batch_id"), (at % batch_size).alias("pos_in_batch"))
-        state.write(placed, "batches", batch_id)
+        state.emit(placed, "batches", batch_id)
         state.write(placed.agg((F.count(F.lit(1)) + offset).alias("n")), "count", batch_id)
 
     return handle
@@ -91,7 +93,7 @@ def straggler_report(threshold: int) -> Callable[[DataFrame, int, State], None]:
     """Per micro-batch report over running progress totals."""
 
     def handle(progress: DataFrame, batch_id: int, state: State) -> None:
-        state.write(stragglers(progress, "node", "rank", "batch_no", "left_tasks", "finished", threshold), "report", batch_id)
+        state.emit(stragglers(progress, "node", "rank", "batch_no", "left_tasks", "finished", threshold), "report", batch_id)
 
     return handle
 
@@ -103,6 +105,6 @@ def report_with(callback: Callable[[int, dict], None]) -> Callable[[DataFrame, i
         summary = batch.agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("high")).first()
         callback(batch_id, summary.asDict())
         row = [(batch_id, summary["n"], summary["high"])]
-        state.write(batch.sparkSession.createDataFrame(row, "batch_no int, n bigint, high double"), "summary", batch_id)
+        state.emit(batch.sparkSession.createDataFrame(row, "batch_no int, n bigint, high double"), "summary", batch_id)
 
     return handle
