@@ -6,7 +6,7 @@ from kilnset.functions import magnitudes as M
 from kilnset.functions import tensors as X
 from kilnset.functions.hashing import uniform
 from kilnset.operators import policies as P
-from kilnset.plans.images import IDX, IMG, images
+from kilnset.plans.images import CH, IDX, IMG, XX, YY, blended, boxed, fl, gathered, images
 from kilnset.plans.registry import query, u
 from kilnset.sources.catalog import OP_RANGES, TENSOR_OPS, op_table, policy_table, published_rows
 
@@ -268,7 +268,47 @@ def magnitude_bins(t):
     return rows.select("doc_id", "op", mag("autoaugment").alias("paper"), mag("wide").alias("wide"), mag("augmix").alias("mix"))
 
 
-@query("augmented_images", "P2 I30", None)
+def _fold_sql(m=9, n=2):
+    """SQL of the whole fold: one case expression per step (8 x 8 images have
+    too few pixels for equalisation to move anything)."""
+    arg = {op: f"'{m / 30.0 * (hi - lo) + lo!r}'::double" for op, lo, hi in OP_RANGES["randaugment"]}
+    luma = "[(px[3*j+1] * 19595 + px[3*j+2] * 38470 + px[3*j+3] * 7471 + 32768) >> 16 for j in range(0, 64)]"
+    near = " + ".join(f"{5 if dx == dy == 0 else 1} * px[k + 1 + {(dy * 8 + dx) * 3}]" for dy in (-1, 0, 1) for dx in (-1, 0, 1))
+    soft = f"(case when {XX} in (0, 7) or {YY} in (0, 7) then px[k + 1] else floor(({near}) / 13.0::double + 0.5) end)::double"
+    chan = f"[px[3*j+1+{CH}] for j in range(0, 64)]"
+    scale = f"(255.0::double / (list_max({chan}) - list_min({chan})))"
+    sql = f"with {IMG}, s0 as (select vec_id, px from img)"
+    for i in range(n):
+        sg = f"(case when {u('mirror', SEED, 0, 'vec_id', str(i))} < 0.5 then -1.0::double else 1.0::double end)"
+        co, si = "round(cos(-radians(v)), 15)", "round(sin(-radians(v)), 15)"
+        cut = arg["CutoutAbs"]
+        ops = {
+            "Invert": "[255 - p for p in px]",
+            "Solarize": f"[case when p < {arg['Solarize']} then p else 255 - p end for p in px]",
+            "SolarizeAdd": "[case when least(p + 33, 255) < 128 then least(p + 33, 255) else 255 - least(p + 33, 255) end for p in px]",
+            "Posterize": "[p - p % 128 for p in px]",
+            "Brightness": blended("0.0::double", "px[k + 1]", arg["Brightness"]),
+            "Contrast": blended(f"floor(list_sum({luma}) / 64.0::double + 0.5)", "px[k + 1]", arg["Contrast"]),
+            "Color": blended(f"({luma})[k // 3 + 1]::double", "px[k + 1]", arg["Color"]),
+            "Sharpness": blended(soft, "px[k + 1]", arg["Sharpness"]),
+            "AutoContrast": f"[case when list_max({chan}) > list_min({chan}) then cast(trunc(least(greatest(px[k+1] * {scale} - list_min({chan}) * {scale}, 0.0), 255.0)) as int) else px[k+1] end {IDX}",
+            "Rotate": gathered(fl(f"{co} * ({XX} + 0.5) + {si} * ({YY} + 0.5) + (4.0 - {co} * 4.0 - {si} * 4.0)"),
+                               fl(f"-{si} * ({XX} + 0.5) + {co} * ({YY} + 0.5) + (4.0 + {si} * 4.0 - {co} * 4.0)")),
+            "ShearX": gathered(fl(f"{XX} + 0.5 + v * ({YY} + 0.5)"), YY), "ShearY": gathered(XX, fl(f"v * ({XX} + 0.5) + {YY} + 0.5")),
+            "TranslateXabs": gathered(fl(f"{XX} + 0.5 + v"), YY), "TranslateYabs": gathered(XX, fl(f"{YY} + 0.5 + v")),
+            "CutoutAbs": boxed("x0", "y0", f"floor(least(8, x0 + {cut}))", f"floor(least(8, y0 + {cut}))", "[125, 123, 114][k % 3 + 1]"),
+        }
+        corner = lambda t: f"floor(greatest({u(t, SEED, 0, 'vec_id', str(i))} * 8 - {cut} / 2, 0))"  # noqa: B023, E731
+        angle = "case op " + " ".join(f"when '{o}' then {arg[o]}" for o in ("Rotate", "ShearX", "ShearY", "TranslateXabs", "TranslateYabs")) + " end"
+        names = names_sql([r[0] for r in OP_RANGES["randaugment"]])
+        sql += (f", o{i} as (select *, {names}[1 + floor({u('op', SEED, 0, 'vec_id', str(i))} * 16)::int] as op from s{i}), "
+                f"a{i} as (select *, {angle} * {sg} as v, {corner('cut_x')} as x0, {corner('cut_y')} as y0 from o{i}), "
+                f"s{i + 1} as (select vec_id, {'' if i == 0 else 'ops || chr(44) || '}op as ops, case op "
+                + " ".join(f"when '{o}' then {e}" for o, e in ops.items()) + f" else px end as px from a{i})")
+    return sql + f" select vec_id, ops, array_to_string(px, ',') as pixels from s{n}"
+
+
+@query("augmented_images", "P2 I30", _fold_sql())
 def augmented_images(t):
     rows = P.random_policy(images(t), "vec_id", "randaugment", 2, 9, SEED)
     rows = rows.withColumn("h", F.lit(8)).withColumn("w", F.lit(8))
