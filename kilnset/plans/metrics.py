@@ -197,7 +197,7 @@ def stage_latency(t):
     return out.select("stage", "n", F.round("mean", 6).alias("mean"), "low", "high", *[F.round(c, 6).alias(c) for c in ("p50", "p90", "p99")])
 
 
-@query("pipeline_choice", "G14", f"""
+@query("offload_choice", "G14", f"""
 with m as (select user_id, event_type as pipeline, avg(value) as cpu, avg(500 / (value + 1)) as train_rate, avg(400 / (value + {K} + 1)) as rate
   from events group by 1, 2),
 b as (select user_id, cpu as p, train_rate as g, rate as l from m where pipeline = 'view'),
@@ -206,7 +206,7 @@ r as (select *, row_number() over (partition by user_id order by value desc, pip
 x as (select *, (g - l) * (1 + o / p) as lower from r where rn = 1)
 select user_id, pipeline, round(value, 6) as value, round(lower, 6) as lower,
   round(case when lower < r then r / g else r / (l + r) end, 6) as offload_ratio from x""")
-def pipeline_choice(t):
+def offload_choice(t):
     rows = t.events.select(
         "user_id", F.col("event_type").alias("pipeline"), F.col("value").alias("cpu"), (500 / (F.col("value") + 1)).alias("train_rate"),
         (400 / (F.col("value") + _k() + 1)).alias("rate"))
@@ -248,10 +248,11 @@ def class_counts(t):
 
 
 @query("running_average", "W1", f"""
-select event_id, user_id, round(sum(value * {K}) over w / sum({K}) over w, 6) as run_avg from events where {K} > 0
+select event_id, user_id, round(cast(sum(cast(value as decimal(18, 2)) * {K}) over w as double) / sum({K}) over w, 6) as run_avg from events where {K} > 0
 window w as (partition by user_id order by event_id)""")
 def running_average(t):
-    rows = t.events.select("event_id", "user_id", "value", _k().alias("k")).where("k > 0")
+    # two-decimal values add up exactly as decimals, whatever the order
+    rows = t.events.select("event_id", "user_id", F.col("value").cast("decimal(18,2)").alias("value"), _k().alias("k")).where("k > 0")
     out = M.running_average(rows, F.col("value"), F.col("k"), ["event_id"], ["user_id"])
     return out.select("event_id", "user_id", F.round("run_avg", 6).alias("run_avg"))
 

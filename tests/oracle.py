@@ -77,10 +77,17 @@ if __name__ == "__main__":
 
     sf = sys.argv[1]
     wanted = sys.argv[2:]
+    import os
+
+    from pyspark.sql import SparkSession
+
     from kilnset.session import build_session
 
-    spark = build_session(master="local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
-                          spark__driver__memory="12g")
+    if os.environ.get("PLAIN_SESSION"):  # Spark's own defaults
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").getOrCreate()
+    else:
+        spark = build_session(master="local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
+                              spark__driver__memory="12g")
     spark.sparkContext.setLogLevel("OFF")
     sqls = entry.oracle_sql()
     bad = 0

@@ -148,3 +148,25 @@ def test_plan_has_no_shuffle_and_one_fold(pics):
     out = P.augment_images(rows, "k", "px", "h", "w", 3, 1)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_spectrogram_matches_a_loop(spark):
+    from kilnset.functions.tensors import fit_length, half_spectrum, standardise, stft_magnitude
+
+    x = np.sin(np.arange(700) / 9.0) + np.arange(700) / 500.0
+    df = spark.createDataFrame([(x.tolist(),)], "a array<double>")
+    got = np.array(df.select(stft_magnitude(200, 80, 256)(F.col("a")).alias("s")).first().s)
+    padded = np.pad(x, 128, mode="reflect")
+    frames = []
+    for start in range(0, len(padded) - 256 + 1, 80):
+        piece = np.zeros(256)
+        for n in range(200):
+            piece[28 + n] = padded[start + 28 + n] * (0.5 - 0.5 * np.cos(2 * np.pi * n / 200))
+        frames.append([np.sqrt(abs(sum(piece[n] * np.exp(-2j * np.pi * k * n / 256) for n in range(256)))) for k in (0, 5, 128)])
+    assert got.size == len(frames) * 129
+    np.testing.assert_allclose(got.reshape(-1, 129)[:, [0, 5, 128]], frames, atol=1e-6)
+    half = df.select(half_spectrum(F.col("a")).alias("h")).first().h
+    assert len(half) == 350 and half[0] == pytest.approx(abs(x.sum()))
+    z = np.array(df.select(fit_length(standardise(F.col("a")), 800).alias("z")).first().z)
+    assert len(z) == 800 and (z[700:] == 0).all()
+    np.testing.assert_allclose(z[:700], (x - x.mean()) / x.std(ddof=1), atol=1e-9)
