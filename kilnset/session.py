@@ -12,7 +12,8 @@ def build_session(app: str = "kilnset", master: str | None = None, **conf: str)
     """Session with the settings the operators rely on.
 
     UTC keeps casts of zone-free timestamps value preserving; AQE sizes the
-    shuffles and splits skewed join partitions at run time.
+    shuffles and splits skewed join partitions at run time; checkpoints go
+    once nothing refers to them.
     """
     builder = (
         SparkSession.builder.appName(app)
@@ -21,6 +22,7 @@ def build_session(app: str = "kilnset", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)
