@@ -54,3 +54,11 @@ def op10_feistel_shards(spark, sf_dir):
     return shard_rows(rows, 16, count=docs.count()).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@register
+def op5_quality_rules(spark, sf_dir):
+    from kilnset.llm.quality_rules import fit_quality, quality_rules
+
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
