@@ -62,3 +62,10 @@ def op5_quality_rules(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents")
     return quality_rules(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+@register
+def op7_near_vectors(spark, sf_dir):
+    from kilnset.llm.near_vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
