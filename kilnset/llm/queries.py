@@ -69,3 +69,10 @@ def op7_near_vectors(spark, sf_dir):
     from kilnset.llm.near_vectors import near_vectors
 
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@register
+def op1_substring_dedup(spark, sf_dir):
+    from kilnset.llm.substring_dedup import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents"))
