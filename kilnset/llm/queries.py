@@ -76,3 +76,10 @@ def op1_substring_dedup(spark, sf_dir):
     from kilnset.llm.substring_dedup import substring_dedup
 
     return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+@register
+def op4_jaccard_join(spark, sf_dir):
+    from kilnset.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))

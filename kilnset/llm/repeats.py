@@ -61,20 +61,20 @@ def join_binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 
 def _pack(kind: int, rank, row, counts, pos, keys) -> bytes:
-    head = np.array([kind, len(rank), len(pos)], dtype=np.int64)
+    head = np.array([kind, len(rank), len(pos), len(keys)], dtype=np.int64)
     return b"".join(x.tobytes() for x in (
         head, rank, row, counts.astype(np.int32), pos.astype(np.int32), keys))
 
 
 def _unpack(blob: bytes):
-    kind, docs, n = (int(x) for x in np.frombuffer(blob, np.int64, 3))
-    at = 24
+    kind, docs, n, m = (int(x) for x in np.frombuffer(blob, np.int64, 4))
+    at = 32
     rank = np.frombuffer(blob, np.int64, docs, at)
     row = np.frombuffer(blob, np.int64, docs, at + 8 * docs)
     counts = np.frombuffer(blob, np.int32, docs, at + 16 * docs)
     at += 20 * docs
     pos = np.frombuffer(blob, np.int32, n, at)
-    keys = np.frombuffer(blob, np.uint64, n if kind == 0 else 0, at + 4 * n)
+    keys = np.frombuffer(blob, np.uint64, m, at + 4 * n)
     return kind, rank, row, counts, pos, keys
 
 
@@ -119,6 +119,87 @@ def emit(keys: np.ndarray, doc: np.ndarray, pos: np.ndarray, rank: np.ndarray, r
     return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
 
+def emit_sets(keys: np.ndarray, doc: np.ndarray, sizes: np.ndarray, rank: np.ndarray, row: np.ndarray,
+              ranges: int) -> pa.RecordBatch:
+    """Entries of one slice that bring the items themselves back, and the set
+    size of every document. Documents without an id hold no items."""
+    known = rank[doc] != NO_ID
+    keys, doc = keys[known], doc[known]
+    order = np.argsort(keys, kind="stable")
+    k, d = keys[order], doc[order]
+    fresh = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
+    group = np.cumsum(fresh) - 1
+    least = rank[d[fresh]][group] if len(k) else rank[:0]
+    most = np.maximum.reduceat(rank[d], np.flatnonzero(fresh))[group] if len(k) else rank[:0]
+    none = np.zeros(0, dtype=np.int32)
+    at = int(sizes.sum()) % ranges
+    buckets, blobs = [at], [_pack(2, rank, row, sizes.astype(np.int32), none, keys[:0])]
+    some = np.sort(order[most > least])
+    if len(some):
+        names, counts = _runs(doc[some])
+        blobs.append(_pack(1, rank[names], row[names], counts, none, keys[some]))
+        buckets.append(at)
+    some = np.sort(order[(rank[d] == least)])
+    if len(some):
+        target = (((keys[some] >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+        by = np.argsort(target, kind="stable")
+        some, target = some[by], target[by]
+        found, counts = _runs(target)
+        for bucket, part in zip(found.tolist(), np.split(some, np.cumsum(counts)[:-1])):
+            names, each = _runs(doc[part])
+            blobs.append(_pack(0, rank[names], row[names], each, none, keys[part]))
+            buckets.append(bucket)
+    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+
+def judge_sets(table: pa.Table) -> pa.Table:
+    """rank, row, n, copies, keys of one hash range: the items that another
+    rank holds too, and the set sizes that came along."""
+    held, done, sizes = [], [], []
+    for blob in table["blob"]:
+        kind, rank, row, each, _, key = _unpack(blob.as_py())
+        if kind == 2:
+            sizes.append((rank, row, each))
+        else:
+            (done if kind else held).append((np.repeat(rank, each), np.repeat(row, each), key))
+    if held:
+        rank, row, key = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(key)
+        k, r = key[order], rank[order]
+        begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        size = np.diff(np.append(begin, len(k)))
+        at = order[np.repeat(np.maximum.reduceat(r, begin) > np.minimum.reduceat(r, begin), size)]
+        done.append((rank[at], row[at], key[at]))
+    out = []
+    if done:
+        rank, row, key = (np.concatenate(x) for x in zip(*done))
+        order = np.lexsort((row, rank))
+        rank, row, key = rank[order], row[order], key[order]
+        change = np.ones(len(rank), dtype=bool)
+        change[1:] = (rank[1:] != rank[:-1]) | (row[1:] != row[:-1])
+        begin = np.flatnonzero(change)
+        out.append((rank[begin], row[begin], np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64),
+                    join_binary(key, np.diff(np.append(begin, len(rank))))))
+    for rank, row, n in sizes:
+        out.append((rank, row, n.astype(np.int64), np.ones(len(n), np.int64),
+                    pa.array([b""] * len(n), pa.large_binary())))
+    names = ["rank", "row", "n", "copies", "keys"]
+    parts = [pa.table([pa.array(x) for x in o[:4]] + [o[4].cast(pa.binary())], names) for o in out]
+    if not parts:
+        return pa.table([pa.array([], pa.int64())] * 4 + [pa.array([], pa.binary())], names)
+    return pa.concat_tables(parts)
+
+
+SET_SCHEMA = "rank long, row long, n long, copies long, keys binary"
+
+
+def exchange_sets(entries: DataFrame) -> DataFrame:
+    """rank, row, n, copies, keys: one row per document; keys may repeat."""
+    found = entries.groupBy("bucket").applyInArrow(judge_sets, SET_SCHEMA)
+    return found.groupBy("rank", "row").agg(
+        F.max("n").alias("n"), F.sum("copies").alias("copies"), F.listagg("keys").alias("keys"))
+
+
 def _marks(rank: np.ndarray, row: np.ndarray, marks: np.ndarray) -> pa.Table:
     order = np.lexsort((row, rank))
     rank, row, marks = rank[order], row[order], marks[order]
