@@ -83,3 +83,11 @@ def op4_jaccard_join(spark, sf_dir):
     from kilnset.llm.jaccard_join import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@register
+def op6_line_dedup(spark, sf_dir):
+    from kilnset.llm.line_dedup import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", "n_similar", "kept_sha256")
