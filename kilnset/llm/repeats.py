@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Text bytes deduplicated together, and text bytes behind one hash range.
-LOCAL_BYTES = 8 << 20
-RANGE_BYTES = 16 << 20
+LOCAL_BYTES = 4 << 20
+RANGE_BYTES = 8 << 20
 LEAST_RANGES = 64
 NO_ID = (1 << 63) - 1
 ENTRY_SCHEMA = "bucket long, blob binary"
