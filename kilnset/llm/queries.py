@@ -91,3 +91,10 @@ def op6_line_dedup(spark, sf_dir):
 
     out = dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", "n_similar", "kept_sha256")
+
+
+@register
+def op3_weak_label_quality(spark, sf_dir):
+    from kilnset.llm.weak_labels import classify
+
+    return classify(table(spark, sf_dir, "documents"))
