@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kilnset.llm.features import BINS, Linear, fit_rows
-from kilnset.llm.quality_rules import _again, _per_text, text_counts
-from kilnset.llm.words import Words, as_strings, mix, slices
+from kilnset.llm.quality_rules import SYMBOL, _again, _per_text, text_counts
+from kilnset.llm.words import SPACE, Words, as_strings, mix, slices
 
 FIT_ROWS = 4000
 THRESHOLD = 0.5
-LABELLERS = ["symbols", "repeats", "capitals", "shouting", "variety", "sentences", "lines", "lengths"]
+LABELLERS = ["symbols", "marked", "letters", "repeats", "capitals", "shouting", "variety", "sentences", "lines", "lengths"]
 ABSTAIN, BAD, GOOD = 0, 1, 2
 
 
@@ -39,6 +39,10 @@ def votes(words: Words) -> np.ndarray:
     key = mix(words.hashes() + words.doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     distinct = np.bincount(words.doc[~_again(key)[0]], minlength=len(n))
     spoken = counts["n_words"] >= 10
+    odd = np.concatenate([[0], np.cumsum(SYMBOL[data], dtype=np.int64)])
+    marked = np.bincount(words.doc[odd[words.end] > odd[words.start]], minlength=len(n)) / n
+    alpha = _per_text(((data | 32) >= 97) & ((data | 32) <= 122) | (data >= 128), offsets)
+    letters = alpha / np.maximum(_per_text(~SPACE[data], offsets), 1)
 
     def vote(bad, good, known=True):
         return np.where(spoken & known, np.where(bad, BAD, np.where(good, GOOD, ABSTAIN)), ABSTAIN).astype(np.uint8)
@@ -49,6 +53,8 @@ def votes(words: Words) -> np.ndarray:
     span, length = n / np.maximum(stops, 1), counts["word_chars"] / n
     return np.stack([
         vote(symbols > 0.05, symbols < 0.02),
+        vote(marked > 0.1, marked < 0.03),
+        vote(letters < 0.9, letters > 0.94),
         vote(repeats > 0.2, repeats < 0.05),
         vote(capitals > 0.3, capitals < 0.15),
         vote(shouting > 0.1, shouting < 0.05),
