@@ -105,7 +105,7 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: fl
     ``size`` is the document's words (null: none) and ``mark`` a number that
     tells documents apart beside ``doc_id``. Returns every row once with its
     columns, source_size, target and copies (long). Documents without words get
-    the whole copies only; null sources are one source; an empty table stays
+    no copies; null sources are one source; an empty table stays
     empty; rows alike in every column are rounded one by one.
     """
     spark = docs.sparkSession
@@ -115,7 +115,8 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: fl
     chance = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     keep = docs.columns
     known = targets.withColumnRenamed("source", "__s")
-    rows = docs.join(known, F.col("source").eqNullSafe(F.col("__s"))).withColumn("__whole", F.floor(chance))
+    rows = docs.join(known, F.col("source").eqNullSafe(F.col("__s"))).withColumn(
+        "__whole", F.when(F.col("size") > 0, F.floor(chance)).otherwise(0))
     rows = rows.withColumn("__part", F.when(F.col("size") > 0, chance - F.col("__whole")).otherwise(0.0))
     # blocks follow the words of a source through its share of rows
     per = docs.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("__blocks")).withColumnRenamed(
