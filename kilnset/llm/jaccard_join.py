@@ -253,8 +253,12 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rest = scratch.write(blocks.mapInArrow(_block_links(percent), "a long, b long"))
     scratch.drop(members)
 
-    labels = components(star.unionByName(rest)).withColumnRenamed("node", "rep")
     classes = reps.where("cls is not null").select("cls", F.col("rank").alias("rep"))
+    # ids of several rows tie the classes of their sets together
+    repeated = sets.groupBy("rank").agg(F.sum("copies").alias("rows")).where(f"rows > 1 and rank <> {NO_ID}")
+    ties = sets.where("cls is not null").join(repeated, "rank", "left_semi").join(classes, "cls").select(
+        F.col("rank").alias("a"), F.col("rep").alias("b"))
+    labels = components(star.unionByName(rest).unionByName(ties)).withColumnRenamed("node", "rep")
     out = sets.select("rank", "n", "copies", "cls").join(classes, "cls", "left")
     out = out.withColumn("rep", F.coalesce("rep", "rank")).join(labels, "rep", "left")
     out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
