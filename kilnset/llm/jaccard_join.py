@@ -13,8 +13,9 @@ share a shingle in their prefixes, the first ``n - ceil(t n) + 1`` shingles. In
 each such list the document with the largest share of common shingles leads, and
 everyone is compared with the leader, so a list of any length gives as many
 pairs as it has members. Members that this leaves in different components are
-compared block against block, in tasks that add the fragments' partial counts up
-in a matrix and pass on a spanning forest of the links they find. Every candidate
+compared block against block: by their prefixes first, and what can still link
+in tasks that add the fragments' partial counts up in a matrix and pass on a
+spanning forest of the links they find. Every candidate
 pair shares a leader, so none is lost; links inside a component aren't needed.
 """
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from kilnset.llm.components import components, forest
 from kilnset.llm.groups import block_pairs, by_key, runs
 from kilnset.llm.repeats import (
-    ENTRY_SCHEMA, LOCAL_BYTES, NO_ID, emit_sets, exchange_sets, named, range_count, split_binary)
+    ENTRY_SCHEMA, LOCAL_BYTES, NO_ID, emit_sets, exchange_sets, join_binary, named, range_count, split_binary)
 from kilnset.llm.scratch import Scratch
 from kilnset.llm.words import Words, as_strings, mix, slices, window_hashes
 
@@ -148,49 +149,85 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["id", "fragment", "segment"])
 
 
-def _block_links(percent: int):
+def _heads(percent: int):
+    """The prefixes, packed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs(batches, 3):
-            found = _compare(group, percent)
-            if found is not None:
-                yield found
+        for batch in batches:
+            n, m = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            keys, counts = split_binary(batch.column(3), np.uint64)
+            size = np.minimum(m, m - least_overlap(n, percent) + 1)
+            first = np.cumsum(counts) - counts
+            at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), batch.column(2), join_binary(keys[at], size).cast(pa.binary())],
+                ["id", "n", "m", "head"])
 
     return run
 
 
-def _compare(group: pa.Table, percent: int) -> pa.RecordBatch | None:
-    i, j = int(group["i"][0].as_py()), int(group["j"][0].as_py())
-    n, m, rank = (group[c].to_numpy() for c in ("n", "m", "rank"))
-    label, block = group["component"].to_numpy(), group["block"].to_numpy()
-    apart = (label[:, None] != label[None, :]) & enough(np.minimum.outer(m, m), n[:, None], n[None, :], percent)
-    apart &= np.triu(np.ones_like(apart), 1) if i == j else (block == i)[:, None] & (block == j)[None, :]
-    some = np.flatnonzero(apart.any(axis=0) | apart.any(axis=1))
-    if not len(some):
-        return None
-    apart = apart[np.ix_(some, some)]
-    keys, counts = split_binary(group["keys"], np.uint64)
-    inside = np.isin(np.repeat(np.arange(len(n)), counts), some)
-    keys, doc = keys[inside], np.repeat(np.arange(len(some)), counts[some])
-    # fragments of the order: so many shingles that two members at least hold
+def _overlaps(keys: np.ndarray, doc: np.ndarray, members: int) -> np.ndarray:
+    """Common keys of every two members: partial counts of each fragment of the
+    order (so many keys that two members hold), summed per pair."""
     names, place, uses = np.unique(keys, return_inverse=True, return_counts=True)
-    column = np.cumsum(uses > 1) - 1
+    column = (np.cumsum(uses > 1) - 1)[place]
     shared = uses[place] > 1
-    column, doc = column[place[shared]], doc[shared]
-    overlap = np.zeros((len(some), len(some)), dtype=np.float64)
+    column, doc = column[shared], doc[shared]
     order = np.argsort(column, kind="stable")
     column, doc = column[order], doc[order]
+    total = np.zeros((members, members))
     for begin in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
         a, b = np.searchsorted(column, [begin, begin + COLUMNS])
-        part = np.zeros((len(some), COLUMNS), dtype=np.float32)
+        part = np.zeros((members, COLUMNS), dtype=np.float32)
         part[doc[a:b], column[a:b] - begin] = 1.0
-        overlap += part @ part.T
-    size = n[some]
-    x, y = np.nonzero(apart & enough(np.rint(overlap).astype(np.int64), size[:, None], size[None, :], percent))
-    if not len(x):
-        return None
-    kept = forest(len(some), x, y)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(rank[some][x[kept]]), pa.array(rank[some][y[kept]])], ["a", "b"])
+        total += part @ part.T
+    return np.rint(total).astype(np.int64)
+
+
+def _apart(group: pa.Table, percent: int) -> np.ndarray:
+    """Pairs of a block pair that aren't in one component and long enough."""
+    i, j = int(group["i"][0].as_py()), int(group["j"][0].as_py())
+    n, m, label, block = (group[c].to_numpy() for c in ("n", "m", "component", "block"))
+    apart = (label[:, None] != label[None, :]) & enough(np.minimum.outer(m, m), n[:, None], n[None, :], percent)
+    return apart & (np.triu(np.ones_like(apart), 1) if i == j else (block == i)[:, None] & (block == j)[None, :])
+
+
+def _possible(percent: int):
+    """Members that can link with another one, judged by prefixes alone: beyond
+    its prefix a set has ``least_overlap - 1`` shingles, and the set whose prefix
+    ends first has no other common ones."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, 3):
+            apart = _apart(group, percent)
+            if not apart.any():
+                continue
+            n = group["n"].to_numpy()
+            keys, counts = split_binary(group["head"], np.uint64)
+            common = _overlaps(keys, np.repeat(np.arange(len(n)), counts), len(n))
+            last = keys[np.cumsum(counts) - 1]
+            short = np.where(last[:, None] <= last[None, :], n[:, None], n[None, :])
+            need = -(-percent * (n[:, None] + n[None, :]) // (100 + percent))
+            apart &= (common > 0) & (common + least_overlap(short, percent) - 1 >= need)
+            some = np.flatnonzero(apart.any(axis=0) | apart.any(axis=1))
+            if len(some):
+                out = group.take(pa.array(some)).combine_chunks().to_batches()[0]
+                yield out.select(["lead", "i", "j", "id", "rank", "n", "m", "component", "block"])
+
+    return run
+
+
+def _block_links(percent: int):
+    """A spanning forest of the links of each block pair."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, 3):
+            apart, n, rank = _apart(group, percent), group["n"].to_numpy(), group["rank"].to_numpy()
+            keys, counts = split_binary(group["keys"], np.uint64)
+            inter = _overlaps(keys, np.repeat(np.arange(len(n)), counts), len(n))
+            x, y = np.nonzero(apart & enough(inter, n[:, None], n[None, :], percent))
+            if len(x):
+                kept = forest(len(n), x, y)
+                yield pa.RecordBatch.from_arrays([pa.array(rank[x[kept]]), pa.array(rank[y[kept]])], ["a", "b"])
+
+    return run
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
@@ -206,7 +243,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     scratch = Scratch(docs.sparkSession, "jaccard")
     source = named(docs, key, text)
     entries = source.mapInArrow(_sets(shingle, range_count(docs, text)), ENTRY_SCHEMA)
-    sets = scratch.write(exchange_sets(entries).select("rank", "row", "n", "copies", "keys").mapInArrow(
+    sets = scratch.write(exchange_sets(entries, scratch).select("rank", "row", "n", "copies", "keys").mapInArrow(
         _activate(percent), "rank long, row long, n long, copies long, m long, cls string, keys binary"))
 
     live = sets.where("m > 0")
@@ -247,9 +284,11 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).where("lo <> hi").select("lead", "blocks")
     blocks = members.join(open_, "lead").withColumn(
         "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    blocks = block_pairs(blocks, "blocks", "block").drop("blocks", "rank").join(shapes, "id")
-    blocks = by_key(blocks, "lead", "i", "j").select(
-        "lead", "i", "j", "rank", "n", "m", "component", "block", "keys")
+    heads = shapes.select("id", "n", "m", "keys").mapInArrow(_heads(percent), "id long, n long, m long, head binary")
+    names = "lead long, i int, j int, id long, rank long, n long, m long, component long, block int"
+    blocks = by_key(block_pairs(blocks, "blocks", "block").drop("blocks").join(heads, "id"), "lead", "i", "j")
+    blocks = scratch.write(blocks.mapInArrow(_possible(percent), names))
+    blocks = by_key(blocks.join(shapes.select("id", "keys"), "id"), "lead", "i", "j")
     rest = scratch.write(blocks.mapInArrow(_block_links(percent), "a long, b long"))
     scratch.drop(members)
 

@@ -193,9 +193,10 @@ def judge_sets(table: pa.Table) -> pa.Table:
 SET_SCHEMA = "rank long, row long, n long, copies long, keys binary"
 
 
-def exchange_sets(entries: DataFrame) -> DataFrame:
-    """rank, row, n, copies, keys: one row per document; keys may repeat."""
-    found = entries.groupBy("bucket").applyInArrow(judge_sets, SET_SCHEMA)
+def exchange_sets(entries: DataFrame, scratch) -> DataFrame:
+    """rank, row, n, copies, keys: one row per document; keys may repeat. What
+    the hash ranges say is written, so that their shuffle is gone before the next."""
+    found = scratch.write(entries.groupBy("bucket").applyInArrow(judge_sets, SET_SCHEMA))
     return found.groupBy("rank", "row").agg(
         F.max("n").alias("n"), F.sum("copies").alias("copies"), F.listagg("keys").alias("keys"))
 
