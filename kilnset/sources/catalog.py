@@ -45,128 +45,128 @@ TENSOR_OPS = [
     "Sharpness", "ShearX", "ShearY", "TranslateX", "TranslateY", "Cutout", "SolarizeAdd",
 ]
 
-# Published AutoAugment sub-policies, "op probability magnitude"
-# ("-" where the op takes no magnitude).
+# Published AutoAugment sub-policies, two (op, probability, magnitude) each; None where the op takes
+# no magnitude.
 PUBLISHED = {
-    "imagenet": """
-        Posterize 0.4 8, Rotate 0.6 9
-        Solarize 0.6 5, AutoContrast 0.6 -
-        Equalize 0.8 -, Equalize 0.6 -
-        Posterize 0.6 7, Posterize 0.6 6
-        Equalize 0.4 -, Solarize 0.2 4
-        Equalize 0.4 -, Rotate 0.8 8
-        Solarize 0.6 3, Equalize 0.6 -
-        Posterize 0.8 5, Equalize 1.0 -
-        Rotate 0.2 3, Solarize 0.6 8
-        Equalize 0.6 -, Posterize 0.4 6
-        Rotate 0.8 8, Color 0.4 0
-        Rotate 0.4 9, Equalize 0.6 -
-        Equalize 0.0 -, Equalize 0.8 -
-        Invert 0.6 -, Equalize 1.0 -
-        Color 0.6 4, Contrast 1.0 8
-        Rotate 0.8 8, Color 1.0 2
-        Color 0.8 8, Solarize 0.8 7
-        Sharpness 0.4 7, Invert 0.6 -
-        ShearX 0.6 5, Equalize 1.0 -
-        Color 0.4 0, Equalize 0.6 -
-        Equalize 0.4 -, Solarize 0.2 4
-        Solarize 0.6 5, AutoContrast 0.6 -
-        Invert 0.6 -, Equalize 1.0 -
-        Color 0.6 4, Contrast 1.0 8
-        Equalize 0.8 -, Equalize 0.6 -""",
-    "cifar10": """
-        Invert 0.1 -, Contrast 0.2 6
-        Rotate 0.7 2, TranslateX 0.3 9
-        Sharpness 0.8 1, Sharpness 0.9 3
-        ShearY 0.5 8, TranslateY 0.7 9
-        AutoContrast 0.5 -, Equalize 0.9 -
-        ShearY 0.2 7, Posterize 0.3 7
-        Color 0.4 3, Brightness 0.6 7
-        Sharpness 0.3 9, Brightness 0.7 9
-        Equalize 0.6 -, Equalize 0.5 -
-        Contrast 0.6 7, Sharpness 0.6 5
-        Color 0.7 7, TranslateX 0.5 8
-        Equalize 0.3 -, AutoContrast 0.4 -
-        TranslateY 0.4 3, Sharpness 0.2 6
-        Brightness 0.9 6, Color 0.2 8
-        Solarize 0.5 2, Invert 0.0 -
-        Equalize 0.2 -, AutoContrast 0.6 -
-        Equalize 0.2 -, Equalize 0.6 -
-        Color 0.9 9, Equalize 0.6 -
-        AutoContrast 0.8 -, Solarize 0.2 8
-        Brightness 0.1 3, Color 0.7 0
-        Solarize 0.4 5, AutoContrast 0.9 -
-        TranslateY 0.9 9, TranslateY 0.7 9
-        AutoContrast 0.9 -, Solarize 0.8 3
-        Equalize 0.8 -, Invert 0.1 -
-        TranslateY 0.7 9, AutoContrast 0.9 -""",
-    "svhn": """
-        ShearX 0.9 4, Invert 0.2 -
-        ShearY 0.9 8, Invert 0.7 -
-        Equalize 0.6 -, Solarize 0.6 6
-        Invert 0.9 -, Equalize 0.6 -
-        Equalize 0.6 -, Rotate 0.9 3
-        ShearX 0.9 4, AutoContrast 0.8 -
-        ShearY 0.9 8, Invert 0.4 -
-        ShearY 0.9 5, Solarize 0.2 6
-        Invert 0.9 -, AutoContrast 0.8 -
-        Equalize 0.6 -, Rotate 0.9 3
-        ShearX 0.9 4, Solarize 0.3 3
-        ShearY 0.8 8, Invert 0.7 -
-        Equalize 0.9 -, TranslateY 0.6 6
-        Invert 0.9 -, Equalize 0.6 -
-        Contrast 0.3 3, Rotate 0.8 4
-        Invert 0.8 -, TranslateY 0.0 2
-        ShearY 0.7 6, Solarize 0.4 8
-        Invert 0.6 -, Rotate 0.8 4
-        ShearY 0.3 7, TranslateX 0.9 3
-        ShearX 0.1 6, Invert 0.6 -
-        Solarize 0.7 2, TranslateY 0.6 7
-        ShearY 0.8 4, Invert 0.8 -
-        ShearX 0.7 9, TranslateY 0.8 3
-        ShearY 0.8 5, AutoContrast 0.7 -
-        ShearX 0.7 2, Invert 0.1 -""",
-    "detection_v0": """
-        Equalize 0.8 1, ShearY 0.8 4
-        Color 0.4 9, Equalize 0.6 3
-        Color 0.4 1, Rotate 0.6 8
-        Solarize 0.8 3, Equalize 0.4 7
-        Solarize 0.4 2, Solarize 0.6 2
-        Color 0.2 0, Equalize 0.8 8
-        Equalize 0.4 8, SolarizeAdd 0.8 3
-        ShearX 0.2 9, Rotate 0.6 8
-        Color 0.6 1, Equalize 1.0 2
-        Invert 0.4 9, Rotate 0.6 0
-        Equalize 1.0 9, ShearY 0.6 3
-        Color 0.4 7, Equalize 0.6 0
-        Posterize 0.4 6, AutoContrast 0.4 7
-        Solarize 0.6 8, Color 0.6 9
-        Solarize 0.2 4, Rotate 0.8 9
-        Rotate 1.0 7, TranslateY 0.8 9
-        ShearX 0.0 0, Solarize 0.8 4
-        ShearY 0.8 0, Color 0.6 4
-        Color 1.0 0, Rotate 0.6 2
-        Equalize 0.8 4, Equalize 0.0 8
-        Equalize 1.0 4, AutoContrast 0.6 2
-        ShearY 0.4 7, SolarizeAdd 0.6 7
-        Posterize 0.8 2, Solarize 0.6 10
-        Solarize 0.6 8, Equalize 0.6 1
-        Color 0.8 6, Rotate 0.4 5""",
+    "imagenet": [
+        (("Posterize", 0.4, 8), ("Rotate", 0.6, 9)),
+        (("Solarize", 0.6, 5), ("AutoContrast", 0.6, None)),
+        (("Equalize", 0.8, None), ("Equalize", 0.6, None)),
+        (("Posterize", 0.6, 7), ("Posterize", 0.6, 6)),
+        (("Equalize", 0.4, None), ("Solarize", 0.2, 4)),
+        (("Equalize", 0.4, None), ("Rotate", 0.8, 8)),
+        (("Solarize", 0.6, 3), ("Equalize", 0.6, None)),
+        (("Posterize", 0.8, 5), ("Equalize", 1.0, None)),
+        (("Rotate", 0.2, 3), ("Solarize", 0.6, 8)),
+        (("Equalize", 0.6, None), ("Posterize", 0.4, 6)),
+        (("Rotate", 0.8, 8), ("Color", 0.4, 0)),
+        (("Rotate", 0.4, 9), ("Equalize", 0.6, None)),
+        (("Equalize", 0.0, None), ("Equalize", 0.8, None)),
+        (("Invert", 0.6, None), ("Equalize", 1.0, None)),
+        (("Color", 0.6, 4), ("Contrast", 1.0, 8)),
+        (("Rotate", 0.8, 8), ("Color", 1.0, 2)),
+        (("Color", 0.8, 8), ("Solarize", 0.8, 7)),
+        (("Sharpness", 0.4, 7), ("Invert", 0.6, None)),
+        (("ShearX", 0.6, 5), ("Equalize", 1.0, None)),
+        (("Color", 0.4, 0), ("Equalize", 0.6, None)),
+        (("Equalize", 0.4, None), ("Solarize", 0.2, 4)),
+        (("Solarize", 0.6, 5), ("AutoContrast", 0.6, None)),
+        (("Invert", 0.6, None), ("Equalize", 1.0, None)),
+        (("Color", 0.6, 4), ("Contrast", 1.0, 8)),
+        (("Equalize", 0.8, None), ("Equalize", 0.6, None)),
+    ],
+    "cifar10": [
+        (("Invert", 0.1, None), ("Contrast", 0.2, 6)),
+        (("Rotate", 0.7, 2), ("TranslateX", 0.3, 9)),
+        (("Sharpness", 0.8, 1), ("Sharpness", 0.9, 3)),
+        (("ShearY", 0.5, 8), ("TranslateY", 0.7, 9)),
+        (("AutoContrast", 0.5, None), ("Equalize", 0.9, None)),
+        (("ShearY", 0.2, 7), ("Posterize", 0.3, 7)),
+        (("Color", 0.4, 3), ("Brightness", 0.6, 7)),
+        (("Sharpness", 0.3, 9), ("Brightness", 0.7, 9)),
+        (("Equalize", 0.6, None), ("Equalize", 0.5, None)),
+        (("Contrast", 0.6, 7), ("Sharpness", 0.6, 5)),
+        (("Color", 0.7, 7), ("TranslateX", 0.5, 8)),
+        (("Equalize", 0.3, None), ("AutoContrast", 0.4, None)),
+        (("TranslateY", 0.4, 3), ("Sharpness", 0.2, 6)),
+        (("Brightness", 0.9, 6), ("Color", 0.2, 8)),
+        (("Solarize", 0.5, 2), ("Invert", 0.0, None)),
+        (("Equalize", 0.2, None), ("AutoContrast", 0.6, None)),
+        (("Equalize", 0.2, None), ("Equalize", 0.6, None)),
+        (("Color", 0.9, 9), ("Equalize", 0.6, None)),
+        (("AutoContrast", 0.8, None), ("Solarize", 0.2, 8)),
+        (("Brightness", 0.1, 3), ("Color", 0.7, 0)),
+        (("Solarize", 0.4, 5), ("AutoContrast", 0.9, None)),
+        (("TranslateY", 0.9, 9), ("TranslateY", 0.7, 9)),
+        (("AutoContrast", 0.9, None), ("Solarize", 0.8, 3)),
+        (("Equalize", 0.8, None), ("Invert", 0.1, None)),
+        (("TranslateY", 0.7, 9), ("AutoContrast", 0.9, None)),
+    ],
+    "svhn": [
+        (("ShearX", 0.9, 4), ("Invert", 0.2, None)),
+        (("ShearY", 0.9, 8), ("Invert", 0.7, None)),
+        (("Equalize", 0.6, None), ("Solarize", 0.6, 6)),
+        (("Invert", 0.9, None), ("Equalize", 0.6, None)),
+        (("Equalize", 0.6, None), ("Rotate", 0.9, 3)),
+        (("ShearX", 0.9, 4), ("AutoContrast", 0.8, None)),
+        (("ShearY", 0.9, 8), ("Invert", 0.4, None)),
+        (("ShearY", 0.9, 5), ("Solarize", 0.2, 6)),
+        (("Invert", 0.9, None), ("AutoContrast", 0.8, None)),
+        (("Equalize", 0.6, None), ("Rotate", 0.9, 3)),
+        (("ShearX", 0.9, 4), ("Solarize", 0.3, 3)),
+        (("ShearY", 0.8, 8), ("Invert", 0.7, None)),
+        (("Equalize", 0.9, None), ("TranslateY", 0.6, 6)),
+        (("Invert", 0.9, None), ("Equalize", 0.6, None)),
+        (("Contrast", 0.3, 3), ("Rotate", 0.8, 4)),
+        (("Invert", 0.8, None), ("TranslateY", 0.0, 2)),
+        (("ShearY", 0.7, 6), ("Solarize", 0.4, 8)),
+        (("Invert", 0.6, None), ("Rotate", 0.8, 4)),
+        (("ShearY", 0.3, 7), ("TranslateX", 0.9, 3)),
+        (("ShearX", 0.1, 6), ("Invert", 0.6, None)),
+        (("Solarize", 0.7, 2), ("TranslateY", 0.6, 7)),
+        (("ShearY", 0.8, 4), ("Invert", 0.8, None)),
+        (("ShearX", 0.7, 9), ("TranslateY", 0.8, 3)),
+        (("ShearY", 0.8, 5), ("AutoContrast", 0.7, None)),
+        (("ShearX", 0.7, 2), ("Invert", 0.1, None)),
+    ],
+    "detection_v0": [
+        (("Equalize", 0.8, 1), ("ShearY", 0.8, 4)),
+        (("Color", 0.4, 9), ("Equalize", 0.6, 3)),
+        (("Color", 0.4, 1), ("Rotate", 0.6, 8)),
+        (("Solarize", 0.8, 3), ("Equalize", 0.4, 7)),
+        (("Solarize", 0.4, 2), ("Solarize", 0.6, 2)),
+        (("Color", 0.2, 0), ("Equalize", 0.8, 8)),
+        (("Equalize", 0.4, 8), ("SolarizeAdd", 0.8, 3)),
+        (("ShearX", 0.2, 9), ("Rotate", 0.6, 8)),
+        (("Color", 0.6, 1), ("Equalize", 1.0, 2)),
+        (("Invert", 0.4, 9), ("Rotate", 0.6, 0)),
+        (("Equalize", 1.0, 9), ("ShearY", 0.6, 3)),
+        (("Color", 0.4, 7), ("Equalize", 0.6, 0)),
+        (("Posterize", 0.4, 6), ("AutoContrast", 0.4, 7)),
+        (("Solarize", 0.6, 8), ("Color", 0.6, 9)),
+        (("Solarize", 0.2, 4), ("Rotate", 0.8, 9)),
+        (("Rotate", 1.0, 7), ("TranslateY", 0.8, 9)),
+        (("ShearX", 0.0, 0), ("Solarize", 0.8, 4)),
+        (("ShearY", 0.8, 0), ("Color", 0.6, 4)),
+        (("Color", 1.0, 0), ("Rotate", 0.6, 2)),
+        (("Equalize", 0.8, 4), ("Equalize", 0.0, 8)),
+        (("Equalize", 1.0, 4), ("AutoContrast", 0.6, 2)),
+        (("ShearY", 0.4, 7), ("SolarizeAdd", 0.6, 7)),
+        (("Posterize", 0.8, 2), ("Solarize", 0.6, 10)),
+        (("Solarize", 0.6, 8), ("Equalize", 0.6, 1)),
+        (("Color", 0.8, 6), ("Rotate", 0.4, 5)),
+    ],
 }
 
+# Sub-policies of the imagenet table that the staged pipeline has.
+STAGED_IDS = [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 15, 16, 17, 18, 19, 20, 21, 22, 24]
+
 
 def published_rows(name: str) -> list[tuple[int, int, str, float, float | None]]:
-    """(policy_id, op_idx, op, prob, level) of a published table; the name
-    ``staged`` is the imagenet table without its Contrast sub-policies."""
-    lines = [x.strip() for x in PUBLISHED["imagenet" if name == "staged" else name].strip().splitlines()]
-    if name == "staged":
-        lines = [x for x in lines if "Contrast 1.0" not in x]
-    rows = []
-    for policy_id, line in enumerate(lines):
-        for op_idx, part in enumerate(line.split(", ")):
-            op, prob, level = part.split()
-            rows.append((policy_id, op_idx, op, float(prob), None if level == "-" else float(level)))
-    return rows
+    """(policy_id, op_idx, op, prob, level) of a published table or ``staged``."""
+    listed = [PUBLISHED["imagenet"][i] for i in STAGED_IDS] if name == "staged" else PUBLISHED[name]
+    return [(policy_id, op_idx, op, prob, None if level is None else float(level))
+            for policy_id, policy in enumerate(listed) for op_idx, (op, prob, level) in enumerate(policy)]
 
 
 POLICY_SCHEMA = "policy_id int, op_idx int, op string, prob double, level double"
