@@ -12,7 +12,7 @@ position of the word and a 128-bit parity bitmap of the set. Inside a word's lis
 pairs pass the length filter, the positional filter and the bitmap bound (each
 odd bit of two xored bitmaps needs a word that only one line has). What passes is
 verified on the words themselves. A line needs one earlier match only: the
-earliest few candidates of a line are verified first, and lines that have more
+candidates with the nearest bitmaps are verified first, and lines that have more
 and no match yet go round again with all of them. Long lists are split into
 blocks that meet pairwise in tasks of their own.
 """
@@ -30,15 +30,15 @@ from pyspark.sql import functions as F
 from kilnset.llm.groups import block_pairs, by_key, runs
 from kilnset.llm.jaccard_join import enough, least_overlap
 from kilnset.llm.repeats import (
-    ENTRY_SCHEMA, LOCAL_BYTES, NO_ID, emit, exchange, named, range_count, split_binary)
+    ENTRY_SCHEMA, LOCAL_BYTES, NO_ID, decided, emit, exchange, named, range_count, split_binary)
 from kilnset.llm.scratch import Scratch
 from kilnset.llm.words import Words, as_strings, mix, slices
 
 PERCENT = 80
 #: Slots of the word counts (their size is the bound on what the driver holds).
 SLOTS = 1 << 20
-#: Earliest candidates of a line that are verified first.
-FIRST_CANDIDATES = 4
+#: Candidates of a line that are verified first.
+FIRST_CANDIDATES = 8
 #: Members of a word's list that are compared in one task.
 LIST_BLOCK = 4096
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -49,58 +49,73 @@ PAIR_SCHEMA = "rank long, row long, line int, y_rank long, y_row long, y_line in
 
 class Lines:
     """Lines of some documents as word sets. ``doc`` and ``number`` place each
-    line with a word; ``word``/``line`` list its distinct words, line by line."""
+    line with a word; ``word``/``line`` list its distinct words, line by line, by
+    rising ``rarity`` class (a table over the low bits of the hash) and hash."""
 
-    def __init__(self, words: Words):
+    def __init__(self, words: Words, rarity: np.ndarray | None = None):
         self.words = words
         cut = np.flatnonzero(words.data == 10)
         before = np.searchsorted(cut, words.offsets[:-1])
-        self.n_lines = np.searchsorted(cut, words.offsets[1:]) - before + 1
         number = np.searchsorted(cut, words.start) - before[words.doc]
         place = words.doc.astype(np.int64) << 32 | number
         fresh = np.concatenate([[True], place[1:] != place[:-1]]) if len(place) else np.zeros(0, bool)
         line = np.cumsum(fresh) - 1
         self.doc, self.number = words.doc[fresh], number[fresh].astype(np.int64)
         hashes = words.hashes()
-        order = np.argsort(mix(hashes + line.astype(np.uint64) * _ODD), kind="stable")
-        h, g = hashes[order], line[order]
+        # one sort on line, class and the high half of the hash
+        value = line.astype(np.uint64) << np.uint64(40) | hashes >> np.uint64(32)
+        if rarity is not None:
+            value |= rarity[(hashes & np.uint64(len(rarity) - 1)).astype(np.int64)] << np.uint64(32)
+        order = np.argsort(value)
+        v, h = value[order], hashes[order]
+        same = v[1:] == v[:-1]
+        if len(self.doc) >= 1 << 24 or (same & (h[1:] != h[:-1])).any():
+            high = value & np.uint64((1 << 40) - 1)
+            order = np.lexsort((hashes, high, line))
+            h = hashes[order]
+            same = line[order][1:] == line[order][:-1]
         once = np.ones(len(h), dtype=bool)
-        once[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
-        at = np.sort(order[once])
-        self.word, self.line = hashes[at], line[at]
+        once[1:] = ~same | (h[1:] != h[:-1])
+        self.word, self.line = h[once], line[order[once]]
         self.n = np.bincount(self.line, minlength=len(self.doc))
-        total = np.zeros(len(self.doc), dtype=np.uint64)
-        np.add.at(total, self.line, mix(self.word + np.uint64(7)))
-        #: a hash of the whole set
-        self.key = mix(total + self.n.astype(np.uint64) * _ODD)
-        first = np.argsort(mix(self.key + self.doc.astype(np.uint64) * _ODD), kind="stable")
-        k, d = self.key[first], self.doc[first]
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """A hash of each line's whole set, and whether its document has the
+        set further up."""
+        begin = np.cumsum(self.n) - self.n
+        total = np.add.reduceat(mix(self.word + np.uint64(7)), begin) if len(begin) else np.zeros(0, np.uint64)
+        key = mix(total + self.n.astype(np.uint64) * _ODD)
+        first = np.argsort(mix(key + self.doc.astype(np.uint64) * _ODD), kind="stable")
+        k, d = key[first], self.doc[first]
+        same = np.zeros(len(k), dtype=bool)
+        same[1:] = (k[1:] == k[:-1]) & (d[1:] == d[:-1])
         again = np.zeros(len(k), dtype=bool)
-        again[1:] = (k[1:] == k[:-1]) & (d[1:] == d[:-1])
-        #: the document has the set further up
-        self.again = np.zeros(len(k), dtype=bool)
-        self.again[first] = again
+        again[first] = same
+        return key, again
 
 
 def _ranked(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.take(pa.array(np.argsort(batch.column(0).to_numpy(), kind="stable")))
 
 
-def _parts(batches: Iterator[pa.RecordBatch]):
+def _parts(batches: Iterator[pa.RecordBatch], rarity: np.ndarray | None = None):
     """Rows and lines of each slice of each batch, by rising rank."""
     for batch in batches:
         batch = _ranked(batch)
         column = as_strings(batch.column(2))
         for a, b in slices(column, LOCAL_BYTES):
-            yield batch.slice(a, b - a), Lines(Words(column.slice(a, b - a)))
+            yield batch.slice(a, b - a), Lines(Words(column.slice(a, b - a)), rarity)
 
 
 def _same_sets(ranges: int):
     def run(batches):
         for rows, lines in _parts(batches):
-            at = np.flatnonzero(~lines.again)
-            yield emit(lines.key[at], lines.doc[at], lines.number[at], rows.column(0).to_numpy(),
-                       rows.column(1).to_numpy(), ranges)
+            key, again = lines.keys()
+            at, rank, row = np.flatnonzero(~again), rows.column(0).to_numpy(), rows.column(1).to_numpy()
+            yield emit(key[at], lines.doc[at], lines.number[at], rank, row, ranges)
+            at = np.flatnonzero(again)
+            if len(at):
+                yield decided(lines.doc[at], lines.number[at], rank, row, ranges)
 
     return run
 
@@ -152,11 +167,12 @@ def _prefix_entries(counts: np.ndarray, percent: int, ranges: int):
     """Packed prefix entries of the lines that are the first of their set.
     ``marks`` names lines that an earlier document has, ``asks`` (if there) the
     only lines that look for a match."""
-    rarity = counts.astype(np.uint64)
+    # quarter powers of two, frequent words last
+    rarity = np.minimum(np.floor(4 * np.log2(counts + 1.0)), 255).astype(np.uint64)
 
     def run(batches):
-        for rows, lines in _parts(batches):
-            lead = ~lines.again
+        for rows, lines in _parts(batches, rarity):
+            lead = np.ones(len(lines.doc), dtype=bool)
             marks, each = split_binary(rows.column(3), np.int32)
             lead[_marked_lines(marks, each, lines)] = False
             asks = np.ones(len(lead), dtype=np.int32)
@@ -165,20 +181,17 @@ def _prefix_entries(counts: np.ndarray, percent: int, ranges: int):
                 asks[_chosen(rows.column(4), lines)] = 1
             n = lines.n
             size = np.where(lead, n - least_overlap(n, percent) + 1, 0)
-            # rarest words of each line first
-            order = np.lexsort((lines.word, rarity[(lines.word % np.uint64(len(rarity))).astype(np.int64)], lines.line))
             first = np.cumsum(n) - n
             sent = np.repeat(np.arange(len(n)), size)
             spot = np.arange(len(sent)) - np.repeat(np.cumsum(size) - size, size)
             out = np.zeros(len(sent), dtype=ENTRY)
-            out["key"] = lines.word[order[first[sent] + spot]]
+            out["key"] = lines.word[first[sent] + spot]
             rank, row = rows.column(0).to_numpy(), rows.column(1).to_numpy()
             out["rank"], out["row"] = rank[lines.doc[sent]], row[lines.doc[sent]]
-            bits = [np.zeros(len(n), dtype=np.uint64) for _ in range(2)]
             bit = mix(lines.word + np.uint64(13))
-            for j in range(2):
-                some = (bit & np.uint64(1)) == np.uint64(j)
-                np.bitwise_xor.at(bits[j], lines.line[some], np.uint64(1) << (bit[some] >> np.uint64(1)) % np.uint64(64))
+            one = np.uint64(1) << (bit >> np.uint64(1)) % np.uint64(64)
+            bits = [np.bitwise_xor.reduceat(np.where((bit & np.uint64(1)) == np.uint64(j), one, np.uint64(0)), first)
+                    if len(first) else one for j in range(2)]
             out["s0"], out["s1"] = bits[0][sent], bits[1][sent]
             out["line"], out["n"], out["at"], out["asks"] = lines.number[sent], n[sent], spot, asks[sent]
             target = (((out["key"] >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
@@ -217,10 +230,10 @@ def _marked_lines(marks, counts, lines: Lines) -> np.ndarray:
 
 def _passing(e: np.ndarray, percent: int, side: np.ndarray | None = None):
     """Pairs of entries of one word that pass the filters, as (later, earlier)
-    entry indices. ``e`` is sorted by (key, n); with ``side``, both sides of a
+    entry indices, and how many bits their bitmaps differ in. ``e`` is sorted by (key, n); with ``side``, both sides of a
     pair must differ in it."""
     size = len(e)
-    left, right = [], []
+    left, right, differ = [], [], []
     active, step = np.arange(size), 0
     n, at = e["n"].astype(np.int64), e["at"].astype(np.int64)
     while len(active):
@@ -242,18 +255,20 @@ def _passing(e: np.ndarray, percent: int, side: np.ndarray | None = None):
         ok2 = odd <= (a + b - 2 * need)[ok]
         left.append(x[ok2])
         right.append(y[ok2])
+        differ.append(odd[ok2])
     x = np.concatenate(left) if left else np.zeros(0, int)
     y = np.concatenate(right) if right else np.zeros(0, int)
     swap = (e["rank"][x] < e["rank"][y]) | ((e["rank"][x] == e["rank"][y]) & (e["line"][x] < e["line"][y]))
     x, y = np.where(swap, y, x), np.where(swap, x, y)
     right_order = (e["rank"][x] > e["rank"][y]) | ((e["row"][x] == e["row"][y]) & (e["line"][x] > e["line"][y]))
     ok = right_order & (e["asks"][x] > 0)
-    return x[ok], y[ok]
+    return x[ok], y[ok], (np.concatenate(differ) if differ else x)[ok]
 
 
-def _pair_table(e: np.ndarray, x: np.ndarray, y: np.ndarray, first: int | None) -> pa.Table:
-    """Distinct pairs, the ``first`` earliest partners of each line."""
-    order = np.lexsort((e["line"][y], e["rank"][y], e["line"][x], e["row"][x], e["rank"][x]))
+def _pair_table(e: np.ndarray, x: np.ndarray, y: np.ndarray, differ: np.ndarray, first: int | None) -> pa.Table:
+    """Distinct pairs, the ``first`` partners of each line with the nearest
+    bitmaps."""
+    order = np.lexsort((e["line"][y], e["row"][y], e["rank"][y], differ, e["line"][x], e["row"][x], e["rank"][x]))
     x, y = x[order], y[order]
 
     def changes(i, names):
@@ -331,29 +346,28 @@ def _line_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, lines in _parts(batches):
+    """Texts without the marked lines (as numbers, the words aren't needed)."""
+    for rows in batches:
+        column = as_strings(rows.column(2))
         marks, each = split_binary(rows.column(3), np.int32)
-        gone = lines.again.copy()
-        gone[_marked_lines(marks, each, lines)] = True
-        near = np.zeros(len(gone), dtype=bool)
-        near[_chosen(rows.column(4), lines)] = True
-        # a set that goes takes its repeats in the same document along
-        gone |= near
-        removed = np.bincount(lines.doc[gone], minlength=len(rows))
-        similar = np.bincount(lines.doc[near], minlength=len(rows))
-        texts, kept = rows.column(2).to_pylist(), []
-        number = lines.number[gone].tolist()
-        ends = np.cumsum(removed).tolist()
-        for i, (end, n) in enumerate(zip(ends, removed.tolist())):
-            if n:
-                lost = set(number[end - n:end])
-                kept.append("\n".join(x for j, x in enumerate(texts[i].split("\n")) if j not in lost))
-            else:
-                kept.append(texts[i])
+        near, some = split_binary(rows.column(4), np.int32)
+        # 2 * number + 1 says that an equal line is further up
+        keep = (marks & 1).astype(bool)
+        ends, near_ends = np.cumsum(each), np.cumsum(some)
+        total, removed, similar, kept = [], [], [], []
+        for i in range(len(rows)):
+            text = column[i].as_py()
+            part = slice(ends[i] - each[i], ends[i])
+            alike = set(near[near_ends[i] - some[i]:near_ends[i]].tolist())
+            lost = set((marks[part][keep[part]] >> 1).tolist()) | alike
+            total.append(text.count("\n") + 1)
+            removed.append(len(lost))
+            similar.append(len(alike))
+            kept.append("\n".join(x for j, x in enumerate(text.split("\n")) if j not in lost) if lost else text)
         yield pa.RecordBatch.from_arrays(
-            [rows.column(0), rows.column(1), pa.array(lines.n_lines.astype(np.int64)), pa.array(removed.astype(np.int64)),
-             pa.array(similar.astype(np.int64)), pa.array(kept, pa.string()),
-             pa.array([hashlib.sha256(x.encode()).hexdigest() for x in kept])],
+            [rows.column(0), rows.column(1), pa.array(total, pa.int64()), pa.array(removed, pa.int64()),
+             pa.array(similar, pa.int64()), pa.array(kept, pa.string()),
+             pa.array([hashlib.sha256(x.encode()).hexdigest() for x in kept], pa.string())],
             ["rank", "row", "n_lines", "n_removed", "n_similar", "kept_text", "kept_sha256"])
 
 

@@ -119,6 +119,14 @@ def emit(keys: np.ndarray, doc: np.ndarray, pos: np.ndarray, rank: np.ndarray, r
     return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
 
+def decided(doc: np.ndarray, pos: np.ndarray, rank: np.ndarray, row: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """Marks (as of later items) that need no exchange, listed by document."""
+    names, counts = _runs(doc)
+    blob = _pack(1, rank[names], row[names], counts, pos * 2 + 1, np.zeros(0, np.uint64))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([int(pos.sum()) % ranges], pa.int64()), pa.array([blob], pa.binary())], ["bucket", "blob"])
+
+
 def emit_sets(keys: np.ndarray, doc: np.ndarray, sizes: np.ndarray, rank: np.ndarray, row: np.ndarray,
               ranges: int) -> pa.RecordBatch:
     """Entries of one slice that bring the items themselves back, and the set
