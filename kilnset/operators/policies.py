@@ -7,7 +7,7 @@ tables are joined.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kilnset.functions import images as I
@@ -18,6 +18,10 @@ from kilnset.functions.tensors import literal_array
 from kilnset.sources.catalog import OP_RANGES, TENSOR_OPS
 
 
+#: Sub-policies that are broadcast; larger tables are joined by shuffle.
+BROADCAST_POLICIES = 10000
+
+
 def _entry(op: Column, arg: Column, applied: Column) -> Column:
     return F.struct(op.alias("op"), arg.cast("double").alias("arg"), applied.alias("applied"))
 
@@ -31,10 +35,8 @@ def _policy_arrays(policy: DataFrame) -> DataFrame:
 def _with_subpolicy(df: DataFrame, key: str, policy: DataFrame, seed: int, epoch) -> DataFrame:
     arrays = _policy_arrays(policy)
     count = arrays.count()
-    if count > 10000:
-        raise ValueError("policy table too large to broadcast")
     chosen = df.withColumn("policy_id", pick(uniform("subpolicy", seed, epoch, key), count).cast("int"))
-    return chosen.join(F.broadcast(arrays), "policy_id")
+    return chosen.join(F.broadcast(arrays) if count <= BROADCAST_POLICIES else arrays, "policy_id")
 
 
 def _draw(tag, seed, epoch, key):
@@ -181,27 +183,26 @@ def mix_chains(chains: DataFrame, key: str, original: str, augmented: str) -> Da
 def weighted_layers(df: DataFrame, key: str, candidates: DataFrame, levels: int, seed: int, epoch=0) -> DataFrame:
     """One weighted draw per layer from ``candidates(layer, cand_id, weight,
     op, magnitude)``; arg = magnitude / (levels - 1) in the op's range. The
-    candidate table is a fixed policy, folded to one array per layer."""
-    ordered = candidates.groupBy("layer").agg(
-        F.sort_array(F.collect_list(F.struct("cand_id", "weight", "op", "magnitude"))).alias("c"))
+    candidates of a layer travel as one array with their cumulative weights, and
+    a draw finds its place by binary search."""
+    upto = Window.partitionBy("layer").orderBy("cand_id").rowsBetween(Window.unboundedPreceding, 0)
+    summed = candidates.withColumn("upto", F.sum("weight").over(upto))
+    ordered = summed.groupBy("layer").agg(
+        F.sort_array(F.collect_list(F.struct("cand_id", "upto", "op", "magnitude"))).alias("c"))
     folded = ordered.agg(F.sort_array(F.collect_list(F.struct("layer", "c"))).alias("__layers"))
-    if candidates.count() > 10000:
-        raise ValueError("candidate table too large to carry with every row")
+    largest = candidates.groupBy("layer").count().agg(F.max("count")).first()[0] or 1
+    powers = F.array(*[F.lit(1 << k) for k in reversed(range(largest.bit_length()))])
     draw = _draw("layer", seed, epoch, key)
-    ranges = OP_RANGES["weighted"]
+    ranges = OP_RANGES["weighted"] + [r for r in OP_RANGES["crop_extra"] if r[0] != "Identity"]
     names = literal_array([r[0] for r in ranges])
     low, high = literal_array([r[1] for r in ranges]), literal_array([r[2] for r in ranges])
 
     def choose(layer, i):
-        def upto(c, target):
-            start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("at"), F.lit(0).alias("n"))
-            walked = F.aggregate(
-                c, start,
-                lambda a, x: F.struct(
-                    (a["sum"] + x["weight"]).alias("sum"),
-                    F.coalesce(a["at"], F.when(a["sum"] + x["weight"] > target, a["n"])).alias("at"),
-                    (a["n"] + 1).alias("n")))
-            return bind(lambda at: finish(F.get(c, at)), F.coalesce(walked["at"], F.size(c) - 1))
+        def found(c, target):
+            at = F.aggregate(
+                powers, F.lit(0),
+                lambda a, p: F.when((a + p <= F.size(c)) & (F.get(c, a + p - 1)["upto"] <= target), a + p).otherwise(a))
+            return bind(lambda at: finish(F.get(c, at)), F.least(at, F.size(c) - 1))
 
         def finish(x):
             return bind(
@@ -209,8 +210,7 @@ def weighted_layers(df: DataFrame, key: str, candidates: DataFrame, levels: int,
                     x["op"], M.rescale(x["magnitude"] / F.lit(float(levels - 1)), F.get(low, at), F.get(high, at)), F.lit(True)),
                 x, (F.array_position(names, F.substring_index(x["op"], ":", 1)) - 1).cast("int"))
 
-        total = F.aggregate(layer["c"], F.lit(0.0), lambda a, x: a + x["weight"])
-        return bind(upto, layer["c"], draw(i) * total)
+        return bind(found, layer["c"], draw(i) * F.get(layer["c"], F.size(layer["c"]) - 1)["upto"])
 
     whole = df.withColumn("__layers", folded.scalar())
     return whole.withColumn("ops", F.transform("__layers", choose)).drop("__layers")
@@ -253,8 +253,37 @@ def explode_plan(df: DataFrame, keep: list[str]) -> DataFrame:
     return df.select(*keep, F.posexplode("ops").alias("step", "o")).select(*keep, "step", "o.op", "o.arg", "o.applied")
 
 
+def executable(ops: Column, family: str) -> Column:
+    """Planned ops in the one convention that ``apply_op`` reads.
+
+    There, enhancements are factors (1 changes nothing), shears are slopes,
+    rotations degrees, ``TranslateX/Y`` and ``Cutout`` shares of the side and
+    their ``Abs`` forms pixels. Families plan other units: "binned" offsets from
+    factor 1 and pixels, "level" pixels, half a cut-out side, an addition below
+    the threshold only, and a contrast about the pixel count. "search" plans are
+    in the convention already.
+    """
+    absolute = {"TranslateX": "TranslateXAbs", "TranslateY": "TranslateYAbs"}
+    names = {"search": {}, "binned": absolute, "level": absolute | {
+        "Cutout": "CutoutAbs", "SolarizeAdd": "SolarizeAddBelow", "Contrast": "ContrastCount"}}[family]
+
+    def entry(o):
+        op, arg = o["op"], o["arg"]
+        if family == "binned":
+            arg = F.when(op.isin("Brightness", "Color", "Contrast", "Sharpness"), arg + 1.0).otherwise(arg)
+        if family == "level":
+            arg = F.when(op == "Cutout", arg * 2.0).otherwise(arg)
+        new = op
+        for old, name in names.items():
+            new = F.when(op == old, F.lit(name)).otherwise(new)
+        return _entry(new, arg, o["applied"])
+
+    return F.transform(ops, entry)
+
+
 def apply_op(px, h, w, c: int, op: Column, arg: Column, draw, replace=0) -> Column:
-    """One op by name; ``draw(name)`` gives uniforms for random places."""
+    """One op by name, its argument in the convention of ``executable``;
+    ``draw(name)`` gives uniforms for random places. An unknown op is an error."""
 
     def branch(*names):
         return op.isin(*names)
@@ -280,7 +309,15 @@ def apply_op(px, h, w, c: int, op: Column, arg: Column, draw, replace=0) -> Colu
         .when(branch("Rotate"), I.rotate(px, h, w, c, arg, replace))
         .when(branch("Cutout"), I.cutout(px, h, w, c, arg, draw("cut_x"), draw("cut_y")))
         .when(branch("CutoutAbs"), I.cutout_abs(px, h, w, c, arg, draw("cut_x"), draw("cut_y")))
-        .otherwise(px)
+        .when(branch("SolarizeAddBelow"), I.solarize_add(px, arg.cast("int"), below_only=True))
+        .when(branch("ContrastCount"), I.contrast(px, c, arg, count_mean=True))
+        .when(branch("Identity"), px)
+        .when(branch("RandFlip"), F.when(draw("flip") > 0.5, I.flip(px, h, w, c)).otherwise(px))
+        .when(branch("RandCutout"), I.cutout_clipped(px, h, w, c, 16, draw("cut_x"), draw("cut_y")))
+        .when(branch("RandCutout60"), I.cutout_clipped(px, h, w, c, 60, draw("cut_x"), draw("cut_y")))
+        .when(branch("RandCrop"), I.pad_and_crop(
+            px, h, w, c, 4, F.floor(draw("crop_x") * 9).cast("int"), F.floor(draw("crop_y") * 9).cast("int")))
+        .otherwise(F.raise_error(F.concat(F.lit("unknown op "), op)).cast("array<int>"))
     )
 
 

@@ -22,26 +22,26 @@ from pyspark.sql import functions as F
 
 from kilnset.functions.binding import bind
 
-MAX_BUCKETS = 4096
+#: Rows of a range: their number follows the data beyond twice the shuffle partitions.
+ROWS_PER_BUCKET = 1 << 20
 SAMPLES_PER_BUCKET = 12
+#: Summary rows (one per range) that are broadcast; more are joined by shuffle.
+BROADCAST_BUCKETS = 1 << 16
 
 
-def default_buckets(df: DataFrame) -> int:
+def default_buckets(df: DataFrame, rows: int) -> int:
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2, min(MAX_BUCKETS, 2 * parts))
+    return max(2, 2 * parts, -(-rows // ROWS_PER_BUCKET))
 
 
-def _cuts(df: DataFrame, key: Column, buckets: int):
-    """Quantile cut points of the struct ``key``. A row count sets the share
-    of key hashes to keep, so both jobs are map-only scans of the key columns
-    and about ``buckets * SAMPLES_PER_BUCKET`` keys are gathered. The limit
-    bounds the sample when keys repeat; it moves cut points, never results."""
-    wanted = buckets * SAMPLES_PER_BUCKET
-    rows = df.count()
+def _cuts(df: DataFrame, key: Column, buckets: int, rows: int):
+    """Quantile cut points of the struct ``key``, from a random sample of about
+    ``buckets * SAMPLES_PER_BUCKET`` rows of the whole input: a map-only scan of
+    the key columns. Repeated keys count as often as they occur. The sample
+    moves cut points, never results."""
     keys = df.select(key.alias("k"))
-    if rows > wanted:
-        share = F.pmod(F.xxhash64("k"), F.lit(1 << 30))
-        keys = keys.where(share < int(wanted / rows * (1 << 30)) + 1).limit(4 * wanted)
+    if rows:
+        keys = keys.where(F.rand(17) < min(1.0, buckets * SAMPLES_PER_BUCKET / rows))
     ordered = keys.agg(F.sort_array(F.collect_list("k")).alias("ks"))
     n = F.size("ks")
     step = F.transform(
@@ -78,14 +78,15 @@ def with_buckets(
     buckets: int | None = None,
 ) -> DataFrame:
     """Add ``__g`` (group struct, null safe) and ``__b`` (order range)."""
-    buckets = buckets or default_buckets(df)
+    rows = df.count() if uniform is None else 0
+    buckets = buckets or default_buckets(df, rows or df.count())
     group = F.struct(*[F.col(g) for g in groups]) if groups else F.lit(0)
     if uniform is not None:
         slot = F.least(F.floor(F.col(uniform) * buckets), F.lit(buckets - 1)).cast("int")
         # never null, so the join needs no second evaluation for a null filter
         return df.withColumn("__g", group).withColumn("__b", F.coalesce(slot, F.lit(0)))
     key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate([*groups, *order])])
-    text, dtype = _cuts(df, key, buckets)
+    text, dtype = _cuts(df, key, buckets, rows)
     count = len(json.loads(text))
     cuts = F.from_json(F.lit(text), dtype)
     return df.withColumn("__g", group).withColumn(
@@ -99,10 +100,11 @@ def _carry(summary: DataFrame, grouped: bool):
     return whole.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1), whole
 
 
-def _join_summary(rows: DataFrame, summary: DataFrame, grouped: bool) -> DataFrame:
+def _join_summary(rows: DataFrame, summary: DataFrame, grouped: bool, buckets: int) -> DataFrame:
     if not grouped:
-        # one row per bucket: bounded by MAX_BUCKETS
-        return rows.join(F.broadcast(summary.drop("__g")), "__b")
+        # one row per bucket
+        summary = summary.drop("__g")
+        return rows.join(F.broadcast(summary) if buckets <= BROADCAST_BUCKETS else summary, "__b")
     return rows.join(summary, ["__g", "__b"])
 
 
@@ -121,6 +123,7 @@ def positions(
     rows themselves, the first three with key columns only: checkpoint an
     input that is costly to compute.
     """
+    buckets = buckets or default_buckets(df, df.count())
     rows = with_buckets(df, order, groups, uniform, buckets)
     summary = rows.groupBy("__g", "__b").agg(F.count(F.lit(1)).alias("__n"))
     before, whole = _carry(summary, bool(groups))
@@ -130,7 +133,7 @@ def positions(
         F.sum("__n").over(whole).alias("__total"),
     )
     inside = Window.partitionBy("__g", "__b").orderBy(*order)
-    out = _join_summary(rows, summary, bool(groups)).withColumn(
+    out = _join_summary(rows, summary, bool(groups), buckets).withColumn(
         name, (F.col("__off") + F.row_number().over(inside) - 1).cast("bigint")
     )
     if total:
@@ -155,6 +158,7 @@ def running(
     rows = df
     for i, (_, expr) in enumerate(values.values()):
         rows = rows.withColumn(f"__v{i}", expr)
+    buckets = buckets or default_buckets(df, df.count())
     rows = with_buckets(rows, order, groups, None, buckets)
     partial, carried, final = [], [], []
     before, _ = _carry(rows, bool(groups))
@@ -187,7 +191,7 @@ def running(
         else:
             raise ValueError(f"unknown running aggregate {kind!r}")
     summary = rows.groupBy("__g", "__b").agg(*partial).select("__g", "__b", *carried)
-    out = _join_summary(rows, summary, bool(groups))
+    out = _join_summary(rows, summary, bool(groups), buckets)
     out = out.select("*", *[expr.alias(name) for name, expr in final])
     drop = ["__g", "__b"] + [f"__{k}{i}" for i in range(len(values)) for k in ("v", "c")]
     return out.drop(*drop)

@@ -40,31 +40,54 @@ def subset(df: DataFrame, key: str, index: DataFrame) -> DataFrame:
 def weighted_with_replacement(
     df: DataFrame, key: str, weight: Column, num_samples: int, seed: int, epoch: int = 0
 ) -> DataFrame:
-    """Draws proportional to whole-number weights (scale other weights first).
-
-    Every row owns the interval [lo, lo + weight) of the running total; a draw
-    takes the last interval starting at or below it. Rows and draws are merged
-    in one ordered scan, so neither a heavy row nor a crowd of light rows makes
-    a hot join key.
+    """Draws proportional to weights of any scale; rows of weight 0 or null are
+    never drawn.
+
+    Weights become whole numbers at the smallest power of ten that loses nothing
+    of them (or the largest whose total stays exact), so sums don't depend on
+    their order; a positive weight that would vanish is an error. Every row owns
+    the interval [lo, lo + weight) of the running total; a draw takes the last
+    interval starting at or below it. Rows and draws are merged in one ordered
+    scan, so neither a heavy row nor a crowd of light rows makes a hot join key.
     """
     if num_samples <= 0:
         raise ValueError("num_samples must be positive")
-    items = df.select(F.col(key).alias("__key"), weight.cast("bigint").alias("__w")).where("__w > 0")
+    real = df.select(F.col(key).alias("__key"), weight.cast("double").alias("__w")).where("__w > 0")
+    scale = _exact_scale(real)
+    items = real.select("__key", F.round(F.col("__w") * scale).cast("bigint").alias("__w"))
     spans = running(items, {"__hi": ("sum", F.col("__w"))}, ["__key"])
-    spans = spans.select((F.col("__hi") - F.col("__w")).alias("at"), F.lit(0).alias("kind"), F.col("__key").alias("no"),
-                         F.col("__key").alias("owner"))
+    spans = spans.select((F.col("__hi") - F.col("__w")).alias("at"), F.lit(0).alias("kind"),
+                         F.lit(0).cast("bigint").alias("no"), F.col("__key").alias("owner"))
     total = items.agg(F.sum("__w")).first()[0]
-    if not total:
-        raise ValueError("all weights are zero")
     draws = df.sparkSession.range(num_samples).select(
         pick(uniform("weighted", seed, epoch, "id"), F.lit(total)).alias("at"), F.lit(1).alias("kind"),
-        F.col("id").alias("no"), F.lit(None).cast("bigint").alias("owner"),
+        F.col("id").alias("no"), F.lit(None).cast(items.schema["__key"].dataType).alias("owner"),
     )
     # the scan below reads its input three times, so the totals are kept
     merged = running(checkpoint(spans.unionByName(draws)), {"hit": ("last", F.col("owner"))}, ["at", "kind", "no"])
     return merged.where("kind = 1").select(F.col("no").alias("draw"), F.col("hit").alias(key))
 
 
+#: Totals up to this many units are drawn from without rounding.
+EXACT_TOTAL = 1 << 52
+
+
+def _exact_scale(weights: DataFrame, digits: int = 15) -> float:
+    """Power of ten that turns the positive weights ``__w`` into whole numbers."""
+    w = F.col("__w")
+    loss = [F.max(F.try_divide(F.abs(w * 10.0**k - F.round(w * 10.0**k)), w * 10.0**k)).alias(f"k{k}") for k in range(digits + 1)]
+    found = weights.agg(F.sum("__w").alias("total"), F.min("__w").alias("least"), *loss).first()
+    if not found["total"]:
+        raise ValueError("all weights are zero")
+    fits = [k for k in range(digits + 1) if found["total"] * 10.0**k < EXACT_TOTAL]
+    if not fits:
+        raise ValueError("weights are too large to be summed exactly")
+    scale = 10.0 ** next((k for k in fits if found[f"k{k}"] < 1e-12), fits[-1])
+    if found["least"] * scale < 0.5:
+        raise ValueError("the smallest weight vanishes beside the total")
+    return scale
+
+
 def weighted_without_replacement(
     df: DataFrame, key: str, weight: Column, num_samples: int, seed: int, epoch: int = 0
 ) -> DataFrame:
@@ -72,7 +95,9 @@ def weighted_without_replacement(
     raced = df.withColumn("__w", weight.cast("double")).where("__w > 0").withColumn(
         "__race", -F.log(F.lit(1.0) - uniform("race", seed, epoch, key)) / F.col("__w")
     )
-    return positions(raced, ["__race", key], name="draw").where(F.col("draw") < num_samples).drop("__w", "__race")
+    # the winners are found with a bounded heap in each task, then ranked
+    won = raced.orderBy("__race", key).limit(num_samples)
+    return positions(checkpoint(won), ["__race", key], name="draw").drop("__w", "__race")
 
 
 def distributed(

@@ -314,3 +314,54 @@ def augmented_images(t):
     rows = rows.withColumn("h", F.lit(8)).withColumn("w", F.lit(8))
     out = P.augment_images(rows, "vec_id", "px", "h", "w", 3, SEED, mirror=("Rotate", "ShearX", "ShearY", "TranslateXabs", "TranslateYabs"))
     return out.select("vec_id", F.array_join(F.transform("applied", lambda a: a["op"]), ",").alias("ops"), X.join_numbers(F.col("px")).alias("pixels"))
+
+
+def _pixels(rows, family):
+    rows = rows.withColumn("ops", P.executable(F.col("ops"), family))
+    out = P.augment_images(rows, "vec_id", "px", "h", "w", 3, SEED)
+    return out.select("vec_id", F.array_join(F.transform("applied", lambda a: a["op"]), ",").alias("ops"),
+                      X.join_numbers(F.col("px")).alias("pixels"))
+
+
+def _sized(t):
+    return images(t).withColumn("h", F.lit(8)).withColumn("w", F.lit(8))
+
+
+# Pixels of the planned ops: tested against plain loops (tests/test_policy_pixels.py).
+@query("published_policy_images", "P4 I30")
+def published_policy_images(t):
+    rows = P.binned_policy(_sized(t), "vec_id", policy_table(t.spark, "cifar10"), F.col("h"), F.col("w"), SEED)
+    return _pixels(rows, "binned")
+
+
+@query("binned_random_images", "P5 I30")
+def binned_random_images(t):
+    return _pixels(P.binned_random_policy(_sized(t), "vec_id", 2, 9, 31, F.col("h"), F.col("w"), SEED), "binned")
+
+
+@query("one_op_images", "P6 I30")
+def one_op_images(t):
+    return _pixels(P.one_op_policy(_sized(t), "vec_id", 31, SEED), "binned")
+
+
+@query("augmix_images", "P7 I30")
+def augmix_images(t):
+    chains = P.mixed_chains(_sized(t), "vec_id", 3, -1, 3, 8, 8, SEED)
+    chains = chains.withColumn("ops", P.executable(F.col("ops"), "binned")).withColumn("aug", F.col("px"))
+    done = P.augment_images(chains, "vec_id", "aug", "h", "w", 3, SEED)
+    return P.mix_chains(done, "vec_id", "px", "aug").select("vec_id", X.join_numbers(F.col("mixed")).alias("pixels"))
+
+
+@query("level_policy_images", "P8 I30")
+def level_policy_images(t):
+    return _pixels(P.level_policy(_sized(t), "vec_id", policy_table(t.spark, "detection_v0"), SEED, cutout=4.0, translate=4.0), "level")
+
+
+@query("tensor_random_images", "P9 I30")
+def tensor_random_images(t):
+    return _pixels(P.tensor_random_policy(_sized(t), "vec_id", 3, 7.0, SEED, cutout=4.0, translate=4.0), "level")
+
+
+@query("weighted_layer_images", "P10 I30")
+def weighted_layer_images(t):
+    return _pixels(P.weighted_layers(_sized(t), "vec_id", _candidates(t), 10, SEED), "search")

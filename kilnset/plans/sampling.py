@@ -59,7 +59,7 @@ select draw, o_orderkey from draws asof join s on draws.at >= s.lo""")
 def weighted_draws(t):
     orders = t.orders.select("o_orderkey", "o_totalprice")
     return S.weighted_with_replacement(
-        orders, "o_orderkey", F.round(F.col("o_totalprice") * 100), orders.count(), SEED)
+        orders, "o_orderkey", F.col("o_totalprice"), orders.count(), SEED)
 
 
 @query("weighted_without_replacement", "O6", f"""
