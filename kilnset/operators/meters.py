@@ -31,9 +31,9 @@ def accumulate(df: DataFrame, values: str, divide_by: str | float | None = None,
 
 
 def running_average(df: DataFrame, value: Column, weight: Column, order: list[str], groups: list[str]) -> DataFrame:
-    """Average shown after each update."""
+    """Average shown after each update, null while nothing has weight."""
     out = running(df, {"run_sum": ("sum", value * weight), "run_count": ("sum", weight)}, order, groups)
-    return out.withColumn("run_avg", F.col("run_sum").cast("double") / F.col("run_count"))
+    return out.withColumn("run_avg", F.try_divide(F.col("run_sum").cast("double"), F.col("run_count")))
 
 
 def iteration_times(df: DataFrame, micros: Column, order: list[str], groups: list[str]) -> DataFrame:

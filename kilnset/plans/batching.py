@@ -23,19 +23,19 @@ def _orders(t):
 
 
 @query("epoch_microbatches", "O2 O7 B2", f"""
-with p as (select vec_id, label, embedding[1]::double as x,
+with p as (select vec_id, label, list_sum([v::double for v in embedding]) as x,
              row_number() over (order by {u('perm', SEED, 0, 'vec_id')}, vec_id) - 1 as p0, count(*) over () as n
            from embeddings),
 c as (select *, unnest(range(p0, cast(ceil(n / 4) as bigint) * 4, n)) as g from p),
 r as (select *, g % 4 as rank, g // 4 as pos from c)
 select rank, pos // 32 as mini_id, pos // 4 as micro_id, count(*) as samples, cast(sum(label) as bigint) as sum_label,
-       round(avg(x), 6) as mean_first
+       round(avg(x), 6) as mean_sum
 from r where pos // 4 < cast(ceil(n / 4) as bigint) // 4
 group by 1, 2, 3""")
 def epoch_microbatches(t):
-    rows = t.embeddings.select("vec_id", "label", F.element_at("embedding", 1).cast("double").alias("x"))
+    rows = t.embeddings.select("vec_id", "label", F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v).alias("x"))
     return B.epoch_batches(rows, "vec_id", SEED, 0, 4, 4, 32).groupBy("rank", "mini_id", "micro_id").agg(
-        F.count(F.lit(1)).alias("samples"), F.sum("label").alias("sum_label"), F.round(F.avg("x"), 6).alias("mean_first"))
+        F.count(F.lit(1)).alias("samples"), F.sum("label").alias("sum_label"), F.round(F.avg("x"), 6).alias("mean_sum"))
 
 
 @query("fixed_batches", "B1", f"select o_orderkey, pos // 64 as batch_id, pos % 64 as pos_in_batch from (select o_orderkey, {ORD_PERM} as pos from orders)")

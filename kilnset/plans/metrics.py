@@ -16,15 +16,15 @@ from kilnset.plans.registry import query, u
 from kilnset.sources.catalog import SEARCH_OPS
 
 SEED = 42
-LOGITS = "[x::double for x in embedding[1:10]]"
+LOGITS = "[x::double for x in embedding]"
 LSM = "[x - (list_max(z) + ln(list_sum([exp(y - list_max(z)) for y in z]))) for x in z]"
-RANK = ("1 + len(list_filter(range(1, 11), lambda i: z[i] > z[label + 1] or (z[i] = z[label + 1] and i < label + 1)))")
+RANK = ("1 + len(list_filter(range(1, len(z) + 1), lambda i: z[i] > z[label + 1] or (z[i] = z[label + 1] and i < label + 1)))")
 PRED = f"p as (select vec_id, label, {LOGITS} as z from embeddings)"
 K = "cast(json_extract_string(props, '$.k') as bigint)"
 
 
 def _preds(t):
-    return t.embeddings.select("vec_id", "label", X.doubles(F.slice("embedding", 1, 10)).alias("z"))
+    return t.embeddings.select("vec_id", "label", X.doubles(F.col("embedding")).alias("z"))
 
 
 def _k():
@@ -60,31 +60,31 @@ def topk_accuracy(t):
 
 @query("label_smooth_loss", "G4", f"""
 with {PRED}, l as (select *, {LSM} as lp from p)
-select vec_id, round(-list_sum([((case when i = label + 1 then 1.0 else 0.0 end) * (1 - 0.1::double) + 0.1::double / 10) * lp[i] for i in range(1, 11)]), 6) as loss from l""")
+select vec_id, round(-list_sum([((case when i = label + 1 then 1.0 else 0.0 end) * (1 - 0.1::double) + 0.1::double / 64) * lp[i] for i in range(1, 65)]), 6) as loss from l""")
 def label_smooth_loss(t):
-    out = E.reduce_loss(_preds(t), E.label_smooth_loss(F.col("z"), F.col("label"), 10, 0.1), "none")
+    out = E.reduce_loss(_preds(t), E.label_smooth_loss(F.col("z"), F.col("label"), 64, 0.1), "none")
     return out.select("vec_id", F.round("loss", 6).alias("loss"))
 
 
 @query("label_smooth_loss_mean", "G4", f"""
 with {PRED}, l as (select *, {LSM} as lp from p),
-m as (select label, -list_sum([((case when i = label + 1 then 1.0 else 0.0 end) * (1 - 0.1::double) + 0.1::double / 10) * lp[i] for i in range(1, 11)]) as loss from l)
+m as (select label, -list_sum([((case when i = label + 1 then 1.0 else 0.0 end) * (1 - 0.1::double) + 0.1::double / 64) * lp[i] for i in range(1, 65)]) as loss from l)
 select label, round(avg(loss), 6) as loss from m group by 1""")
 def label_smooth_loss_mean(t):
-    out = E.reduce_loss(_preds(t), E.label_smooth_loss(F.col("z"), F.col("label"), 10, 0.1), "mean", ["label"])
+    out = E.reduce_loss(_preds(t), E.label_smooth_loss(F.col("z"), F.col("label"), 64, 0.1), "mean", ["label"])
     return out.select("label", F.round("loss", 6).alias("loss"))
 
 
 @query("soft_smooth_loss", "G5", f"""
 with {PRED}, l as (select *, {LSM} as lp from p)
-select vec_id, round(-list_sum([((case when i = label + 1 then 1.0 else 0.0 end) * (1 - 0.01::double) + 0.01::double) * lp[i] for i in range(1, 11)]), 6) as loss from l""")
+select vec_id, round(-list_sum([((case when i = label + 1 then 1.0 else 0.0 end) * (1 - (0.1::double / 64)) + (0.1::double / 64)) * lp[i] for i in range(1, 65)]), 6) as loss from l""")
 def soft_smooth_loss(t):
-    loss = E.soft_smooth_loss(F.col("z"), X.one_hot(F.col("label"), 10), 10, 0.1)
+    loss = E.soft_smooth_loss(F.col("z"), X.one_hot(F.col("label"), 64), 64, 0.1)
     return _preds(t).select("vec_id", F.round(loss, 6).alias("loss"))
 
 
 def _ce(col):
-    return f"-list_sum([((case when i = {col} + 1 then 1.0 else 0.0 end) * (1 - 0.1::double) + 0.1::double / 10) * lp[i] for i in range(1, 11)])"
+    return f"-list_sum([((case when i = {col} + 1 then 1.0 else 0.0 end) * (1 - 0.1::double) + 0.1::double / 64) * lp[i] for i in range(1, 65)])"
 
 
 @query("mixup_loss", "G6", f"""
@@ -94,19 +94,19 @@ m as (select batch_id, row_number() over (partition by batch_id order by {u('mix
         label as label2, embedding as other from b),
 j as (select *, {u('lam0', SEED, 0, 'batch_id')} as d from b join m using (batch_id, place)),
 g as (select vec_id, label, label2, greatest(d, 1 - d) as lam,
-        [embedding[i]::double * greatest(d, 1 - d) + other[i]::double * (1 - greatest(d, 1 - d)) for i in range(1, 11)] as z from j),
+        [embedding[i]::double * greatest(d, 1 - d) + other[i]::double * (1 - greatest(d, 1 - d)) for i in range(1, 65)] as z from j),
 l as (select *, {LSM} as lp from g)
 select vec_id, round(lam * ({_ce('label')}) + (1 - lam) * ({_ce('label2')}), 6) as loss from l""")
 def mixup_loss(t):
     rows = fixed_batches(permutation(t.embeddings, "vec_id", SEED, total="n"), 32)
-    mixed = mixup(rows, "vec_id", "embedding", "label", SEED, 0).withColumn("z", F.slice("mixed", 1, 10))
-    loss = E.mixup_loss(F.col("z"), F.col("label"), F.col("partner_target"), F.col("lam"), 10, 0.1)
+    mixed = mixup(rows, "vec_id", "embedding", "label", SEED, 0).withColumn("z", F.col("mixed"))
+    loss = E.mixup_loss(F.col("z"), F.col("label"), F.col("partner_target"), F.col("lam"), 64, 0.1)
     return mixed.select("vec_id", F.round(loss, 6).alias("loss"))
 
 
 TTA = f"""
-a as (select vec_id, label, vec_id // 50 as batch_id, [x::double for x in embedding[p * 10 + 1 : p * 10 + 10]] as z
-      from embeddings, (values (0), (1), (2), (3), (4)) v(p)),
+a as (select vec_id, label, vec_id // 50 as batch_id, [x::double for x in embedding[p * 16 + 1 : p * 16 + 16]] as z
+      from embeddings, (values (0), (1), (2), (3)) v(p)),
 l as (select vec_id, batch_id, -({LSM})[label + 1] as loss, case when {RANK} = 1 then 1 else 0 end as correct from a),
 best as (select vec_id, min(loss) as loss, max(correct) as correct from l group by 1)"""
 
@@ -114,8 +114,8 @@ best as (select vec_id, min(loss) as loss, max(correct) as correct from l group
 def _tta(t):
     views = t.embeddings.select(
         "vec_id", "label", F.floor(F.col("vec_id") / 50).alias("batch_id"), "embedding",
-        F.explode(F.sequence(F.lit(0), F.lit(4))).alias("policy")).withColumn(
-        "z", X.doubles(F.slice("embedding", F.col("policy") * 10 + 1, F.lit(10))))
+        F.explode(F.sequence(F.lit(0), F.lit(3))).alias("policy")).withColumn(
+        "z", X.doubles(F.slice("embedding", F.col("policy") * 16 + 1, F.lit(16))))
     loss = -F.element_at(X.log_softmax(F.col("z")), F.col("label") + 1)
     hit = (X.target_rank(F.col("z"), F.col("label")) == 1).cast("int")
     return views.select("vec_id", "batch_id", loss.alias("loss"), hit.alias("correct"))
@@ -137,15 +137,15 @@ def tta_metrics_batch_minimum(t):
 
 
 @query("epoch_metrics", "G8", f"""
-with a as (select vec_id // 50 as batch_id, epoch, label, [x::double for x in embedding[epoch * 10 + 1 : epoch * 10 + 10]] as z
-      from embeddings, (values (0), (1), (2)) v(epoch)),
+with a as (select vec_id // 50 as batch_id, epoch, label, [x::double for x in embedding[epoch * 16 + 1 : epoch * 16 + 16]] as z
+      from embeddings, (values (0), (1), (2), (3)) v(epoch)),
 b as (select epoch, batch_id, count(*) as size, avg(-({LSM})[label + 1]) as loss, avg(({RANK} <= 1)::int) as top1, avg(({RANK} <= 5)::int) as top5
       from a group by 1, 2)
 select epoch, cast(sum(size) as bigint) as cnt, round(sum(loss * size) / sum(size), 6) as loss, round(sum(top1 * size) / sum(size), 6) as top1,
   round(sum(top5 * size) / sum(size), 6) as top5 from b group by 1""")
 def epoch_metrics(t):
-    z = X.doubles(F.slice("embedding", F.col("epoch") * 10 + 1, F.lit(10)))
-    rows = t.embeddings.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(2)))).select(
+    z = X.doubles(F.slice("embedding", F.col("epoch") * 16 + 1, F.lit(16)))
+    rows = t.embeddings.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(3)))).select(
         "epoch", F.floor(F.col("vec_id") / 50).alias("batch_id"), "label", z.alias("z"))
     rank = X.target_rank(F.col("z"), F.col("label"))
     batches = rows.select("epoch", "batch_id", (-F.element_at(X.log_softmax(F.col("z")), F.col("label") + 1)).alias("loss"),
@@ -248,11 +248,11 @@ def class_counts(t):
 
 
 @query("running_average", "W1", f"""
-select event_id, user_id, round(cast(sum(cast(value as decimal(18, 2)) * {K}) over w as double) / sum({K}) over w, 6) as run_avg from events where {K} > 0
+select event_id, user_id, round(cast(sum(cast(value as decimal(18, 2)) * {K}) over w as double) / nullif(sum({K}) over w, 0), 6) as run_avg from events
 window w as (partition by user_id order by event_id)""")
 def running_average(t):
     # two-decimal values add up exactly as decimals, whatever the order
-    rows = t.events.select("event_id", "user_id", F.col("value").cast("decimal(18,2)").alias("value"), _k().alias("k")).where("k > 0")
+    rows = t.events.select("event_id", "user_id", F.col("value").cast("decimal(18,2)").alias("value"), _k().alias("k"))
     out = M.running_average(rows, F.col("value"), F.col("k"), ["event_id"], ["user_id"])
     return out.select("event_id", "user_id", F.round("run_avg", 6).alias("run_avg"))
 

@@ -49,15 +49,15 @@ def image_headers(t):
     return files.select("doc_id", HD.image_header(F.col("content")).alias("m")).select("doc_id", "m.*")
 
 
-SM = "[x::double for x in embedding[1:10]]"
+SM = "[x::double for x in embedding]"
 
 
 @query("softmax_vectors", "C10", f"""
 with p as (select vec_id, label, {SM} as z from embeddings), e as (select *, [exp(x - list_max(z)) for x in z] as w from p)
-select vec_id, list_position(z, list_max(z))::int - 1 as best, round(w[1] / list_sum(w), 9) as first, round(list_sum([w[i] / list_sum(w) * i for i in range(1, 11)]), 6) as checksum,
+select vec_id, list_position(z, list_max(z))::int - 1 as best, round(w[1] / list_sum(w), 9) as first, round(list_sum([w[i] / list_sum(w) * i for i in range(1, 65)]), 6) as checksum,
   array_to_string([case when i = label then 1 else 0 end for i in range(0, 10)], ',') as hot from e""")
 def softmax_vectors(t):
-    z = X.doubles(F.slice("embedding", 1, 10))
+    z = X.doubles(F.col("embedding"))
     rows = t.embeddings.select("vec_id", "label", z.alias("z"), X.softmax(z).alias("p"))
     hot = X.join_numbers(F.transform(X.one_hot(F.col("label"), 10), lambda x: x.cast("int")))
     return rows.select("vec_id", X.argmax(F.col("z")).alias("best"), F.round(F.get("p", F.lit(0)), 9).alias("first"),

@@ -45,11 +45,10 @@ def manifest_scan(t):
 
 
 @query("transcript_scan", "S4", """
-select conv_id || '_' || turn as id, md5(replace(replace(text, '|', ' '), chr(10), ' ')) as text_md5 from conversations
-where length(trim(text)) > 0""")
+select conv_id || '_' || turn as id, md5(replace(replace(text, '|', ' '), chr(10), ' ')) as text_md5 from conversations""")
 def transcript_scan(t):
     clean = F.replace(F.replace("text", F.lit("|"), F.lit(" ")), F.lit("\n"), F.lit(" "))
-    lines = t.conversations.where(F.length(F.trim("text")) > 0).select(
+    lines = t.conversations.select(
         F.concat("conv_id", F.lit("_"), "turn", F.lit("|"), "role", F.lit("|"), clean, F.lit("|")).alias("value"))
     return S.parse_transcripts(lines).select("id", F.md5("text").alias("text_md5"))
 
