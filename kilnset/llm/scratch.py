@@ -12,7 +12,12 @@ from pyspark.sql import functions as F
 
 from kilnset.session import fresh_path
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files go at its end, and Python gets texts
+#: in batches of some megabytes.
+WHILE_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "4000",
+}
 
 
 class Scratch:
@@ -27,12 +32,14 @@ class Scratch:
         """``df`` as a table of the shared folder, read back."""
         self.made += 1
         path = f"{self.root}/{self.made}"
-        before = self.spark.conf.get(CLEANUP, "false")
-        self.spark.conf.set(CLEANUP, "true")
+        before = {k: self.spark.conf.get(k) for k in WHILE_WRITING}
         try:
+            for k, v in WHILE_WRITING.items():
+                self.spark.conf.set(k, v)
             df.write.option("compression", "zstd").parquet(path)
         finally:
-            self.spark.conf.set(CLEANUP, before)
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
