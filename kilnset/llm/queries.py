@@ -160,7 +160,7 @@ WITH RECURSIVE base AS (
 ), threads AS (
   SELECT r.*, coalesce(p.path, [r.turn]) AS path FROM rows_ r LEFT JOIN paths p USING (conv_id, turn)
 )
-SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY path NULLS FIRST, role NULLS FIRST, md5(text), reply_to NULLS FIRST, n_quotes) - 1 AS position,
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY [coalesce(x, -9223372036854775808) for x in path], role NULLS FIRST, md5(text), reply_to NULLS FIRST, n_quotes) - 1 AS position,
        turn, role, reply_to, len(path) - 1 AS depth, n_quotes, n_linked, text
 FROM threads
 """
