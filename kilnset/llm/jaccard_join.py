@@ -21,7 +21,6 @@ pair shares a leader, so none is lost; links inside a component aren't needed.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,6 +65,13 @@ def shingle_sets(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     return keys[at], doc[at], np.bincount(doc[at], minlength=len(words.n))
 
 
+def _prints(keys: np.ndarray, doc: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash of each whole set, whatever the order of its shingles."""
+    ends = np.concatenate([[np.uint64(0)], np.cumsum(mix(keys + np.uint64(7)), dtype=np.uint64)])
+    last = np.cumsum(n)
+    return mix(ends[last] - ends[last - n] + n.astype(np.uint64) * _ODD)
+
+
 def _fold(hashes: np.ndarray) -> int:
     out = len(hashes)
     for h in hashes.tolist():
@@ -90,7 +96,7 @@ def _sets(size: int, ranges: int):
             rank, row, column = batch.column(0).to_numpy(), batch.column(1).to_numpy(), as_strings(batch.column(2))
             for a, b in slices(column, LOCAL_BYTES):
                 keys, doc, n = shingle_sets(Words(column.slice(a, b - a), lower=True), size)
-                yield emit_sets(keys, doc, n, rank[a:b], row[a:b], ranges)
+                yield emit_sets(keys, doc, n, _prints(keys, doc, n), rank[a:b], row[a:b], ranges)
 
     return run
 
@@ -100,20 +106,18 @@ def _activate(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.column(2).to_numpy()
-            keys, counts = split_binary(batch.column(4), np.uint64)
+            keys, counts = split_binary(batch.column(5), np.uint64)
             ends = np.cumsum(counts)
-            out, m, cls = [], [], []
+            out, m = [], []
             for i, size in enumerate(n.tolist()):
                 some = np.unique(keys[ends[i] - counts[i]:ends[i]])
                 if not size or len(some) < least_overlap(size, percent):
                     some = some[:0]
                 out.append(some.tobytes())
                 m.append(len(some))
-                # equal sets have no shingle of their own
-                cls.append(hashlib.md5(out[-1]).hexdigest() if size and len(some) == size else None)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], pa.array(m, pa.int64()), pa.array(cls, pa.string()), pa.array(out, pa.binary())],
-                ["rank", "row", "n", "copies", "m", "cls", "keys"])
+                [*batch.columns[:5], pa.array(m, pa.int64()), pa.array(out, pa.binary())],
+                ["rank", "row", "n", "copies", "cls", "m", "keys"])
 
     return run
 
@@ -243,16 +247,15 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     scratch = Scratch(docs.sparkSession, "jaccard")
     source = named(docs, key, text)
     entries = source.mapInArrow(_sets(shingle, range_count(docs, text)), ENTRY_SCHEMA)
-    sets = scratch.write(exchange_sets(entries, scratch).select("rank", "row", "n", "copies", "keys").mapInArrow(
-        _activate(percent), "rank long, row long, n long, copies long, m long, cls string, keys binary"))
+    sets = scratch.write(exchange_sets(entries, scratch).select("rank", "row", "n", "copies", "cls", "keys").mapInArrow(
+        _activate(percent), "rank long, row long, n long, copies long, cls long, m long, keys binary"))
 
-    live = sets.where("m > 0")
-    same = live.where("cls is not null").groupBy("cls").agg(
-        F.min("rank").alias("rank"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("keys").alias("keys"))
-    alone = live.where("cls is null").select(F.lit(None).cast("string").alias("cls"), "rank", "row", "n", "m", "keys")
-    reps = scratch.write(same.withColumn("row", F.xxhash64("cls")).unionByName(alone).select(
-        F.xxhash64("rank", "row").alias("id"), "rank", "n", "m", "keys", "cls"))
-    shapes = reps.select("id", "rank", "n", "m", "keys")
+    # one class for each set: its smallest id, and the shingles of a member that can link
+    classes = scratch.write(sets.where("cls is not null").groupBy("cls").agg(F.min("rank").alias("rep")))
+    held = sets.where("m > 0").groupBy("cls").agg(
+        F.first("n").alias("n"), F.first("m").alias("m"), F.first("keys").alias("keys"))
+    shapes = scratch.write(held.join(classes, "cls").select(
+        F.col("cls").alias("id"), F.col("rep").alias("rank"), "n", "m", "keys"))
 
     prefix = scratch.write(shapes.mapInArrow(_prefixes(percent), "key long, id long, rank long, n long, m long"))
     own = 1.0 - F.col("m") / F.col("n")
@@ -292,7 +295,6 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rest = scratch.write(blocks.mapInArrow(_block_links(percent), "a long, b long"))
     scratch.drop(members)
 
-    classes = reps.where("cls is not null").select("cls", F.col("rank").alias("rep"))
     # ids of several rows tie the classes of their sets together
     repeated = sets.groupBy("rank").agg(F.sum("copies").alias("rows")).where(f"rows > 1 and rank <> {NO_ID}")
     ties = sets.where("cls is not null").join(repeated, "rank", "left_semi").join(classes, "cls").select(

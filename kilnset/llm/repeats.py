@@ -127,12 +127,16 @@ def decided(doc: np.ndarray, pos: np.ndarray, rank: np.ndarray, row: np.ndarray,
         [pa.array([int(pos.sum()) % ranges], pa.int64()), pa.array([blob], pa.binary())], ["bucket", "blob"])
 
 
-def emit_sets(keys: np.ndarray, doc: np.ndarray, sizes: np.ndarray, rank: np.ndarray, row: np.ndarray,
-              ranges: int) -> pa.RecordBatch:
-    """Entries of one slice that bring the items themselves back, and the set
-    size of every document. Documents without an id hold no items."""
-    known = rank[doc] != NO_ID
-    keys, doc = keys[known], doc[known]
+def emit_sets(keys: np.ndarray, doc: np.ndarray, sizes: np.ndarray, prints: np.ndarray, rank: np.ndarray,
+              row: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """Entries of one slice that bring the items themselves back, and the size
+    and fingerprint of every document's set. Of equal sets only the first sends
+    items; documents without an id send none."""
+    carrier = np.zeros(len(rank), dtype=bool)
+    carrier[np.unique(prints, return_index=True)[1]] = True
+    sends = carrier & (rank != NO_ID)
+    sent = sends[doc]
+    keys, doc = keys[sent], doc[sent]
     order = np.argsort(keys, kind="stable")
     k, d = keys[order], doc[order]
     fresh = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
@@ -141,7 +145,7 @@ def emit_sets(keys: np.ndarray, doc: np.ndarray, sizes: np.ndarray, rank: np.nda
     most = np.maximum.reduceat(rank[d], np.flatnonzero(fresh))[group] if len(k) else rank[:0]
     none = np.zeros(0, dtype=np.int32)
     at = int(sizes.sum()) % ranges
-    buckets, blobs = [at], [_pack(2, rank, row, sizes.astype(np.int32), none, keys[:0])]
+    buckets, blobs = [at], [_pack(2, rank, row, sizes.astype(np.int32), none, prints)]
     some = np.sort(order[most > least])
     if len(some):
         names, counts = _runs(doc[some])
@@ -161,13 +165,13 @@ def emit_sets(keys: np.ndarray, doc: np.ndarray, sizes: np.ndarray, rank: np.nda
 
 
 def judge_sets(table: pa.Table) -> pa.Table:
-    """rank, row, n, copies, keys of one hash range: the items that another
+    """rank, row, n, copies, cls, keys of one hash range: the items that another
     rank holds too, and the set sizes that came along."""
     held, done, sizes = [], [], []
     for blob in table["blob"]:
         kind, rank, row, each, _, key = _unpack(blob.as_py())
         if kind == 2:
-            sizes.append((rank, row, each))
+            sizes.append((rank, row, each, key))
         else:
             (done if kind else held).append((np.repeat(rank, each), np.repeat(row, each), key))
     if held:
@@ -186,27 +190,30 @@ def judge_sets(table: pa.Table) -> pa.Table:
         change = np.ones(len(rank), dtype=bool)
         change[1:] = (rank[1:] != rank[:-1]) | (row[1:] != row[:-1])
         begin = np.flatnonzero(change)
-        out.append((rank[begin], row[begin], np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64),
+        none = np.zeros(len(begin), np.int64)
+        out.append((rank[begin], row[begin], none, none, pa.nulls(len(begin), pa.int64()),
                     join_binary(key, np.diff(np.append(begin, len(rank))))))
-    for rank, row, n in sizes:
-        out.append((rank, row, n.astype(np.int64), np.ones(len(n), np.int64),
+    for rank, row, n, cls in sizes:
+        classed = pa.array(cls.view(np.int64), mask=(n == 0) | (rank == NO_ID))
+        out.append((rank, row, n.astype(np.int64), np.ones(len(n), np.int64), classed,
                     pa.array([b""] * len(n), pa.large_binary())))
-    names = ["rank", "row", "n", "copies", "keys"]
-    parts = [pa.table([pa.array(x) for x in o[:4]] + [o[4].cast(pa.binary())], names) for o in out]
+    names = ["rank", "row", "n", "copies", "cls", "keys"]
+    parts = [pa.table([pa.array(x) for x in o[:5]] + [o[5].cast(pa.binary())], names) for o in out]
     if not parts:
-        return pa.table([pa.array([], pa.int64())] * 4 + [pa.array([], pa.binary())], names)
+        return pa.table([pa.array([], pa.int64())] * 5 + [pa.array([], pa.binary())], names)
     return pa.concat_tables(parts)
 
 
-SET_SCHEMA = "rank long, row long, n long, copies long, keys binary"
+SET_SCHEMA = "rank long, row long, n long, copies long, cls long, keys binary"
 
 
 def exchange_sets(entries: DataFrame, scratch) -> DataFrame:
-    """rank, row, n, copies, keys: one row per document; keys may repeat. What
+    """rank, row, n, copies, cls, keys: one row per document; keys may repeat,
+    cls (null without a set) is the same for equal sets. What
     the hash ranges say is written, so that their shuffle is gone before the next."""
     found = scratch.write(entries.groupBy("bucket").applyInArrow(judge_sets, SET_SCHEMA))
     return found.groupBy("rank", "row").agg(
-        F.max("n").alias("n"), F.sum("copies").alias("copies"), F.listagg("keys").alias("keys"))
+        F.max("n").alias("n"), F.sum("copies").alias("copies"), F.max("cls").alias("cls"), F.listagg("keys").alias("keys"))
 
 
 def _marks(rank: np.ndarray, row: np.ndarray, marks: np.ndarray) -> pa.Table:
