@@ -86,25 +86,46 @@ def _field(name: str):
     return lambda row: row[name]
 
 
+def _stack(values: Column, dtype: T.DataType, name: str) -> Column:
+    """Values of one field, stacked: structs field by field and maps key by key
+    (the keys of the first value; a value without one gives null there). Lists
+    must have one length, on every level of nesting."""
+    if isinstance(dtype, T.StructType):
+        return F.struct(*[
+            _stack(F.transform(values, _field(f.name)), f.dataType, f"{name}.{f.name}").alias(f.name) for f in dtype])
+    if isinstance(dtype, T.MapType):
+        def of_key(k):
+            return _stack(F.transform(values, lambda v: F.try_element_at(v, k)), dtype.valueType, f"{name} values")
+
+        keys = F.map_keys(F.get(values, F.lit(0)))
+        return F.map_from_arrays(keys, F.transform(keys, of_key))
+    if isinstance(dtype, T.ArrayType):
+        fail = F.raise_error(F.lit(f"each element of {name} in a batch must have equal size"))
+        return F.when(_even(values, dtype), values).otherwise(fail)
+    return values
+
+
+def _even(values: Column, dtype: T.DataType) -> Column:
+    """Whether lists, and lists inside them, have one length each."""
+    one = F.size(F.array_distinct(F.transform(values, lambda v: F.size(v)))) <= 1
+    if isinstance(dtype.elementType, T.ArrayType):
+        return one & _even(F.flatten(values), dtype.elementType)
+    return one
+
+
 def collate(df: DataFrame, batch: list[str], order: str, fields: list[str]) -> DataFrame:
-    """One row per batch: every field stacked in order as an array. Array
-    fields must have one length inside a batch; a batch is bounded by the
-    batch size, so no group grows with the data."""
-    rows = default_convert(df.select(*batch, order, *[f for f in fields if f != order]), fields)
+    """One row per batch: every field stacked in order, scalars and lists as
+    arrays, structs and maps key by key. A batch is bounded by the batch size, so
+    no group grows with the data."""
+    others = [f for f in fields if f != order]
+    rows = default_convert(df.select(*batch, order, *others), fields)
     packed = rows.groupBy(*batch).agg(
-        F.count(F.lit(1)).alias("size"),
-        F.sort_array(F.collect_list(F.struct(order, *[f for f in fields if f != order]))).alias("__rows"),
-        *[c for f in fields if isinstance(rows.schema[f].dataType, T.ArrayType)
-          for c in (F.min(F.size(f)).alias(f"__min_{f}"), F.max(F.size(f)).alias(f"__max_{f}"))],
-    )
-    out = [*batch, "size"]
-    for f in fields:
-        stacked = F.transform("__rows", _field(f))
-        if isinstance(rows.schema[f].dataType, T.ArrayType):
-            fail = F.raise_error(F.lit(f"each element of {f} in a batch must have equal size"))
-            stacked = F.when(F.col(f"__min_{f}") == F.col(f"__max_{f}"), stacked).otherwise(fail)
-        out.append(stacked.alias(f))
-    return packed.select(*out)
+        F.count(F.lit(1)).alias("size"), F.collect_list(F.struct(order, *others)).alias("__rows"))
+    # by the order column alone: maps can't be compared
+    packed = packed.withColumn("__rows", F.array_sort("__rows", lambda a, b: F.when(a[order] < b[order], -1).when(
+        a[order] > b[order], 1).otherwise(0)))
+    return packed.select(*batch, "size", *[
+        _stack(F.transform("__rows", _field(f)), rows.schema[f].dataType, f).alias(f) for f in fields])
 
 
 def collate_with(df: DataFrame, batch: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:

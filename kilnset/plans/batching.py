@@ -75,6 +75,23 @@ def collated_batches(t):
         F.array_join("lang", ",").alias("langs"), F.array_join(F.col("n_chars").cast("array<string>"), ",").alias("sizes"))
 
 
+@query("collated_records", "B4", f"""
+with {DOCS} select pos // 16 as batch_id, string_agg(lang, ',' order by pos) as langs, string_agg(source, ',' order by pos) as sources,
+  string_agg(cast(n_chars as varchar), ',' order by pos) as sizes, string_agg(cast(doc_id as varchar), ',' order by pos) as ids,
+  cast(sum(n_chars + doc_id) as bigint) as total
+from (select d.*, documents.source from d join documents using (doc_id)) group by 1""")
+def collated_records(t):
+    rows = B.fixed_batches(_docs(t), 16).join(t.documents.select("doc_id", "source"), "doc_id")
+    rows = rows.select("batch_id", "pos_in_batch", F.struct("lang", F.struct("source").alias("at")).alias("names"),
+                       F.create_map(F.lit("chars"), "n_chars", F.lit("id"), "doc_id").alias("numbers"),
+                       F.array(F.array("n_chars", "doc_id")).alias("nested"))
+    out = B.collate(rows, ["batch_id"], "pos_in_batch", ["names", "numbers", "nested"])
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return out.select("batch_id", text("names.lang").alias("langs"), text("names.at.source").alias("sources"),
+                      text("numbers.chars").alias("sizes"), text("numbers.id").alias("ids"),
+                      F.aggregate(F.flatten(F.flatten("nested")), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
+
+
 @query("collated_tensors", "B4", f"""
 with p as (select vec_id, label, embedding, row_number() over (order by {u('perm', SEED, 0, 'vec_id')}, vec_id) - 1 as pos from embeddings),
 b as (select pos // 32 as batch_id, pos, label, list_sum([x::double for x in embedding]) as s, len(embedding) as width from p)

@@ -1,5 +1,7 @@
 """Source and sink queries."""
 
+import gzip
+
 from pyspark.sql import functions as F
 
 from kilnset.functions import tensors as X
@@ -11,6 +13,7 @@ from kilnset.session import fresh_path
 from kilnset.sources import logs as LG
 from kilnset.sources import samples as S
 from kilnset.sources import sinks as K
+from kilnset.sources.catalog import policy_lines, read_policies
 
 SEED = 42
 
@@ -61,6 +64,32 @@ def compression_sniffing(t):
     return t.documents.select("doc_id", S.codec(content).alias("codec"))
 
 
+@query("decompressed_texts", "S5", """
+select doc_id, case when lang = 'en' then 'gzip' else 'plain' end as codec, md5(text) as text_md5 from documents""")
+def decompressed_texts(t):
+    @F.pandas_udf("binary")
+    def pack(text):
+        return text.map(lambda x: gzip.compress(x.encode(), mtime=0))
+
+    content = F.when(F.col("lang") == "en", pack("text")).otherwise(F.encode("text", "UTF-8"))
+    packed = t.documents.select("doc_id", content.alias("content")).withColumn("codec", S.codec(F.col("content")))
+    return S.decompress(packed).select("doc_id", "codec", F.md5("content").alias("text_md5"))
+
+
+@query("policy_archive", "S15 C4", """
+select i as op_idx, case when i = 0 then 'Rotate' else 'Invert' end as op, count(*) as n, round(sum(p_size / 50.0::double), 6) as level,
+  round(sum(case when i = 0 then 0.25::double else 0.5::double end), 6) as prob from part, (values (0), (1)) v(i) group by 1, 2""")
+def policy_archive(t):
+    steps = t.part.select("p_brand", F.col("p_partkey").alias("policy_id"), (F.col("p_size") / 50.0).alias("level"),
+                          F.explode(F.array(F.lit(0), F.lit(1))).alias("op_idx"))
+    steps = steps.withColumn("op", F.when(F.col("op_idx") == 0, "Rotate").otherwise("Invert")).withColumn(
+        "prob", F.when(F.col("op_idx") == 0, 0.25).otherwise(0.5))
+    path = fresh_path(t.spark, "policies")
+    policy_lines(steps, ["p_brand"]).select("value").write.text(path)
+    return read_policies(t.spark, path).groupBy("op_idx", "op").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("level"), 6).alias("level"), F.round(F.sum("prob"), 6).alias("prob"))
+
+
 @query("concatenated_splits", "S6", """
 select doc_id as id, 'train' as source_split from documents union all select item_id, 'extra' from benchmark""")
 def concatenated_splits(t):

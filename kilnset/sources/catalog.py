@@ -181,6 +181,20 @@ def op_table(spark: SparkSession, family: str) -> DataFrame:
     return spark.createDataFrame(rows, "op_no int, op string, low double, high double")
 
 
+def policy_lines(policies: DataFrame, sets: list[str]) -> DataFrame:
+    """``value``: one JSON list ``[[[op, prob, level], ..], ..]`` per policy set
+    (a set is a searched policy), sub-policies and ops in order."""
+    number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    op = F.concat(F.lit('["'), "op", F.lit('",'), number("prob"), F.lit(","), number("level"), F.lit("]"))
+
+    def listed(order, text):
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(text).alias("t")))), lambda x: x["t"])
+        return F.concat(F.lit("["), F.array_join(ordered, ","), F.lit("]"))
+
+    subs = policies.withColumn("__op", op).groupBy(*sets, "policy_id").agg(listed("op_idx", "__op").alias("__sub"))
+    return subs.groupBy(*sets).agg(listed("policy_id", "__sub").alias("value"))
+
+
 def read_policies(spark: SparkSession, path: str) -> DataFrame:
     """Policies written as JSON, one ``[[[op, prob, level], ..], ..]`` list per
     line, to policy rows numbered in file order within the list."""
