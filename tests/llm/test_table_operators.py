@@ -294,3 +294,16 @@ def test_pipeline_stages_on_odd_rows(spark, odd_texts):
             assert (n > 0) == (table is docs), name
     near = corpus_pipeline.drop_near_copies(spark, docs, SMALL)
     assert near.where("doc_id is null").count() == docs.where("doc_id is null").count()
+
+
+def test_registered_sql_twins(spark):
+    from oracle import compare
+
+    for name in ("op2_quote_links",):
+        found = compare(spark, entry.queries()[name], entry.oracle_sql()[name], SMALL)
+        assert found["status"] == "ok" and found["rows"] > 0, found["note"]
+
+
+def test_every_operator_and_the_pipeline_are_registered():
+    names = set(entry.queries())
+    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11)) and "pipeline" in names
