@@ -50,6 +50,32 @@ def run_to_table(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def run_to_end(
+    source: Callable[[], DataFrame], job: Callable[[DataFrame], DataFrame], ts: str, delay: str, label: str, end: str,
+) -> DataFrame:
+    """Process an event-time job up to the end of its input, the windows that
+    are open then included.
+
+    ``end`` is a time after everything. Once the input is processed, one row with
+    that time (and nothing else) arrives through a second folder; it moves the
+    watermark past all open windows, and its own window stays open for ever.
+    """
+    first = source()
+    spark = first.sparkSession
+    base = fresh_path(spark, label)
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in first.schema if f.name != ts]
+    mark = spark.range(1).select(*nothing, F.lit(end).cast(first.schema[ts].dataType).alias(ts))
+    mark.where("false").write.parquet(f"{base}/end")
+    for last in (False, True):
+        if last:
+            mark.write.mode("append").parquet(f"{base}/end")
+        marks = spark.readStream.schema(mark.schema).parquet(f"{base}/end")
+        stream = job(event_time(source().unionByName(marks), ts, delay))
+        stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out").option(
+            "checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
 class State:
     """State and output tables of a streaming job, by micro-batch.
 

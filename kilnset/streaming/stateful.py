@@ -58,33 +58,46 @@ def reassemble(batch: DataFrame, batch_id: int, state: State) -> None:
 
 
 def close_epochs(ranks: int) -> Callable[[DataFrame, int, State], None]:
-    """An epoch closes in the batch that brings the last rank's flag."""
+    """An epoch closes in the batch that brings the last rank's flag. Flags of a
+    closed epoch are dropped; the epoch's number alone is kept, so that late
+    repeats don't open it again."""
 
     def handle(batch: DataFrame, batch_id: int, state: State) -> None:
-        old = state.before(batch.sparkSession, "flags", batch_id, "epoch bigint, rank bigint")
-        seen = checkpoint(old.unionByName(batch.select("epoch", "rank")).distinct())
-
-        def full(flags):
-            return flags.groupBy("epoch").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == ranks).select("epoch")
-
-        state.write(seen, "flags", batch_id)
-        state.emit(full(seen).join(full(old), "epoch", "left_anti").withColumn("closed_in", F.lit(batch_id)), "closed", batch_id)
+        spark = batch.sparkSession
+        done = state.before(spark, "done", batch_id, "epoch bigint")
+        old = state.before(spark, "flags", batch_id, "epoch bigint, rank bigint")
+        fresh = batch.select("epoch", "rank").join(done, "epoch", "left_anti")
+        seen = checkpoint(old.unionByName(fresh).distinct())
+        full = checkpoint(seen.groupBy("epoch").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == ranks).select("epoch"))
+        state.write(seen.join(full, "epoch", "left_anti"), "flags", batch_id)
+        state.write(done.unionByName(full), "done", batch_id)
+        state.emit(full.withColumn("closed_in", F.lit(batch_id)), "closed", batch_id)
 
     return handle
 
 
-def batch_arrivals(batch_size: int) -> Callable[[DataFrame, int, State], None]:
-    """Batches by order of arrival: the state is the number of rows so far."""
+def batch_arrivals(batch_size: int, drop_last: bool = False) -> Callable[[DataFrame, int, State], None]:
+    """Batches by order of arrival, by id inside a micro-batch (files of one
+    micro-batch have no order). The state is the number of rows so far. With
+    ``drop_last`` rows wait in the state until their batch is full, so an
+    unfinished batch at the end of the input is never written."""
 
     def handle(batch: DataFrame, batch_id: int, state: State) -> None:
         spark = batch.sparkSession
         so_far = state.before(spark, "count", batch_id, "n bigint").first()
         offset = so_far["n"] if so_far else 0
         at = F.col("pos") + offset
+        schema = "sample_id bigint, batch_id bigint, pos_in_batch bigint"
+        held = state.before(spark, "open", batch_id, schema)
         placed = checkpoint(positions(batch, ["sample_id"])).select(
-            "sample_id", F.floor(at / batch_size).alias("batch_id"), (at % batch_size).alias("pos_in_batch"))
-        state.emit(placed, "batches", batch_id)
-        state.write(placed.agg((F.count(F.lit(1)) + offset).alias("n")), "count", batch_id)
+            F.col("sample_id").cast("bigint").alias("sample_id"), F.floor(at / batch_size).alias("batch_id"),
+            (at % batch_size).alias("pos_in_batch"))
+        total = placed.count() + offset
+        ready = F.col("batch_id") < total // batch_size if drop_last else F.lit(True)
+        both = held.unionByName(placed)  # less than a batch is held
+        state.emit(both.where(ready), "batches", batch_id)
+        state.write(both.where(~ready), "open", batch_id)
+        state.write(spark.createDataFrame([(total,)], "n bigint"), "count", batch_id)
 
     return handle
 
