@@ -13,7 +13,8 @@ pairs pass the length filter, the positional filter and the bitmap bound (each
 odd bit of two xored bitmaps needs a word that only one line has). What passes is
 verified on the words themselves. A line needs one earlier match only: the
 candidates with the nearest bitmaps are verified first, and lines that have more
-and no match yet go round again with all of them. Long lists are split into
+and no match yet go round again with all of them (other lines only join in where
+they share a prefix word of such a line). Long lists are split into
 blocks that meet pairwise in tasks of their own.
 """
 
@@ -39,6 +40,8 @@ PERCENT = 80
 SLOTS = 1 << 20
 #: Candidates of a line that are verified first.
 FIRST_CANDIDATES = 8
+#: Size of the filter that the second round looks words up in.
+FILTER_BITS = 1 << 23
 #: Members of a word's list that are compared in one task.
 LIST_BLOCK = 4096
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -52,7 +55,7 @@ class Lines:
     line with a word; ``word``/``line`` list its distinct words, line by line, by
     rising ``rarity`` class (a table over the low bits of the hash) and hash."""
 
-    def __init__(self, words: Words, rarity: np.ndarray | None = None):
+    def __init__(self, words: Words, rarity: np.ndarray | None = None, wanted: np.ndarray | None = None):
         self.words = words
         cut = np.flatnonzero(words.data == 10)
         before = np.searchsorted(cut, words.offsets[:-1])
@@ -62,6 +65,12 @@ class Lines:
         line = np.cumsum(fresh) - 1
         self.doc, self.number = words.doc[fresh], number[fresh].astype(np.int64)
         hashes = words.hashes()
+        if wanted is not None:  # lines without a wanted word are left out
+            hit = np.zeros(len(self.doc), dtype=bool)
+            hit[line[wanted[(hashes & np.uint64(len(wanted) - 1)).astype(np.int64)]]] = True
+            self.doc, self.number = self.doc[hit], self.number[hit]
+            inside = hit[line]
+            hashes, line = hashes[inside], (np.cumsum(hit) - 1)[line[inside]]
         # one sort on line, class and the high half of the hash
         value = line.astype(np.uint64) << np.uint64(40) | hashes >> np.uint64(32)
         if rarity is not None:
@@ -98,13 +107,13 @@ def _ranked(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.take(pa.array(np.argsort(batch.column(0).to_numpy(), kind="stable")))
 
 
-def _parts(batches: Iterator[pa.RecordBatch], rarity: np.ndarray | None = None):
+def _parts(batches: Iterator[pa.RecordBatch], rarity: np.ndarray | None = None, wanted: np.ndarray | None = None):
     """Rows and lines of each slice of each batch, by rising rank."""
     for batch in batches:
         batch = _ranked(batch)
         column = as_strings(batch.column(2))
         for a, b in slices(column, LOCAL_BYTES):
-            yield batch.slice(a, b - a), Lines(Words(column.slice(a, b - a)), rarity)
+            yield batch.slice(a, b - a), Lines(Words(column.slice(a, b - a)), rarity, wanted)
 
 
 def _same_sets(ranges: int):
@@ -157,21 +166,59 @@ def word_counts(source: DataFrame, slots: int = SLOTS) -> np.ndarray:
 def _chosen(column, lines: Lines) -> np.ndarray:
     """Indices of the lines that a column of line numbers names."""
     numbers, counts = split_binary(column, np.int32)
-    place = lines.doc.astype(np.int64) << 32 | lines.number
-    wanted = np.repeat(np.arange(len(counts)), counts).astype(np.int64) << 32 | numbers
-    at = np.searchsorted(place, wanted)
-    return at[place[np.minimum(at, len(place) - 1)] == wanted] if len(place) else at[:0]
+    return _at(lines, np.repeat(np.arange(len(counts)), counts).astype(np.int64) << 32 | numbers)
+
+
+def rarity_classes(counts: np.ndarray) -> np.ndarray:
+    """Quarter powers of two, frequent words last."""
+    return np.minimum(np.floor(4 * np.log2(counts + 1.0)), 255).astype(np.uint64)
+
+
+def _or_bits(width: int):
+    def run(table: pa.Table) -> pa.Table:
+        total = np.zeros(width, dtype=bool)
+        for at in table["at"]:
+            total[np.frombuffer(at.as_py(), np.int32)] = True
+        return pa.table({"piece": table["piece"][:1], "bits": pa.array([np.packbits(total).tobytes()], pa.binary())})
+
+    return run
+
+
+def asked_words(asks: DataFrame, rarity: np.ndarray, percent: int, bits: int = FILTER_BITS) -> np.ndarray:
+    """Filter of fixed size that knows the prefix words of the asking lines (it
+    may take other words for them, which costs time only)."""
+    pieces = 64
+    width = bits // pieces
+
+    def run(batches):
+        for rows, lines in _parts(batches, rarity):
+            at = np.unique(_chosen(rows.column(3), lines))
+            size = lines.n[at] - least_overlap(lines.n[at], percent) + 1
+            first = (np.cumsum(lines.n) - lines.n)[at]
+            take = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            place = np.unique(lines.word[take] & np.uint64(bits - 1)).astype(np.int64)
+            for i in np.unique(place // width).tolist():
+                part = (place[place // width == i] - i * width).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["piece", "at"])
+
+    found = asks.select("rank", "row", "text", "asks").mapInArrow(run, "piece int, at binary").groupBy("piece").applyInArrow(
+        _or_bits(width), "piece int, bits binary")
+    out = np.zeros(bits, dtype=bool)
+    for piece, packed in found.collect():  # ``bits`` bits
+        out[piece * width:(piece + 1) * width] = np.unpackbits(np.frombuffer(packed, np.uint8))
+    return out
 
 
-def _prefix_entries(counts: np.ndarray, percent: int, ranges: int):
+def _prefix_entries(rarity: np.ndarray, percent: int, ranges: int, wanted: np.ndarray | None = None):
     """Packed prefix entries of the lines that are the first of their set.
     ``marks`` names lines that an earlier document has, ``asks`` (if there) the
-    only lines that look for a match."""
-    # quarter powers of two, frequent words last
-    rarity = np.minimum(np.floor(4 * np.log2(counts + 1.0)), 255).astype(np.uint64)
+    only lines that look for a match; ``wanted`` words alone are sent then."""
+    packed = None if wanted is None else np.packbits(wanted)
 
     def run(batches):
-        for rows, lines in _parts(batches, rarity):
+        known = None if packed is None else np.unpackbits(packed).astype(bool)
+        for rows, lines in _parts(batches, rarity, known):
             lead = np.ones(len(lines.doc), dtype=bool)
             marks, each = split_binary(rows.column(3), np.int32)
             lead[_marked_lines(marks, each, lines)] = False
@@ -190,10 +237,12 @@ def _prefix_entries(counts: np.ndarray, percent: int, ranges: int):
             out["rank"], out["row"] = rank[lines.doc[sent]], row[lines.doc[sent]]
             bit = mix(lines.word + np.uint64(13))
             one = np.uint64(1) << (bit >> np.uint64(1)) % np.uint64(64)
-            bits = [np.bitwise_xor.reduceat(np.where((bit & np.uint64(1)) == np.uint64(j), one, np.uint64(0)), first)
+            parity = [np.bitwise_xor.reduceat(np.where((bit & np.uint64(1)) == np.uint64(j), one, np.uint64(0)), first)
                     if len(first) else one for j in range(2)]
-            out["s0"], out["s1"] = bits[0][sent], bits[1][sent]
+            out["s0"], out["s1"] = parity[0][sent], parity[1][sent]
             out["line"], out["n"], out["at"], out["asks"] = lines.number[sent], n[sent], spot, asks[sent]
+            if known is not None:
+                out = out[known[(out["key"] & np.uint64(len(known) - 1)).astype(np.int64)]]
             target = (((out["key"] >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
             by = np.argsort(target, kind="stable")
             out, target = out[by], target[by]
@@ -220,12 +269,16 @@ def _entries(blob: bytes) -> np.ndarray:
 
 
 def _marked_lines(marks, counts, lines: Lines) -> np.ndarray:
-    """Lines of which an earlier document has an equal one."""
-    doc = np.repeat(np.arange(len(counts)), counts)
+    """Lines of which an earlier document, or their own further up, has an equal one."""
     later = (marks & 1).astype(bool)
+    doc = np.repeat(np.arange(len(counts)), counts)[later]
+    return _at(lines, doc.astype(np.int64) << 32 | (marks[later] >> 1))
+
+
+def _at(lines: Lines, wanted: np.ndarray) -> np.ndarray:
     place = lines.doc.astype(np.int64) << 32 | lines.number
-    at = np.searchsorted(place, doc[later].astype(np.int64) << 32 | (marks[later] >> 1))
-    return np.unique(at)
+    at = np.searchsorted(place, wanted)
+    return at[place[np.minimum(at, len(place) - 1)] == wanted] if len(place) else at[:0]
 
 
 def _passing(e: np.ndarray, percent: int, side: np.ndarray | None = None):
@@ -395,12 +448,12 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     found = scratch.write(exchange(source.mapInArrow(_same_sets(ranges), ENTRY_SCHEMA)))
     marks = scratch.write(found.groupBy("rank", "row").agg(F.listagg("marks").alias("marks")))
     scratch.drop(found)
-    counts = word_counts(source)
+    rarity = rarity_classes(word_counts(source))
     empty = F.lit(b"")
     known = source.join(marks, ["rank", "row"], "left").withColumn("marks", F.coalesce("marks", empty))
 
-    def candidates(rows: DataFrame, first: int | None) -> DataFrame:
-        entries = rows.mapInArrow(_prefix_entries(counts, percent, ranges), ENTRY_SCHEMA)
+    def candidates(rows: DataFrame, first: int | None, wanted: np.ndarray | None = None) -> DataFrame:
+        entries = rows.mapInArrow(_prefix_entries(rarity, percent, ranges, wanted), ENTRY_SCHEMA)
         judged = scratch.write(entries.groupBy("bucket").applyInArrow(
             _judge_lists(percent, first), PAIR_SCHEMA + ", key long, entry binary"))
         pairs = judged.where("key is null").drop("key", "entry")
@@ -430,9 +483,10 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     lost = seen.where("match")
     asking = seen.where("not match and more")
     if not asking.isEmpty():
-        asks = source.join(marks, ["rank", "row"], "left").join(_numbers(asking, "asks"), ["rank", "row"], "left")
-        asks = asks.withColumn("marks", F.coalesce("marks", empty)).withColumn("asks", F.coalesce("asks", empty))
-        rest = scratch.write(candidates(asks, None))
+        numbers = scratch.write(_numbers(asking, "asks"))
+        wanted = asked_words(source.join(numbers, ["rank", "row"]), rarity, percent)
+        asks = known.join(numbers, ["rank", "row"], "left").withColumn("asks", F.coalesce("asks", empty))
+        rest = scratch.write(candidates(asks.select("rank", "row", "text", "marks", "asks"), None, wanted))
         lost = lost.unionByName(verified(rest).where("match"))
     out = known.join(_numbers(lost, "near"), ["rank", "row"], "left").withColumn("near", F.coalesce("near", empty))
     out = scratch.write(out.select("rank", "row", "text", "marks", "near").mapInArrow(
