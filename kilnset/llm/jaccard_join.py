@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from kilnset.llm.components import components, forest
 from kilnset.llm.groups import block_pairs, by_key, runs
 from kilnset.llm.repeats import (
-    ENTRY_SCHEMA, LOCAL_BYTES, NO_ID, emit_sets, exchange_sets, join_binary, named, range_count, split_binary)
+    ENTRY_SCHEMA, LOCAL_BYTES, NO_ID, emit_sets, exchange_sets, named, range_count, split_binary)
 from kilnset.llm.scratch import Scratch
 from kilnset.llm.words import Words, as_strings, mix, slices, window_hashes
 
@@ -42,6 +42,8 @@ PERCENT = 80
 FRAGMENTS = 8
 COLUMNS = 4096
 BLOCK = 512
+#: Text bytes behind a hash range: a document gets a row from each, so fewer are cheaper.
+RANGE_BYTES = 14 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -154,7 +156,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _heads(percent: int):
-    """The prefixes, packed."""
+    """The prefixes, in order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = batch.column(1).to_numpy(), batch.column(2).to_numpy()
@@ -162,13 +164,24 @@ def _heads(percent: int):
             size = np.minimum(m, m - least_overlap(n, percent) + 1)
             first = np.cumsum(counts) - counts
             at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), join_binary(keys[at], size).cast(pa.binary())],
-                ["id", "n", "m", "head"])
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(keys[at].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], ["id", "n", "m", "head"])
 
     return run
 
 
+def _prefixes_allow(percent: int):
+    """Condition on a pair with its leader: see ``_possible``."""
+    common = F.size(F.array_intersect("head", "lead_head"))
+    # hashes are ordered as unsigned numbers
+    flip = lambda c: F.element_at(c, -1).bitwiseXOR(F.lit(-(1 << 63)))
+    short = F.when(flip("head") <= flip("lead_head"), F.col("n")).otherwise(F.col("lead_n"))
+    least = F.ceil(percent * short / F.lit(100))
+    need = F.ceil(percent * (F.col("n") + F.col("lead_n")) / F.lit(100 + percent))
+    return (common > 0) & (common + least - 1 >= need)
+
+
 def _overlaps(keys: np.ndarray, doc: np.ndarray, members: int) -> np.ndarray:
     """Common keys of every two members: partial counts of each fragment of the
     order (so many keys that two members hold), summed per pair."""
@@ -205,7 +218,9 @@ def _possible(percent: int):
             if not apart.any():
                 continue
             n = group["n"].to_numpy()
-            keys, counts = split_binary(group["head"], np.uint64)
+            heads = group["head"].combine_chunks()
+            keys = np.ascontiguousarray(heads.flatten().to_numpy()).view(np.uint64)
+            counts = heads.value_lengths().to_numpy()
             common = _overlaps(keys, np.repeat(np.arange(len(n)), counts), len(n))
             last = keys[np.cumsum(counts) - 1]
             short = np.where(last[:, None] <= last[None, :], n[:, None], n[None, :])
@@ -246,7 +261,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     source = named(docs, key, text)
-    entries = source.mapInArrow(_sets(shingle, range_count(docs, text)), ENTRY_SCHEMA)
+    entries = source.mapInArrow(_sets(shingle, range_count(docs, text, RANGE_BYTES)), ENTRY_SCHEMA)
     sets = scratch.write(exchange_sets(entries, scratch).select("rank", "row", "n", "copies", "cls", "keys").mapInArrow(
         _activate(percent), "rank long, row long, n long, copies long, cls long, m long, keys binary"))
 
@@ -270,8 +285,13 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     scratch.drop(prefix, lead)
 
     segments = scratch.write(shapes.mapInArrow(_segments, "id long, fragment int, segment array<long>"))
+    heads = shapes.select("id", "n", "m", "keys").mapInArrow(_heads(percent), "id long, n long, m long, head array<long>")
+    heads = scratch.write(heads)
     right = segments.withColumnRenamed("id", "lead").withColumnRenamed("segment", "lead_segment")
-    partial = pairs.where("possible").join(segments, "id").join(right, ["lead", "fragment"])
+    near = pairs.where("possible").join(heads.select("id", "head"), "id").join(
+        heads.select(F.col("id").alias("lead"), F.col("head").alias("lead_head")), "lead")
+    near = near.where(_prefixes_allow(percent)).drop("head", "lead_head")
+    partial = near.join(segments, "id").join(right, ["lead", "fragment"])
     partial = partial.withColumn("part", F.size(F.array_intersect("segment", "lead_segment")))
     names = ["lead", "id", "lead_rank", "rank", "lead_n", "n"]
     summed = partial.groupBy(*names).agg(F.sum("part").alias("inter"))
@@ -287,7 +307,6 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).where("lo <> hi").select("lead", "blocks")
     blocks = members.join(open_, "lead").withColumn(
         "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    heads = shapes.select("id", "n", "m", "keys").mapInArrow(_heads(percent), "id long, n long, m long, head binary")
     names = "lead long, i int, j int, id long, rank long, n long, m long, component long, block int"
     blocks = by_key(block_pairs(blocks, "blocks", "block").drop("blocks").join(heads, "id"), "lead", "i", "j")
     blocks = scratch.write(blocks.mapInArrow(_possible(percent), names))

@@ -35,9 +35,9 @@ def named(docs: DataFrame, key: str, text: str) -> DataFrame:
                        F.xxhash64(docs[key].cast("long"), words).alias("row"), words.alias("text"))
 
 
-def range_count(docs: DataFrame, text: str) -> int:
+def range_count(docs: DataFrame, text: str, range_bytes: int = RANGE_BYTES) -> int:
     size = docs.agg(F.sum(F.octet_length(docs[text].cast("string")))).first()[0] or 0
-    return max(LEAST_RANGES, -(-int(size) // RANGE_BYTES))
+    return max(LEAST_RANGES, -(-int(size) // range_bytes))
 
 
 def split_binary(column, dtype) -> tuple[np.ndarray, np.ndarray]:
