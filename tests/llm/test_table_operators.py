@@ -8,8 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
-from brute import Union, words
-from conftest import SMALL
+from brute import SMALL, Union, words
 
 import __spark_entry__ as entry
 
