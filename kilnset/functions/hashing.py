@@ -46,9 +46,36 @@ def gaussian(u1: Column, u2: Column) -> Column:
     return F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
 
 
+def _stream(seed: np.ndarray, k: int) -> np.ndarray:
+    """The k-th uniform of each seed, in (0, 1)."""
+    x = seed + np.uint64((k * 0x9E3779B97F4A7C15) % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(12)).astype(float) / TWO_52 + 2.0**-54
+
+
+def _log_gamma_draw(alpha: float, seed: np.ndarray, first: int) -> np.ndarray:
+    """Logarithms of Gamma(alpha) draws, a whole batch at a time: rejection from
+    a normal for alpha + 1, then a power of a uniform."""
+    d = alpha + 1.0 - 1.0 / 3.0
+    c = 1.0 / math.sqrt(9.0 * d)
+    out, open_, k = np.zeros(len(seed)), np.arange(len(seed)), first
+    while len(open_):
+        s = seed[open_]
+        x = np.sqrt(-2.0 * np.log(_stream(s, k))) * np.cos(2.0 * math.pi * _stream(s, k + 1))
+        v = (1.0 + c * x) ** 3
+        fits = v > 0
+        log_v = np.log(np.where(fits, v, 1.0))
+        fits &= np.log(_stream(s, k + 2)) < 0.5 * x * x + d * (1.0 - v + log_v)
+        out[open_[fits]] = math.log(d) + log_v[fits]
+        open_, k = open_[~fits], k + 3
+    return out + np.log(_stream(seed, first + (1 << 20))) / alpha
+
+
 def beta_symmetric(alpha: float, tag: str, seed, epoch, *keys) -> Column:
-    """Beta(alpha, alpha): the middle order statistic of uniforms when alpha is
-    a whole number, otherwise a numpy draw seeded by the keyed uniform."""
+    """Beta(alpha, alpha): the middle order statistic of uniforms where alpha is
+    a whole number up to 32, otherwise the ratio of two Gamma draws, which follow
+    from the keyed uniform."""
     if float(alpha).is_integer() and 1 <= alpha <= 32:
         k = int(alpha)
         draws = F.array(*[uniform(f"{tag}{i}", seed, epoch, *keys) for i in range(2 * k - 1)])
@@ -56,7 +83,9 @@ def beta_symmetric(alpha: float, tag: str, seed, epoch, *keys) -> Column:
 
     @F.pandas_udf("double")
     def draw(u: pd.Series) -> pd.Series:
-        return u.map(lambda x: np.random.default_rng(int(x * TWO_52)).beta(alpha, alpha))
+        key = (u.to_numpy(dtype=float, na_value=0.0) * TWO_52).astype(np.uint64)
+        gap = _log_gamma_draw(alpha, key, 2) - _log_gamma_draw(alpha, key, 1 << 21)
+        return pd.Series(1.0 / (1.0 + np.exp(np.clip(-gap, -700, 700)))).where(u.notna().to_numpy())
 
     return draw(uniform(tag, seed, epoch, *keys))
 

@@ -106,3 +106,15 @@ def test_ranges_with_repeated_keys(spark):
     assert [(r.k, r.id) for r in out] == sorted((r.k, r.id) for r in out)
     sizes = [r["count"] for r in with_buckets(rows, ["k", "id"], buckets=64).groupBy("__b").count().collect()]
     assert len(sizes) > 40 and max(sizes) < 2500
+
+
+@pytest.mark.parametrize("alpha", [0.2, 0.5, 1.0, 2.5, 40.0])
+def test_beta_draws(spark, alpha):
+    from kilnset.functions.hashing import beta_symmetric
+
+    rows = spark.range(20000).select("id", beta_symmetric(alpha, "b", 1, 0, "id").alias("x"))
+    x = np.array([r.x for r in rows.orderBy("id").collect()])
+    assert ((x >= 0) & (x <= 1)).all() and abs(x.mean() - 0.5) < 0.02
+    assert abs(x.var() * 4 * (2 * alpha + 1) - 1) < 0.05
+    again = np.array([r.x for r in rows.repartition(3).orderBy("id").collect()])
+    assert (x == again).all()
