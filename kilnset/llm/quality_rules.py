@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from kilnset.llm.features import Linear, fit_rows
 from kilnset.llm.words import Words, as_strings, mix, slices, span_hashes, window_hashes
 
-#: Labelled rows the model is fitted on at most, the first by a hash of their id.
+#: Labelled rows the model is fitted on (on average), a share of the hashes of their ids.
 FIT_ROWS = 4000
 #: Probability of good quality from which a document is kept.
 THRESHOLD = 0.5
@@ -97,9 +97,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows_bound: int = FIT_RO
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(
         F.min("quality").cast("double").alias("target"))
-    chosen = known.withColumn("__h", F.xxhash64("doc_id")).orderBy("__h", "doc_id").limit(fit_rows_bound)
+    # a share of the hashes that holds ``fit_rows_bound`` ids on average
+    share = min(1.0, fit_rows_bound / max(1, known.count()))
+    chosen = known.withColumn("__h", F.xxhash64("doc_id")).where(
+        F.pmod(F.col("__h"), F.lit(1 << 30)) < int(share * (1 << 30)))
     text = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # the sample is bounded by ``fit_rows_bound`` rows of two numbers
+    # about ``fit_rows_bound`` rows of two numbers
     sample = text.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(
         F.min("text").alias("text"), F.min("target").alias("target"), F.min("__h").alias("h"))
 

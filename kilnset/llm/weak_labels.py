@@ -22,6 +22,7 @@ from kilnset.llm.features import BINS, Linear, fit_rows
 from kilnset.llm.quality_rules import SYMBOL, _again, _per_text, text_counts
 from kilnset.llm.words import SPACE, Words, as_strings, mix, slices
 
+#: Documents the scorer is fitted on (on average), a share of the hashes of id and text.
 FIT_ROWS = 4000
 THRESHOLD = 0.5
 LABELLERS = ["symbols", "marked", "letters", "repeats", "capitals", "shouting", "variety", "sentences", "lines", "lengths"]
@@ -131,7 +132,10 @@ def classify(docs: DataFrame, key: str = "doc_id", text: str = "text", fit_rows_
         return v, posterior[np.searchsorted(codes, _code(v))], words
 
     named = source.withColumn("h", F.xxhash64(F.col(key), "text"))
-    sample = named.select("h", "text").where("text is not null").orderBy("h", F.crc32("text")).limit(fit_rows_bound)
+    # a share of the hashes that holds ``fit_rows_bound`` rows on average; rows alike count once
+    share = min(1.0, fit_rows_bound / max(1, sum(n for _, n in found)))
+    sample = named.where("text is not null").where(F.pmod(F.col("h"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = sample.groupBy("h").agg(F.min("text").alias("text"))
 
     def train(table: pa.Table) -> pa.Table:
         column = as_strings(table["text"])
