@@ -183,6 +183,27 @@ def test_encoder_gives_the_ids_of_the_tokenizers_library(odd_texts):
     assert [byte_bpe()(t) for t in texts] == [e.ids for e in json.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_added_tokens_in_running_text(spark, odd_texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from kilnset.llm.packing import cut_documents, encoder
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> x", "<|endoftext|>", "<|endoftext|><|endoftext|>a", "x  <|endoftext|>  y\n<|endoftext|", "",
+             "<|ENDOFTEXT|> <|endof<|endoftext|>text|>", "'<|endoftext|>s \n <|endoftext|>\n", "é<|endoftext|>\U0001f600"]
+    texts += [t + "<|endoftext|>" + t[::-1] for _, t in odd_texts if t] + [t or "" for _, t in odd_texts]
+    texts += duckdb.sql(f"select text from '{SMALL}/documents.parquet' where text is not null").df().text.tolist()
+    wanted = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert wanted[0] == [64, 220, 50256, 2124]
+    assert [encoder()(t) for t in texts] == wanted
+    rows = spark.createDataFrame(list(enumerate(texts[:20])), "doc_id long, text string")
+    for r in cut_documents(rows, window=10**6).collect():
+        ids = [*wanted[r.doc_id], 0]
+        assert (r.start, r.length, r.doc_tokens) == (0, len(ids), len(ids))
+        assert r.ids_crc32 == zlib.crc32(np.array(ids, dtype="<u4"))
+
+
 def test_pack(spark, odd_docs, odd_texts):
     from kilnset.llm.packing import byte_bpe, pack
 
