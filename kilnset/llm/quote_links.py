@@ -3,8 +3,9 @@
 A line whose first marks are ``>`` (blanks between and before them allowed) is
 quoted, as deep as it has marks. Neighbouring lines of one depth are a passage.
 Quoted passages and what messages say themselves (the whole of it, each passage,
-each line) are normalised - lower case, white space runs as one blank, ends
-trimmed - and hashed. A quote links to the earliest message of its conversation
+each run of neighbouring lines, blank ones left out) are normalised - lower case,
+white space runs as one blank, ends trimmed - and hashed. Of the runs of several
+lines only those are hashed that begin like a quoted passage of as many lines. A quote links to the earliest message of its conversation
 that says the same, if that has a smaller turn. A message replies to the latest
 turn that its shallowest linked quotes come from. Messages are listed thread by
 thread: below the message they reply to, otherwise by turn.
@@ -44,6 +45,26 @@ def _passages(messages: DataFrame) -> DataFrame:
     return lines.groupBy("mid", "conv_id", "turn", "run", "depth").agg(body.alias("body"))
 
 
+def _said_lines(text: Column) -> Column:
+    return F.filter(F.transform(F.split(text, "\n"), normalised), lambda x: x != "")
+
+
+def _line_runs(whole: DataFrame, quotes: DataFrame, scratch: Scratch) -> DataFrame:
+    """conv_id, turn, unit: runs of two and more lines of ``(mid, conv_id, turn,
+    own)`` that have the first line and the number of lines of a passage quoted
+    in the conversation. A line is met by each such number once, not by each quote."""
+    heads = quotes.select("conv_id", _said_lines(F.col("body")).alias("said")).where(F.size("said") > 1)
+    heads = scratch.write(heads.select("conv_id", F.md5(F.get("said", F.lit(0))).alias("head"), F.size("said").alias("n")).distinct())
+    talks = heads.select("conv_id").distinct()
+    told = whole.join(talks, "conv_id", "left_semi").select("mid", "conv_id", "turn", _said_lines(F.col("own")).alias("said"))
+    told = scratch.write(told.where(F.size("said") > 1))
+    lines = told.select("mid", "conv_id", F.size("said").alias("of"), F.posexplode("said").alias("at", "line"))
+    starts = lines.select("mid", "conv_id", "of", "at", F.md5("line").alias("head")).join(heads, ["conv_id", "head"])
+    starts = starts.where(F.col("at") + F.col("n") <= F.col("of")).groupBy("mid").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
+    runs = told.join(starts, "mid").select("conv_id", "turn", "said", F.explode("runs").alias("run"))
+    return runs.select("conv_id", "turn", F.array_join(F.slice("said", F.col("run.at") + 1, F.col("run.n")), " ").alias("unit"))
+
+
 def link_quotes(messages: DataFrame) -> DataFrame:
     """One row per input row of ``(conv_id, turn, role, text)``: conv_id,
     position (from 0 in reply order), turn, role, reply_to (a turn), depth (0 for
@@ -73,6 +94,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     units = whole.select("conv_id", "turn", F.explode(F.concat(F.array("own"), F.split("own", "\n"))).alias("unit"))
     runs = parts.where("depth = 0 and turn is not null").select("conv_id", "turn", F.col("body").alias("unit"))
     units = units.unionByName(runs).withColumn("unit", normalised(F.col("unit"))).where("unit <> ''")
+    units = units.unionByName(_line_runs(whole, quotes, scratch))
     source = units.groupBy("conv_id", F.md5("unit").alias("key")).agg(F.min("turn").alias("said_at"))
     linked = quotes.join(source, ["conv_id", "key"], "left").withColumn(
         "said_at", F.when(F.col("said_at") < F.col("turn"), F.col("said_at")))

@@ -285,6 +285,49 @@ def test_quote_links_against_sql(spark):
     assert link_quotes(df.limit(0)).count() == 0
 
 
+def test_quotes_of_neighbouring_lines(spark):
+    from kilnset.llm.quote_links import link_quotes
+
+    rows = [
+        (1, 0, "a", "a\nb\nc"), (1, 1, "b", "> a\n> b\nyes"), (1, 2, "c", "> B\n>  c \nno"), (1, 3, "d", "> a\n> c\nno run"),
+        (1, 4, "e", "> b\n> a\nother order"), (1, 5, "f", "> c\n> d\ntoo long"), (1, 6, "g", ">> a\n>> b\n> yes\nboth"),
+        (2, 0, "a", "one\ntwo\n\nthree\nfour\n\nfive"), (2, 1, "b", "> two\n>\n> three\n> four\na"), (2, 2, "c", "> three\n> four\nb"),
+        (2, 3, "d", "> one\nfirst\n> two\n> three\nsecond\nthird"), (2, 4, "e", "> second\n> third\nof a quoting one"),
+        (3, 0, "a", "x\nx\nx\ny"), (3, 1, "b", "> x\n> y\nend"), (3, 2, "c", "> x\n> x\nstart"), (3, 3, "d", "> a\n> b\nelsewhere"),
+        (4, 0, "a", "> p\n> q\nbefore it was said"), (4, 1, "b", "o\np\nq"), (4, 2, "c", "n\np\nq\nr"), (4, 3, "d", "> p\n> q\nfirst of two"),
+        (5, None, "a", "k\nl\nm"), (5, 1, "b", "> k\n> l\nnobody's turn"),
+    ]
+    out = link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(out) == len(rows)
+    found = {(r.conv_id, r.turn): (r.n_quotes, r.n_linked, r.reply_to) for r in out if r.n_quotes}
+
+    def lines(text):  # what a message says itself, line by line
+        return [x for x in (" ".join(y.lower().split()) for y in text.split("\n") if not y.startswith(">")) if x]
+
+    wanted = {}
+    for conv, turn, _, text in rows:
+        passages, last = [], None
+        for line in text.split("\n"):
+            depth = len(line) - len(line.lstrip(">"))
+            if depth and depth == last:
+                passages[-1][1].append(line)
+            elif depth:
+                passages.append((depth, [line]))
+            last = depth
+        if not passages:
+            continue
+        links = []
+        for depth, part in passages:
+            said = lines("\n".join(x.lstrip(">") for x in part))
+            turns = [t for c, t, _, other in rows if c == conv and t is not None and any(
+                lines(other)[i:i + len(said)] == said for i in range(len(lines(other))))]
+            if turns and min(turns) < turn:
+                links.append((-depth, min(turns)))
+        wanted[conv, turn] = (len(passages), len(links), max(links)[1] if links else None)
+    assert found == wanted
+    assert found[1, 1] == (1, 1, 0) and found[1, 3] == (1, 0, None) and found[2, 3] == (2, 2, 0) and found[2, 4] == (1, 1, 3)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
