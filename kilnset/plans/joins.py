@@ -44,14 +44,15 @@ def _files(t):
 
 
 def _transcripts(t):
-    return t.conversations.where(F.length("text") < 200).select(F.concat("conv_id", F.lit("_"), "turn").alias("id"), "text")
+    return t.conversations.where("text is not null").select(F.concat("conv_id", F.lit("_"), "turn").alias("id"), "text")
 
 
 @query("transcript_join", "J3 F5", f"""
 select path, id, md5(text) as text_md5 from (select path, split_part(list_extract(string_split(path, '/'), -1), '.', 1) as id from ({FILES}))
 join ({TRANSCRIPTS}) using (id)""")
 def transcript_join(t):
-    matched, _ = J.transcript_join(_files(t), _transcripts(t), "id")
+    # as published, files of long transcripts are left out
+    matched, _ = J.transcript_join(_files(t), _transcripts(t).where(F.length("text") < 200), "id")
     return matched.select("path", "id", F.md5("text").alias("text_md5"))
 
 
@@ -59,6 +60,7 @@ def transcript_join(t):
 select path, id from (select path, split_part(list_extract(string_split(path, '/'), -1), '.', 1) as id from ({FILES}))
 where id not in (select id from ({TRANSCRIPTS}))""")
 def transcript_orphans(t):
+    # a long transcript is one: the twin, which drops these, lists their files too
     return J.transcript_join(_files(t), _transcripts(t), "id")[1]
 
 

@@ -219,3 +219,14 @@ def test_policy_tables():
     assert len(C.published_rows("imagenet")) == len(C.published_rows("cifar10")) == len(C.published_rows("svhn")) == 50
     assert len(C.published_rows("staged")) == 46
     assert [len(C.OP_RANGES[f]) for f in ("search", "autoaugment_extra", "crop_extra", "randaugment", "staged", "weighted", "gpu")] == [15, 4, 6, 16, 15, 15, 7]
+
+
+def test_files_of_long_transcripts_are_no_orphans(spark):
+    from types import SimpleNamespace
+
+    from kilnset.plans.joins import transcript_join, transcript_orphans
+
+    rows = [(1, 0, "user", "short"), (1, 1, "bot", "x" * 200), (1, 2, "user", "y" * 5000), (2, 0, "user", None), (2, 1, "bot", "")]
+    tables = SimpleNamespace(conversations=spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert [tuple(r) for r in transcript_orphans(tables).select("id", "path").collect()] == [("2_0", "wavs/user/2_0.wav")]
+    assert {r.id for r in transcript_join(tables).collect()} == {"1_0", "2_1"}
