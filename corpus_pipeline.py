@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kilnset.llm.jaccard_join import jaccard_components
 from kilnset.llm.line_dedup import dedup_lines
@@ -51,11 +52,25 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
 
 
+def row_mark(docs: DataFrame):
+    """A number that tells rows apart by all their columns. Hashes pass over
+    nulls, so these count beside the values; nested columns are hashed as JSON."""
+    cells = []
+    for field in docs.schema:
+        cell = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            cells.append(F.to_json(F.struct(cell), {"ignoreNullFields": "false"}))
+        else:
+            cells.append(cell)
+        cells.append(cell.isNull())
+    return F.xxhash64(*cells)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many rows of each document as the mix takes copies. Rows alike in id,
-    source and text are one document, with the copies of all of them."""
+    """As many rows of each document as the mix takes copies. Rows alike in all
+    columns are one document, with the copies of all of them."""
     text = text_column(docs)
-    rows = docs.withColumn("__mark", F.xxhash64("doc_id", "source", text))
+    rows = docs.withColumn("__mark", row_mark(docs))
     sized = rows.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
                         F.col("__mark").alias("mark"))
     taken = mix_sources(Scratch(spark, "mix-sizes").write(sized)).groupBy("mark").agg(

@@ -359,6 +359,24 @@ def test_pipeline_stages_on_odd_rows(spark, odd_texts):
     assert near.where("doc_id is null").count() == docs.where("doc_id is null").count()
 
 
+def test_mix_keeps_the_columns_of_each_row(spark):
+    import corpus_pipeline
+
+    text = " ".join(f"w{k}" for k in range(20))
+    rows = [(i % 4, text, lang, "s", 100 + i, [i, None], {"k": i}) for i, lang in enumerate(["en", "de", None, "fr"] * 10)]
+    rows += [(9, text, "en", "s", 200, None, None)] * 3
+    docs = spark.createDataFrame(
+        rows, "doc_id long, text string, lang string, source string, n_chars long, list array<int>, map map<string,int>")
+    out = corpus_pipeline.mix(spark, docs, SMALL)
+    assert out.columns == docs.columns
+    taken = Counter((r.doc_id, r.lang, r.n_chars, tuple(r.list or ()), tuple((r.map or {}).items())) for r in out.collect())
+    had = Counter((i, lang, n, tuple(a or ()), tuple((m or {}).items())) for i, _, lang, _, n, a, m in rows)
+    assert set(taken) == set(had)  # one source is taken 1.5 times: each row once or twice
+    assert all(had[x] <= n <= 2 * had[x] for x, n in taken.items())
+    marks = docs.limit(0).unionByName(docs).select(corpus_pipeline.row_mark(docs)).distinct().count()
+    assert marks == len(had)
+
+
 def test_registered_sql_twins(spark):
     from oracle import compare
 
