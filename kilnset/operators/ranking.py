@@ -25,13 +25,16 @@ from kilnset.functions.binding import bind
 #: Rows of a range: their number follows the data beyond twice the shuffle partitions.
 ROWS_PER_BUCKET = 1 << 20
 SAMPLES_PER_BUCKET = 12
+#: Ranges at most, which bounds the key sample (12 keys each) and the cut points
+#: in the plan; beyond 2^32 rows the ranges grow instead, and are sorted with spills.
+MOST_BUCKETS = 1 << 12
 #: Summary rows (one per range) that are broadcast; more are joined by shuffle.
 BROADCAST_BUCKETS = 1 << 16
 
 
 def default_buckets(df: DataFrame, rows: int) -> int:
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2, 2 * parts, -(-rows // ROWS_PER_BUCKET))
+    return max(2, min(MOST_BUCKETS, max(2 * parts, -(-rows // ROWS_PER_BUCKET))))
 
 
 def _cuts(df: DataFrame, key: Column, buckets: int, rows: int):
@@ -76,10 +79,12 @@ def with_buckets(
     groups: Sequence[str] = (),
     uniform: str | None = None,
     buckets: int | None = None,
+    count: int | None = None,
 ) -> DataFrame:
-    """Add ``__g`` (group struct, null safe) and ``__b`` (order range)."""
-    rows = df.count() if uniform is None else 0
-    buckets = buckets or default_buckets(df, rows or df.count())
+    """Add ``__g`` (group struct, null safe) and ``__b`` (order range). ``count``
+    is the number of rows, where it is known."""
+    rows = df.count() if count is None and (uniform is None or not buckets) else count
+    buckets = buckets or default_buckets(df, rows)
     group = F.struct(*[F.col(g) for g in groups]) if groups else F.lit(0)
     if uniform is not None:
         slot = F.least(F.floor(F.col(uniform) * buckets), F.lit(buckets - 1)).cast("int")
@@ -116,15 +121,18 @@ def positions(
     name: str = "pos",
     total: str | None = None,
     buckets: int | None = None,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """Zero-based position by ascending ``order`` (unique inside a group).
 
-    The input is read for the count, the key sample, the bucket sizes and the
-    rows themselves, the first three with key columns only: checkpoint an
+    ``ties`` order rows of equal ``order`` and cut no ranges: long columns belong
+    here. The input is read for the count, the key sample, the bucket sizes and
+    the rows themselves, the first three with key columns only: checkpoint an
     input that is costly to compute.
     """
-    buckets = buckets or default_buckets(df, df.count())
-    rows = with_buckets(df, order, groups, uniform, buckets)
+    count = df.count() if uniform is None or not buckets else None
+    buckets = buckets or default_buckets(df, count)
+    rows = with_buckets(df, order, groups, uniform, buckets, count)
     summary = rows.groupBy("__g", "__b").agg(F.count(F.lit(1)).alias("__n"))
     before, whole = _carry(summary, bool(groups))
     summary = summary.select(
@@ -132,7 +140,7 @@ def positions(
         F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"),
         F.sum("__n").over(whole).alias("__total"),
     )
-    inside = Window.partitionBy("__g", "__b").orderBy(*order)
+    inside = Window.partitionBy("__g", "__b").orderBy(*order, *ties)
     out = _join_summary(rows, summary, bool(groups), buckets).withColumn(
         name, (F.col("__off") + F.row_number().over(inside) - 1).cast("bigint")
     )
@@ -158,8 +166,9 @@ def running(
     rows = df
     for i, (_, expr) in enumerate(values.values()):
         rows = rows.withColumn(f"__v{i}", expr)
-    buckets = buckets or default_buckets(df, df.count())
-    rows = with_buckets(rows, order, groups, None, buckets)
+    count = df.count()
+    buckets = buckets or default_buckets(df, count)
+    rows = with_buckets(rows, order, groups, None, buckets, count)
     partial, carried, final = [], [], []
     before, _ = _carry(rows, bool(groups))
     inside = Window.partitionBy("__g", "__b").orderBy(*order)
