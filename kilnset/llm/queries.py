@@ -164,3 +164,52 @@ SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY [coalesce(x, -9
        turn, role, reply_to, len(path) - 1 AS depth, n_quotes, n_linked, text
 FROM threads
 """
+
+
+@register
+def op12_prefix_trie(spark, sf_dir):
+    from kilnset.llm.prefix_trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+SQL["op12_prefix_trie"] = r"""
+WITH ranked AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  -- crc32 of the decimal id: eight shifts a character, from all ones
+  SELECT conv_id, n, conv_id - conv_id % 100 AS family, xor(4294967295::bigint, list_reduce(
+           list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint)),
+           lambda s, b: list_reduce(list_prepend(xor(s, b), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda v, z:
+             CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::bigint) ELSE v >> 1 END))) % 6 AS h
+  FROM (SELECT conv_id, count(*) AS n FROM ranked GROUP BY conv_id)
+), whole AS (
+  SELECT c.conv_id, r.pos, r.role, r.text FROM convs c JOIN ranked r ON r.conv_id = c.family WHERE r.pos < c.h
+  UNION ALL
+  SELECT c.conv_id, r.pos - c.h + least(c.h, coalesce(a.n, 0)), r.role, r.text
+  FROM ranked r JOIN convs c USING (conv_id) LEFT JOIN convs a ON a.conv_id = c.family WHERE r.pos >= c.h
+), paths AS (
+  SELECT c.conv_id, coalesce(list(md5(length(role) || ':' || role || text) ORDER BY pos) FILTER (pos IS NOT NULL), []) AS ids,
+         coalesce(list(length(text) ORDER BY pos) FILTER (pos IS NOT NULL), []) AS sizes
+  FROM convs c LEFT JOIN whole w USING (conv_id) GROUP BY c.conv_id
+), prefixes AS (
+  SELECT conv_id, ids, sizes, unnest(range(0, len(ids) + 1)) AS depth FROM paths
+), nodes AS (
+  SELECT ids[1:depth] AS node, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         (count(*) - 1) * any_value(CASE WHEN depth > 0 THEN sizes[depth] ELSE 0 END) AS saved,
+         coalesce(string_agg(conv_id::varchar, ',' ORDER BY conv_id) FILTER (len(ids) = depth), '') AS ends
+  FROM prefixes GROUP BY ids[1:depth]
+), kids AS (
+  SELECT node[1:depth - 1] AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+), full_nodes AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids USING (node)
+), behind AS (
+  SELECT node[1:up] AS node, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM full_nodes) GROUP BY 1
+)
+SELECT n.conv_id, n.depth::bigint AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children,
+       b.n_leaves::bigint AS n_leaves, b.saved_tokens::bigint AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM full_nodes n JOIN behind b USING (node) LEFT JOIN full_nodes p ON n.depth > 0 AND p.node = n.node[1:n.depth - 1]
+"""
