@@ -166,6 +166,20 @@ FROM threads
 """
 
 
+@register
+def op11_secret_scan(spark, sf_dir):
+    from kilnset.llm.secret_scan import secrets
+
+    return secrets(table(spark, sf_dir, "documents"))
+
+
+@register
+def op13_collocations(spark, sf_dir):
+    from kilnset.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 @register
 def op12_prefix_trie(spark, sf_dir):
     from kilnset.llm.prefix_trie import prefix_trie
