@@ -34,34 +34,33 @@ def synonym_counts(t):
 
 
 FILES = "select 'wavs/' || role || '/' || conv_id || '_' || turn || '.wav' as path from conversations"
-TRANSCRIPTS = "select conv_id || '_' || turn as id, text from conversations where length(text) < 200"
+STEM = "split_part(list_extract(string_split(path, '/'), -1), '.', 1)"
 
 
-def _files(t):
-    path = F.concat(F.lit("wavs/"), "role", F.lit("/"), "conv_id", F.lit("_"), "turn", F.lit(".wav"))
-    files = t.conversations.select(path.alias("path"))
+def _stem(files):
+    """The file name without folder and extension, as the lookup key."""
     return files.withColumn("id", F.substring_index(F.element_at(F.split("path", "/"), -1), ".", 1))
 
 
-def _transcripts(t):
-    return t.conversations.where("text is not null").select(F.concat("conv_id", F.lit("_"), "turn").alias("id"), "text")
-
-
-@query("transcript_join", "J3 F5", f"""
-select path, id, md5(text) as text_md5 from (select path, split_part(list_extract(string_split(path, '/'), -1), '.', 1) as id from ({FILES}))
-join ({TRANSCRIPTS}) using (id)""")
+@query("transcript_join", "J3", f"""
+select path, id, md5(text) as text_md5 from (select path, {STEM} as id from ({FILES}))
+join (select conv_id || '_' || turn as id, text from conversations) using (id)""")
 def transcript_join(t):
-    # as published, files of long transcripts are left out
-    matched, _ = J.transcript_join(_files(t), _transcripts(t).where(F.length("text") < 200), "id")
+    path = F.concat(F.lit("wavs/"), "role", F.lit("/"), "conv_id", F.lit("_"), "turn", F.lit(".wav"))
+    files = _stem(t.conversations.select(path.alias("path")))
+    transcripts = t.conversations.select(F.concat("conv_id", F.lit("_"), "turn").alias("id"), "text")
+    matched, _ = J.transcript_join(files, transcripts, "id")
     return matched.select("path", "id", F.md5("text").alias("text_md5"))
 
 
 @query("transcript_orphans", "J3", f"""
-select path, id from (select path, split_part(list_extract(string_split(path, '/'), -1), '.', 1) as id from ({FILES}))
-where id not in (select id from ({TRANSCRIPTS}))""")
+select path, id from (select path, {STEM} as id from (select 'texts/' || lang || '/' || doc_id || '.txt' as path from documents))
+where id not in (select doc_id::varchar from labels where doc_id is not null)""")
 def transcript_orphans(t):
-    # a long transcript is one: the twin, which drops these, lists their files too
-    return J.transcript_join(_files(t), _transcripts(t), "id")[1]
+    # every document is a file, but only some have a row in the lookup
+    path = F.concat(F.lit("texts/"), "lang", F.lit("/"), "doc_id", F.lit(".txt"))
+    lookup = t.labels.select(F.col("doc_id").cast("string").alias("id"), "quality")
+    return J.transcript_join(_stem(t.documents.select(path.alias("path"))), lookup, "id")[1]
 
 
 SIZES = """sizes as (select 0 as ordinal, count(*) as n from documents union all select 1, count(*) from pages
