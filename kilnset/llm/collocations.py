@@ -36,7 +36,9 @@ from kilnset.llm.words import as_strings, span_hashes, text_bytes
 from kilnset.operators.ranking import positions
 
 #: Text bytes of a slice; a longer text is a slice of its own.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+#: Bytes that Python gets at once while streams and entries are worked on.
+BATCH_BYTES = 16 << 20
 #: Ranks of a tile, and tiles on either side that are dense.
 TILE = 1 << 10
 HEAD = 4
@@ -61,7 +63,7 @@ COUNT_SCHEMA = "lang string, ta long, tb long, a long, b long, n long, teller lo
 
 
 def _numbers(cell, dtype) -> np.ndarray:
-    raw = cell.as_py()
+    raw = cell.as_buffer() if cell.is_valid else None
     return np.frombuffer(raw, dtype=dtype) if raw else np.zeros(0, dtype)
 
 
@@ -69,6 +71,18 @@ def _blob(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
 
 
+def _stream_blob(stream: np.ndarray) -> bytes:
+    """Eight bytes that tell the width of the numbers, then four or eight bytes each."""
+    kind = np.int32 if not len(stream) or int(stream.max()) < 1 << 31 else np.int64
+    return np.int64(np.dtype(kind).itemsize).tobytes() + stream.astype(kind).tobytes()
+
+
+def _stream(cell) -> np.ndarray:
+    raw = cell.as_buffer()
+    kind = {4: np.int32, 8: np.int64}[int(np.frombuffer(raw, np.int64, 1)[0])]
+    return np.frombuffer(raw, dtype=kind, offset=8)
+
+
 def _gather(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The bytes of all spans, one after the other."""
     total = int(length.sum())
@@ -98,7 +112,7 @@ def _slice(texts: pa.Array) -> tuple | None:
     stream = np.full(len(start) + int(cut.sum()), -1, dtype=np.int64)
     stream[np.arange(len(start)) + np.cumsum(cut)] = index
     length = (end - start)[first]
-    return (len(start), _blob(stream), _blob(keys), _blob(counts.astype(np.int64)), _blob(length.astype(np.int64)),
+    return (len(start), _stream_blob(stream), _blob(keys), _blob(counts.astype(np.int64)), _blob(length.astype(np.int64)),
             _blob(_gather(data, start[first], length)))
 
 
@@ -200,9 +214,9 @@ def _pair_entries(ranges: int):
     def run(batches):
         for batch in batches:
             for i in range(len(batch)):
-                stream = _numbers(batch["stream"][i], np.int64)
+                stream = _stream(batch["stream"][i])
                 both = (stream[:-1] >= 0) & (stream[1:] >= 0)
-                a, b = stream[:-1][both], stream[1:][both]
+                a, b = stream[:-1][both].astype(np.int64), stream[1:][both].astype(np.int64)
                 inner = (a < HEAD * TILE) & (b < HEAD * TILE)
                 rows = []
                 x, y = a[inner], b[inner]
@@ -376,7 +390,7 @@ def _rewritten(words: bool):
     def run(batches):
         for batch in batches:
             for i in range(len(batch)):
-                stream = _numbers(batch["stream"][i], np.int64)
+                stream = _stream(batch["stream"][i])
                 told = _numbers(batch["told"][i], np.int64).reshape(-1, 3)
                 if words:
                     keys = _numbers(batch["keys"][i], np.uint64)
@@ -386,7 +400,7 @@ def _rewritten(words: bool):
                 else:
                     fresh = np.full(max(0, len(stream) - 1), -1, np.int64)
                     at = np.flatnonzero((stream[:-1] >= 0) & (stream[1:] >= 0))
-                    pairs = np.column_stack([stream[at], stream[at + 1]])
+                    pairs = np.column_stack([stream[at], stream[at + 1]]).astype(np.int64)
                     a, b, _ = _sorted_pairs(pairs[:, 0], pairs[:, 1])
                     found, ids = _matches(np.column_stack([a, b]), told)
                     fresh[at] = _looked_up(pairs, found, ids)
@@ -396,7 +410,7 @@ def _rewritten(words: bool):
                 if (fresh >= 0).any():
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([batch["slice"][i].as_py()], pa.int64()), pa.array([batch["lang"][i].as_py()]),
-                         pa.array([_blob(fresh)], pa.binary())], ["slice", "lang", "stream"])
+                         pa.array([_stream_blob(fresh)], pa.binary())], ["slice", "lang", "stream"])
     return run
 
 
@@ -446,7 +460,7 @@ def phrases(docs: DataFrame, least: int = 100, fan: int = FAN, slice_bytes: int
     count as often as they occur. An empty table gives no rows. Other columns do
     not matter.
     """
-    scratch = Scratch(docs.sparkSession, "collocations")
+    scratch = Scratch(docs.sparkSession, "collocations", BATCH_BYTES)
     ranges = range_count(docs, text)
     rows = docs.select(F.coalesce(docs[key].cast("string"), F.lit("und")).alias("lang"), text_column(docs, text).alias("text"))
     slices = scratch.write(rows.mapInArrow(_slices(slice_bytes), SLICE_SCHEMA))

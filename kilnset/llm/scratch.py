@@ -21,10 +21,13 @@ WHILE_WRITING = {
 
 
 class Scratch:
-    """Tables of one operator call."""
+    """Tables of one operator call; ``batch_bytes`` bounds what Python gets at once."""
 
-    def __init__(self, spark: SparkSession, label: str):
+    def __init__(self, spark: SparkSession, label: str, batch_bytes: int | None = None):
         self.spark = spark
+        self.settings = dict(WHILE_WRITING)
+        if batch_bytes:
+            self.settings["spark.sql.execution.arrow.maxBytesPerBatch"] = str(batch_bytes)
         self.root = fresh_path(spark, label)
         self.made = 0
 
@@ -32,9 +35,9 @@ class Scratch:
         """``df`` as a table of the shared folder, read back."""
         self.made += 1
         path = f"{self.root}/{self.made}"
-        before = {k: self.spark.conf.get(k) for k in WHILE_WRITING}
+        before = {k: self.spark.conf.get(k) for k in self.settings}
         try:
-            for k, v in WHILE_WRITING.items():
+            for k, v in self.settings.items():
                 self.spark.conf.set(k, v)
             df.write.option("compression", "zstd").parquet(path)
         finally:
