@@ -106,10 +106,10 @@ def image_header(content: Column) -> Column:
 
 
 def decode_bmp(content: Column) -> Column:
-    """Pixels of an uncompressed 24-bit BMP, row-major RGB."""
+    """Pixels of an uncompressed 24-bit BMP, row-major RGB bytes."""
     width, height = _number(content, 18, 4, False).cast("int"), F.abs(_signed32(_number(content, 22, 4, False))).cast("int")
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    @F.pandas_udf(T.BinaryType())
     def pixels(raw: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
         import numpy as np
 
@@ -118,7 +118,7 @@ def decode_bmp(content: Column) -> Column:
             stride = (w * 3 + 3) // 4 * 4
             rows = np.frombuffer(b, np.uint8, stride * h, start).reshape(h, stride)[:, :w * 3]
             upright = rows if struct.unpack("<i", b[22:26])[0] < 0 else rows[::-1]
-            return upright.reshape(h, w, 3)[:, :, ::-1].astype(np.int32).ravel()
+            return upright.reshape(h, w, 3)[:, :, ::-1].tobytes()
 
         return pd.Series([one(*row) for row in zip(raw, w, h)])
 

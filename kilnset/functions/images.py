@@ -1,22 +1,26 @@
-"""Image operations as array expressions.
-
-An image is a flat ``array<int>`` of row-major height x width x channel
-values in 0..255. Heights, widths and arguments may be numbers or columns, so
-one expression serves a table of mixed image shapes. Geometry follows the
-pixel-centre, nearest-neighbour convention; results are clipped, then
-truncated.
+"""Image operations on binary pixels.
+
+An image is one binary column, row-major height x width x channel bytes, with its
+height and width beside it. An operation is a *step*, a struct of a kernel's name
+and its numbers; numbers may be columns, so random places and signs stay functions
+of the key and are drawn in the plan. ``run`` takes the steps of each row through
+the kernels (``pixels``) in one pass over Arrow batches, so a whole policy costs one
+trip to Python and no shuffle. Boxes and sizes are column expressions.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from kilnset.functions import pixels
 from kilnset.functions.binding import bind
-from kilnset.functions.tensors import blend
 
 # Fill colours, principal colour components.
 MEAN_FILL = (125, 123, 114)
@@ -24,6 +28,7 @@ GREY_FILL = (128, 128, 128)
 BLACK_FILL = (0, 0, 0)
 PCA_EIGENVALUES = (0.2175, 0.0188, 0.0045)
 PCA_EIGENVECTORS = ((-0.5675, 0.7192, 0.4009), (-0.5808, -0.0045, -0.8140), (-0.5836, -0.6948, 0.4203))
+STEP = "struct<op: string, args: array<double>>"
 
 
 def _c(x) -> Column:
@@ -34,334 +39,96 @@ def _div(a, b) -> Column:
     return F.call_function("div", _c(a), _c(b)).cast("int")
 
 
-def _colour(fill, ch: Column) -> Column:
-    if isinstance(fill, (int, float)):
-        return F.lit(fill)
-    return F.get(F.array(*[F.lit(v) for v in fill]), ch)
-
-
-def gather(px: Column, h, w, c, out_h, out_w, source, fill=0, args=()) -> Column:
-    """Build an out_h x out_w image; ``source(x, y, *args) -> (sx, sy)`` names
-    the input pixel of each output pixel, outside ones take the fill colour."""
-
-    def build(px, h, w, c, out_h, out_w, *args):
-        def value(i):
-            ch, x, y = i % c, _div(i, c) % out_w, _div(i, c * out_w)
-            return bind(
-                lambda sx, sy: F.when(
-                    (sx >= 0) & (sx < w) & (sy >= 0) & (sy < h), F.get(px, ((sy * w + sx) * c + ch).cast("int"))
-                ).otherwise(_colour(fill, ch)),
-                *source(x, y, *args))
-
-        return F.transform(F.sequence(F.lit(0), (out_h * out_w * c - 1).cast("int")), value)
-
-    return bind(build, px, h, w, c, out_h, out_w, *args)
-
-
-def affine(px, h, w, c, m, fill=0) -> Column:
-    """Inverse affine map (a, b, c, d, e, f) of pixel centres."""
-
-    def source(x, y, a, b, t, d, e, f):
-        cx, cy = x + 0.5, y + 0.5
-        return F.floor(a * cx + b * cy + t), F.floor(d * cx + e * cy + f)
-
-    return gather(px, h, w, c, h, w, source, fill, m)
-
-
-def shear_x(px, h, w, c, v, fill=0):
-    return affine(px, h, w, c, (1.0, v, 0.0, 0.0, 1.0, 0.0), fill)
-
+def step(op: str, *numbers, fill=()) -> Column:
+    """One step; the numbers and the fill colour's values may be columns."""
+    fill = fill if isinstance(fill, (tuple, list)) else (fill,)
+    values = [_c(x).cast("double") for x in (*numbers, *fill)]
+    args = F.array(*values) if values else F.array().cast("array<double>")
+    return F.struct(F.lit(op).alias("op"), args.alias("args"))
 
-def shear_y(px, h, w, c, v, fill=0):
-    return affine(px, h, w, c, (1.0, 0.0, 0.0, v, 1.0, 0.0), fill)
 
+def when(condition: Column, then: Column) -> Column:
+    """The step where the condition holds, else nothing to do."""
+    return F.when(condition, then).otherwise(step("identity"))
 
-def translate_x(px, h, w, c, pixels, fill=0):
-    return affine(px, h, w, c, (1.0, 0.0, pixels, 0.0, 1.0, 0.0), fill)
 
-
-def translate_y(px, h, w, c, pixels, fill=0):
-    return affine(px, h, w, c, (1.0, 0.0, 0.0, 0.0, 1.0, pixels), fill)
-
-
-def rotate(px, h, w, c, degrees, fill=0):
-    """Counter-clockwise about the centre."""
+def angle(degrees) -> tuple[Column, Column]:
+    """The numbers of ``rotate``: counter-clockwise degrees."""
     r = -F.radians(_c(degrees))
+    return F.round(F.cos(r), 15), F.round(F.sin(r), 15)
 
-    def turn(px, cos, sin, cx, cy):
-        m = (cos, sin, cx - cos * cx - sin * cy, -sin, cos, cy + sin * cx - cos * cy)
-        return affine(px, h, w, c, m, fill)
-
-    return bind(turn, px, F.round(F.cos(r), 15), F.round(F.sin(r), 15), _c(w) / 2.0, _c(h) / 2.0)
-
-
-def flip(px, h, w, c):
-    return gather(px, h, w, c, h, w, lambda x, y, last: (last - x, y), args=(_c(w) - 1,))
-
-
-def crop(px, h, w, c, left, top, out_h, out_w, fill=0):
-    """Cut a box; parts outside the image take the fill colour."""
-    return gather(px, h, w, c, out_h, out_w, lambda x, y, dx, dy: (x + dx, y + dy), fill, (left, top))
-
-
-def pad(px, h, w, c, left, top, right, bottom, fill=0, mode: str = "constant"):
-    """Grow (or with negative sizes, cut) each side."""
-    hh, ww = _c(h), _c(w)
-    out_h, out_w = hh + _c(top) + _c(bottom), ww + _c(left) + _c(right)
-
-    def edge(v, n):
-        return F.least(F.greatest(v, F.lit(0)), n - 1)
-
-    def mirror(v, n):
-        period = F.greatest(2 * (n - 1), F.lit(1))
-        m = F.pmod(v, period)
-        return F.when(m < n, m).otherwise(period - m)
 
-    bend = {"constant": lambda v, n: v, "edge": edge, "reflect": mirror}[mode]
-    return gather(
-        px, h, w, c, out_h, out_w, lambda x, y, dx, dy, nx, ny: (bend(x - dx, nx), bend(y - dy, ny)), fill,
-        (left, top, ww, hh))
+def run(df: DataFrame, steps, px: str = "px", h: str = "h", w: str = "w") -> DataFrame:
+    """Take each row's image through ``steps``, a list of steps or a column of an
+    array of them. Rows without an image or a size stay as they are; an unknown op is
+    an error. Other columns pass through."""
+    if isinstance(steps, (list, tuple)):
+        steps = F.array(*steps) if steps else F.array().cast(f"array<{STEP}>")
+    sized = df.withColumns({h: F.col(h).cast("int"), w: F.col(w).cast("int")})
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in sized.schema])
+    return sized.withColumn("__steps", steps).mapInArrow(pixels.run_chains(px, h, w, "__steps"), schema)
 
 
-def pad_and_crop(px, h, w, c, v, off_x, off_y, fill=MEAN_FILL):
-    """Pad by v on each side, then cut the old size at (off_x, off_y)."""
-    return crop(px, h, w, c, _c(off_x) - v, _c(off_y) - v, h, w, fill)
-
-
-def paint_box(px, w, c, x0, y0, x1, y1, fill) -> Column:
-    """Fill columns x0..x1 and rows y0..y1 (both ends included)."""
-
-    def paint(px, w, c, x0, y0, x1, y1):
-        def value(p, i):
-            x, y = _div(i, c) % w, _div(i, c * w)
-            inside = (x >= x0) & (x <= x1) & (y >= y0) & (y <= y1)
-            return F.when(inside, _colour(fill, i % c)).otherwise(p)
-
-        return F.transform(px, value)
-
-    return bind(paint, px, w, c, x0, y0, x1, y1)
-
-
-def cutout_abs(px, h, w, c, v, u_x, u_y, fill=MEAN_FILL):
-    """Square of v pixels about a random point; its corner is clipped."""
-    x0 = F.floor(F.greatest(u_x * _c(w) - _c(v) / 2.0, F.lit(0.0)))
-    y0 = F.floor(F.greatest(u_y * _c(h) - _c(v) / 2.0, F.lit(0.0)))
-
-    def paint(px, x0, y0, v):
-        x1, y1 = F.floor(F.least(_c(w), x0 + v)), F.floor(F.least(_c(h), y0 + v))
-        return F.when(v < 0, px).otherwise(paint_box(px, w, c, x0, y0, x1, y1, fill))
-
-    return bind(paint, px, x0, y0, v)
-
-
-def cutout(px, h, w, c, share, u_x, u_y, fill=MEAN_FILL):
-    """Side as a share of the width."""
-    return F.when(_c(share) <= 0, px).otherwise(cutout_abs(px, h, w, c, _c(share) * _c(w), u_x, u_y, fill))
-
-
-def cutout_clipped(px, h, w, c, v: int, u_x, u_y, fill=MEAN_FILL):
-    """Box of half-width v // 2 on both sides of a random point, clipped."""
-    half = v // 2
-
-    def end(u, size, d):
-        return F.floor(F.least(F.greatest(u * _c(size) + d, F.lit(0.0)), _c(size).cast("double")))
-
-    return paint_box(px, w, c, end(u_x, w, -half), end(u_y, h, -half), end(u_x, w, half), end(u_y, h, half), fill)
-
-
-def cutout_square(px, h, w, c, half: int, u_x, u_y, fill=0):
-    """Half-open box [centre - half, centre + half) about a random pixel; on
-    floats after normalising (fill 0) or on pixels with a replace colour."""
-    return bind(
-        lambda px, cx, cy: paint_box(px, w, c, cx - half, cy - half, cx + half - 1, cy + half - 1, fill),
-        px, F.floor(u_x * _c(w)), F.floor(u_y * _c(h)))
-
-
-def invert(px):
-    return F.transform(px, lambda p: 255 - p)
-
-
-def solarize(px, threshold):
-    return bind(
-        lambda px, t: F.transform(px, lambda p: F.when(p < t, p).otherwise(255 - p)), px, threshold)
-
-
-def solarize_add(px, addition, threshold=128, below_only: bool = False):
-    """Add to every pixel, clip and solarize; or add only below the threshold."""
-    def clipped(p, a):
-        return F.least(F.greatest(p + a, F.lit(0)), F.lit(255)).cast("int")
-
-    if below_only:
-        return bind(
-            lambda px, a: F.transform(px, lambda p: F.when(p < threshold, clipped(p, a)).otherwise(p)), px, addition)
-    return solarize(bind(lambda px, a: F.transform(px, lambda p: clipped(p, a)), px, addition), threshold)
-
+def to_bytes(df: DataFrame, name: str) -> DataFrame:
+    """An array column of 0..255 as binary, whole batches at once."""
+    def packed(batches):
+        for batch in batches:
+            lists = batch[name]
+            values = lists.flatten().cast(pa.uint8())
+            ends = np.concatenate([[0], np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+            raw = pa.Array.from_buffers(pa.large_binary(), len(lists), [
+                None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(np.ascontiguousarray(values.to_numpy(zero_copy_only=False)).tobytes())])
+            yield batch.set_column(batch.schema.get_field_index(name), name, raw.cast(pa.binary()))
 
-def posterize(px, bits, at_least: int = 0):
-    """Keep the highest bits."""
-    step = F.pow(F.lit(2.0), F.lit(8) - F.greatest(_c(bits).cast("int"), F.lit(at_least))).cast("int")
-    return bind(lambda px, s: F.transform(px, lambda p: p - p % s), px, step)
+    schema = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == name else f.dataType) for f in df.schema])
+    return df.mapInArrow(packed, schema)
 
 
-def luma(px, c: int) -> Column:
-    """Grey value per pixel, weights 19595, 38470, 7471 in 1/65536."""
-    if c == 1:
-        return px
-    return bind(
-        lambda px: F.transform(
-            F.sequence(F.lit(0), _div(F.size(px), 3) - 1),
-            lambda k: F.shiftright(
-                F.get(px, k * 3) * 19595 + F.get(px, k * 3 + 1) * 38470 + F.get(px, k * 3 + 2) * 7471 + 32768, 16)),
-        px)
+def map_images(df: DataFrame, name: str, kind: str, body: Callable, inputs=(), px: str = "px", h: str = "h", w: str = "w") -> DataFrame:
+    """Add a column of Spark type ``kind``: ``body(image, *inputs)`` of each image."""
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema]).add(name, kind)
+    arrow = {"binary": pa.binary(), "double": pa.float64(), "string": pa.string()}[kind]
 
+    def mapped(batches):
+        for batch in batches:
+            images = (pixels.image(raw.as_buffer(), a, b) for raw, a, b in zip(
+                batch[px], batch[h].to_pylist(), batch[w].to_pylist()))
+            more = [batch[i].to_pylist() for i in inputs]
+            out = [body(img, *row) for img, *row in zip(images, *more)]
+            yield batch.append_column(name, pa.array(out, arrow))
 
-def _toward(px, f, degenerate) -> Column:
-    """Blend ``degenerate(px)`` with the image by factor f."""
-    return bind(lambda px, f: bind(lambda d: blend(d, px, f), degenerate(px)), px, _c(f))
+    return df.mapInArrow(mapped, schema)
 
 
-def brightness(px, f):
-    return _toward(px, f, lambda px: F.transform(px, lambda p: F.lit(0)))
+def hwc_to_chw(df: DataFrame, out: str, px: str = "px", h: str = "h", w: str = "w") -> DataFrame:
+    """Add the image with its channels one after the other."""
+    return map_images(df, out, "binary", lambda img: np.ascontiguousarray(img.transpose(2, 0, 1)).tobytes(), (), px, h, w)
 
 
-def contrast(px, c: int, f, count_mean: bool = False):
-    """Blend with the mean grey. ``count_mean`` takes pixels / 256 as the
-    mean, as one port of this op does."""
+def chw_to_hwc(df: DataFrame, out: str, px: str = "px", h: str = "h", w: str = "w") -> DataFrame:
+    """The way back."""
+    def turn(img):
+        high, wide, channels = img.shape
+        return np.ascontiguousarray(img.reshape(channels, high, wide).transpose(1, 2, 0)).tobytes()
 
-    def flat(px):
-        if count_mean:
-            mean = F.floor(F.size(px) / (c * 256.0)).cast("int")
-        else:
-            mean = bind(
-                lambda grey: F.floor(F.aggregate(grey, F.lit(0), lambda a, p: a + p) / F.size(grey) + 0.5).cast("int"),
-                luma(px, c))
-        return bind(lambda m: F.transform(px, lambda p: m), mean)
+    return map_images(df, out, "binary", turn, (), px, h, w)
 
-    return _toward(px, f, flat)
 
+def tensor(img: np.ndarray, stats) -> np.ndarray:
+    """``(p / 255 - mean[c]) / std[c]`` as doubles."""
+    mean, std = (np.asarray(x[:img.shape[2]]) for x in stats)
+    return (img / 255.0 - mean) / std
 
-def colour(px, c: int, f):
-    return _toward(
-        px, f, lambda px: bind(lambda grey: F.transform(px, lambda p, i: F.get(grey, _div(i, c))), luma(px, c)))
 
+def weighted(values: np.ndarray) -> float:
+    """Order-sensitive sum, ``sum(x[i] * (i + 1))`` of the flat values."""
+    flat = values.ravel()
+    return float(np.dot(flat, np.arange(1, flat.size + 1)))
 
-def smooth(px, h, w, c):
-    """3 x 3 mean with centre weight 5, over 13; the border is kept."""
 
-    def build(px, hh, ww, cc):
-        def value(p, i):
-            x, y = _div(i, cc) % ww, _div(i, cc * ww)
-            near = F.lit(0)
-            for dy in (-1, 0, 1):
-                for dx in (-1, 0, 1):
-                    near = near + F.get(px, (i + (dy * ww + dx) * cc).cast("int")) * (5 if dx == dy == 0 else 1)
-            border = (x == 0) | (y == 0) | (x == ww - 1) | (y == hh - 1)
-            return F.when(border, p).otherwise(F.floor(near / 13.0 + 0.5).cast("int"))
-
-        return F.transform(px, value)
-
-    return bind(build, px, h, w, c)
-
-
-def sharpness(px, h, w, c, f):
-    return _toward(px, f, lambda px: smooth(px, h, w, c))
-
-
-def _channels(px, c: int) -> list[Column]:
-    n = _div(F.size(px), c)
-    return [F.transform(F.sequence(F.lit(0), n - 1), _every(px, c, ch)) for ch in range(c)]
-
-
-def _every(px, c: int, ch: int):
-    return lambda k: F.get(px, k * c + ch)
-
-
-def autocontrast(px, c: int):
-    """Stretch every channel to 0..255; a flat channel is unchanged."""
-
-    def stretch(px, low, scale):
-        def value(p, i):
-            k, lo = F.get(scale, i % c), F.get(low, i % c)
-            moved = F.least(F.greatest(p * k - lo * k, F.lit(0.0)), F.lit(255.0)).cast("int")
-            return F.when(k > 0, moved).otherwise(p)
-
-        return F.transform(px, value)
-
-    def ranges(px):
-        ends = F.array(*[
-            bind(lambda ch: F.struct(F.array_min(ch).alias("lo"), F.array_max(ch).alias("hi")), x) for x in _channels(px, c)])
-        return bind(
-            lambda e: bind(
-                stretch, px, F.transform(e, lambda r: r["lo"]),
-                F.transform(e, lambda r: F.when(r["hi"] > r["lo"], F.lit(255.0) / (r["hi"] - r["lo"])).otherwise(0.0))),
-            ends)
-
-    return bind(ranges, px)
-
-
-def _below(ordered: Column, steps: Column, v: Column) -> Column:
-    """How many entries of a sorted array are < v, by binary search."""
-    return F.aggregate(
-        steps, F.lit(0),
-        lambda acc, s: F.when(F.get(ordered, acc + s - 1) < v, acc + s).otherwise(acc))
-
-
-def _equalize_table(channel: Column) -> Column:
-    def table(ordered, steps, step):
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(255)),
-            lambda v: F.when(step == 0, v).otherwise(
-                F.least(_div(_div(step, 2) + _below(ordered, steps, v), F.greatest(step, F.lit(1))), F.lit(255))))
-
-    def prepare(ordered):
-        powers = F.array(*[F.lit(1 << k) for k in range(24, -1, -1)])
-        return bind(
-            lambda steps, top: bind(table, ordered, steps, _div(_below(ordered, steps, top), 255)),
-            F.filter(powers, lambda p: p <= F.size(ordered)), F.get(ordered, F.size(ordered) - 1))
-
-    return bind(prepare, F.sort_array(channel))
-
-
-def equalize(px, c: int):
-    """Histogram equalisation per channel through a 256-entry table; counts
-    come from one sort per channel."""
-
-    def build(px):
-        tables = F.array(*[_equalize_table(x) for x in _channels(px, c)])
-        return bind(lambda t: F.transform(px, lambda p, i: F.get(F.get(t, i % c), p)), tables)
-
-    return bind(build, px)
-
-
-def lighting(values, c: int, alphas):
-    """Add the colour shift ``eigvec . (alpha * eigval)`` to each channel."""
-
-    def shifts(a):
-        return F.array(*[
-            sum((F.lit(PCA_EIGENVECTORS[ch][k] * PCA_EIGENVALUES[k]) * F.get(a, F.lit(k)) for k in range(3)), F.lit(0.0))
-            for ch in range(c)])
-
-    return bind(
-        lambda values, a: bind(lambda t: F.transform(values, lambda v, i: v + F.get(t, i % c)), shifts(a)),
-        values, F.array(*alphas))
-
-
-def colour_jitter(px, c: int, f_bright, f_contrast, f_colour, first: Column):
-    """Brightness, contrast and saturation, starting at op ``first`` (0..2)
-    and going round."""
-
-    def chain(px, fb, fc, fs, first):
-        ops = [lambda p: brightness(p, fb), lambda p: contrast(p, c, fc), lambda p: colour(p, c, fs)]
-
-        def run(start):
-            out = px
-            for k in range(3):
-                out = ops[(start + k) % 3](out)
-            return out
-
-        return F.when(first == 0, run(0)).when(first == 1, run(1)).otherwise(run(2))
-
-    return bind(chain, px, f_bright, f_contrast, f_colour, first)
+def colour_shift(alphas) -> list[Column]:
+    """The shift ``eigvec . (alpha * eigval)`` of each channel."""
+    return [sum((F.lit(PCA_EIGENVECTORS[ch][k] * PCA_EIGENVALUES[k]) * alphas[k] for k in range(3)), F.lit(0.0)) for ch in range(3)]
 
 
 def centre_box(h, w, size: int):
@@ -374,15 +141,6 @@ def centre_box(h, w, size: int):
     return left, top, right - left, bottom - top
 
 
-def centre_crop(px, h, w, c, size_h: int, size_w: int):
-    """Plain centre crop, zero padded when the image is smaller."""
-    hh, ww = _c(h), _c(w)
-    pad_l, pad_t = F.greatest(_div(size_w - ww, 2), F.lit(0)), F.greatest(_div(size_h - hh, 2), F.lit(0))
-    left = F.when(ww < size_w, -pad_l).otherwise(F.bround((ww - size_w) / 2.0).cast("int"))
-    top = F.when(hh < size_h, -pad_t).otherwise(F.bround((hh - size_h) / 2.0).cast("int"))
-    return crop(px, h, w, c, left, top, size_h, size_w)
-
-
 def _first_valid(tries: Column, fallback: Column) -> Column:
     return F.coalesce(F.get(F.filter(tries, lambda t: t["ok"]), F.lit(0))["box"], fallback)
 
@@ -457,52 +215,3 @@ def short_side_size(h, w, size: int):
     out_w = F.when(ww <= hh, F.lit(size)).otherwise(F.floor(ww * size / hh)).cast("int")
     out_h = F.when(ww <= hh, F.floor(hh * size / ww)).otherwise(F.lit(size)).cast("int")
     return out_h, out_w
-
-
-def _cubic_weights(start: float, length: float, size: int, out: int) -> np.ndarray:
-    """out x size matrix of bicubic (a = -0.5) weights over [start, start + length)."""
-    scale = length / out
-    stretch = max(scale, 1.0)
-    centre = start + (np.arange(out) + 0.5) * scale
-    d = np.abs((np.arange(size)[None, :] + 0.5 - centre[:, None]) / stretch)
-    near = (1.5 * d - 2.5) * d * d + 1
-    far = ((-0.5 * d + 2.5) * d - 4) * d + 2
-    m = np.where(d < 1, near, np.where(d < 2, far, 0.0))
-    return m / m.sum(axis=1, keepdims=True)
-
-
-def _resize_one(px, h, w, c, left, top, bw, bh, out_h, out_w) -> np.ndarray:
-    img = np.asarray(px, dtype=float).reshape(h, w, c)
-
-    def to_pixels(x):
-        return np.clip(np.floor(x + 0.5), 0, 255)
-
-    img = to_pixels(np.einsum("ox,yxc->yoc", _cubic_weights(left, bw, w, out_w), img))
-    return to_pixels(np.einsum("oy,yxc->oxc", _cubic_weights(top, bh, h, out_h), img)).astype(np.int32).ravel()
-
-
-def resize_boxes(df: DataFrame, px: str, c: int, names: dict[str, str] | None = None) -> DataFrame:
-    """Bicubic resize of a box per image (interpolation needs dense matrices:
-    numpy). Columns h, w, left, top, box_h, box_w, out_h, out_w give the
-    geometry; ``names`` maps them to other column names. A map over whole
-    batches, so image expressions are finished before Python sees them."""
-    use = {k: (names or {}).get(k, k) for k in ("h", "w", "left", "top", "box_w", "box_h", "out_h", "out_w")}
-
-    def run(batches):
-        for pdf in batches:
-            rows = zip(*[pdf[use[k]] for k in ("h", "w", "left", "top", "box_w", "box_h", "out_h", "out_w")])
-            pdf[px] = [
-                _resize_one(p, h, w, c, left, top, bw, bh, oh, ow)
-                for p, (h, w, left, top, bw, bh, oh, ow) in zip(pdf[px], rows)]
-            yield pdf
-
-    return df.mapInPandas(run, df.schema)
-
-
-def resize(df: DataFrame, px: str, h: str, w: str, c: int, out_h, out_w) -> DataFrame:
-    """Bicubic resize of whole images."""
-    zero = F.lit(0)
-    boxed = df.withColumns({
-        "__left": zero, "__top": zero, "__bw": F.col(w), "__bh": F.col(h), "__oh": _c(out_h), "__ow": _c(out_w)})
-    names = {"h": h, "w": w, "left": "__left", "top": "__top", "box_w": "__bw", "box_h": "__bh", "out_h": "__oh", "out_w": "__ow"}
-    return resize_boxes(boxed, px, c, names).drop("__left", "__top", "__bw", "__bh", "__oh", "__ow")

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,26 +72,46 @@ def top_k(a: Column, k: int) -> Column:
     return F.transform(F.slice(F.sort_array(keyed, False), 1, k), lambda s: -s["i"])
 
 
-def normalise(pixels: Column, channels: int, stats: str) -> Column:
-    """``(p / 255 - mean[c]) / std[c]`` with c = index % channels."""
-    mean, std = CHANNEL_STATS[stats]
-    m = F.array(*[F.lit(x) for x in mean[:channels]])
-    s = F.array(*[F.lit(x) for x in std[:channels]])
-    return F.transform(pixels, lambda p, i: (p / F.lit(255.0) - F.get(m, i % channels)) / F.get(s, i % channels))
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of all lists of a batch as doubles, and the length of each."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(float), sizes
 
 
-def hwc_to_chw(pixels: Column, channels: int) -> Column:
-    def move(px, plane):
-        return F.transform(px, lambda _, i: F.get(px, (i % plane) * channels + F.floor(i / plane).cast("int")))
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
-    return bind(lambda px: bind(move, px, (F.size(px) / channels).cast("int")), pixels)
 
+def blend_arrays(a: Column, b: Column, weight_a: Column) -> Column:
+    """Element-wise ``a*w + b*(1-w)`` of arrays of one length, a batch at a time."""
 
-def chw_to_hwc(pixels: Column, channels: int) -> Column:
-    def move(px, plane):
-        return F.transform(px, lambda _, i: F.get(px, (i % channels) * plane + F.floor(i / channels).cast("int")))
+    @F.arrow_udf("array<double>")
+    def blended(a: pa.Array, b: pa.Array, w: pa.Array) -> pa.Array:
+        (x, n), (y, m) = _flat(a), _flat(b)
+        if (n != m).any():
+            raise ValueError("arrays of different lengths")
+        each = np.repeat(w.to_numpy(zero_copy_only=False), n)
+        return _lists(x * each + y * (1.0 - each), n)
 
-    return bind(lambda px: bind(move, px, (F.size(px) / channels).cast("int")), pixels)
+    return blended(a, b, weight_a.cast("double"))
+
+
+def add_scaled(a: Column, noise: Column, prop: Column, share: float) -> Column:
+    """``a + noise * prop * share``: a longer noise is cut, a shorter one goes on in silence."""
+
+    @F.arrow_udf("array<double>")
+    def louder(a: pa.Array, b: pa.Array, p: pa.Array) -> pa.Array:
+        (x, n), (y, m) = _flat(a), _flat(b)
+        start = np.concatenate([[0], np.cumsum(n)[:-1]])
+        place = np.arange(len(x)) - np.repeat(start, n)
+        heard = place < np.repeat(m, n)
+        other = np.zeros(len(x))
+        begin = np.concatenate([[0], np.cumsum(m)[:-1]])
+        other[heard] = y[(np.repeat(begin, n) + place)[heard]]
+        return _lists(x + other * np.repeat(p.to_numpy(zero_copy_only=False), n) * share, n)
+
+    return louder(a, noise, prop.cast("double"))
 
 
 def standardise(a: Column) -> Column:
@@ -108,18 +130,6 @@ def fit_length(a: Column, length: int) -> Column:
     return F.concat(F.slice(a, 1, length), pad)
 
 
-def blend(a: Column, b: Column, factor) -> Column:
-    """``a + factor * (b - a)``, clipped to 0..255 and truncated."""
-
-    def mix(a, b, f):
-        return F.zip_with(
-            a, b,
-            lambda x, y: F.least(F.greatest(x.cast("double") + f * (y.cast("double") - x.cast("double")), F.lit(0.0)),
-                                 F.lit(255.0)).cast("int"))
-
-    return bind(mix, a, b, factor if isinstance(factor, Column) else float(factor))
-
-
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def half_spectrum(a: pd.Series) -> pd.Series:
     """Magnitudes of the first half of the Fourier spectrum."""

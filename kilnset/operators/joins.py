@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kilnset.functions.binding import bind
 from kilnset.functions.hashing import beta_symmetric, pick, uniform
+from kilnset.functions.tensors import add_scaled, blend_arrays
 from kilnset.operators.ranking import positions, running
 from kilnset.session import checkpoint
 
@@ -71,13 +71,6 @@ def concat_index(datasets: list[DataFrame], key: str) -> DataFrame:
         "global_idx", F.col("__start") + F.col("local_idx")).drop("__start")
 
 
-def blend_arrays(a: Column, b: Column, weight_a: Column) -> Column:
-    """Element-wise ``a*w + b*(1-w)``."""
-    return bind(
-        lambda a, b, w: F.zip_with(a, b, lambda x, y: x.cast("double") * w + y.cast("double") * (F.lit(1.0) - w)),
-        a, b, weight_a)
-
-
 def mixup(df: DataFrame, key: str, data: str, target: str, seed: int, epoch: int, alpha: float = 1.0) -> DataFrame:
     """Mix every row of a batch with a permuted row of the same batch; one
     lambda per batch, at least one half. Windows are per batch, so bounded."""
@@ -94,12 +87,18 @@ def mixup(df: DataFrame, key: str, data: str, target: str, seed: int, epoch: int
 
 
 def random_partner(df: DataFrame, pool: DataFrame, key: str, pool_key: str, seed: int, tag: str = "pair") -> DataFrame:
-    """Give every row of ``df`` one random row of ``pool`` (with replacement)
-    by a join on the pool's positions."""
-    size = pool.agg(F.count(F.lit(1)).alias("n"))
-    asked = df.withColumn("__n", size.scalar()).withColumn(
-        "__at", pick(uniform(tag, seed, 0, key), F.col("__n"))).drop("__n")
-    return asked.join(positions(pool, [pool_key], name="__at"), "__at").drop("__at")
+    """Give every row of ``df`` one random row of ``pool`` (with replacement) by a
+    join on the pool's positions. A pool with fewer rows than there are tasks is
+    replicated, so that its few rows do not become few join keys; that adds at most
+    two rows a task."""
+    size = pool.count()
+    tasks = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copies = max(1, -(-tasks // max(size, 1)))
+    asked = df.withColumn("__at", pick(uniform(tag, seed, 0, key), size)).withColumn(
+        "__copy", F.pmod(F.xxhash64(key), F.lit(copies)).cast("int"))
+    ranked = positions(pool, [pool_key], name="__at").withColumn(
+        "__copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    return asked.join(ranked, ["__at", "__copy"]).drop("__at", "__copy")
 
 
 def sample_pairing(df: DataFrame, key: str, image: str, v: float, seed: int) -> DataFrame:
@@ -115,9 +114,5 @@ def add_noise(df: DataFrame, noises: DataFrame, key: str, audio: str, noise_key:
     pool = noises.select(F.col(noise_key).alias("noise_id"), F.col(noise).alias("__noise"))
     rows = random_partner(df, pool, key, "noise_id", seed, "noise")
     prop = F.array_max(audio).cast("double") / F.array_max("__noise").cast("double")
-    cut = F.slice("__noise", 1, F.size(audio))
-    louder = bind(
-        lambda a, n, p: F.zip_with(
-            a, n, lambda x, y: x.cast("double") + F.coalesce(y.cast("double"), F.lit(0.0)) * p * F.lit(scale)),
-        F.col(audio), cut, F.col("prop"))
-    return rows.withColumn("prop", prop).withColumn("noisy", louder).drop("__noise")
+    noisy = add_scaled(F.col(audio), F.col("__noise"), F.col("prop"), scale)
+    return rows.withColumn("prop", prop).withColumn("noisy", noisy).drop("__noise")

@@ -7,6 +7,8 @@ tables are joined.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,20 +166,24 @@ def mixed_chains(
         "weight", F.col("__share") * (1 - F.col("original_weight"))).drop("__share")
 
 
+def _mixed(batches):
+    for batch in batches:
+        out = []
+        for original, share, chains in zip(batch["__o"], batch["__w0"].to_pylist(), batch["__c"].to_pylist()):
+            total = np.frombuffer(original.as_buffer(), dtype=np.uint8) * share
+            for chain in chains:
+                total = total + np.frombuffer(chain["px"], dtype=np.uint8) * chain["weight"]
+            out.append(np.round(total, 9).astype(np.uint8).tobytes())
+        yield pa.RecordBatch.from_arrays([batch[0], pa.array(out, pa.binary())], [batch.schema.names[0], "mixed"])
+
+
 def mix_chains(chains: DataFrame, key: str, original: str, augmented: str) -> DataFrame:
-    """Weighted sum of the original and its chains (a few rows per sample),
-    truncated to pixels."""
+    """Weighted sum of the original and its chains (a few rows per sample), truncated
+    to pixels (rounded to nine decimals before: the weights add up to one)."""
     grouped = chains.groupBy(key).agg(
         F.first(original).alias("__o"), F.first("original_weight").alias("__w0"),
         F.sort_array(F.collect_list(F.struct("chain", "weight", F.col(augmented).alias("px")))).alias("__c"))
-
-    def mix(o, w0, c):
-        return F.aggregate(
-            c, F.transform(o, lambda p: p * w0),
-            lambda acc, x: bind(lambda a, px, w: F.zip_with(a, px, lambda s, p: s + p * w), acc, x["px"], x["weight"]),
-            lambda acc: F.transform(acc, lambda v: v.cast("int")))
-
-    return grouped.select(key, bind(mix, F.col("__o"), F.col("__w0"), F.col("__c")).alias("mixed"))
+    return grouped.mapInArrow(_mixed, f"`{key}` {dict(chains.dtypes)[key]}, mixed binary")
 
 
 def weighted_layers(df: DataFrame, key: str, candidates: DataFrame, levels: int, seed: int, epoch=0) -> DataFrame:
@@ -254,7 +260,7 @@ def explode_plan(df: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def executable(ops: Column, family: str) -> Column:
-    """Planned ops in the one convention that ``apply_op`` reads.
+    """Planned ops in the one convention that ``pixel_step`` reads.
 
     There, enhancements are factors (1 changes nothing), shears are slopes,
     rotations degrees, ``TranslateX/Y`` and ``Cutout`` shares of the side and
@@ -281,50 +287,53 @@ def executable(ops: Column, family: str) -> Column:
     return F.transform(ops, entry)
 
 
-def apply_op(px, h, w, c: int, op: Column, arg: Column, draw, replace=0) -> Column:
-    """One op by name, its argument in the convention of ``executable``;
-    ``draw(name)`` gives uniforms for random places. An unknown op is an error."""
+# Kernel of each op of ``executable``'s convention, by the numbers that it takes.
+PLAIN = {"Invert": "invert", "AutoContrast": "autocontrast", "Equalize": "equalize", "Identity": "identity"}
+ONE_NUMBER = {
+    "Solarize": "solarize", "SolarizeAdd": "solarize_add", "SolarizeAddBelow": "solarize_add_below", "Posterize": "posterize",
+    "Posterize2": "posterize", "Brightness": "brightness", "Contrast": "contrast", "ContrastCount": "contrast_count",
+    "Color": "colour", "Sharpness": "sharpness"}
+SHIFTS = {
+    "ShearX": "shear_x", "ShearY": "shear_y", "TranslateX": "translate_x_share", "TranslateY": "translate_y_share",
+    "TranslateXAbs": "translate_x", "TranslateXabs": "translate_x", "TranslateYAbs": "translate_y", "TranslateYabs": "translate_y"}
+CUTS = {"Cutout": "cutout", "CutoutAbs": "cutout_pixels"}
+RANDOM_CUTS = {"RandCutout": 16, "RandCutout60": 60}
+RESIZED = "RandResizeCrop_imagenet"
+
+
+def pixel_step(op: Column, arg: Column, draw, h, w, replace=0, crop_size: int = 224) -> Column:
+    """The kernel step of a planned op, its argument in the convention of
+    ``executable``; ``draw(name)`` gives uniforms for random places, ``h`` and ``w``
+    the size before the op. An unknown op is an error."""
+    kernels = F.create_map(*[F.lit(x) for table in (PLAIN, ONE_NUMBER, SHIFTS, CUTS) for pair in table.items() for x in pair])
+    place = (draw("cut_x"), draw("cut_y"))
+
+    def numbers(*values):
+        return F.array(*[(v if isinstance(v, Column) else F.lit(v)).cast("double") for v in values])
+
+    # only the numbers of the branch that is taken are computed
+    args = (
+        F.when(op.isin(*ONE_NUMBER), numbers(arg)).when(op.isin(*SHIFTS), numbers(arg, replace))
+        .when(op.isin(*CUTS), numbers(arg, *place, *I.MEAN_FILL)).otherwise(F.array().cast("array<double>")))
+    named = F.struct(F.try_element_at(kernels, op).alias("op"), args.alias("args"))
+    unknown = F.raise_error(F.concat(F.lit("unknown op "), op)).cast(I.STEP)
+    out = F.when(op.isin(*PLAIN, *ONE_NUMBER, *SHIFTS, *CUTS), named)
+    for name, size in RANDOM_CUTS.items():
+        out = out.when(op == name, I.step("cutout_clipped", size, *place, fill=I.MEAN_FILL))
+    box = I.random_resized_box(h, w, lambda name, k: draw(f"box_{name}{k}"))
+    return (
+        out.when(op == "Rotate", I.step("rotate", *I.angle(arg), fill=replace))
+        .when(op == "RandFlip", I.when(draw("flip") > 0.5, I.step("flip")))
+        .when(op == "RandCrop", I.step("pad_and_crop", 4, F.floor(draw("crop_x") * 9), F.floor(draw("crop_y") * 9), fill=I.MEAN_FILL))
+        .when(op == RESIZED, bind(lambda b: I.step("resize", b["left"], b["top"], b["w"], b["h"], crop_size, crop_size), box))
+        .otherwise(unknown))
 
-    def branch(*names):
-        return op.isin(*names)
 
-    # the case expression stands outside the lambdas: only one branch runs
-    return (
-        F.when(branch("Invert"), I.invert(px))
-        .when(branch("Solarize"), I.solarize(px, arg))
-        .when(branch("SolarizeAdd"), I.solarize_add(px, arg.cast("int")))
-        .when(branch("Posterize", "Posterize2"), I.posterize(px, arg))
-        .when(branch("Brightness"), I.brightness(px, arg))
-        .when(branch("Contrast"), I.contrast(px, c, arg))
-        .when(branch("Color"), I.colour(px, c, arg))
-        .when(branch("Sharpness"), I.sharpness(px, h, w, c, arg))
-        .when(branch("AutoContrast"), I.autocontrast(px, c))
-        .when(branch("Equalize"), I.equalize(px, c))
-        .when(branch("ShearX"), I.shear_x(px, h, w, c, arg, replace))
-        .when(branch("ShearY"), I.shear_y(px, h, w, c, arg, replace))
-        .when(branch("TranslateX"), I.translate_x(px, h, w, c, arg * w, replace))
-        .when(branch("TranslateY"), I.translate_y(px, h, w, c, arg * h, replace))
-        .when(branch("TranslateXAbs", "TranslateXabs"), I.translate_x(px, h, w, c, arg, replace))
-        .when(branch("TranslateYAbs", "TranslateYabs"), I.translate_y(px, h, w, c, arg, replace))
-        .when(branch("Rotate"), I.rotate(px, h, w, c, arg, replace))
-        .when(branch("Cutout"), I.cutout(px, h, w, c, arg, draw("cut_x"), draw("cut_y")))
-        .when(branch("CutoutAbs"), I.cutout_abs(px, h, w, c, arg, draw("cut_x"), draw("cut_y")))
-        .when(branch("SolarizeAddBelow"), I.solarize_add(px, arg.cast("int"), below_only=True))
-        .when(branch("ContrastCount"), I.contrast(px, c, arg, count_mean=True))
-        .when(branch("Identity"), px)
-        .when(branch("RandFlip"), F.when(draw("flip") > 0.5, I.flip(px, h, w, c)).otherwise(px))
-        .when(branch("RandCutout"), I.cutout_clipped(px, h, w, c, 16, draw("cut_x"), draw("cut_y")))
-        .when(branch("RandCutout60"), I.cutout_clipped(px, h, w, c, 60, draw("cut_x"), draw("cut_y")))
-        .when(branch("RandCrop"), I.pad_and_crop(
-            px, h, w, c, 4, F.floor(draw("crop_x") * 9).cast("int"), F.floor(draw("crop_y") * 9).cast("int")))
-        .otherwise(F.raise_error(F.concat(F.lit("unknown op "), op)).cast("array<int>"))
-    )
-
-
-def augment_images(df: DataFrame, key: str, px: str, h: str, w: str, c: int, seed: int, epoch=0, mirror: tuple = ()) -> DataFrame:
+def augment_images(df: DataFrame, key: str, px: str, h: str, w: str, seed: int, epoch=0, mirror: tuple = (), crop_size: int = 224) -> DataFrame:
     """Apply the planned ops in order; adds ``applied``, the list of (op, arg)
-    that ran. ``mirror`` names ops whose argument takes a random sign. No
-    shuffle: the plan travels in the row, and one fold runs all its steps."""
+    that ran. ``mirror`` names ops whose argument takes a random sign. A random
+    resized crop changes the image's size to ``crop_size``, and ``h`` and ``w`` with
+    it. No shuffle: the plan travels in the row, and one pass runs all its steps."""
 
     def signed(o, i):
         turned = F.when(o["op"].isin(*mirror), o["arg"] * sign(uniform("mirror", seed, epoch, key, i))) if mirror else F.lit(None)
@@ -332,11 +341,12 @@ def augment_images(df: DataFrame, key: str, px: str, h: str, w: str, c: int, see
 
     steps = F.transform("ops", lambda o, i: F.struct(signed(o, i).alias("s"), o["applied"].alias("run")))
     chosen = F.transform(F.filter(steps, lambda x: x["run"]), lambda x: x["s"])
-    planned = df.withColumn("applied", chosen)
 
-    def step(acc, s):
-        return apply_op(
-            acc, F.col(h), F.col(w), c, s["op"], s["arg"], lambda name: uniform(name, seed, epoch, key, s["step"]))
+    def kernel(s, i):
+        before = F.exists(F.slice("applied", F.lit(1), i), lambda x: x["op"] == RESIZED)
+        size = [F.when(before, crop_size).otherwise(F.col(n)) for n in (h, w)]
+        return pixel_step(s["op"], s["arg"], lambda name: uniform(name, seed, epoch, key, s["step"]), *size, crop_size=crop_size)
 
-    return planned.withColumn(px, F.aggregate("applied", F.col(px), step)).withColumn(
+    planned = df.withColumn("applied", chosen)
+    return I.run(planned, F.transform("applied", kernel), px, h, w).withColumn(
         "applied", F.transform("applied", lambda s: F.struct(s["op"].alias("op"), s["arg"].alias("arg"))))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kilnset.functions.hashing import uniform
 from kilnset.operators.ranking import positions
 from kilnset.operators.sampling import permutation
+from kilnset.operators.small import join_small
 from kilnset.session import checkpoint
 
 
@@ -49,11 +50,11 @@ def stratified_shuffle_split(
     """Independent stratified draws: ``split_idx`` in 0..draws-1 and
     ``is_valid``. Only the (class, quota) table is joined; a hot class is
     ranked in slices of the hash."""
-    quota = class_quota(df, target, valid_size).select(target, "quota")
+    quota = checkpoint(class_quota(df, target, valid_size).select(target, "quota"))  # counted before it is joined
     copies = df.withColumn("split_idx", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     copies = copies.withColumn("__u", uniform("strat", seed, F.col("split_idx"), key))
     ranked = positions(copies, ["__u", key], ["split_idx", target], uniform="__u").drop("__u")
-    return ranked.join(quota, target).withColumn("is_valid", F.col("pos") < F.col("quota")).drop("quota", "pos")
+    return join_small(ranked, quota, target).withColumn("is_valid", F.col("pos") < F.col("quota")).drop("quota", "pos")
 
 
 def reduce_stratified(df: DataFrame, key: str, target: str, size: int, seed: int) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from kilnset.functions import magnitudes as M
 from kilnset.functions import tensors as X
 from kilnset.functions.hashing import uniform
 from kilnset.operators import policies as P
-from kilnset.plans.images import CH, IDX, IMG, XX, YY, blended, boxed, fl, gathered, images
+from kilnset.functions import images as I
+from kilnset.functions import magnitudes as M
+from kilnset.plans.images import HEX, IDX, IMG, QUANTA, images
 from kilnset.plans.registry import query, u
 from kilnset.sources.catalog import OP_RANGES, TENSOR_OPS, op_table, policy_table, published_rows
 
@@ -154,12 +155,12 @@ VD = lambda tag: u(tag, SEED, 0, "vec_id")
 @query("mixed_chain_images", "P7", f"""
 with {IMG}, w as (select vec_id, px, {VD('mix0')} as m, [-ln(1 - {VD('chain0')}), -ln(1 - {VD('chain1')}), -ln(1 - {VD('chain2')})] as e from img),
 x as (select vec_id, px, m, [v / (e[1] + e[2] + e[3]) * (1 - m) for v in e] as wt from w)
-select vec_id, array_to_string([cast(trunc(px[k+1] * m + (255 - px[k+1]) * wt[1] + px[k+1] * wt[2] + (255 - px[k+1]) * wt[3]) as int) {IDX}, ',') as pixels from x""")
+select vec_id, {HEX.format('[cast(trunc(round(px[k+1] * m + (255 - px[k+1]) * wt[1] + px[k+1] * wt[2] + (255 - px[k+1]) * wt[3], 9)) as int) ' + IDX)} as pixels from x""")
 def mixed_chain_images(t):
     chains = P.mixed_chains(images(t), "vec_id", 3, 1, 3, 8, 8, SEED)
-    turned = F.when(F.col("chain") == 1, F.col("px")).otherwise(F.transform("px", lambda p: 255 - p))
-    mixed = P.mix_chains(chains.withColumn("aug", turned), "vec_id", "px", "aug")
-    return mixed.select("vec_id", X.join_numbers(F.col("mixed")).alias("pixels"))
+    turned = I.run(chains.withColumn("aug", F.col("px")), [I.when(F.col("chain") != 1, I.step("invert"))], "aug")
+    mixed = P.mix_chains(turned, "vec_id", "px", "aug")
+    return mixed.select("vec_id", F.lower(F.hex("mixed")).alias("pixels"))
 
 
 def level_sql(level, sgn, cut, tr):
@@ -268,100 +269,207 @@ def magnitude_bins(t):
     return rows.select("doc_id", "op", mag("autoaugment").alias("paper"), mag("wide").alias("wide"), mag("augmix").alias("mix"))
 
 
-def _fold_sql(m=9, n=2):
-    """SQL of the whole fold: one case expression per step (8 x 8 images have
-    too few pixels for equalisation to move anything)."""
-    arg = {op: f"'{m / 30.0 * (hi - lo) + lo!r}'::double" for op, lo, hi in OP_RANGES["randaugment"]}
-    luma = "[(px[3*j+1] * 19595 + px[3*j+2] * 38470 + px[3*j+3] * 7471 + 32768) >> 16 for j in range(0, 64)]"
-    near = " + ".join(f"{5 if dx == dy == 0 else 1} * px[k + 1 + {(dy * 8 + dx) * 3}]" for dy in (-1, 0, 1) for dx in (-1, 0, 1))
-    soft = f"(case when {XX} in (0, 7) or {YY} in (0, 7) then px[k + 1] else floor(({near}) / 13.0::double + 0.5) end)::double"
-    chan = f"[px[3*j+1+{CH}] for j in range(0, 64)]"
-    scale = f"(255.0::double / (list_max({chan}) - list_min({chan})))"
-    sql = f"with {IMG}, s0 as (select vec_id, px from img)"
-    for i in range(n):
-        sg = f"(case when {u('mirror', SEED, 0, 'vec_id', str(i))} < 0.5 then -1.0::double else 1.0::double end)"
-        co, si = "round(cos(-radians(v)), 15)", "round(sin(-radians(v)), 15)"
-        cut = arg["CutoutAbs"]
-        ops = {
-            "Invert": "[255 - p for p in px]",
-            "Solarize": f"[case when p < {arg['Solarize']} then p else 255 - p end for p in px]",
-            "SolarizeAdd": "[case when least(p + 33, 255) < 128 then least(p + 33, 255) else 255 - least(p + 33, 255) end for p in px]",
-            "Posterize": "[p - p % 128 for p in px]",
-            "Brightness": blended("0.0::double", "px[k + 1]", arg["Brightness"]),
-            "Contrast": blended(f"floor(list_sum({luma}) / 64.0::double + 0.5)", "px[k + 1]", arg["Contrast"]),
-            "Color": blended(f"({luma})[k // 3 + 1]::double", "px[k + 1]", arg["Color"]),
-            "Sharpness": blended(soft, "px[k + 1]", arg["Sharpness"]),
-            "AutoContrast": f"[case when list_max({chan}) > list_min({chan}) then cast(trunc(least(greatest(px[k+1] * {scale} - list_min({chan}) * {scale}, 0.0), 255.0)) as int) else px[k+1] end {IDX}",
-            "Rotate": gathered(fl(f"{co} * ({XX} + 0.5) + {si} * ({YY} + 0.5) + (4.0 - {co} * 4.0 - {si} * 4.0)"),
-                               fl(f"-{si} * ({XX} + 0.5) + {co} * ({YY} + 0.5) + (4.0 + {si} * 4.0 - {co} * 4.0)")),
-            "ShearX": gathered(fl(f"{XX} + 0.5 + v * ({YY} + 0.5)"), YY), "ShearY": gathered(XX, fl(f"v * ({XX} + 0.5) + {YY} + 0.5")),
-            "TranslateXabs": gathered(fl(f"{XX} + 0.5 + v"), YY), "TranslateYabs": gathered(XX, fl(f"{YY} + 0.5 + v")),
-            "CutoutAbs": boxed("x0", "y0", f"floor(least(8, x0 + {cut}))", f"floor(least(8, y0 + {cut}))", "[125, 123, 114][k % 3 + 1]"),
-        }
-        corner = lambda t: f"floor(greatest({u(t, SEED, 0, 'vec_id', str(i))} * 8 - {cut} / 2, 0))"  # noqa: B023, E731
-        angle = "case op " + " ".join(f"when '{o}' then {arg[o]}" for o in ("Rotate", "ShearX", "ShearY", "TranslateXabs", "TranslateYabs")) + " end"
-        names = names_sql([r[0] for r in OP_RANGES["randaugment"]])
-        sql += (f", o{i} as (select *, {names}[1 + floor({u('op', SEED, 0, 'vec_id', str(i))} * 16)::int] as op from s{i}), "
-                f"a{i} as (select *, {angle} * {sg} as v, {corner('cut_x')} as x0, {corner('cut_y')} as y0 from o{i}), "
-                f"s{i + 1} as (select vec_id, {'' if i == 0 else 'ops || chr(44) || '}op as ops, case op "
-                + " ".join(f"when '{o}' then {e}" for o, e in ops.items()) + f" else px end as px from a{i})")
-    return sql + f" select vec_id, ops, array_to_string(px, ',') as pixels from s{n}"
-
-
-@query("augmented_images", "P2 I30", _fold_sql())
+# Images of 32 x 32 pixels, on which equalisation moves values.
+S = 32
+CELLS = S * S
+ALL = f"for k in range(0, {3 * CELLS})]"
+PX, PY, PC = f"((k // 3) % {S})", f"(k // {3 * S})", "(k % 3)"
+IMG32 = (f"img as (select vec_id, [(q[(({PY} // 4) * 8 + {PX} // 4 + 21 * {PC}) % 64 + 1] + 9 * ({PX} % 4) + 5 * ({PY} % 4)) % 256 {ALL} as px "
+         f"from {QUANTA})")
+ENHANCE = "('Brightness', 'Color', 'Contrast', 'Sharpness')"
+
+
+def _unrounded(sql):
+    """Plan SQL with the arguments in full: ``round(x, 9)`` becomes ``(x)``."""
+    at = sql.find("round(")
+    while at >= 0:
+        depth, end = 0, at + 5
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            if not depth:
+                break
+            end += 1
+        if sql[:end].endswith(", 9"):
+            sql = sql[:at] + "(" + sql[at + 6:end - 3] + ")" + sql[end + 1:]
+        at = sql.find("round(", at + 1)
+    return sql
+
+
+def _for_vectors(name):
+    """The registered SQL of a plan over documents, for vectors as 32 x 32 images."""
+    from kilnset.plans.registry import QUERIES
+
+    sql = _unrounded(QUERIES[name].sql).strip()
+    shape = f"(select vec_id, {S} as w, {S} as h from embeddings)"
+    sql = sql.replace("doc_id", "vec_id").replace(SHAPE.replace("doc_id", "vec_id"), shape).replace("documents", "embeddings")
+    return f"given as ({sql})"
+
+
+def _gathered(sx, sy):
+    return f"[case when {sx} >= 0 and {sx} < {S} and {sy} >= 0 and {sy} < {S} then px[(({sy}) * {S} + ({sx})) * 3 + {PC} + 1] else 0 end {ALL}"
+
+
+def _blended(a, f):
+    return f"[cast(trunc(least(greatest({a} + ({f}) * (px[k + 1] - {a}), 0.0), 255.0)) as int) {ALL}"
+
+
+def _step_sql(i, keys):
+    """CTEs of one step of the fold: what the op needs, then the op."""
+    d = lambda tag: u(tag, SEED, 0, "vec_id", str(i))
+    fl = lambda x: f"cast(floor({x}) as int)"
+    channel = f"[px[3 * j + {PC} + 1] for j in range(0, {CELLS})]"
+    per_channel = lambda f: f"[{f}([px[3 * j + c + 1] for j in range(0, {CELLS})]) for c in range(0, 3)]"
+    grey = f"[(px[3*j+1] * 19595 + px[3*j+2] * 38470 + px[3*j+3] * 7471 + 32768) >> 16 for j in range(0, {CELLS})]"
+    near = " + ".join(f"{5 if dx == dy == 0 else 1} * px[k + 1 + {(dy * S + dx) * 3}]" for dy in (-1, 0, 1) for dx in (-1, 0, 1))
+    soft = f"(case when {PX} in (0, {S - 1}) or {PY} in (0, {S - 1}) then px[k + 1] else floor(({near}) / 13.0::double + 0.5) end)::double"
+    ext = f"(255.0::double / (hi[{PC} + 1] - lo[{PC} + 1]))"
+    clip = f"cast(floor(least(greatest(u * {S} + d, 0), {S})) as int)"
+    ends = lambda x, half: clip.replace("u *", f"u{x} *").replace("+ d", f"+ {half}")
+    box = lambda x0, y0, x1, y1: (f"[case when {PX} >= {x0} and {PX} <= {x1} and {PY} >= {y0} and {PY} <= {y1} "
+                                  f"then [125, 123, 114][k % 3 + 1] else px[k + 1] end {ALL}")
+    square = box("x0", "y0", f"floor(least({S}, x0 + side))", f"floor(least({S}, y0 + side))")
+    added = "least(greatest(p + trunc(v), 0), 255)"
+    half = S / 2
+    cropped = (f"[case when {PX} + ox - 4 between 0 and {S - 1} and {PY} + oy - 4 between 0 and {S - 1} "
+               f"then px[(({PY} + oy - 4) * {S} + {PX} + ox - 4) * 3 + {PC} + 1] else [125, 123, 114][k % 3 + 1] end {ALL}")
+    ops = {
+        "Invert": "[255 - p for p in px]",
+        "Solarize": "[case when p < v then p else 255 - p end for p in px]",
+        "SolarizeAdd": f"[cast(case when {added} < 128 then {added} else 255 - {added} end as int) for p in px]",
+        "SolarizeAddBelow": f"[cast(case when p < 128 then {added} else p end as int) for p in px]",
+        "Posterize": "[p - p % cast(pow(2, 8 - greatest(trunc(v), 0)) as int) for p in px]",
+        "Brightness": _blended("0.0::double", "v"),
+        "Contrast": _blended("floor(list_sum(g) / {0}.0::double + 0.5)".format(CELLS), "v"),
+        "ContrastCount": _blended(f"{CELLS // 256}.0::double", "v"),
+        "Color": _blended("g[k // 3 + 1]::double", "v"),
+        "Sharpness": _blended(soft, "v"),
+        "AutoContrast": f"[case when hi[{PC}+1] > lo[{PC}+1] then cast(trunc(least(greatest(px[k+1] * {ext} - lo[{PC}+1] * {ext}, 0.0), 255.0)) as int) else px[k+1] end {ALL}",
+        "Equalize": f"[cast(case when st[{PC}+1] = 0 then px[k+1] else least((st[{PC}+1] // 2 + list_position(eq[{PC}+1], px[k+1]) - 1) // greatest(st[{PC}+1], 1), 255) end as int) {ALL}",
+        "ShearX": _gathered(fl(f"{PX} + 0.5 + v * ({PY} + 0.5)"), PY),
+        "ShearY": _gathered(PX, fl(f"v * ({PX} + 0.5) + {PY} + 0.5")),
+        "TranslateXAbs": _gathered(fl(f"{PX} + 0.5 + v"), PY), "TranslateYAbs": _gathered(PX, fl(f"{PY} + 0.5 + v")),
+        "TranslateX": _gathered(fl(f"{PX} + 0.5 + v * {S}"), PY), "TranslateY": _gathered(PX, fl(f"{PY} + 0.5 + v * {S}")),
+        "Rotate": _gathered(fl(f"co * ({PX} + 0.5) + si * ({PY} + 0.5) + ({half} - co * {half} - si * {half})"),
+                            fl(f"-si * ({PX} + 0.5) + co * ({PY} + 0.5) + ({half} + si * {half} - co * {half})")),
+        "Cutout": f"case when v <= 0 then px else {square} end",
+        "CutoutAbs": f"case when v < 0 then px else {square} end",
+        "RandCutout": box(ends("x", -8), ends("y", -8), ends("x", 8), ends("y", 8)),
+        "RandFlip": f"case when {d('flip')} > 0.5 then [px[({PY} * {S} + {S - 1} - {PX}) * 3 + {PC} + 1] {ALL} else px end",
+        "RandCrop": cropped,
+    }
+    ops |= {"TranslateXabs": ops["TranslateXAbs"], "TranslateYabs": ops["TranslateYAbs"]}
+    both = ", ".join(keys)
+    named = ", ".join(f"{k} as plan_{k}" for k in keys)
+    join = " and ".join(f"plan_{k} = {k}" for k in keys)
+    cases = " ".join(f"when '{o}' then {e}" for o, e in ops.items())
+    return f""", n{i} as (select s{i}.*, case when coalesce(applied, false) then op end as op, arg as v, {d('cut_x')} as ux, {d('cut_y')} as uy,
+  cast(floor({d('crop_x')} * 9) as int) as ox, cast(floor({d('crop_y')} * 9) as int) as oy
+  from s{i} left join (select {named}, op, arg, applied from plan where step = {i}) on {join}),
+p{i} as (select *, round(cos(-radians(v)), 15) as co, round(sin(-radians(v)), 15) as si, case op when 'Cutout' then v * {S} else v end as side,
+  case when op in ('Contrast', 'Color') then {grey} end as g, case when op = 'AutoContrast' then {per_channel('list_min')} end as lo,
+  case when op = 'AutoContrast' then {per_channel('list_max')} end as hi, case when op = 'Equalize' then {per_channel('list_sort')} end as eq from n{i}),
+q{i} as (select *, [(list_position(e, e[-1]) - 1) // 255 for e in eq] as st, floor(greatest(ux * {S} - side / 2, 0)) as x0,
+  floor(greatest(uy * {S} - side / 2, 0)) as y0 from p{i}),
+s{i + 1} as (select {both}, nullif(concat_ws(',', ops, op), '') as ops, case op {cases} else px end as px from q{i})"""
+
+
+def _fold_sql(plan, steps, family="search", keys=("vec_id",), start="select vec_id, null::varchar as ops, px from img"):
+    """SQL of a whole policy on 32 x 32 images: the relation ``given`` of ``plan``
+    (vec_id, step, op, arg, applied) put into the convention of ``executable``, four
+    CTEs a step."""
+    names = {"search": {}, "binned": {"TranslateX": "TranslateXAbs", "TranslateY": "TranslateYAbs"}, "level": {
+        "TranslateX": "TranslateXAbs", "TranslateY": "TranslateYAbs", "Cutout": "CutoutAbs", "SolarizeAdd": "SolarizeAddBelow",
+        "Contrast": "ContrastCount"}}[family]
+    arg = {"search": "arg", "binned": f"case when op in {ENHANCE} then arg + 1.0 else arg end",
+           "level": "case when op = 'Cutout' then arg * 2.0 else arg end"}[family]
+    renamed = "case op " + " ".join(f"when '{a}' then '{b}'" for a, b in names.items()) + " else op end" if names else "op"
+    chain = ", chain" if "chain" in keys else ""
+    applied = "true" if chain else "applied"
+    out = f"with {IMG32}, {plan}, "
+    out += f"plan as (select vec_id{chain}, step, {renamed} as op, {arg} as arg, {applied} as applied from given), s0 as ({start})"
+    return out + "".join(_step_sql(i, keys) for i in range(steps))
+
+
+def _folded(plan, steps, family):
+    return _fold_sql(plan, steps, family) + f" select vec_id, coalesce(ops, '') as ops, {HEX.format('px')} as pixels from s{steps}"
+
+
+MIRRORED = ("Rotate", "ShearX", "ShearY", "TranslateXabs", "TranslateYabs")
+_SIGN = f"case when {u('mirror', SEED, 0, 'vec_id', 'step')} < 0.5 then -1.0::double else 1.0::double end"
+_MIRROR_SQL = (_for_vectors("random_policy_plan").replace("given as (", "unsigned as (", 1)
+               + f", given as (select vec_id, step, op, arg * case when op in {MIRRORED} then {_SIGN} else 1 end as arg, applied from unsigned)")
+
+
+def _shown(out):
+    return out.select("vec_id", F.array_join(F.transform("applied", lambda a: a["op"]), ",").alias("ops"), F.lower(F.hex("px")).alias("pixels"))
+
+
+@query("augmented_images", "P2 I30", _folded(_MIRROR_SQL, 2, "search"))
 def augmented_images(t):
-    rows = P.random_policy(images(t), "vec_id", "randaugment", 2, 9, SEED)
-    rows = rows.withColumn("h", F.lit(8)).withColumn("w", F.lit(8))
-    out = P.augment_images(rows, "vec_id", "px", "h", "w", 3, SEED, mirror=("Rotate", "ShearX", "ShearY", "TranslateXabs", "TranslateYabs"))
-    return out.select("vec_id", F.array_join(F.transform("applied", lambda a: a["op"]), ",").alias("ops"), X.join_numbers(F.col("px")).alias("pixels"))
+    rows = P.random_policy(images(t, S), "vec_id", "randaugment", 2, 9, SEED)
+    return _shown(P.augment_images(rows, "vec_id", "px", "h", "w", SEED, mirror=MIRRORED))
 
 
-def _pixels(rows, family):
+def _pixels(rows, family, **more):
     rows = rows.withColumn("ops", P.executable(F.col("ops"), family))
-    out = P.augment_images(rows, "vec_id", "px", "h", "w", 3, SEED)
-    return out.select("vec_id", F.array_join(F.transform("applied", lambda a: a["op"]), ",").alias("ops"),
-                      X.join_numbers(F.col("px")).alias("pixels"))
-
+    return _shown(P.augment_images(rows, "vec_id", "px", "h", "w", SEED, **more))
 
-def _sized(t):
-    return images(t).withColumn("h", F.lit(8)).withColumn("w", F.lit(8))
 
-
-# Pixels of the planned ops: tested against plain loops (tests/test_policy_pixels.py).
-@query("published_policy_images", "P4 I30")
+@query("published_policy_images", "P4 I30", _folded(_for_vectors("published_policy_cifar10_plan"), 2, "binned"))
 def published_policy_images(t):
-    rows = P.binned_policy(_sized(t), "vec_id", policy_table(t.spark, "cifar10"), F.col("h"), F.col("w"), SEED)
+    rows = P.binned_policy(images(t, S), "vec_id", policy_table(t.spark, "cifar10"), F.col("h"), F.col("w"), SEED)
     return _pixels(rows, "binned")
 
 
-@query("binned_random_images", "P5 I30")
+@query("binned_random_images", "P5 I30", _folded(_for_vectors("binned_random_policy_plan"), 2, "binned"))
 def binned_random_images(t):
-    return _pixels(P.binned_random_policy(_sized(t), "vec_id", 2, 9, 31, F.col("h"), F.col("w"), SEED), "binned")
+    return _pixels(P.binned_random_policy(images(t, S), "vec_id", 2, 9, 31, F.col("h"), F.col("w"), SEED), "binned")
 
 
-@query("one_op_images", "P6 I30")
+@query("one_op_images", "P6 I30", _folded(_for_vectors("one_op_policy_plan"), 1, "binned"))
 def one_op_images(t):
-    return _pixels(P.one_op_policy(_sized(t), "vec_id", 31, SEED), "binned")
+    return _pixels(P.one_op_policy(images(t, S), "vec_id", 31, SEED), "binned")
+
+
+_CHAIN_START = "select distinct vec_id, chain, null::varchar as ops, px from img join given using (vec_id)"
 
 
-@query("augmix_images", "P7 I30")
+@query("augmix_images", "P7 I30", _fold_sql(_for_vectors("mixed_chain_plan"), 3, "binned", ("vec_id", "chain"), _CHAIN_START) + f""",
+w as (select distinct vec_id, chain, weight, original_weight from given),
+c as (select vec_id, any_value(original_weight) as m, list(px order by chain) as c, list(weight order by chain) as wt from s3 join w using (vec_id, chain) group by 1)
+select vec_id, {HEX.format(f'[cast(trunc(round(px[k+1] * m + c[1][k+1] * wt[1] + c[2][k+1] * wt[2] + c[3][k+1] * wt[3], 9)) as int) {ALL}')} as pixels from img join c using (vec_id)""")
 def augmix_images(t):
-    chains = P.mixed_chains(_sized(t), "vec_id", 3, -1, 3, 8, 8, SEED)
+    chains = P.mixed_chains(images(t, S), "vec_id", 3, -1, 3, F.col("h"), F.col("w"), SEED)
     chains = chains.withColumn("ops", P.executable(F.col("ops"), "binned")).withColumn("aug", F.col("px"))
-    done = P.augment_images(chains, "vec_id", "aug", "h", "w", 3, SEED)
-    return P.mix_chains(done, "vec_id", "px", "aug").select("vec_id", X.join_numbers(F.col("mixed")).alias("pixels"))
+    done = P.augment_images(chains, "vec_id", "aug", "h", "w", SEED)
+    return P.mix_chains(done, "vec_id", "px", "aug").select("vec_id", F.lower(F.hex("mixed")).alias("pixels"))
 
 
-@query("level_policy_images", "P8 I30")
+@query("level_policy_images", "P8 I30", _folded(
+    _for_vectors("level_policy_plan").replace("* 250", "* 8").replace("* 100)", "* 8)"), 2, "level"))
 def level_policy_images(t):
-    return _pixels(P.level_policy(_sized(t), "vec_id", policy_table(t.spark, "detection_v0"), SEED, cutout=4.0, translate=4.0), "level")
+    return _pixels(P.level_policy(images(t, S), "vec_id", policy_table(t.spark, "detection_v0"), SEED, cutout=8.0, translate=8.0), "level")
 
 
-@query("tensor_random_images", "P9 I30")
+@query("tensor_random_images", "P9 I30", _folded(
+    _for_vectors("tensor_random_policy_plan").replace("* 100 *", "* 8 *").replace("* 40)", "* 8)"), 3, "level"))
 def tensor_random_images(t):
-    return _pixels(P.tensor_random_policy(_sized(t), "vec_id", 3, 7.0, SEED, cutout=4.0, translate=4.0), "level")
+    return _pixels(P.tensor_random_policy(images(t, S), "vec_id", 3, 7.0, SEED, cutout=8.0, translate=8.0), "level")
 
 
-@query("weighted_layer_images", "P10 I30")
+@query("weighted_layer_images", "P10 I30", _folded(_for_vectors("weighted_layer_plan"), 3, "search"))
 def weighted_layer_images(t):
-    return _pixels(P.weighted_layers(_sized(t), "vec_id", _candidates(t), 10, SEED), "search")
+    return _pixels(P.weighted_layers(images(t, S), "vec_id", _candidates(t), 10, SEED), "search")
+
+
+@query("resized_crop_policy_images", "P10 I21", f"""
+select vec_id, {S // 2} as h, {S // 2} as w, 'RandResizeCrop_imagenet,Invert' as ops from embeddings""")
+def resized_crop_policy_images(t):
+    # one layer with the resized crop as its only candidate, one that inverts
+    layers = t.region.where("r_regionkey < 2").select(
+        F.col("r_regionkey").cast("int").alias("layer"), F.lit(0).alias("cand_id"), F.lit(1.0).alias("weight"),
+        F.when(F.col("r_regionkey") == 0, "RandResizeCrop_imagenet").otherwise("Invert").alias("op"), F.lit(5).alias("magnitude"))
+    rows = P.weighted_layers(images(t, S), "vec_id", layers, 10, SEED)
+    out = P.augment_images(rows, "vec_id", "px", "h", "w", SEED, crop_size=S // 2)
+    fits = F.octet_length("px") == F.col("h") * F.col("w") * 3
+    return out.where(fits).select("vec_id", "h", "w", F.array_join(F.transform("applied", lambda a: a["op"]), ",").alias("ops"))

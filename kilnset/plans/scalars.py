@@ -5,12 +5,12 @@ from pyspark.sql import functions as F
 
 from kilnset.functions import headers as HD
 from kilnset.functions import images as I
+from kilnset.functions import pixels
 from kilnset.functions import tensors as X
-from kilnset.functions.binding import bind
 from kilnset.functions.hashing import uniform
 from kilnset.operators import batching as B
 from kilnset.operators.sampling import permutation
-from kilnset.plans.images import C, H, IDX, IMG, W, images
+from kilnset.plans.images import HEX, IDX, IMG, images
 from kilnset.plans.registry import query, u
 
 SEED = 42
@@ -67,14 +67,15 @@ def softmax_vectors(t):
 @query("normalised_images", "C11", f"""
 with {IMG} select vec_id, round(list_sum([(px[k+1] / 255.0::double - [0.485, 0.456, 0.406][k % 3 + 1]::double) / [0.229, 0.224, 0.225][k % 3 + 1]::double * (k + 1) {IDX}), 5) as checksum from img""")
 def normalised_images(t):
-    return images(t).select("vec_id", F.round(X.weighted_checksum(X.normalise(F.col("px"), C, "imagenet")), 5).alias("checksum"))
+    rows = I.map_images(images(t), "checksum", "double", lambda img: I.weighted(I.tensor(img, X.CHANNEL_STATS["imagenet"])))
+    return rows.select("vec_id", F.round("checksum", 5).alias("checksum"))
 
 
 @query("channel_layout", "C12", f"""
-with {IMG} select vec_id, array_to_string([px[(k % 64) * 3 + k // 64 + 1] {IDX}, ',') as chw, array_to_string(px, ',') as back from img""")
+with {IMG} select vec_id, {HEX.format('[px[(k % 64) * 3 + k // 64 + 1] ' + IDX)} as chw, {HEX.format('px')} as back from img""")
 def channel_layout(t):
-    rows = images(t).withColumn("chw", X.hwc_to_chw(F.col("px"), C))
-    return rows.select("vec_id", X.join_numbers(F.col("chw")).alias("chw"), X.join_numbers(X.chw_to_hwc(F.col("chw"), C)).alias("back"))
+    rows = I.hwc_to_chw(images(t), "chw")
+    return I.chw_to_hwc(rows, "back", "chw").select("vec_id", F.lower(F.hex("chw")).alias("chw"), F.lower(F.hex("back")).alias("back"))
 
 
 @query("standardised_signals", "C13", """
@@ -109,12 +110,13 @@ def half_spectrum(t):
 
 
 @query("blended_images", "C15", f"""
-with {IMG} select vec_id, array_to_string([cast(trunc(least(greatest(px[k+1] + 1.6::double * (px[192 - k] - px[k+1]), 0), 255)) as int) {IDX}, ',') as outside,
-  array_to_string([cast(trunc(px[k+1] + 0.25::double * (px[192 - k] - px[k+1])) as int) {IDX}, ',') as between_ from img""")
+with {IMG} select vec_id, {HEX.format('[cast(trunc(least(greatest(px[k+1] + 1.6::double * (px[192 - k] - px[k+1]), 0), 255)) as int) ' + IDX)} as outside,
+  {HEX.format('[cast(trunc(px[k+1] + 0.25::double * (px[192 - k] - px[k+1])) as int) ' + IDX)} as between_ from img""")
 def blended_images(t):
-    px = F.col("px")
-    return images(t).select("vec_id", X.join_numbers(X.blend(px, F.reverse(px), 1.6)).alias("outside"),
-                            X.join_numbers(X.blend(px, F.reverse(px), 0.25)).alias("between_"))
+    rows = images(t)
+    for name, factor in (("outside", 1.6), ("between_", 0.25)):
+        rows = I.map_images(rows, name, "binary", lambda img, f=factor: pixels.blend(img, img[::-1, ::-1, ::-1], f).tobytes())
+    return rows.select("vec_id", *[F.lower(F.hex(x)).alias(x) for x in ("outside", "between_")])
 
 
 DEC_PERM = f"row_number() over (order by {u('perm', SEED, 0, 'vec_id')}, vec_id) - 1"
@@ -122,19 +124,17 @@ DEC_PERM = f"row_number() over (order by {u('perm', SEED, 0, 'vec_id')}, vec_id)
 
 @query("decode_transform_collate", "I30 B4 F8", f"""
 with {IMG}, p as (select vec_id, label, {DEC_PERM} as pos, list_sum([(px[k+1] / 255.0::double - [0.485, 0.456, 0.406][k % 3 + 1]::double) / [0.229, 0.224, 0.225][k % 3 + 1]::double * (k + 1) {IDX}) as s,
-  array_to_string([255 - x for x in px], ',') as inv from img)
-select pos // 16 as batch_id, count(*) as size, string_agg(cast(label as varchar), ',' order by pos) as labels, md5(string_agg(inv, ',' order by pos)) as pixels_md5 from p group by 1""")
+  {HEX.format('[255 - x for x in px]')} as inv from img)
+select pos // 16 as batch_id, count(*) as size, string_agg(cast(label as varchar), ',' order by pos) as labels, md5(string_agg(inv, '' order by pos)) as pixels_md5 from p group by 1""")
 def decode_transform_collate(t):
     # BMP files: 54-byte header, then rows bottom up in blue-green-red order
-    order = F.transform(F.sequence(F.lit(0), F.lit(191)), lambda k: (7 - F.floor(k / 24)) * 24 + F.floor((k % 24) / 3) * 3 + 2 - k % 3)
-    body = bind(lambda px, o: F.array_join(F.transform(o, lambda i: F.lpad(F.hex(F.get(px, i.cast("int"))), 2, "0")), ""), F.col("px"), order)
-    head = F.lit("424D" + "00" * 8 + "36000000" + "28000000" + "08000000" + "08000000" + "01001800" + "00" * 24)
-    files = images(t).select("vec_id", "label", F.unhex(F.concat(head, body)).alias("content"))
-    decoded = files.withColumn("px", I.invert(HD.decode_bmp(F.col("content")))).drop("content")
+    head = bytes.fromhex("424D" + "00" * 8 + "36000000" + "28000000" + "08000000" + "08000000" + "01001800" + "00" * 24)
+    files = I.map_images(images(t), "content", "binary", lambda img: head + img[::-1, :, ::-1].tobytes()).drop("px")
+    decoded = I.run(files.withColumn("px", HD.decode_bmp(F.col("content"))).drop("content"), [I.step("invert")])
     batches = B.fixed_batches(permutation(decoded, "vec_id", SEED, total="n"), 16)
     stacked = B.collate(batches, ["batch_id"], "pos_in_batch", ["px", "label"])
-    return stacked.select("batch_id", "size", X.join_numbers(F.col("label")).alias("labels"),
-                          F.md5(X.join_numbers(F.flatten("px"))).alias("pixels_md5"))
+    pixels_hex = F.array_join(F.transform("px", lambda x: F.lower(F.hex(x))), "")
+    return stacked.select("batch_id", "size", X.join_numbers(F.col("label")).alias("labels"), F.md5(pixels_hex).alias("pixels_md5"))
 
 
 @query("stage_timings", "X2", None)

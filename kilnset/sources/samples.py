@@ -13,7 +13,8 @@ from kilnset.functions.hashing import uniform
 from kilnset.operators.filters import has_extension
 from kilnset.operators.joins import class_index
 from kilnset.operators.ranking import positions
-from kilnset.session import fresh_path
+from kilnset.operators.small import join_small
+from kilnset.session import checkpoint, fresh_path
 
 GZIP_MAGIC = "1F8B"
 
@@ -27,7 +28,8 @@ def read_folder(spark: SparkSession, root: str) -> DataFrame:
 def label_by_folder(files: DataFrame, folder: Column) -> DataFrame:
     """Add ``class_name`` and its dense index among the sorted class names."""
     named = files.withColumn("class_name", folder)
-    return named.join(class_index(named, "class_name"), "class_name")
+    # the content of files stays where it was read
+    return join_small(named, checkpoint(class_index(named, "class_name")), "class_name")
 
 
 def parent_folder(path: Column) -> Column:

@@ -13,12 +13,13 @@ def _image(seed=1):
     return np.random.default_rng(seed).integers(0, 256, (H, W, 3))
 
 
-def _run(spark, family, op, arg, image):
+def _run(spark, family, op, arg, image, **more):
     rows = spark.createDataFrame(
-        [(1, image.ravel().tolist(), H, W, [(op, arg, True)])],
-        "id long, px array<int>, h int, w int, ops array<struct<op:string,arg:double,applied:boolean>>")
+        [(1, bytearray(image.astype(np.uint8).tobytes()), H, W, [(op, arg, True)])],
+        "id long, px binary, h int, w int, ops array<struct<op:string,arg:double,applied:boolean>>")
     rows = rows.withColumn("ops", P.executable(F.col("ops"), family))
-    return np.array(P.augment_images(rows, "id", "px", "h", "w", 3, 0).first()["px"]).reshape(H, W, 3)
+    out = P.augment_images(rows, "id", "px", "h", "w", 0, **more).first()
+    return np.frombuffer(out["px"], np.uint8).reshape(out["h"], out["w"], 3).astype(int)
 
 
 def _blend(low, image, factor):
@@ -70,6 +71,19 @@ def test_crop_ops_and_unknown_ops(spark):
         _run(spark, "search", "NoSuchOp", 0.0, image)
 
 
+def test_resized_crop_is_a_stage(spark):
+    """As an op of a plan it changes the size, and the ops after it see the new one."""
+    flat = np.full((H, W, 3), 200)
+    out = _run(spark, "search", "RandResizeCrop_imagenet", 0.0, flat, crop_size=12)
+    assert out.shape == (12, 12, 3) and (out == 200).all()
+    rows = spark.createDataFrame(
+        [(1, bytearray(_image().astype(np.uint8).tobytes()), H, W, [("RandResizeCrop_imagenet", 0.0, True), ("TranslateX", 0.5, True)])],
+        "id long, px binary, h int, w int, ops array<struct<op:string,arg:double,applied:boolean>>")
+    out = P.augment_images(rows, "id", "px", "h", "w", 0).first()
+    moved = np.frombuffer(out["px"], np.uint8).reshape(224, 224, 3)
+    assert (out["h"], out["w"]) == (224, 224) and (moved[:, 112:] == 0).all() and moved[:, :112].any()
+
+
 def test_large_policy_tables(spark):
     docs = spark.range(300).withColumnRenamed("id", "k")
     policy = spark.range(20000).selectExpr("cast(id as int) policy_id", "0 op_idx", "'Invert' op", "1.0D prob", "0.5D level")
