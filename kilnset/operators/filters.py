@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kilnset.operators.small import join_small
+
 from kilnset.operators.ranking import positions
 
 
@@ -12,7 +14,7 @@ def relabel(df: DataFrame, target: str, classes: list) -> DataFrame:
     """Keep the listed classes; the new label is the place in the list."""
     dtype = df.schema[target].dataType.simpleString()
     table = df.sparkSession.createDataFrame([(c, i) for i, c in enumerate(classes)], f"{target} {dtype}, new_label int")
-    return df.join(F.broadcast(table), target)  # fixed list given by the caller
+    return join_small(df, table, target)
 
 
 def map_samples(df: DataFrame, sample: str, target: str, transform=None, target_transform=None) -> DataFrame:

@@ -17,6 +17,9 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,8 +59,8 @@ def _cuts(df: DataFrame, key: Column, buckets: int, rows: int):
     return row.select("j").first()["j"], row.schema["cuts"].dataType
 
 
-def _count_cuts_below(cuts: Column, count: int, key: Column) -> Column:
-    """Binary search: how many cut points are <= key."""
+def count_at_most(cuts: Column, count: int, key: Column) -> Column:
+    """Binary search: how many of the ``count`` sorted entries are <= key."""
     powers = []
     p = 1
     while p <= count:
@@ -95,7 +98,7 @@ def with_buckets(
     count = len(json.loads(text))
     cuts = F.from_json(F.lit(text), dtype)
     return df.withColumn("__g", group).withColumn(
-        "__b", F.coalesce(_count_cuts_below(cuts, count, key), F.lit(0)))
+        "__b", F.coalesce(count_at_most(cuts, count, key), F.lit(0)))
 
 
 def _carry(summary: DataFrame, grouped: bool):
@@ -206,52 +209,60 @@ def running(
     return out.drop(*drop)
 
 
+#: Steps of one group that are folded together.
 BLOCK = 512
-BLOCK_LEVELS = 2
 
 
-def _compose(rows: Column) -> Column:
+def _compose(steps: Column) -> Column:
     """Fold ``y -> a*y + b`` steps into one (a, b)."""
     start = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
     return F.aggregate(
-        rows, start,
+        steps, start,
         lambda acc, r: F.struct((acc["a"] * r["a"]).alias("a"), (acc["b"] * r["a"] + r["b"]).alias("b")),
     )
 
 
-def _states(rows: Column, carry: Column) -> Column:
-    """All states of one bounded block, starting from ``carry``."""
-    start = F.struct(carry.alias("y"), F.array().cast("array<double>").alias("out"))
-
-    def step(acc, r):
-        y = r["a"] * acc["y"] + r["b"]
-        return F.struct(y.alias("y"), F.concat(acc["out"], F.array(y)).alias("out"))
-
-    return F.aggregate(rows, start, step)["out"]
-
-
-def _block_scan(df: DataFrame, groups: list[str], level: int) -> DataFrame:
-    """df(groups, p, a, b, row) -> adds ``y``, the state after each step."""
-    blocks = (
-        df.withColumn("__blk", F.floor(F.col("p") / BLOCK) if level else F.lit(0).cast("bigint"))
-        .groupBy(*groups, "__blk")
-        .agg(F.sort_array(F.collect_list(F.struct("p", "a", "b", "row"))).alias("rows"))
-    )
-    if level:
-        ab = _compose(F.col("rows"))
-        upper = _block_scan(
-            blocks.select(*groups, F.col("__blk").alias("p"), ab["a"].alias("a"), ab["b"].alias("b"),
-                          F.lit(0).alias("row")),
-            groups, level - 1,
-        ).select(*groups, (F.col("p") + 1).alias("__blk"), F.col("y").alias("__carry"))
-        blocks = blocks.join(upper, [*groups, "__blk"], "left")
-        carry = F.coalesce("__carry", F.lit(0.0))
+def _states(a: Column, b: Column, carry: Column) -> Column:
+    """All states of blocks of steps from their ``carry``; the blocks of a batch
+    advance together, one step at a time."""
+
+    @F.arrow_udf("array<double>")
+    def scan(a: pa.Array, b: pa.Array, carry: pa.Array) -> pa.Array:
+        sizes = pc.list_value_length(a).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes)
+        first = ends - sizes
+        factor, gain = (x.flatten().to_numpy(zero_copy_only=False) for x in (a, b))
+        y = carry.to_numpy(zero_copy_only=False).astype(float)
+        out = np.empty(len(factor))
+        alive = np.arange(len(sizes))
+        for k in range(int(sizes.max()) if len(sizes) else 0):
+            alive = alive[sizes[alive] > k]
+            at = first[alive] + k
+            y[alive] = factor[at] * y[alive] + gain[at]
+            out[at] = y[alive]
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(out))
+
+    return scan(a, b, carry)
+
+
+def _carries(blocks: DataFrame, group: str, steps: int) -> DataFrame:
+    """(group, blk, carry): the state before each block. ``blocks`` has one composed
+    step (a, b) a block; they are folded in blocks again, as often as ``steps``, the
+    most steps of a group, asks for."""
+    upper = blocks.withColumn("__up", F.floor(F.col("blk") / BLOCK)).groupBy(group, "__up").agg(
+        F.sort_array(F.collect_list(F.struct("blk", "a", "b"))).alias("rows"))
+    if steps > BLOCK:
+        composed = upper.select(group, F.col("__up").alias("blk"), _compose(F.col("rows")).alias("ab")).select(
+            group, "blk", "ab.a", "ab.b")
+        before = _carries(composed, group, -(-steps // BLOCK)).select(group, F.col("blk").alias("__up"), "carry")
+        upper = upper.join(before, [group, "__up"])
     else:
-        carry = F.lit(0.0)
-    out = blocks.select(*groups, F.arrays_zip("rows", _states(F.col("rows"), carry).alias("y")).alias("z"))
-    return out.select(*groups, F.explode("z").alias("z")).select(
-        *groups, F.col("z.rows.p").alias("p"), F.col("z.rows.row").alias("row"), F.col("z.y").alias("y")
-    )
+        upper = upper.withColumn("carry", F.lit(0.0))
+    states = _states(F.col("rows.a"), F.col("rows.b"), F.col("carry"))
+    # the state before a block is the one after the block before it
+    shifted = F.concat(F.array(F.col("carry")), F.slice(states, F.lit(1), F.size("rows") - 1))
+    pairs = upper.select(group, F.arrays_zip(F.col("rows.blk").alias("blk"), shifted.alias("carry")).alias("z"))
+    return pairs.select(group, F.explode("z").alias("z")).select(group, "z.blk", "z.carry")
 
 
 def linear_recurrence(
@@ -263,14 +274,26 @@ def linear_recurrence(
     name: str = "state",
 ) -> DataFrame:
     """``y = decay * y_before + gain`` along ``order``; the expressions may use
-    ``pos``, the position in the group. Steps compose, so rows are folded in
-    blocks of 512 on two levels, then over the blocks of blocks; no task sees a whole group's rows."""
+    ``pos``, the position in the group.
+
+    Steps compose, so a block of 512 of them is one step for the blocks above, and
+    these are folded in blocks again until one is left, whatever the group's size: no
+    array holds more than 512 entries. Rows travel once, to their block; above it only
+    (a, b) pairs do.
+    """
     cols = df.columns
+    rows = df.count()
     ranked = positions(df, order, groups, name="pos")
     steps = ranked.select(
         F.struct(*[F.col(g) for g in groups]).alias("g") if groups else F.lit(0).alias("g"),
-        F.col("pos").alias("p"),
-        decay.cast("double").alias("a"), gain.cast("double").alias("b"),
-        F.struct(*[F.col(c) for c in cols]).alias("row"),
+        F.floor(F.col("pos") / BLOCK).alias("blk"),
+        F.struct(F.col("pos").alias("p"), decay.cast("double").alias("a"), gain.cast("double").alias("b"),
+                 F.struct(*[F.col(c) for c in cols]).alias("row")).alias("s"),
     )
-    return _block_scan(steps, ["g"], BLOCK_LEVELS).select("row.*", F.col("p").alias("pos"), F.col("y").alias(name))
+    blocks = steps.groupBy("g", "blk").agg(F.array_sort(
+        F.collect_list("s"), lambda x, y: (x["p"] - y["p"]).cast("int")).alias("rows"))
+    composed = blocks.select("g", "blk", _compose(F.col("rows")).alias("ab")).select("g", "blk", "ab.a", "ab.b")
+    carried = blocks.join(_carries(composed, "g", -(-rows // BLOCK)), ["g", "blk"])
+    states = _states(F.col("rows.a"), F.col("rows.b"), F.col("carry"))
+    out = carried.select(F.explode(F.arrays_zip("rows", states.alias("y"))).alias("z"))
+    return out.select("z.rows.row.*", F.col("z.rows.p").alias("pos"), F.col("z.y").alias(name))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kilnset.functions.hashing import pick, uniform
-from kilnset.operators.ranking import positions, running
+from kilnset.operators.ranking import count_at_most, default_buckets, positions, running, with_buckets
 from kilnset.session import checkpoint
 
 
@@ -47,24 +47,42 @@ def weighted_with_replacement(
     of them (or the largest whose total stays exact), so sums don't depend on
     their order; a positive weight that would vanish is an error. Every row owns
     the interval [lo, lo + weight) of the running total; a draw takes the last
-    interval starting at or below it. Rows and draws are merged in one ordered
-    scan, so neither a heavy row nor a crowd of light rows makes a hot join key.
+    interval starting at or below it.
+
+    Rows lie in ranges of the key. The totals of the ranges (a few thousand at most)
+    tell each draw its range, and rows and draws of a range are merged in one ordered
+    scan. A range that is expected to get more than its share of draws, as a heavy row's
+    is, is replicated, and its draws are dealt over the copies.
     """
     if num_samples <= 0:
         raise ValueError("num_samples must be positive")
     real = df.select(F.col(key).alias("__key"), weight.cast("double").alias("__w")).where("__w > 0")
-    scale = _exact_scale(real)
+    scale, count = _exact_scale(real)
     items = real.select("__key", F.round(F.col("__w") * scale).cast("bigint").alias("__w"))
-    spans = running(items, {"__hi": ("sum", F.col("__w"))}, ["__key"])
-    spans = spans.select((F.col("__hi") - F.col("__w")).alias("at"), F.lit(0).alias("kind"),
-                         F.lit(0).cast("bigint").alias("no"), F.col("__key").alias("owner"))
-    total = items.agg(F.sum("__w")).first()[0]
+    ranges = default_buckets(items, count)
+    ranged = with_buckets(items, ["__key"], buckets=ranges, count=count).drop("__g")
+    sums = sorted((r["__b"], r["total"]) for r in ranged.groupBy("__b").agg(F.sum("__w").alias("total")).collect())
+    lows = [0]
+    for _, size in sums:
+        lows.append(lows[-1] + size)
+    total = lows.pop()
+    copies = [max(1, -(-size * len(sums) // total)) for _, size in sums]
+    numbers, starts, copied = (F.array(*[F.lit(x) for x in xs]) for xs in ([b for b, _ in sums], lows, copies))
+
+    place = F.array_position(numbers, F.col("__b")).cast("int") - 1
+    own = ranged.select(
+        "__b", F.explode(F.sequence(F.lit(0), F.get(copied, place) - 1)).alias("__copy"), "__key", "__w", F.get(starts, place).alias("__lo"))
+    upto = F.sum("__w").over(Window.partitionBy("__b", "__copy").orderBy("__key").rowsBetween(Window.unboundedPreceding, 0))
+    spans = own.select("__b", "__copy", (F.col("__lo") + upto - F.col("__w")).alias("at"), F.lit(0).alias("kind"),
+                       F.lit(0).cast("bigint").alias("no"), F.col("__key").alias("owner"))
     draws = df.sparkSession.range(num_samples).select(
-        pick(uniform("weighted", seed, epoch, "id"), F.lit(total)).alias("at"), F.lit(1).alias("kind"),
-        F.col("id").alias("no"), F.lit(None).cast(items.schema["__key"].dataType).alias("owner"),
-    )
-    # the scan below reads its input three times, so the totals are kept
-    merged = running(checkpoint(spans.unionByName(draws)), {"hit": ("last", F.col("owner"))}, ["at", "kind", "no"])
+        F.col("id").alias("no"), pick(uniform("weighted", seed, epoch, "id"), F.lit(total)).alias("at"))
+    spot = count_at_most(starts, len(lows), F.col("at")) - 1
+    asked = draws.withColumn("__spot", spot).select(
+        F.get(numbers, F.col("__spot")).alias("__b"), (F.col("no") % F.get(copied, F.col("__spot"))).cast("int").alias("__copy"),
+        "at", F.lit(1).alias("kind"), "no", F.lit(None).cast(items.schema["__key"].dataType).alias("owner"))
+    scan = Window.partitionBy("__b", "__copy").orderBy("at", "kind", "no").rowsBetween(Window.unboundedPreceding, 0)
+    merged = spans.unionByName(asked).withColumn("hit", F.last("owner", ignorenulls=True).over(scan))
     return merged.where("kind = 1").select(F.col("no").alias("draw"), F.col("hit").alias(key))
 
 
@@ -72,11 +90,12 @@ def weighted_with_replacement(
 EXACT_TOTAL = 1 << 52
 
 
-def _exact_scale(weights: DataFrame, digits: int = 15) -> float:
-    """Power of ten that turns the positive weights ``__w`` into whole numbers."""
+def _exact_scale(weights: DataFrame, digits: int = 15) -> tuple[float, int]:
+    """Power of ten that turns the positive weights ``__w`` into whole numbers, and
+    the number of weights."""
     w = F.col("__w")
     loss = [F.max(F.try_divide(F.abs(w * 10.0**k - F.round(w * 10.0**k)), w * 10.0**k)).alias(f"k{k}") for k in range(digits + 1)]
-    found = weights.agg(F.sum("__w").alias("total"), F.min("__w").alias("least"), *loss).first()
+    found = weights.agg(F.count("__w").alias("n"), F.sum("__w").alias("total"), F.min("__w").alias("least"), *loss).first()
     if not found["total"]:
         raise ValueError("all weights are zero")
     fits = [k for k in range(digits + 1) if found["total"] * 10.0**k < EXACT_TOTAL]
@@ -85,19 +104,36 @@ def _exact_scale(weights: DataFrame, digits: int = 15) -> float:
     scale = 10.0 ** next((k for k in fits if found[f"k{k}"] < 1e-12), fits[-1])
     if found["least"] * scale < 0.5:
         raise ValueError("the smallest weight vanishes beside the total")
-    return scale
+    return scale, found["n"]
+
+
+#: Up to so many draws without replacement are found with a bounded heap in each task.
+HEAP_DRAWS = 10_000
 
 
 def weighted_without_replacement(
-    df: DataFrame, key: str, weight: Column, num_samples: int, seed: int, epoch: int = 0
+    df: DataFrame, key: str, weight: Column, num_samples: int, seed: int, epoch: int = 0, heap: int = HEAP_DRAWS
 ) -> DataFrame:
-    """Exponential-race sample: the ``num_samples`` smallest ``-ln(1-U)/w``."""
+    """Exponential-race sample: the ``num_samples`` smallest ``-ln(1-U)/w``.
+
+    Up to ``heap`` are found with a heap in each task. For more, rows are counted by ranges of
+    the race, the ranges that can hold a winner are kept, and only these are ranked."""
     raced = df.withColumn("__w", weight.cast("double")).where("__w > 0").withColumn(
         "__race", -F.log(F.lit(1.0) - uniform("race", seed, epoch, key)) / F.col("__w")
     )
-    # the winners are found with a bounded heap in each task, then ranked
-    won = raced.orderBy("__race", key).limit(num_samples)
-    return positions(checkpoint(won), ["__race", key], name="draw").drop("__w", "__race")
+    if num_samples <= heap:
+        won = raced.orderBy("__race", key).limit(num_samples)
+    else:
+        ranged = with_buckets(raced, ["__race", key]).drop("__g")
+        left, last = num_samples, None
+        for b, n in sorted((r["__b"], r["count"]) for r in ranged.groupBy("__b").count().collect()):
+            last = b
+            left -= n
+            if left <= 0:
+                break
+        won = ranged.where(F.col("__b") <= (-1 if last is None else last)).drop("__b")
+    ranked = positions(checkpoint(won), ["__race", key], name="draw").where(F.col("draw") < num_samples)
+    return ranked.drop("__w", "__race")
 
 
 def distributed(

@@ -72,6 +72,16 @@ def weighted_without_replacement(t):
         "draw", "o_orderkey")
 
 
+@query("weighted_half_without_replacement", "O6", f"""
+select draw, o_orderkey from (
+  select o_orderkey, row_number() over (order by -ln(1 - {u('race', SEED, 0, 'o_orderkey')}) / o_totalprice, o_orderkey) - 1 as draw
+  from orders where o_totalprice > 0) where draw < (select count(*) // 2 from orders)""")
+def weighted_half_without_replacement(t):
+    orders = t.orders.select("o_orderkey", "o_totalprice")
+    return S.weighted_without_replacement(
+        orders, "o_orderkey", F.col("o_totalprice"), orders.count() // 2, SEED, heap=0).select("draw", "o_orderkey")
+
+
 def _distributed_sql(table, key, replicas, drop):
     size = (f"case when n % {replicas} = 0 then n else greatest(cast(ceil((n - {replicas}) / {replicas}) as bigint), 0) * {replicas} end"
             if drop else f"cast(ceil(n / {replicas}) as bigint) * {replicas}")
