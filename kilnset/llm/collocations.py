@@ -13,11 +13,12 @@ tiles, where most occurrences are, are cells of a dense tile and counted with
 ``bincount``, in the slice and again where slices are summed, for ``FAN`` slices
 at once and then for their sums, so that the hottest tile is a tree and not a
 task. All other pairs travel as sorted coordinates with counts, by hash range;
-the number of ranges follows the text. An entry is sent once for each slice.
+the number of ranges follows the text. A task adds up its slices first, so a pair is
+sent once for each task.
 
-Rewriting: the frequent words or pairs of a tile or range meet the entries of the
-slices in a join that adaptive execution can split, and what a slice gets back is
-bounded by the slice. Nothing is broadcast or collected.
+Rewriting: up to ``FEW`` frequent words or pairs (of all languages, counted first) go
+to every task. More of them meet what the slices ask for by tile or range, in a join
+that adaptive execution can split, and what a slice gets back is bounded by the slice.
 
 Words are 64-bit hashes until frequent ones are named (by one slice each).
 """
@@ -44,8 +45,10 @@ TILE = 1 << 10
 HEAD = 4
 #: Slices (or sums of slices) that one task adds up for one dense tile.
 FAN = 256
-#: Pairs held before they are summed while coordinates are merged.
-HELD = 4 << 20
+#: Words or pairs that a task holds before it adds them up, or sends them.
+HELD = 2 << 20
+#: Frequent words or pairs that are sent to every task (24 bytes each).
+FEW = 1 << 20
 LONGEST = 5
 
 BREAK = np.zeros(256, dtype=bool)
@@ -58,7 +61,7 @@ SCORE = """(cast(a * 1000L as decimal(19, 0)) * cast(n as decimal(19, 0)))
            div (cast({left} as decimal(19, 0)) * cast({right} as decimal(19, 0)))"""
 
 SLICE_SCHEMA = "slice long, lang string, n long, stream binary, keys binary, counts binary, lengths binary, letters binary"
-ENTRY_SCHEMA = "lang string, ta long, tb long, slice long, keys binary, counts binary"
+ENTRY_SCHEMA = "lang string, ta long, tb long, slice long, keys binary, counts binary, tellers binary"
 COUNT_SCHEMA = "lang string, ta long, tb long, a long, b long, n long, teller long"
 
 
@@ -157,26 +160,127 @@ def _slices(slice_bytes: int):
 
 
 def _entry_batch(lang: str, slice_id: int, rows: list) -> pa.RecordBatch:
-    ta, tb, keys, counts = zip(*rows)
+    ta, tb, keys, counts, tellers = zip(*rows)
     n = len(rows)
     return pa.RecordBatch.from_arrays(
-        [pa.array([lang] * n), pa.array(ta, pa.int64()), pa.array(tb, pa.int64()), pa.array([slice_id] * n, pa.int64()),
-         pa.array(keys, pa.binary()), pa.array(counts, pa.binary())],
-        ["lang", "ta", "tb", "slice", "keys", "counts"])
+        [pa.array([lang] * n, pa.string()), pa.array(ta, pa.int64()), pa.array(tb, pa.int64()), pa.array([slice_id] * n, pa.int64()),
+         pa.array(keys, pa.binary()), pa.array(counts, pa.binary()), pa.array(tellers, pa.binary())],
+        ["lang", "ta", "tb", "slice", "keys", "counts", "tellers"])
+
+
+def _word_counts(batch, i: int):
+    keys = _numbers(batch["keys"][i], np.uint64).view(np.int64)
+    return keys, np.zeros(len(keys), np.int64), _numbers(batch["counts"][i], np.int64)
+
+
+def _pair_counts(batch, i: int):
+    """A slice's pairs: cells of dense tiles by bincount, the rest sorted."""
+    stream = _stream(batch["stream"][i])
+    both = (stream[:-1] >= 0) & (stream[1:] >= 0)
+    a, b = stream[:-1][both].astype(np.int64), stream[1:][both].astype(np.int64)
+    inner = (a < HEAD * TILE) & (b < HEAD * TILE)
+    parts = [_sorted_pairs(a[~inner], b[~inner])]
+    x, y = a[inner], b[inner]
+    tile = (x // TILE) * HEAD + y // TILE
+    order = np.argsort(tile, kind="stable")
+    cell = ((x % TILE) * TILE + y % TILE)[order]
+    edge = np.searchsorted(tile[order], np.arange(HEAD * HEAD + 1))
+    for t in np.flatnonzero(np.diff(edge)).tolist():
+        part = cell[edge[t]:edge[t + 1]]
+        if len(part) > TILE * TILE // 8:
+            dense = np.bincount(part, minlength=TILE * TILE)
+            cells = np.flatnonzero(dense)
+            counts = dense[cells]
+        else:
+            cells, counts = np.unique(part, return_counts=True)
+        parts.append(((t // HEAD) * TILE + cells // TILE, (t % HEAD) * TILE + cells % TILE, counts.astype(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _split(a, b, n, who, words: bool, ranges: int) -> list:
+    """(ta, tb, keys, counts, tellers) by tile or hash range of the pairs."""
+    if words:
+        ta = np.full(len(a), -1, np.int64)
+        tb = (((a.view(np.uint64) >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+    else:
+        ta, tb = _home(a, b, ranges)
+    order = np.lexsort((tb, ta))
+    a, b, n, who, ta, tb = (x[order] for x in (a, b, n, who, ta, tb))
+    edge = np.flatnonzero((ta[1:] != ta[:-1]) | (tb[1:] != tb[:-1])) + 1
+    rows = []
+    for begin, end in zip([0, *edge.tolist()], [*edge.tolist(), len(a)]):
+        x, y, t = a[begin:end], b[begin:end], int(ta[begin])
+        if words:
+            keys = _blob(x)
+        elif t >= 0:
+            keys = _blob(((x % TILE) * TILE + y % TILE).astype(np.int32))
+        else:
+            keys = _stream_blob(np.column_stack([x, y]).ravel())
+        counts = _stream_blob(n[begin:end])
+        tellers = _tellers(who[begin:end]) if words else b""
+        rows.append((t, int(tb[begin]), keys, counts, tellers))
+    return rows
+
+
+def _tellers(who: np.ndarray) -> bytes:
+    """Slices by number, then two bytes (four, if there are many) for each word."""
+    names, index = np.unique(who, return_inverse=True)
+    kind = np.uint16 if len(names) < 1 << 16 else np.uint32
+    return np.array([len(names)], np.int64).tobytes() + names.tobytes() + index.astype(kind).tobytes()
+
+
+def _told_by(cell, n: int) -> np.ndarray:
+    raw = cell.as_buffer()
+    size = int(np.frombuffer(raw, np.int64, 1)[0])
+    names = np.frombuffer(raw, np.int64, size, 8)
+    kind = np.uint16 if size < 1 << 16 else np.uint32
+    return names[np.frombuffer(raw, kind, n, 8 + 8 * size)]
+
+
+def _merged(parts: list) -> tuple:
+    """Sums of the counts of equal pairs, and the smallest teller."""
+    a, b, n, who = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((b, a))
+    a, b, n, who = a[order], b[order], n[order], who[order]
+    begin = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    return a[begin], b[begin], np.add.reduceat(n, begin), np.minimum.reduceat(who, begin)
+
+
+def _entries(words: bool, ranges: int):
+    """Counts of a task's words or pairs by language, added up over its slices as
+    far as they fit, by tile or range."""
+    def run(batches):
+        held: dict[str, list] = {}
+        size = 0
+        for batch in batches:
+            for i in range(len(batch)):
+                a, b, n = _word_counts(batch, i) if words else _pair_counts(batch, i)
+                if not len(a):
+                    continue
+                who = np.full(len(a), batch["slice"][i].as_py(), np.int64)
+                held.setdefault(batch["lang"][i].as_py(), []).append((a, b, n, who))
+                size += len(a)
+                if size > HELD:
+                    held = {lang: [_merged(parts)] for lang, parts in held.items()}
+                    size = sum(len(parts[0][0]) for parts in held.values())
+                    if size > HELD // 2:
+                        for lang, parts in held.items():
+                            yield _entry_batch(lang, 0, _split(*parts[0], words, ranges))
+                        held, size = {}, 0
+        for lang, parts in held.items():
+            yield _entry_batch(lang, 0, _split(*_merged(parts), words, ranges))
+    return run
 
 
-def _word_entries(ranges: int):
-    """A slice's words by hash range: ta is -1, tb the range."""
+def _asks(words: bool, ranges: int):
+    """The words or pairs of each slice by tile or range."""
     def run(batches):
         for batch in batches:
             for i in range(len(batch)):
-                keys = _numbers(batch["keys"][i], np.uint64)
-                counts = _numbers(batch["counts"][i], np.int64)
-                target = (((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
-                edge = np.flatnonzero(np.diff(target)) + 1  # keys rise, so ranges do
-                rows = [(-1, int(t[0]), _blob(k), _blob(c)) for t, k, c in zip(
-                    np.split(target, edge), np.split(keys, edge), np.split(counts, edge))]
-                yield _entry_batch(batch["lang"][i].as_py(), batch["slice"][i].as_py(), rows)
+                a, b, n = _word_counts(batch, i) if words else _pair_counts(batch, i)
+                if len(a):
+                    rows = _split(a, b, n, np.zeros(len(a), np.int64), words, ranges)
+                    yield _entry_batch(batch["lang"][i].as_py(), batch["slice"][i].as_py(), rows)
     return run
 
 
@@ -194,8 +298,8 @@ def _home(a: np.ndarray, b: np.ndarray, ranges: int) -> tuple[np.ndarray, np.nda
     return np.where(dense, ta, -1), np.where(dense, tb, part)
 
 
-def _sorted_pairs(a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None):
-    """Distinct pairs in order with the sums of their counts."""
+def _sorted_pairs(a: np.ndarray, b: np.ndarray):
+    """Distinct pairs in order with their numbers of occurrences."""
     if not len(a):
         return a, b, np.zeros(0, np.int64)
     if int(a.max()) < 1 << 31 and int(b.max()) < 1 << 31:
@@ -204,46 +308,7 @@ def _sorted_pairs(a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None):
         order = np.lexsort((b, a))
     a, b = a[order], b[order]
     begin = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-    sums = np.diff(np.append(begin, len(a))) if n is None else np.add.reduceat(n[order], begin)
-    return a[begin], b[begin], sums.astype(np.int64)
-
-
-def _pair_entries(ranges: int):
-    """A slice's pairs: cells of dense tiles by bincount, the rest as sorted
-    coordinates (a, b) by hash range."""
-    def run(batches):
-        for batch in batches:
-            for i in range(len(batch)):
-                stream = _stream(batch["stream"][i])
-                both = (stream[:-1] >= 0) & (stream[1:] >= 0)
-                a, b = stream[:-1][both].astype(np.int64), stream[1:][both].astype(np.int64)
-                inner = (a < HEAD * TILE) & (b < HEAD * TILE)
-                rows = []
-                x, y = a[inner], b[inner]
-                tile = (x // TILE) * HEAD + y // TILE
-                order = np.argsort(tile, kind="stable")
-                cell = ((x % TILE) * TILE + y % TILE)[order]
-                edge = np.searchsorted(tile[order], np.arange(HEAD * HEAD + 1))
-                for t in np.flatnonzero(np.diff(edge)).tolist():
-                    part = cell[edge[t]:edge[t + 1]]
-                    if len(part) > TILE * TILE // 8:
-                        dense = np.bincount(part, minlength=TILE * TILE)
-                        cells = np.flatnonzero(dense)
-                        counts = dense[cells]
-                    else:
-                        cells, counts = np.unique(part, return_counts=True)
-                    rows.append((t // HEAD, t % HEAD, _blob(cells.astype(np.int32)), _blob(counts.astype(np.int64))))
-                x, y, counts = _sorted_pairs(a[~inner], b[~inner])
-                if len(x):
-                    _, part = _home(x, y, ranges)
-                    order = np.argsort(part, kind="stable")
-                    part, pairs, counts = part[order], np.column_stack([x, y])[order], counts[order]
-                    edge = np.flatnonzero(np.diff(part)) + 1
-                    rows += [(-1, int(p[0]), _blob(k), _blob(c)) for p, k, c in zip(
-                        np.split(part, edge), np.split(pairs, edge), np.split(counts, edge))]
-                if rows:
-                    yield _entry_batch(batch["lang"][i].as_py(), batch["slice"][i].as_py(), rows)
-    return run
+    return a[begin], b[begin], np.diff(np.append(begin, len(a))).astype(np.int64)
 
 
 class _Sum:
@@ -253,35 +318,29 @@ class _Sum:
         self.dense = np.zeros(TILE * TILE, np.int64) if dense else None
         self.words, self.parts, self.held = words, [], 0
 
-    def add(self, keys, counts, teller: int) -> None:
-        counts = _numbers(counts, np.int64)
+    def add(self, keys, counts, tellers) -> None:
+        counts = _stream(counts)
         if self.dense is not None:
             self.dense[_numbers(keys, np.int32)] += counts  # cells of an entry are distinct
             return
         if self.words:
-            a = _numbers(keys, np.uint64).view(np.int64)
-            b = np.zeros(len(a), np.int64)
+            a = _numbers(keys, np.int64)
+            b, who = np.zeros(len(a), np.int64), _told_by(tellers, len(a))
         else:
-            a, b = _numbers(keys, np.int64).reshape(-1, 2).T
-        self.parts.append((a, b, counts, np.full(len(a), teller, np.int64)))
+            a, b = _stream(keys).astype(np.int64).reshape(-1, 2).T
+            who = np.zeros(len(a), np.int64)
+        self.parts.append((a, b, counts.astype(np.int64), who))
         self.held += len(a)
         if self.held > HELD and len(self.parts) > 1:
-            self.parts = [self._merged()]
+            self.parts = [_merged(self.parts)]
             self.held = len(self.parts[0][0])
 
-    def _merged(self):
-        a, b, n, who = (np.concatenate(x) for x in zip(*self.parts))
-        order = np.lexsort((b, a))
-        a, b, n, who = a[order], b[order], n[order], who[order]
-        begin = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-        return a[begin], b[begin], np.add.reduceat(n, begin), np.minimum.reduceat(who, begin)
-
     def result(self, ta: int, tb: int):
         if self.dense is not None:
             cells = np.flatnonzero(self.dense)
             return (ta * TILE + cells // TILE, tb * TILE + cells % TILE, self.dense[cells],
                     np.zeros(len(cells), np.int64))
-        return self._merged()
+        return _merged(self.parts)
 
 
 def _summed(words: bool, least: int, again: bool):
@@ -295,7 +354,7 @@ def _summed(words: bool, least: int, again: bool):
             a, b, n, who = state.result(ta, tb)
             if again:
                 cells = ((a % TILE) * TILE + b % TILE).astype(np.int32)
-                return _entry_batch(lang, part, [(ta, tb, _blob(cells), _blob(n))])
+                return _entry_batch(lang, part, [(ta, tb, _blob(cells), _stream_blob(n), b"")])
             some = n >= least
             a, b, n, who = a[some], b[some], n[some], who[some]
             return pa.RecordBatch.from_arrays(
@@ -310,7 +369,7 @@ def _summed(words: bool, least: int, again: bool):
                     if key is not None:
                         yield close()
                     key, state = now, _Sum(now[1] >= 0, words)
-                state.add(batch["keys"][i], batch["counts"][i], batch["slice"][i].as_py())
+                state.add(batch["keys"][i], batch["counts"][i], batch["tellers"][i])
         if key is not None:
             yield close()
     return run
@@ -321,15 +380,16 @@ def _by_part(entries: DataFrame, part) -> DataFrame:
     return entries.withColumn("part", part).repartition(*keys).sortWithinPartitions(*keys)
 
 
-def _counted(entries: DataFrame, scratch: Scratch, words: bool, least: int, slices: int, fan: int) -> DataFrame:
+def _counted(entries: DataFrame, scratch: Scratch, words: bool, least: int, fan: int) -> DataFrame:
     """Pairs (words: a is the hash, b zero) that occur ``least`` times. Sums of
-    dense tiles go through a tree of ``fan`` slices a task."""
-    groups = -(-slices // fan)
+    dense tiles go through a tree of ``fan`` entries a task."""
     whole = F.lit(0).cast("long")
-    if words or groups <= 1:
+    if words:
         return _by_part(entries, whole).mapInArrow(_summed(words, least, False), COUNT_SCHEMA)
-    entries = scratch.write(entries)
+    entries = scratch.write(entries.withColumn("slice", F.monotonically_increasing_id()))
     sparse, dense = entries.where("ta < 0"), entries.where("ta >= 0")
+    most = dense.groupBy("lang", "ta", "tb").count().agg(F.max("count")).first()[0] or 0
+    groups = -(-most // fan)
     while groups > 1:
         dense = scratch.write(_by_part(dense, F.pmod(F.xxhash64("slice"), F.lit(groups)).cast("long")).mapInArrow(
             _summed(words, least, True), ENTRY_SCHEMA))
@@ -369,13 +429,13 @@ def _answers(words: bool):
             for i in range(len(batch)):
                 ta, tb = batch["ta"][i].as_py(), batch["tb"][i].as_py()
                 if words:
-                    a = _numbers(batch["keys"][i], np.uint64).view(np.int64)
+                    a = _numbers(batch["keys"][i], np.int64)
                     asked = np.column_stack([a, np.zeros(len(a), np.int64)])
                 elif ta >= 0:
                     cells = _numbers(batch["keys"][i], np.int32).astype(np.int64)
                     asked = np.column_stack([ta * TILE + cells // TILE, tb * TILE + cells % TILE])
                 else:
-                    asked = _numbers(batch["keys"][i], np.int64).reshape(-1, 2)
+                    asked = _stream(batch["keys"][i]).astype(np.int64).reshape(-1, 2)
                 pairs, ids = _matches(asked, _numbers(batch["known"][i], np.int64).reshape(-1, 3))
                 if len(ids):
                     slices.append(batch["slice"][i].as_py())
@@ -385,31 +445,37 @@ def _answers(words: bool):
     return run
 
 
-def _rewritten(words: bool):
-    """Streams in the new ranks; what is not frequent becomes one -1 a run."""
+def _rewritten(words: bool, few=None):
+    """Streams in the new ranks; what is not frequent becomes one -1 a run. ``few`` has
+    the frequent ones by language, else ``told`` has those of the slice."""
     def run(batches):
+        none = np.zeros((0, 3), np.int64)
         for batch in batches:
             for i in range(len(batch)):
+                lang = batch["lang"][i].as_py()
                 stream = _stream(batch["stream"][i])
-                told = _numbers(batch["told"][i], np.int64).reshape(-1, 3)
+                told = few.value.get(lang, none) if few else _numbers(batch["told"][i], np.int64).reshape(-1, 3)
                 if words:
                     keys = _numbers(batch["keys"][i], np.uint64)
                     name = np.full(len(keys) + 1, -1, np.int64)  # the last one is the name of -1
-                    name[np.searchsorted(keys, told[:, 0].view(np.uint64))] = told[:, 2]
+                    asked = told[:, 0].view(np.uint64) if len(told) else keys[:0]
+                    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+                    here = keys[at] == asked
+                    name[at[here]] = told[here, 2]
                     fresh = name[stream]
                 else:
                     fresh = np.full(max(0, len(stream) - 1), -1, np.int64)
                     at = np.flatnonzero((stream[:-1] >= 0) & (stream[1:] >= 0))
                     pairs = np.column_stack([stream[at], stream[at + 1]]).astype(np.int64)
-                    a, b, _ = _sorted_pairs(pairs[:, 0], pairs[:, 1])
-                    found, ids = _matches(np.column_stack([a, b]), told)
-                    fresh[at] = _looked_up(pairs, found, ids)
+                    if not few:  # from several tiles and ranges
+                        told = told[np.lexsort((told[:, 1], told[:, 0]))]
+                    fresh[at] = _looked_up(pairs, told[:, :2], told[:, 2])
                 keep = np.ones(len(fresh), dtype=bool)
                 keep[1:] = (fresh[1:] >= 0) | (fresh[:-1] >= 0)
                 fresh = fresh[keep]
                 if (fresh >= 0).any():
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([batch["slice"][i].as_py()], pa.int64()), pa.array([batch["lang"][i].as_py()]),
+                        [pa.array([batch["slice"][i].as_py()], pa.int64()), pa.array([lang]),
                          pa.array([_stream_blob(fresh)], pa.binary())], ["slice", "lang", "stream"])
     return run
 
@@ -427,11 +493,23 @@ def _looked_up(pairs: np.ndarray, found: np.ndarray, ids: np.ndarray) -> np.ndar
     return np.where((left[base] == pairs[:, 0]) & (code[at] == want), ids[at], -1)
 
 
-def _rewrite(streams: DataFrame, entries: DataFrame, ranked: DataFrame, words: bool) -> DataFrame:
+STREAM_SCHEMA = "slice long, lang string, stream binary"
+
+
+def _rewrite(streams: DataFrame, ranked: DataFrame, words: bool, ranges: int, few: int) -> DataFrame:
+    if ranked.limit(few + 1).count() <= few:
+        table = ranked.select("lang", "a", "b", "id").toArrow()
+        cells = np.column_stack([table[c].to_numpy() for c in ("a", "b", "id")]).astype(np.int64)
+        lang = np.array(table["lang"].to_pylist(), dtype=object)
+        order = np.lexsort((cells[:, 1], cells[:, 0]))
+        cells, lang = cells[order], lang[order]
+        known = {name: np.ascontiguousarray(cells[lang == name]) for name in set(lang.tolist())}
+        return streams.mapInArrow(_rewritten(words, streams.sparkSession.sparkContext.broadcast(known)), STREAM_SCHEMA)
     known = ranked.groupBy("lang", "ta", "tb").applyInArrow(_packed, "lang string, ta long, tb long, known binary")
-    told = entries.drop("counts").join(known, ["lang", "ta", "tb"]).mapInArrow(_answers(words), "slice long, told binary")
+    asked = streams.mapInArrow(_asks(words, ranges), ENTRY_SCHEMA).drop("counts", "tellers")
+    told = asked.join(known, ["lang", "ta", "tb"]).mapInArrow(_answers(words), "slice long, told binary")
     told = told.groupBy("slice").agg(F.listagg("told").alias("told"))
-    return streams.join(told, "slice").mapInArrow(_rewritten(words), "slice long, lang string, stream binary")
+    return streams.join(told, "slice").mapInArrow(_rewritten(words), STREAM_SCHEMA)
 
 
 def _named(batches):
@@ -449,7 +527,7 @@ def _named(batches):
                  pa.array([letters[start[k]:start[k + 1]].decode() for k in at.tolist()])], ["lang", "a", "word"])
 
 
-def phrases(docs: DataFrame, least: int = 100, fan: int = FAN, slice_bytes: int = SLICE_BYTES,
+def phrases(docs: DataFrame, least: int = 100, fan: int = FAN, slice_bytes: int = SLICE_BYTES, few: int = FEW,
             key: str = "lang", text: str = "text") -> DataFrame:
     """All phrases of two to five words with ``least`` occurrences: lang, words,
     a, cut (words before the weakest cut), l, r, n, score, covered (whether a longer phrase that
@@ -464,23 +542,24 @@ def phrases(docs: DataFrame, least: int = 100, fan: int = FAN, slice_bytes: int
     ranges = range_count(docs, text)
     rows = docs.select(F.coalesce(docs[key].cast("string"), F.lit("und")).alias("lang"), text_column(docs, text).alias("text"))
     slices = scratch.write(rows.mapInArrow(_slices(slice_bytes), SLICE_SCHEMA))
-    total = slices.groupBy("lang").agg(F.sum("n").alias("n"))
-    count = slices.count()
+    total = scratch.write(slices.groupBy("lang").agg(F.sum("n").alias("n")))
 
-    entries = slices.select("slice", "lang", "keys", "counts").mapInArrow(_word_entries(ranges), ENTRY_SCHEMA)
-    found = scratch.write(_counted(entries, scratch, True, least, count, fan))
+    entries = slices.select("slice", "lang", "keys", "counts").mapInArrow(_entries(True, ranges), ENTRY_SCHEMA)
+    found = scratch.write(_counted(entries, scratch, True, least, fan))
     ranked = scratch.write(positions(found.withColumn("less", -F.col("n")), ["less", "a"], ["lang"], name="id").drop("less"))
     asked = ranked.groupBy("lang", F.col("teller").alias("slice")).agg(F.collect_list("a").alias("asked")).drop("lang")
     words = slices.select("slice", "lang", "keys", "lengths", "letters").join(asked, "slice").mapInArrow(
         _named, "lang string, a long, word string")
     known = scratch.write(ranked.join(words, ["lang", "a"]).select(
         "lang", "id", F.array("word").alias("words"), F.array("n").alias("heads"), F.array("n").alias("tails")))
-    streams = scratch.write(_rewrite(slices.select("slice", "lang", "stream", "keys"), entries, ranked, True))
+    streams = scratch.write(_rewrite(
+        slices.select("slice", "lang", "stream", "keys", "counts"), ranked, True, ranges, few))
+    scratch.drop(slices)
 
     levels = []
     for size in range(2, LONGEST + 1):
-        entries = streams.mapInArrow(_pair_entries(ranges), ENTRY_SCHEMA)
-        found = scratch.write(_counted(entries, scratch, False, least, count, fan))
+        entries = streams.mapInArrow(_entries(False, ranges), ENTRY_SCHEMA)
+        found = scratch.write(_counted(entries, scratch, False, least, fan))
         ranked = scratch.write(positions(
             found.withColumn("less", -F.col("n")), ["less", "a", "b"], ["lang"], name="id").drop("less", "teller"))
         first = known.select("lang", F.col("id").alias("a"), F.col("words").alias("w"), F.col("heads").alias("h"))
@@ -490,7 +569,8 @@ def phrases(docs: DataFrame, least: int = 100, fan: int = FAN, slice_bytes: int
             F.concat("h", F.array("n")).alias("heads"), F.concat("t", F.array("n")).alias("tails")))
         levels.append(known)
         if size < LONGEST:
-            streams = scratch.write(_rewrite(streams, entries, ranked, False))
+            before, streams = streams, scratch.write(_rewrite(streams, ranked, False, ranges, few))
+            scratch.drop(before)
 
     out = None
     for level, above in zip(levels, [*levels[1:], None]):

@@ -62,7 +62,7 @@ def test_small(spark):
              (None, None), ("en", None), ("en", ""), ("en", " . \n"), ("en", "y" * 100_000 + " end")]
     rows += rows[:5]
     assert len(check(spark, rows, 20, top=30)) > 50
-    assert check(spark, rows, 5, fan=2, slice_bytes=2000)
+    assert check(spark, rows, 5, fan=2, slice_bytes=2000, few=0)
 
 
 def test_many_words_and_a_dense_tile(spark):
@@ -72,7 +72,7 @@ def test_many_words_and_a_dense_tile(spark):
     rows += [("en", " ".join(rng.choice(words) for _ in range(3))) for _ in range(500)]
     tail = " ".join(words[-40:])
     rows += [("en", tail)] * 12
-    assert len(check(spark, rows, 10, top=10**6, fan=2, slice_bytes=1 << 21)) > 500
+    assert len(check(spark, rows, 10, top=10**6, fan=1, slice_bytes=1 << 21, few=0)) > 500
 
 
 @pytest.mark.parametrize("rows", [[], [("en", None), ("en", "one two three")]])
