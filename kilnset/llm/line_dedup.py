@@ -38,6 +38,8 @@ from kilnset.llm.words import Words, as_strings, mix, slices
 PERCENT = 80
 #: Slots of the word counts (their size is the bound on what the driver holds).
 SLOTS = 1 << 20
+#: Rows that a table of fixed size travels in.
+PIECES = 64
 #: Candidates of a line that are verified first.
 FIRST_CANDIDATES = 8
 #: Size of the filter that the second round looks words up in.
@@ -64,7 +66,7 @@ class Lines:
         fresh = np.concatenate([[True], place[1:] != place[:-1]]) if len(place) else np.zeros(0, bool)
         line = np.cumsum(fresh) - 1
         self.doc, self.number = words.doc[fresh], number[fresh].astype(np.int64)
-        hashes = words.hashes()
+        hashes = self.hashes = words.hashes()
         if wanted is not None:  # lines without a wanted word are left out
             hit = np.zeros(len(self.doc), dtype=bool)
             hit[line[wanted[(hashes & np.uint64(len(wanted) - 1)).astype(np.int64)]]] = True
@@ -116,50 +118,46 @@ def _parts(batches: Iterator[pa.RecordBatch], rarity: np.ndarray | None = None,
             yield batch.slice(a, b - a), Lines(Words(column.slice(a, b - a)), rarity, wanted)
 
 
-def _same_sets(ranges: int):
+def _same_sets(ranges: int, slots: int):
+    """Entries of the set hashes; at the end of a task, how many of its words fall
+    into each slot, as rows of buckets below zero."""
     def run(batches):
+        total = np.zeros(slots, dtype=np.int64)
         for rows, lines in _parts(batches):
+            total += np.bincount((lines.hashes & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
             key, again = lines.keys()
             at, rank, row = np.flatnonzero(~again), rows.column(0).to_numpy(), rows.column(1).to_numpy()
             yield emit(key[at], lines.doc[at], lines.number[at], rank, row, ranges)
             at = np.flatnonzero(again)
             if len(at):
                 yield decided(lines.doc[at], lines.number[at], rank, row, ranges)
+        width = slots // PIECES
+        for i in range(PIECES):
+            part = total[i * width:(i + 1) * width]
+            at = np.flatnonzero(part)
+            if len(at):
+                blob = np.int64(len(at)).tobytes() + part[at].tobytes() + at.astype(np.int32).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([-1 - i], pa.int64()), pa.array([blob], pa.binary())], ["bucket", "blob"])
 
     return run
 
 
-def word_counts(source: DataFrame, slots: int = SLOTS) -> np.ndarray:
-    """How many words of the corpus fall into each slot."""
-    pieces = 64
-    width = slots // pieces
-
-    def count(batches):
-        total = np.zeros(slots, dtype=np.int64)
-        for batch in batches:
-            column = as_strings(batch.column(0))
-            for a, b in slices(column, LOCAL_BYTES):
-                total += np.bincount((Words(column.slice(a, b - a)).hashes() % np.uint64(slots)).astype(np.int64),
-                                     minlength=slots)
-        for i in range(pieces):
-            part = total[i * width:(i + 1) * width]
-            at = np.flatnonzero(part)
-            if len(at):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([i], pa.int32()), pa.array([at.astype(np.int32).tobytes()], pa.binary()),
-                     pa.array([part[at].tobytes()], pa.binary())], ["piece", "at", "n"])
+def word_counts(entries: DataFrame, slots: int = SLOTS) -> np.ndarray:
+    """How many words of the corpus fall into each slot, from the rows below zero."""
+    width = slots // PIECES
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(width, dtype=np.int64)
-        for at, n in zip(table["at"], table["n"]):
-            total[np.frombuffer(at.as_py(), np.int32)] += np.frombuffer(n.as_py(), np.int64)
-        return pa.table({"piece": table["piece"][:1], "n": pa.array([total.tobytes()], pa.binary())})
+        for blob in table["blob"]:
+            raw = blob.as_py()
+            n = int(np.frombuffer(raw, np.int64, 1)[0])
+            total[np.frombuffer(raw, np.int32, n, 8 + 8 * n)] += np.frombuffer(raw, np.int64, n, 8)
+        return pa.table({"bucket": table["bucket"][:1], "n": pa.array([total.tobytes()], pa.binary())})
 
-    parts = source.select("text").mapInArrow(count, "piece int, at binary, n binary").groupBy("piece").applyInArrow(
-        add, "piece int, n binary")
     out = np.zeros(slots, dtype=np.int64)
-    for piece, n in parts.collect():  # ``slots`` numbers
-        out[piece * width:(piece + 1) * width] = np.frombuffer(n, np.int64)
+    parts = entries.where("bucket < 0").groupBy("bucket").applyInArrow(add, "bucket long, n binary")
+    for bucket, n in parts.collect():  # ``slots`` numbers
+        out[(-1 - bucket) * width:-bucket * width] = np.frombuffer(n, np.int64)
     return out
 
 
@@ -187,8 +185,7 @@ def _or_bits(width: int):
 def asked_words(asks: DataFrame, rarity: np.ndarray, percent: int, bits: int = FILTER_BITS) -> np.ndarray:
     """Filter of fixed size that knows the prefix words of the asking lines (it
     may take other words for them, which costs time only)."""
-    pieces = 64
-    width = bits // pieces
+    width = bits // PIECES
 
     def run(batches):
         for rows, lines in _parts(batches, rarity):
@@ -445,10 +442,11 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     scratch = Scratch(docs.sparkSession, "line-dedup")
     ranges = range_count(docs, text)
     source = named(docs, key, text)
-    found = scratch.write(exchange(source.mapInArrow(_same_sets(ranges), ENTRY_SCHEMA)))
+    entries = scratch.write(source.mapInArrow(_same_sets(ranges, SLOTS), ENTRY_SCHEMA))
+    found = scratch.write(exchange(entries.where("bucket >= 0")))
     marks = scratch.write(found.groupBy("rank", "row").agg(F.listagg("marks").alias("marks")))
-    scratch.drop(found)
-    rarity = rarity_classes(word_counts(source))
+    rarity = rarity_classes(word_counts(entries, SLOTS))
+    scratch.drop(found, entries)
     empty = F.lit(b"")
     known = source.join(marks, ["rank", "row"], "left").withColumn("marks", F.coalesce("marks", empty))
 

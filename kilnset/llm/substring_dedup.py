@@ -1,15 +1,17 @@
 """Substring dedup: level-wise doubling of repeated word windows.
 
-Windows of ``window`` words that start in more than one document survive the
-first level. At each further level two surviving windows side by side make a
-candidate of twice the length, named by the hashes of its halves, and those that
-repeat survive again, until no candidate is left. Text is read twice, for the
-first level and to cut; later levels carry positions and hashes of candidates
-only.
-
-A word goes when a window of the first level covers it whose words also start in
+The first level has windows of half the length (7 words for 13). Those that start in
+more than one document survive. At each further level two surviving windows that
+together reach the next length - 13 words, with one word shared, then 26, 52, .. -
+make a candidate, named by the hashes of its halves, and those that repeat survive
+again, until no candidate is left. A window of 13 words that repeats has halves that
+do, so only survivors of the first level are looked at. Text is read three times, for
+the first level, to pair its survivors and to cut; later levels carry positions and
+hashes of candidates only.
+
+A word goes when a surviving candidate of 13 words covers it whose words also start in
 a document with a smaller id; windows are judged on the input. How far a repeat
-reaches is told by ``longest_repeat``, the largest doubled length at which a
+reaches is told by ``longest_repeat``, the largest length from 13 on at which a
 window of the document is also in another one (0: none).
 """
 
@@ -79,40 +81,66 @@ def _spread(keys: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mask
 
 
-def _marked(column, doc_first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Item indices of a marks column, and which of them are later ones."""
-    marks, counts = split_binary(column, np.int32)
-    doc = np.repeat(np.arange(len(counts)), counts)
-    return doc_first[doc] + (marks >> 1), (marks & 1).astype(bool)
-
-
-def _doubled(keys, doc, pos, repeated, width):
-    """Candidates of twice the width: pairs of surviving windows side by side."""
+def _paired(keys, doc, pos, repeated, step: int, width: int):
+    """Candidates of ``width`` words: pairs of surviving windows ``step`` apart."""
     at = np.flatnonzero(repeated)
     place = doc[at].astype(np.int64) << 32 | pos[at]
-    other = np.searchsorted(place, place + width)
+    other = np.searchsorted(place, place + step)
     fits = other < len(place)
-    fits[fits] = place[other[fits]] == place[fits] + width
+    fits[fits] = place[other[fits]] == place[fits] + step
     left, right = at[fits], at[other[fits]]
     return doc[left], pos[left], mix(keys[left] * _ODD + keys[right] + np.uint64(width))
 
 
+def _candidates(half: int, width: int):
+    """Windows of ``width`` words whose halves both repeat, from texts and marks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = as_strings(batch.column(2))
+            for a, b in slices(texts, LOCAL_BYTES):
+                keys, doc, pos = _windows(Words(texts.slice(a, b - a)), half)
+                first = np.searchsorted(doc, np.arange(b - a))
+                marks, each = split_binary(batch.column(3).slice(a, b - a), np.int32)
+                at = np.repeat(first, each) + (marks >> 1)
+                d2, p2, k2 = _paired(keys, doc, pos, _spread(keys, doc, at), width - half, width)
+                counts = np.bincount(d2, minlength=b - a)
+                some = pa.array(np.flatnonzero(counts))
+                out = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a),
+                       join_binary(p2.astype(np.int32), counts).cast(pa.binary()), join_binary(k2, counts).cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([x.take(some) for x in out], ["rank", "row", "pos", "keys"])
+
+    return run
+
+
+def _judged(pos, keys, marks):
+    """Document, position and hash of each candidate, which of them repeat, and
+    which also start in an earlier document."""
+    at, counts = split_binary(pos, np.int32)
+    keys, _ = split_binary(keys, np.uint64)
+    marks, each = split_binary(marks, np.int32)
+    n = len(counts)
+    doc, at = np.repeat(np.arange(n), counts), at.astype(np.int64)
+    place = doc << 32 | at
+    wanted = np.repeat(np.arange(n), each) << 32 | (marks >> 1).astype(np.int64)
+    spot = np.searchsorted(place, wanted)
+    later = (marks & 1).astype(bool)
+    return doc, at, keys, _spread(keys, doc, np.unique(spot)), _spread(keys, doc, np.unique(spot[later]))
+
+
 def _cut(width: int):
-    names = ["rank", "row", "n_words", "n_removed", "kept_sha256", "kept_text", "repeats", "pos", "keys"]
+    """Texts without the words that candidates of an earlier document cover."""
+    names = ["rank", "row", "n_words", "n_removed", "kept_sha256", "kept_text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_strings(batch.column(2))
             for a, b in slices(texts, LOCAL_BYTES):
                 words = Words(texts.slice(a, b - a))
-                keys, doc, pos = _windows(words, width)
-                first = np.searchsorted(doc, np.arange(b - a))
-                at, later = _marked(batch.column(3).slice(a, b - a), first)
-                again = _spread(keys, doc, at[later])
+                doc, pos, _, _, again = _judged(*(batch.column(k).slice(a, b - a) for k in (3, 4, 5)))
                 cover = np.zeros(len(words.start) + 1, dtype=np.int64)
                 start = words.first[doc[again]] + pos[again]
-                cover[start] += 1
-                cover[start + width] -= 1
+                np.add.at(cover, start, 1)
+                np.add.at(cover, start + width, -1)
                 gone = np.cumsum(cover)[:-1] > 0
                 removed = np.bincount(words.doc[gone], minlength=b - a)
                 data, starts, ends = words.data.tobytes(), words.start.tolist(), words.end.tolist()
@@ -120,33 +148,23 @@ def _cut(width: int):
                 whole = words.first.tolist()
                 for i in range(b - a):
                     kept.append(b" ".join([data[starts[w]:ends[w]] for w in range(whole[i], whole[i + 1]) if not lost[w]]))
-                repeated = _spread(keys, doc, at)
-                d2, p2, k2 = _doubled(keys, doc, pos, repeated, width)
-                counts = np.bincount(d2, minlength=b - a)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(words.n.astype(np.int64)),
                     pa.array(removed.astype(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in kept]),
-                    pa.array(kept, pa.binary()).cast(pa.string()), pa.array(np.bincount(doc[repeated], minlength=b - a) > 0),
-                    join_binary(p2.astype(np.int32), counts).cast(pa.binary()), join_binary(k2, counts).cast(pa.binary())],
-                    names)
+                    pa.array(kept, pa.binary()).cast(pa.string())], names)
 
     return run
 
 
 def _double(width: int):
+    """Which candidates repeat, and those of twice the length."""
     names = ["rank", "row", "pos", "keys", "repeats"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pos, counts = split_binary(batch.column(2), np.int32)
-            keys, _ = split_binary(batch.column(3), np.uint64)
             n = len(batch)
-            doc = np.repeat(np.arange(n), counts)
-            marks, each = split_binary(batch.column(4), np.int32)
-            place = doc.astype(np.int64) << 32 | pos
-            wanted = np.repeat(np.arange(n), each).astype(np.int64) << 32 | (marks >> 1)
-            repeated = _spread(keys, doc, np.searchsorted(place, np.unique(wanted)))
-            d2, p2, k2 = _doubled(keys, doc, pos.astype(np.int64), repeated, width)
+            doc, pos, keys, repeated, _ = _judged(batch.column(2), batch.column(3), batch.column(4))
+            d2, p2, k2 = _paired(keys, doc, pos, repeated, width, 2 * width)
             counts = np.bincount(d2, minlength=n)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), join_binary(p2.astype(np.int32), counts).cast(pa.binary()),
@@ -160,6 +178,17 @@ def _gathered(marks: DataFrame) -> DataFrame:
     return marks.groupBy("rank", "row").agg(F.listagg("marks").alias("marks"))
 
 
+def _kept(source: DataFrame, judged: DataFrame, window: int, scratch: Scratch, with_text: bool) -> DataFrame:
+    """All documents cut by the judged candidates of the window's length."""
+    empty = F.lit(b"")
+    judged = judged.dropDuplicates(["rank", "row"])  # equal rows have equal candidates
+    rows = source.join(judged, ["rank", "row"], "left").select(
+        "rank", "row", "text", *[F.coalesce(c, empty).alias(c) for c in ("pos", "keys", "marks")])
+    cut = rows.mapInArrow(
+        _cut(window), "rank long, row long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return scratch.write(cut if with_text else cut.drop("kept_text"))
+
+
 def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW,
                     with_text: bool = False) -> DataFrame:
     """One row per document: key, n_words, n_removed, kept_sha256,
@@ -174,34 +203,31 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     scratch = Scratch(spark, "substring-dedup")
     ranges = range_count(docs, text)
     source = named(docs, key, text)
-    marks = scratch.write(exchange(source.mapInArrow(_first_level(window, ranges), ENTRY_SCHEMA)))
-    both = source.join(_gathered(marks), ["rank", "row"], "left").select("rank", "row", "text", "marks")
-    both = both.withColumn("marks", F.coalesce("marks", F.lit(b"")))
-    cut = both.mapInArrow(_cut(window), (
-        "rank long, row long, n_words long, n_removed long, kept_sha256 string, kept_text string, "
-        "repeats boolean, pos binary, keys binary"))
-    cut = scratch.write(cut if with_text else cut.drop("kept_text"))
+    half = (window + 1) // 2
+    marks = scratch.write(exchange(source.mapInArrow(_first_level(half, ranges), ENTRY_SCHEMA)))
+    both = source.join(_gathered(marks), ["rank", "row"]).select("rank", "row", "text", "marks")
+    state = scratch.write(both.mapInArrow(_candidates(half, window), "rank long, row long, pos binary, keys binary"))
     scratch.drop(marks)
-    lengths = [cut.where("repeats").select("rank", "row", F.lit(window).cast("long").alias("reach"))]
-    state, width = cut.where(F.length("pos") > 0).select("rank", "row", "pos", "keys"), 2 * window
-    made = None
+    lengths, width, out = [], window, None
     while not state.isEmpty():
         marks = scratch.write(exchange(state.mapInArrow(_next_level(ranges), ENTRY_SCHEMA)))
         both = state.join(_gathered(marks), ["rank", "row"]).select("rank", "row", "pos", "keys", "marks")
+        if out is None:
+            out = _kept(source, both, window, scratch, with_text)
         after = scratch.write(both.mapInArrow(
             _double(width), "rank long, row long, pos binary, keys binary, repeats boolean"))
-        scratch.drop(marks)
-        reach = scratch.write(after.where("repeats").select("rank", "row", F.lit(width).cast("long").alias("reach")))
-        lengths.append(reach)
-        if made is not None:
-            scratch.drop(made)
-        made = after
-        state, width = after.where(F.length("pos") > 0).select("rank", "row", "pos", "keys"), 2 * width
+        scratch.drop(marks, state)
+        lengths.append(after.where("repeats").select("rank", "row", F.lit(width).cast("long").alias("reach")))
+        state = scratch.write(after.where(F.length("pos") > 0).select("rank", "row", "pos", "keys"))
+        width *= 2
+    if out is None:
+        out = _kept(source, state.withColumn("marks", F.lit(b"")), window, scratch, with_text)
+        lengths = [state.select("rank", "row", F.lit(window).cast("long").alias("reach"))]
     every = lengths[0]
     for more in lengths[1:]:
         every = every.unionByName(more)
     longest = every.groupBy("rank", "row").agg(F.max("reach").alias("longest_repeat"))
-    out = cut.join(longest, ["rank", "row"], "left")
+    out = out.join(longest, ["rank", "row"], "left")
     names = ["n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else [])]
     return out.select(F.when(F.col("rank") != NO_ID, F.col("rank")).alias(key), *names,
                       F.coalesce("longest_repeat", F.lit(0)).cast("long").alias("longest_repeat"))
