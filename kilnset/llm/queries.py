@@ -109,36 +109,47 @@ def op2_quote_links(spark, sf_dir):
 
 SQL["op2_quote_links"] = r"""
 WITH RECURSIVE base AS (
-  SELECT row_number() OVER () AS mid, conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  SELECT row_number() OVER () AS mid, conv_id, coalesce(conv_id::varchar, 'none') AS talk, turn, role, coalesce(text, '') AS text
+  FROM conversations
 ), lines AS (
-  SELECT mid, conv_id, turn, unnest(string_split(text, chr(10))) AS line,
+  SELECT mid, talk, turn, unnest(string_split(text, chr(10))) AS line,
          generate_subscripts(string_split(text, chr(10)), 1) AS place
   FROM base WHERE regexp_matches(text, '(?m)^[ \t]*>')
 ), deep AS (
-  SELECT mid, conv_id, turn, place, length(regexp_replace(regexp_extract(line, '^[ \t]*(?:>[ \t]*)+'), '[^>]', '', 'g')) AS depth,
+  SELECT mid, talk, turn, place, length(regexp_replace(regexp_extract(line, '^[ \t]*(?:>[ \t]*)+'), '[^>]', '', 'g')) AS depth,
          regexp_replace(line, '^[ \t]*(?:>[ \t]*)+', '') AS body FROM lines
 ), changes AS (
   SELECT *, CASE WHEN lag(depth) OVER (PARTITION BY mid ORDER BY place) = depth THEN 0 ELSE 1 END AS change FROM deep
 ), runs AS (
   SELECT *, sum(change) OVER (PARTITION BY mid ORDER BY place) AS run FROM changes
 ), parts AS (
-  SELECT mid, conv_id, turn, run, depth, string_agg(body, chr(10) ORDER BY place) AS body
-  FROM runs GROUP BY mid, conv_id, turn, run, depth
+  SELECT mid, talk, turn, run, depth, string_agg(body, chr(10) ORDER BY place) AS body
+  FROM runs GROUP BY mid, talk, turn, run, depth
 ), said AS (
   SELECT mid, string_agg(body, chr(10) ORDER BY run) AS own FROM parts WHERE depth = 0 GROUP BY mid
 ), clean AS (
   SELECT b.*, CASE WHEN regexp_matches(text, '(?m)^[ \t]*>') THEN coalesce(own, '') ELSE text END AS own
   FROM base b LEFT JOIN said USING (mid)
+), told AS (
+  SELECT talk, turn, list_filter([trim(regexp_replace(lower(x), '[ \t\n\x0B\f\r]+', ' ', 'g')) for x in string_split(own, chr(10))],
+                                 lambda x: x <> '') AS own_lines FROM clean
+), counts AS (
+  SELECT DISTINCT talk, len(list_filter([trim(regexp_replace(lower(x), '[ \t\n\x0B\f\r]+', ' ', 'g')) for x in string_split(body, chr(10))],
+                                        lambda x: x <> '')) AS n FROM parts WHERE depth > 0
+), starts AS (
+  SELECT talk, turn, own_lines, n, unnest(range(1, len(own_lines) - n + 2)) AS first
+  FROM told JOIN counts USING (talk) WHERE n > 1 AND n <= len(own_lines)
 ), units AS (
-  SELECT conv_id, turn, own AS unit FROM clean
-  UNION ALL SELECT conv_id, turn, unnest(string_split(own, chr(10))) FROM clean
-  UNION ALL SELECT conv_id, turn, body FROM parts WHERE depth = 0
+  SELECT talk, turn, own AS unit FROM clean
+  UNION ALL SELECT talk, turn, unnest(string_split(own, chr(10))) FROM clean
+  UNION ALL SELECT talk, turn, body FROM parts WHERE depth = 0
+  UNION ALL SELECT talk, turn, array_to_string(own_lines[first:first + n - 1], ' ') FROM starts
 ), source AS (
-  SELECT conv_id, trim(regexp_replace(lower(unit), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS unit, min(turn) AS said_at
+  SELECT talk, trim(regexp_replace(lower(unit), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS unit, min(turn) AS said_at
   FROM units WHERE turn IS NOT NULL GROUP BY 1, 2
 ), linked AS (
   SELECT p.mid, p.depth, CASE WHEN s.said_at < p.turn THEN s.said_at END AS said_at
-  FROM parts p LEFT JOIN source s ON s.conv_id = p.conv_id AND s.unit <> ''
+  FROM parts p LEFT JOIN source s ON s.talk = p.talk AND s.unit <> ''
     AND s.unit = trim(regexp_replace(lower(p.body), '[ \t\n\x0B\f\r]+', ' ', 'g'))
   WHERE p.depth > 0
 ), per AS (
@@ -146,21 +157,21 @@ WITH RECURSIVE base AS (
          arg_max(said_at, -1000000000000 * depth + said_at) FILTER (WHERE said_at IS NOT NULL) AS reply_to
   FROM linked GROUP BY mid
 ), rows_ AS (
-  SELECT c.conv_id, c.turn, c.role, c.own AS text, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked,
+  SELECT c.talk, c.conv_id, c.turn, c.role, c.own AS text, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked,
          reply_to FROM clean c LEFT JOIN per USING (mid)
 ), nodes AS (
-  SELECT conv_id, turn, max(reply_to) AS up FROM rows_ WHERE reply_to IS NOT NULL GROUP BY 1, 2
+  SELECT talk, turn, max(reply_to) AS up FROM rows_ WHERE reply_to IS NOT NULL GROUP BY 1, 2
 ), climb AS (
-  SELECT conv_id, turn, up, [turn] AS path FROM nodes
+  SELECT talk, turn, up, [turn] AS path FROM nodes
   UNION ALL
-  SELECT c.conv_id, c.turn, n.up, list_prepend(c.up, c.path) FROM climb c
-  LEFT JOIN nodes n ON n.conv_id = c.conv_id AND n.turn = c.up WHERE c.up IS NOT NULL
+  SELECT c.talk, c.turn, n.up, list_prepend(c.up, c.path) FROM climb c
+  LEFT JOIN nodes n ON n.talk = c.talk AND n.turn = c.up WHERE c.up IS NOT NULL
 ), paths AS (
-  SELECT conv_id, turn, path FROM climb WHERE up IS NULL
+  SELECT talk, turn, path FROM climb WHERE up IS NULL
 ), threads AS (
-  SELECT r.*, coalesce(p.path, [r.turn]) AS path FROM rows_ r LEFT JOIN paths p USING (conv_id, turn)
+  SELECT r.*, coalesce(p.path, [r.turn]) AS path FROM rows_ r LEFT JOIN paths p USING (talk, turn)
 )
-SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY [coalesce(x, -9223372036854775808) for x in path], role NULLS FIRST, md5(text), reply_to NULLS FIRST, n_quotes) - 1 AS position,
+SELECT conv_id, row_number() OVER (PARTITION BY talk ORDER BY [coalesce(x, -9223372036854775808) for x in path], role NULLS FIRST, md5(text), reply_to NULLS FIRST, n_quotes) - 1 AS position,
        turn, role, reply_to, len(path) - 1 AS depth, n_quotes, n_linked, text
 FROM threads
 """

@@ -285,6 +285,40 @@ def test_quote_links_against_sql(spark):
     assert link_quotes(df.limit(0)).count() == 0
 
 
+def _same_as_sql(out, rows):
+    con = duckdb.connect()
+    con.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    names, wanted = _oracle(con)
+    assert sorted([tuple(r[c] for c in names) for r in out], key=key) == sorted(wanted, key=key)
+
+
+def test_quotes_with_null_keys(spark):
+    from kilnset.llm.quote_links import link_quotes
+
+    t = "hello\n> q\nbye"
+    rows = [(5, None, "u", t), (None, 5, "u", t), (None, 0, "a", "hi there"), (None, 1, "b", "> hi there\nyes"),
+            (None, 1, "b", "> hi there\nyes"), (None, None, None, None), (0, 0, "a", "hi there"), (6, None, "a", "x"), (6, None, "a", "> x")]
+    out = link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    _same_as_sql(out, rows)
+    assert all(r.text == "hello\nbye" and r.n_quotes == 1 for r in out if r.role == "u")
+    assert [r.n_linked for r in out if r.conv_id is None and r.role == "b"] == [1, 1]
+
+
+def test_long_threads_and_messages(spark):
+    """A chain of 5,000 replies, a message with 2,000 replies, and 30,000 equal lines."""
+    from kilnset.llm.quote_links import link_quotes
+
+    rows = [(1, 0, "a", "m0")] + [(1, t, "a", f"> m{t - 1}\nm{t}") for t in range(1, 5000)]
+    rows += [(2, 0, "a", "start")] + [(2, t, "a", "> start\nre") for t in range(1, 2001)]
+    rows += [(3, 0, "a", "x\n" * 30_000 + "y")] + [(3, n, "a", "> x\n" * n + "> y\nhere") for n in range(1, 12)]
+    out = link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    by = {(r.conv_id, r.turn): r for r in out}
+    assert all((by[1, t].position, by[1, t].depth) == (t, t) for t in range(5000))
+    assert all((by[2, t].position, by[2, t].depth) == (t, min(t, 1)) for t in range(2001))
+    assert all(by[3, n].reply_to == 0 for n in range(1, 12))
+
+
 def test_quotes_of_neighbouring_lines(spark):
     from kilnset.llm.quote_links import link_quotes
 
@@ -299,6 +333,7 @@ def test_quotes_of_neighbouring_lines(spark):
     ]
     out = link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert len(out) == len(rows)
+    _same_as_sql(out, rows)
     found = {(r.conv_id, r.turn): (r.n_quotes, r.n_linked, r.reply_to) for r in out if r.n_quotes}
 
     def lines(text):  # what a message says itself, line by line
