@@ -45,8 +45,10 @@ TILE = 1 << 10
 HEAD = 4
 #: Slices (or sums of slices) that one task adds up for one dense tile.
 FAN = 256
-#: Words or pairs that a task holds before it adds them up, or sends them.
-HELD = 2 << 20
+#: Words or pairs that a task holds before it adds them up and sends them.
+HELD = 1 << 19
+#: Pairs that are held while entries are summed.
+SUMMED = 2 << 20
 #: Frequent words or pairs that are sent to every task (24 bytes each).
 FEW = 1 << 20
 LONGEST = 5
@@ -74,6 +76,43 @@ def _blob(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
 
 
+def _narrow(values: np.ndarray) -> bytes:
+    """Eight bytes that tell the width of the numbers, then the numbers, none below 0."""
+    top = int(values.max()) if len(values) else 0
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.int64) if top <= np.iinfo(k).max)
+    return np.int64(np.dtype(kind).itemsize).tobytes() + values.astype(kind).tobytes()
+
+
+def _widened(raw, n: int, at: int = 0) -> tuple[np.ndarray, int]:
+    """``n`` numbers from place ``at``, and the place after them."""
+    size = int(np.frombuffer(raw, np.int64, 1, at)[0])
+    kind = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[size]
+    return np.frombuffer(raw, kind, n, at + 8).astype(np.int64), at + 8 + n * size
+
+
+def _pack_pairs(a: np.ndarray, b: np.ndarray) -> bytes:
+    """Sorted pairs: the steps between the left numbers, how many pairs each has, and
+    the steps between the right numbers of each."""
+    begin = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+    left = a[begin]
+    steps = b.copy()
+    steps[1:] -= np.where(a[1:] == a[:-1], b[:-1], 0)
+    head = np.array([len(left), len(a)], np.int64).tobytes()
+    return head + b"".join(_narrow(x) for x in (np.diff(left, prepend=0), np.diff(np.append(begin, len(a))), steps))
+
+
+def _unpack_pairs(cell) -> tuple[np.ndarray, np.ndarray]:
+    raw = cell.as_buffer()
+    rows, n = (int(x) for x in np.frombuffer(raw, np.int64, 2))
+    left, at = _widened(raw, rows, 16)
+    sizes, at = _widened(raw, rows, at)
+    steps, _ = _widened(raw, n, at)
+    total = np.cumsum(steps)
+    begin = np.cumsum(sizes) - sizes
+    before = np.where(begin > 0, total[begin - 1], 0)
+    return np.repeat(np.cumsum(left), sizes), total - np.repeat(before, sizes)
+
+
 def _stream_blob(stream: np.ndarray) -> bytes:
     """Eight bytes that tell the width of the numbers, then four or eight bytes each."""
     kind = np.int32 if not len(stream) or int(stream.max()) < 1 << 31 else np.int64
@@ -179,7 +218,7 @@ def _pair_counts(batch, i: int):
     both = (stream[:-1] >= 0) & (stream[1:] >= 0)
     a, b = stream[:-1][both].astype(np.int64), stream[1:][both].astype(np.int64)
     inner = (a < HEAD * TILE) & (b < HEAD * TILE)
-    parts = [_sorted_pairs(a[~inner], b[~inner])]
+    parts = [_sorted_pairs(a[~inner], b[~inner])]  # and cells by tile, out of order
     x, y = a[inner], b[inner]
     tile = (x // TILE) * HEAD + y // TILE
     order = np.argsort(tile, kind="stable")
@@ -204,7 +243,7 @@ def _split(a, b, n, who, words: bool, ranges: int) -> list:
         tb = (((a.view(np.uint64) >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
     else:
         ta, tb = _home(a, b, ranges)
-    order = np.lexsort((tb, ta))
+    order = np.lexsort((tb, ta))  # stable: pairs stay in order inside a range
     a, b, n, who, ta, tb = (x[order] for x in (a, b, n, who, ta, tb))
     edge = np.flatnonzero((ta[1:] != ta[:-1]) | (tb[1:] != tb[:-1])) + 1
     rows = []
@@ -215,8 +254,8 @@ def _split(a, b, n, who, words: bool, ranges: int) -> list:
         elif t >= 0:
             keys = _blob(((x % TILE) * TILE + y % TILE).astype(np.int32))
         else:
-            keys = _stream_blob(np.column_stack([x, y]).ravel())
-        counts = _stream_blob(n[begin:end])
+            keys = _pack_pairs(x, y)
+        counts = _narrow(n[begin:end])
         tellers = _tellers(who[begin:end]) if words else b""
         rows.append((t, int(tb[begin]), keys, counts, tellers))
     return rows
@@ -291,10 +330,12 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _home(a: np.ndarray, b: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tile of each pair, or (-1, hash range) beyond the dense ones."""
+    """Tile of each pair, or (-1, hash range) beyond the dense ones. Pairs of one left
+    number go to one range, those of a frequent one to several."""
     ta, tb = a // TILE, b // TILE
     dense = (ta < HEAD) & (tb < HEAD)
-    part = (((_mix(a, b) >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+    mixed = _mix(a, np.where(ta < HEAD, tb // HEAD, 0))
+    part = (((mixed >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
     return np.where(dense, ta, -1), np.where(dense, tb, part)
 
 
@@ -319,19 +360,19 @@ class _Sum:
         self.words, self.parts, self.held = words, [], 0
 
     def add(self, keys, counts, tellers) -> None:
-        counts = _stream(counts)
         if self.dense is not None:
-            self.dense[_numbers(keys, np.int32)] += counts  # cells of an entry are distinct
+            cells = _numbers(keys, np.int32)
+            self.dense[cells] += _widened(counts.as_buffer(), len(cells))[0]  # cells of an entry are distinct
             return
         if self.words:
             a = _numbers(keys, np.int64)
             b, who = np.zeros(len(a), np.int64), _told_by(tellers, len(a))
         else:
-            a, b = _stream(keys).astype(np.int64).reshape(-1, 2).T
+            a, b = _unpack_pairs(keys)
             who = np.zeros(len(a), np.int64)
-        self.parts.append((a, b, counts.astype(np.int64), who))
+        self.parts.append((a, b, _widened(counts.as_buffer(), len(a))[0], who))
         self.held += len(a)
-        if self.held > HELD and len(self.parts) > 1:
+        if self.held > SUMMED and len(self.parts) > 1:
             self.parts = [_merged(self.parts)]
             self.held = len(self.parts[0][0])
 
@@ -354,7 +395,7 @@ def _summed(words: bool, least: int, again: bool):
             a, b, n, who = state.result(ta, tb)
             if again:
                 cells = ((a % TILE) * TILE + b % TILE).astype(np.int32)
-                return _entry_batch(lang, part, [(ta, tb, _blob(cells), _stream_blob(n), b"")])
+                return _entry_batch(lang, part, [(ta, tb, _blob(cells), _narrow(n), b"")])
             some = n >= least
             a, b, n, who = a[some], b[some], n[some], who[some]
             return pa.RecordBatch.from_arrays(
@@ -435,7 +476,7 @@ def _answers(words: bool):
                     cells = _numbers(batch["keys"][i], np.int32).astype(np.int64)
                     asked = np.column_stack([ta * TILE + cells // TILE, tb * TILE + cells % TILE])
                 else:
-                    asked = _stream(batch["keys"][i]).astype(np.int64).reshape(-1, 2)
+                    asked = np.column_stack(_unpack_pairs(batch["keys"][i]))
                 pairs, ids = _matches(asked, _numbers(batch["known"][i], np.int64).reshape(-1, 3))
                 if len(ids):
                     slices.append(batch["slice"][i].as_py())
