@@ -7,7 +7,8 @@ least-squares problem against that histogram; its non-negative solution, rounded
 within what the histogram holds, says how often each combination is used. What
 is left is packed greedily, longest piece first. The plan has at most one row per
 combination, whatever the corpus; pieces find their sequence by their length and
-their number among the pieces of that length.
+their number among the pieces of that length. Full windows are sequences of their own:
+they are counted where they are cut, and nothing is sorted for them.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +31,9 @@ from kilnset.llm.scratch import Scratch
 from kilnset.llm.words import as_strings
 
 WINDOW = 1024
-#: Hash ranges in which the pieces of one length are numbered on their own.
-RANGES = 64
+#: Pieces of one length that are numbered together, about: a length has as many hash
+#: ranges as its number of pieces asks for.
+RANGE_PIECES = 1 << 16
 _ENCODERS: dict = {}
 
 
@@ -88,15 +91,16 @@ def encoder(name: str = "byte_bpe_50k") -> Callable[[str], list[int]]:
 def cut_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW,
                   tokenizer: str = "byte_bpe_50k", end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """Pieces of every document: key, start, length, ids_crc32, doc_tokens
-    (and the ids). A null text is empty and has the end id alone; an added token
-    of the tokenizer in a text is one id."""
-    schema = f"`{key}` long, start long, length long, ids_crc32 long, doc_tokens long"
-    names = [key, "start", "length", "ids_crc32", "doc_tokens"]
+    (and the ids), the task that cut it and, for full windows, their number in that task. A
+    null text is empty and has the end id alone; an added token of the tokenizer in a
+    text is one id."""
+    schema = f"`{key}` long, start long, length long, ids_crc32 long, doc_tokens long, __task long, __full long"
+    names = [key, "start", "length", "ids_crc32", "doc_tokens", "__task", "__full"]
     if with_ids:
         schema += ", ids array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode, task, full = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             texts, keys = as_strings(batch.column(1)), batch.column(0)
             owner, rows, ids = [], [], []
@@ -109,7 +113,11 @@ def cut_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", wind
                     if with_ids:
                         ids.append(part.astype(np.int32))
             cells = np.array(rows, dtype=np.int64).reshape(-1, 4)
-            columns = [keys.take(pa.array(owner, pa.int32())), *[pa.array(cells[:, j]) for j in range(4)]]
+            whole = cells[:, 1] == window
+            number = full + np.cumsum(whole) - 1
+            full += int(whole.sum())
+            columns = [keys.take(pa.array(owner, pa.int32())), *[pa.array(cells[:, j]) for j in range(4)],
+                       pa.array(np.full(len(cells), task)), pa.array(number, mask=~whole)]
             if with_ids:
                 columns.append(pa.array(ids, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names + ["ids"] * with_ids)
@@ -222,7 +230,8 @@ def plan_ranges(plan) -> np.ndarray:
 
 
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW,
-         tokenizer: str = "byte_bpe_50k", end_id: int = 0, with_ids: bool = False) -> DataFrame:
+         tokenizer: str = "byte_bpe_50k", end_id: int = 0, with_ids: bool = False,
+         range_pieces: int = RANGE_PIECES) -> DataFrame:
     """Pieces with ``sequence_id`` and ``offset``.
 
     Empty and null texts are one piece of one id, rows with the same or a null
@@ -232,11 +241,24 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int =
     scratch = Scratch(docs.sparkSession, "pack")
     pieces = scratch.write(cut_documents(docs, key, text, window, tokenizer, end_id, with_ids))
     histogram = np.zeros(window + 1, dtype=np.int64)
-    for size, n in pieces.groupBy("length").count().collect():  # at most ``window`` rows
+    for size, n in pieces.where("__full is null").groupBy("length").count().collect():  # at most ``window`` rows
         histogram[size] = n
-    plan = plan_ranges(plan_sequences(histogram))
-
-    marked = pieces.withColumn("__range", F.pmod(F.xxhash64(key, "start", "ids_crc32"), F.lit(RANGES)).cast("int"))
+    plan = plan_sequences(histogram)
+    planned = sum(n for _, n in plan)
+    plan = plan_ranges(plan)
+
+    # full windows come after the planned sequences, task by task
+    fulls = pieces.where("__full is not null")
+    tasks = fulls.groupBy("__task").agg((F.max("__full") + 1).alias("__n"))
+    earlier = Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)  # one row a task
+    tasks = tasks.select("__task", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__first"))
+    names = [c for c in pieces.columns if c not in ("__task", "__full")]
+    fulls = fulls.join(tasks, "__task").select(
+        *names, (F.lit(planned) + F.col("__first") + F.col("__full")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+
+    ranges = F.array(*[F.lit(int(max(1, -(-n // range_pieces)))) for n in histogram])
+    marked = pieces.where("__full is null").withColumn("__range", F.pmod(
+        F.xxhash64(key, "start", "ids_crc32"), F.get(ranges, F.col("length").cast("int"))).cast("int"))
     counts = marked.groupBy("length", "__range").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("length").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("length", "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
@@ -256,5 +278,4 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int =
         return pd.DataFrame({"sequence_id": row[:, 2] + number - row[:, 1], "offset": row[:, 3]})
 
     out = ranked.withColumn("__place", place("length", "__rank"))
-    names = [c for c in pieces.columns]
-    return out.select(*names, "__place.sequence_id", "__place.offset")
+    return out.select(*names, "__place.sequence_id", "__place.offset").unionByName(fulls)

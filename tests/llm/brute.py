@@ -115,3 +115,40 @@ def base_counts(text):
             dup += line in seen
             seen.add(line)
     return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered))
+
+
+def weak_votes(text):
+    """The ten labellers' votes (0 none, 1 bad, 2 good), one rule after the other."""
+    text = text or ""
+    w = words(text)
+    n_words, word_chars, n_symbols, n_dup_lines, n_repeat = base_counts(text)
+    if n_words < 10:
+        return [0] * 10
+    byte = text.encode()
+    upper = sum(65 <= b <= 90 for b in byte)
+    lower = sum(97 <= b <= 122 for b in byte)
+    solid = sum(b not in b" \t\n\x0b\x0c\r" for b in byte)
+    other = sum(b >= 128 for b in byte)
+    stops = text.count(".")
+    marked = sum(any(c in "#*$%&|<>" for c in x) for x in w)
+
+    def vote(bad, good, known=True):
+        return 0 if not known else 1 if bad else 2 if good else 0
+
+    letters = (upper + lower + other) / solid
+    capitals = upper / max(upper + lower, 1)
+    variety = len(set(w)) / n_words
+    span = n_words / max(stops, 1)
+    length = word_chars / n_words
+    return [
+        vote(n_symbols / n_words > 0.05, n_symbols / n_words < 0.02),
+        vote(marked / n_words > 0.1, marked / n_words < 0.03),
+        vote(letters < 0.9, letters > 0.94),
+        vote(n_repeat / n_words > 0.2, n_repeat / n_words < 0.05),
+        vote(capitals > 0.3, capitals < 0.15),
+        vote(text.count("!") / n_words > 0.1, text.count("!") / n_words < 0.05),
+        vote(variety < 0.15, variety > 0.4, n_words >= 20),
+        vote(stops == 0 or span > 80, 2 < span < 40, n_words >= 30),
+        vote(n_dup_lines > 3, n_dup_lines == 0),
+        vote(length > 12 or length < 2, 3 < length < 9),
+    ]

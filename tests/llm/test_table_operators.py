@@ -230,6 +230,29 @@ def test_pack(spark, odd_docs, odd_texts):
     assert pack(odd_docs.limit(0)).count() == 0
 
 
+def test_pack_many_full_windows(spark):
+    """Full windows have numbers of their own, and ranges of a few pieces agree."""
+    from kilnset.llm.packing import pack
+
+    rows = [(i, "word " * (200 + i % 7)) for i in range(120)] + [(i, "a b c") for i in range(60)] + [(None, None)]
+    out = pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), window=16, range_pieces=5).collect()
+    held = defaultdict(list)
+    for r in out:
+        held[r.sequence_id].append((r.offset, r.length))
+    assert sorted(held) == list(range(len(held)))
+    for parts in held.values():
+        ends = [0]
+        for offset, length in sorted(parts):
+            assert offset == ends[-1]
+            ends.append(offset + length)
+        assert ends[-1] <= 16
+    assert sum(r.length == 16 for r in out) > 1000
+    by_doc = defaultdict(list)
+    for r in out:
+        by_doc[r.doc_id].append((r.start, r.length))
+    assert sum(n for n, in [(len(v),) for v in by_doc.values()]) == len(out) and len(by_doc) == 121
+
+
 def test_plan_uses_every_piece_once():
     from kilnset.llm.packing import plan_ranges, plan_sequences
 

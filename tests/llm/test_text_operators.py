@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
-from brute import base_counts, jaccard_components, line_dedup, substring_dedup, words
+from brute import base_counts, jaccard_components, line_dedup, substring_dedup, weak_votes, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -156,10 +156,17 @@ def test_weak_label_estimates():
     assert ((posterior[inverse.ravel()] > 0.5) == good).mean() > 0.93
 
 
-def test_weak_labels_on_odd_rows(odd_docs):
-    from kilnset.llm.weak_labels import classify
+def test_weak_labels_on_odd_rows(spark, odd_docs, odd_texts):
+    from kilnset.llm.weak_labels import LABELLERS, classify
 
     out = classify(odd_docs)
+    more = [(1000 + i, "# " * i + "Some words. " * (40 - i) + "!" * (i % 9) + "ABC DEF " * (i % 13)) for i in range(40)]
+    every = spark.createDataFrame([*odd_texts, *more], "doc_id long, text string")
+    names = ["doc_id", *[f"vote_{x}" for x in LABELLERS]]
+    found = [tuple(r) for r in classify(every).select(names).collect()]
+    wanted = [(i, *weak_votes(t)) for i, t in [*odd_texts, *more]]
+    assert sorted(found, key=key) == sorted(wanted, key=key)
+    assert all(len({r[k] for r in wanted}) > 1 for k in range(1, 11))
     assert out.count() == odd_docs.count() and out.where("kept is null or score is null").count() == 0
 
 
