@@ -76,10 +76,10 @@ l as (select user_id, arg_max(ema, k) as ema from e group by 1)
 select user_id as rank, count(*) as count, round(sum(value), 2) as sum, arg_max(value, event_id) as val, round(any_value(ema), 6) as ema
 from events join l using (user_id) group by 1""")
 def streamed_meters(t):
-    rows = t.events.select("event_id", F.col("user_id").alias("rank"), F.col("event_id").alias("step"), "value")
-    base = S.run_in_parts(rows, _part(), 3, "meters", ST.update_meters)
-    return t.spark.read.parquet(f"{base}/meters/v=2").select(
-        "rank", "count", F.round("sum", 2).alias("sum"), "val", F.round("ema", 6).alias("ema"))
+    rows = t.events.select("event_id", F.col("user_id").cast("long").alias("rank"), F.col("event_id").cast("long").alias("step"), "value")
+    seen = S.Arrivals(rows, _part(), "meters").run(3, ST.meters)
+    last = seen.groupBy("rank").agg(F.max_by(F.struct("count", "sum", "val", "ema"), "count").alias("m")).select("rank", "m.*")
+    return last.select("rank", "count", F.round("sum", 2).alias("sum"), "val", F.round("ema", 6).alias("ema"))
 
 
 @query("ordered_reassembly", "T5 O15", f"""
@@ -88,9 +88,23 @@ select stream, idx, max(part) over (partition by stream order by idx) as release
 def ordered_reassembly(t):
     from kilnset.operators.ranking import positions
 
-    rows = positions(t.events.select("event_id", F.col("user_id").alias("stream"), F.col("value").alias("payload")), ["event_id"], ["stream"], name="idx")
-    base = S.run_in_parts(rows, _part(), 3, "reassembly", ST.reassemble)
-    return t.spark.read.parquet(f"{base}/released").select("stream", "idx", "released_in")
+    rows = positions(t.events.select("event_id", F.col("user_id").cast("long").alias("stream"), F.col("value").alias("payload")),
+                     ["event_id"], ["stream"], name="idx")
+    return S.Arrivals(rows, _part(), "reassembly").run(3, ST.reassemble).select("stream", "idx", "released_in")
+
+
+@query("completed_mini_batches", "T5", f"""
+with micro as (select event_id // 64 as mini_batch, event_id % 64 // 16 as micro, {PART} as part, count(*) as samples,
+  sum(length(event_type)) as bytes from events group by 1, 2, 3)
+select mini_batch, count(*) as micro_batches, sum(samples)::bigint as samples, sum(bytes)::bigint as bytes, max(part) as completed_in
+from micro group by 1""")
+def completed_mini_batches(t):
+    # micro-batches of up to 16 samples; those of one mini-batch come in several arrivals
+    events = t.events.withColumns({"mini_batch": F.floor(F.col("event_id") / 64), "part": _part()})
+    micro = events.groupBy("mini_batch", F.floor(F.col("event_id") % 64 / 16).alias("micro"), "part").agg(
+        F.count(F.lit(1)).alias("samples"), F.sum(F.length("event_type")).alias("bytes"))
+    sizes = events.groupBy("mini_batch").agg(F.count(F.lit(1)).alias("size"))
+    return S.Arrivals(micro.join(sizes, "mini_batch"), F.col("part"), "mini-batches").run(3, ST.complete_mini_batches)
 
 
 @query("streamed_stragglers", "T6", """
@@ -100,45 +114,46 @@ e as (select node, max(batch_no) as fastest, min(batch_no) as slowest from g gro
 select node, rank, batch_no, left_tasks, fastest, slowest, case when slowest = fastest then 'even' when batch_no > slowest or finished then 'fast'
   when left_tasks >= 5 then 'slow' else 'nearly_done' end as state from g join e using (node)""")
 def streamed_stragglers(t):
-    def progress(stream):
-        return stream.groupBy((F.col("user_id") % 8).alias("node"), F.col("user_id").alias("rank")).agg(
-            F.count(F.lit(1)).alias("batch_no"), F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0)).alias("left_tasks"),
-            (F.max("value") > 489).alias("finished"))
+    def totals(stream):
+        named = stream.withColumns({"node": F.col("user_id") % 8, "rank": F.col("user_id")})
+        return ST.progress_totals(named, F.col("event_type") == "error", F.col("value") > 489)
 
-    base = S.run_in_parts(t.events, _part(), 3, "stragglers", ST.straggler_report(5), progress, "complete")
-    return t.spark.read.parquet(f"{base}/report/v=2")
+    feed = S.Arrivals(t.events, _part(), "stragglers")
+    feed.run(3, totals, "complete", lambda batch, n: ST.straggler_report(batch, 5).write.mode("overwrite").parquet(f"{feed.base}/report/{n}"))
+    return t.spark.read.parquet(f"{feed.base}/report/2")
 
 
 @query("closed_epochs", "T7", f"""
 with f as (select event_id // 50 as epoch, user_id % 4 as rank, min({PART}) as first from events group by 1, 2)
 select epoch, max(first) as closed_in from f group by 1 having count(*) = 4""")
 def closed_epochs(t):
-    rows = t.events.select("event_id", F.floor(F.col("event_id") / 50).alias("epoch"), (F.col("user_id") % 4).alias("rank"))
-    base = S.run_in_parts(rows, _part(), 3, "epochs", ST.close_epochs(4))
-    return t.spark.read.parquet(f"{base}/closed").select("epoch", "closed_in")
+    rows = t.events.select("event_id", F.floor(F.col("event_id") / 50).alias("epoch"), (F.col("user_id") % 4).cast("long").alias("rank"))
+    return S.Arrivals(rows, _part(), "epochs").run(3, lambda s: ST.close_epochs(s, 4))
+
+
+def _worker_rows(t):
+    return t.events.select("event_id", (F.col("user_id") % 5).cast("long").alias("worker"), F.col("event_id").cast("long").alias("sample_id"))
 
 
 @query("arrival_batches", "B7", f"""
-with r as (select event_id as sample_id, row_number() over (order by {PART}, event_id) - 1 as pos from events)
-select sample_id, pos // 32 as batch_id, pos % 32 as pos_in_batch from r""")
+with r as (select event_id as sample_id, user_id % 5 as worker, row_number() over (partition by user_id % 5 order by {PART}, event_id) - 1 as pos from events)
+select worker, sample_id, pos // 32 as batch_id, pos % 32 as pos_in_batch from r""")
 def arrival_batches(t):
-    rows = t.events.select("event_id", F.col("event_id").alias("sample_id"))
-    base = S.run_in_parts(rows, _part(), 3, "arrivals", ST.batch_arrivals(32))
-    return t.spark.read.parquet(f"{base}/batches").select("sample_id", "batch_id", "pos_in_batch")
+    return S.Arrivals(_worker_rows(t), _part(), "arrivals").run(3, lambda s: ST.batch_arrivals(s, 32))
 
 
 @query("full_arrival_batches", "B7", f"""
-with r as (select event_id as sample_id, row_number() over (order by {PART}, event_id) - 1 as pos, count(*) over () as n from events)
-select sample_id, pos // 33 as batch_id, pos % 33 as pos_in_batch from r where pos // 33 < n // 33""")
+with r as (select event_id as sample_id, user_id % 5 as worker, row_number() over (partition by user_id % 5 order by {PART}, event_id) - 1 as pos,
+  count(*) over (partition by user_id % 5) as n from events)
+select worker, sample_id, pos // 33 as batch_id, pos % 33 as pos_in_batch from r where pos // 33 < n // 33""")
 def full_arrival_batches(t):
-    rows = t.events.select("event_id", F.col("event_id").alias("sample_id"))
-    base = S.run_in_parts(rows, _part(), 3, "full-arrivals", ST.batch_arrivals(33, drop_last=True))
-    return t.spark.read.parquet(f"{base}/batches").select("sample_id", "batch_id", "pos_in_batch")
+    return S.Arrivals(_worker_rows(t), _part(), "full-arrivals").run(3, lambda s: ST.batch_arrivals(s, 33, drop_last=True))
 
 
 @query("reporter_callback", "X6", f"""
 select {PART} as batch_no, count(*) as n, max(value) as high from events group by 1""")
 def reporter_callback(t):
     seen = []
-    base = S.run_in_parts(t.events.select("event_id", "value"), _part(), 3, "reports", ST.report_with(lambda n, m: seen.append((n, m))))
-    return t.spark.read.parquet(f"{base}/summary").select("batch_no", "n", "high")
+    feed = S.Arrivals(t.events.select("event_id", "value"), _part(), "reports")
+    feed.run(3, lambda s: s, handle=lambda batch, n: seen.append((n, *ST.summary(batch).values())))
+    return t.spark.createDataFrame(seen, "batch_no int, n bigint, high double")

@@ -1,4 +1,4 @@
-"""Stream sources, sinks and versioned state in the shared folder."""
+"""Stream sources, sinks and replayed feeds in the shared folder."""
 
 from __future__ import annotations
 
@@ -76,51 +76,47 @@ def run_to_end(
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-class State:
-    """State and output tables of a streaming job, by micro-batch.
-
-    Batch n reads the state of batch n - 1 and writes its own, so a repeated
-    batch overwrites only what it wrote before. State rotates over three
-    folders and does not pile up; output keeps one folder per batch.
-    """
-
-    KEEP = 3
-
-    def __init__(self, base: str):
-        self.base = base
-
-    def path(self, name: str, batch_id: int) -> str:
-        return f"{self.base}/state/{name}/{batch_id % self.KEEP}"
-
-    def before(self, spark: SparkSession, name: str, batch_id: int, schema: str) -> DataFrame:
-        if batch_id == 0:
-            return spark.createDataFrame([], schema)
-        return spark.read.schema(schema).parquet(self.path(name, batch_id - 1))
-
-    def write(self, df: DataFrame, name: str, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(self.path(name, batch_id))
-
-    def emit(self, df: DataFrame, name: str, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.base}/{name}/v={batch_id}")
-
-
-def run_in_parts(
-    rows: DataFrame, part: Column, parts: int, label: str, handle: Callable[[DataFrame, int, State], None],
-    prepare: Callable[[DataFrame], DataFrame] = lambda s: s, mode: str = "append",
-) -> str:
-    """Replay a table as a feed in ``parts`` arrivals: each is added to the
-    feed folder and the query restarts from its checkpoint. Returns the base
-    path; ``handle(batch, batch_id, state)`` runs per micro-batch."""
-    spark = rows.sparkSession
-    base = fresh_path(spark, label)
-    state = State(base)
-    feed = rows.withColumn("part", part)
-
-    for k in range(parts):
-        feed.where(F.col("part") == k).write.mode("append").parquet(f"{base}/feed")
-        stream = prepare(read_samples(spark, f"{base}/feed", feed.schema))
-        query = (
-            stream.writeStream.outputMode(mode).foreachBatch(lambda df, n: handle(df, n, state))
-            .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
-        query.awaitTermination()
-    return base
+def with_state_store(spark: SparkSession) -> None:
+    """Keyed state needs the state store that keeps it outside the heap."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class Arrivals:
+    """A table replayed as a feed: written once, a folder for each arrival, and handed
+    to the watched folder one arrival after the other."""
+
+    def __init__(self, rows: DataFrame, arrival: Column, label: str):
+        self.spark = rows.sparkSession
+        self.base = fresh_path(self.spark, label)
+        feed = rows.withColumn("arrival", arrival.cast("long"))
+        self.schema = feed.schema
+        feed.withColumn("__folder", F.col("arrival")).write.partitionBy("__folder").parquet(f"{self.base}/staged")
+        feed.where("false").write.parquet(f"{self.base}/feed/none")
+
+    def stream(self) -> DataFrame:
+        return self.spark.readStream.schema(self.schema).option("recursiveFileLookup", True).parquet(f"{self.base}/feed")
+
+    def bring(self, k: int) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        source = path(f"{self.base}/staged/__folder={k}")
+        files = source.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if files.exists(source):
+            files.rename(source, path(f"{self.base}/feed/{k}"))
+
+    def run(self, arrivals: int, job: Callable[[DataFrame], DataFrame], mode: str = "append",
+            handle: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:
+        """Restart ``job`` from its checkpoint for each arrival, which is one micro-batch (a
+        job that watches the clock would not end by itself). Its rows go to a table, which
+        is returned, or each micro-batch to ``handle``."""
+        with_state_store(self.spark)
+        out = None
+        for k in range(arrivals):
+            self.bring(k)
+            out = job(self.stream())
+            writer = out.writeStream.outputMode(mode).option("checkpointLocation", f"{self.base}/checkpoint").trigger(once=True)
+            if handle:
+                writer.foreachBatch(handle).start().awaitTermination()
+            else:
+                writer.format("parquet").option("path", f"{self.base}/out").start().awaitTermination()
+        return None if handle else self.spark.read.schema(out.schema).parquet(f"{self.base}/out")

@@ -1,123 +1,206 @@
-"""Stateful jobs: meters, reassembly, epoch closing, arrival batching.
-
-State lives in versioned tables, and each micro-batch is merged with ordinary
-joins, groupings and ordered scans. A key with a large share of the rows is
-therefore spread like any other data instead of sitting in one keyed task.
+"""Stateful jobs on Spark's keyed state: meters, reassembly, mini-batch completion,
+epoch closing, arrival batching.
+
+Each job is a function from a stream to a stream; state lives in the engine's state
+store, by key, and is checkpointed and recovered with the query. A key's rows of one
+micro-batch are handled by one task, chunk by chunk; what a micro-batch may bring is
+bounded by the trigger (``maxFilesPerTrigger``). Finished state is cleared, and what
+only guards against late repeats expires.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
-from kilnset.operators.meters import loss_ema
-from kilnset.operators.ranking import positions
 from kilnset.operators.telemetry import stragglers
-from kilnset.session import checkpoint
-from kilnset.streaming.feeds import State
-
-METER_SCHEMA = "rank bigint, step bigint, val double, sum double, count bigint, ema double"
-
-
-def update_meters(batch: DataFrame, batch_id: int, state: State) -> None:
-    """Merge rows (rank, step, value) into the meters of each rank. The old
-    average joins the batch as a row before its first step."""
-    spark = batch.sparkSession
-    old = state.before(spark, "meters", batch_id, METER_SCHEMA)
-    rows = checkpoint(batch.select("rank", "step", "value"))
-    seeded = old.select("rank", F.lit(-1).cast("bigint").alias("step"), F.col("ema").alias("value")).unionByName(rows)
-    last = loss_ema(seeded, F.col("value"), ["step"], ["rank"]).groupBy("rank").agg(F.max_by("ema", "pos").alias("ema"))
-    both = old.drop("ema").unionByName(
-        rows.select("rank", "step", F.col("value").alias("val"), F.col("value").alias("sum"), F.lit(1).cast("bigint").alias("count")))
-    sums = both.groupBy("rank").agg(
-        F.max("step").alias("step"), F.max_by("val", "step").alias("val"), F.sum("sum").alias("sum"), F.sum("count").alias("count"))
-    meters = checkpoint(sums.join(last, "rank").select("rank", "step", "val", "sum", "count", "ema"))
-    state.write(meters, "meters", batch_id)
-    state.emit(meters, "meters", batch_id)
-
-
-def reassemble(batch: DataFrame, batch_id: int, state: State) -> None:
-    """Emit (stream, idx) rows in order: an item leaves once every smaller
-    index has arrived. Held rows and next indices are the state; after
-    ranking the pool, item at position p is ready when idx = next + p."""
-    spark = batch.sparkSession
-    schema = "stream bigint, idx bigint, payload double"
-    held = state.before(spark, "held", batch_id, schema)
-    nexts = state.before(spark, "next", batch_id, "stream bigint, next bigint")
-    pool = checkpoint(held.unionByName(batch.select("stream", "idx", "payload")))
-    ranked = positions(pool, ["idx"], ["stream"]).join(nexts, "stream", "left")
-    marked = checkpoint(ranked.withColumn("ready", F.col("idx") == F.coalesce("next", F.lit(0)) + F.col("pos")))
-    ready = marked.where("ready")
-    state.emit(ready.select("stream", "idx", "payload", F.lit(batch_id).alias("released_in")), "released", batch_id)
-    state.write(marked.where("not ready").select("stream", "idx", "payload"), "held", batch_id)
-    moved = ready.groupBy("stream").agg((F.max("idx") + 1).alias("moved"))
-    state.write(
-        nexts.join(moved, "stream", "full").select("stream", F.coalesce("moved", "next").alias("next")), "next", batch_id)
-
-
-def close_epochs(ranks: int) -> Callable[[DataFrame, int, State], None]:
-    """An epoch closes in the batch that brings the last rank's flag. Flags of a
-    closed epoch are dropped; the epoch's number alone is kept, so that late
-    repeats don't open it again."""
-
-    def handle(batch: DataFrame, batch_id: int, state: State) -> None:
-        spark = batch.sparkSession
-        done = state.before(spark, "done", batch_id, "epoch bigint")
-        old = state.before(spark, "flags", batch_id, "epoch bigint, rank bigint")
-        fresh = batch.select("epoch", "rank").join(done, "epoch", "left_anti")
-        seen = checkpoint(old.unionByName(fresh).distinct())
-        full = checkpoint(seen.groupBy("epoch").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == ranks).select("epoch"))
-        state.write(seen.join(full, "epoch", "left_anti"), "flags", batch_id)
-        state.write(done.unionByName(full), "done", batch_id)
-        state.emit(full.withColumn("closed_in", F.lit(batch_id)), "closed", batch_id)
-
-    return handle
-
-
-def batch_arrivals(batch_size: int, drop_last: bool = False) -> Callable[[DataFrame, int, State], None]:
-    """Batches by order of arrival, by id inside a micro-batch (files of one
-    micro-batch have no order). The state is the number of rows so far. With
-    ``drop_last`` rows wait in the state until their batch is full, so an
-    unfinished batch at the end of the input is never written."""
-
-    def handle(batch: DataFrame, batch_id: int, state: State) -> None:
-        spark = batch.sparkSession
-        so_far = state.before(spark, "count", batch_id, "n bigint").first()
-        offset = so_far["n"] if so_far else 0
-        at = F.col("pos") + offset
-        schema = "sample_id bigint, batch_id bigint, pos_in_batch bigint"
-        held = state.before(spark, "open", batch_id, schema)
-        placed = checkpoint(positions(batch, ["sample_id"])).select(
-            F.col("sample_id").cast("bigint").alias("sample_id"), F.floor(at / batch_size).alias("batch_id"),
-            (at % batch_size).alias("pos_in_batch"))
-        total = placed.count() + offset
-        ready = F.col("batch_id") < total // batch_size if drop_last else F.lit(True)
-        both = held.unionByName(placed)  # less than a batch is held
-        state.emit(both.where(ready), "batches", batch_id)
-        state.write(both.where(~ready), "open", batch_id)
-        state.write(spark.createDataFrame([(total,)], "n bigint"), "count", batch_id)
-
-    return handle
-
-
-def straggler_report(threshold: int) -> Callable[[DataFrame, int, State], None]:
-    """Per micro-batch report over running progress totals."""
-
-    def handle(progress: DataFrame, batch_id: int, state: State) -> None:
-        state.emit(stragglers(progress, "node", "rank", "batch_no", "left_tasks", "finished", threshold), "report", batch_id)
-
-    return handle
-
-
-def report_with(callback: Callable[[int, dict], None]) -> Callable[[DataFrame, int, State], None]:
-    """Hand each micro-batch's summary (one row) to the user's reporter."""
-
-    def handle(batch: DataFrame, batch_id: int, state: State) -> None:
-        summary = batch.agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("high")).first()
-        callback(batch_id, summary.asDict())
-        row = [(batch_id, summary["n"], summary["high"])]
-        state.emit(batch.sparkSession.createDataFrame(row, "batch_no int, n bigint, high double"), "summary", batch_id)
-
-    return handle
+
+DAY_MS = 24 * 3600 * 1000
+
+
+class _Meters(StatefulProcessor):
+    """Latest value, sum, count and moving average of a rank."""
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("meters", "step long, val double, sum double, count long, ema double")
+
+    def handleInputRows(self, key, rows, timers):
+        step, val, total, count, ema = self.state.get() if self.state.exists() else (-1, None, 0.0, 0, None)
+        batch = pd.concat(list(rows)).sort_values("step", kind="stable")
+        for x in batch["value"].tolist():
+            ema = x if ema is None else 0.9 * ema + (1 - 0.9) * x
+        last = batch.iloc[-1]
+        if int(last["step"]) >= step:
+            step, val = int(last["step"]), float(last["value"])
+        total, count = total + float(batch["value"].sum()), count + len(batch)
+        self.state.update((step, val, total, count, ema))
+        yield pd.DataFrame({"rank": [key[0]], "step": [step], "val": [val], "sum": [total], "count": [count], "ema": [ema]})
+
+    def close(self) -> None:
+        pass
+
+
+def meters(stream: DataFrame) -> DataFrame:
+    """Rows (rank, step, value) to the meters of each rank that a micro-batch
+    touches; the row with the largest ``count`` is the latest."""
+    return stream.select("rank", "step", "value").groupBy("rank").transformWithStateInPandas(
+        _Meters(), "rank long, step long, val double, sum double, count long, ema double", "Append", "None")
+
+
+class _Reassembly(StatefulProcessor):
+    """Items wait until every smaller index of their stream has arrived."""
+
+    def init(self, handle) -> None:
+        self.next = handle.getValueState("next", "idx long, high long")
+        self.held = handle.getMapState("held", "idx long", "payload double, arrival long")
+
+    def handleInputRows(self, key, rows, timers):
+        at, high = self.next.get() if self.next.exists() else (0, -1)
+        for chunk in rows:
+            for idx, payload, arrival in zip(chunk["idx"].tolist(), chunk["payload"].tolist(), chunk["arrival"].tolist()):
+                if idx >= at:  # else a repeat of what has left
+                    self.held.updateValue((idx,), (payload, arrival))
+        out = []
+        while self.held.containsKey((at,)):
+            payload, arrival = self.held.getValue((at,))
+            self.held.removeKey((at,))
+            high = max(high, arrival)
+            out.append((key[0], at, payload, high))
+            at += 1
+        self.next.update((at, high))
+        if out:
+            yield pd.DataFrame(out, columns=["stream", "idx", "payload", "released_in"])
+
+    def close(self) -> None:
+        pass
+
+
+def reassemble(stream: DataFrame) -> DataFrame:
+    """Rows (stream, idx, payload, arrival) in order: an item leaves once every
+    smaller index has arrived, in the latest arrival among them."""
+    return stream.select("stream", "idx", "payload", "arrival").groupBy("stream").transformWithStateInPandas(
+        _Reassembly(), "stream long, idx long, payload double, released_in long", "Append", "None")
+
+
+class _Countdown(StatefulProcessor):
+    """Samples that a mini-batch still waits for."""
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("left", "left long, micros long, samples long, bytes long, latest long")
+
+    def handleInputRows(self, key, rows, timers):
+        left, micros, samples, size, latest = self.state.get() if self.state.exists() else (None, 0, 0, 0, -1)
+        for chunk in rows:
+            if left is None:
+                left = int(chunk["size"].iloc[0])
+            left -= int(chunk["samples"].sum())
+            micros, samples = micros + len(chunk), samples + int(chunk["samples"].sum())
+            size, latest = size + int(chunk["bytes"].sum()), max(latest, int(chunk["arrival"].max()))
+        if left > 0:
+            self.state.update((left, micros, samples, size, latest))
+            return
+        if self.state.exists():
+            self.state.clear()
+        yield pd.DataFrame({"mini_batch": [key[0]], "micro_batches": [micros], "samples": [samples], "bytes": [size], "completed_in": [latest]})
+
+    def close(self) -> None:
+        pass
+
+
+def complete_mini_batches(stream: DataFrame) -> DataFrame:
+    """Micro-batches (mini_batch, samples, bytes, size, arrival) of mini-batches of
+    ``size`` samples: a mini-batch is reported, and its state cleared, once its samples
+    have arrived, in whatever order and pieces."""
+    return stream.select("mini_batch", "samples", "bytes", "size", "arrival").groupBy("mini_batch").transformWithStateInPandas(
+        _Countdown(), "mini_batch long, micro_batches long, samples long, bytes long, completed_in long", "Append", "None")
+
+
+class _Epochs(StatefulProcessor):
+    """Ranks that have flagged the end of an epoch."""
+
+    def __init__(self, ranks: int, keep_ms: int):
+        self.ranks, self.keep_ms = ranks, keep_ms
+
+    def init(self, handle) -> None:
+        self.flags = handle.getMapState("flags", "rank long", "arrival long")
+        self.closed = handle.getValueState("closed", "arrival long", self.keep_ms)
+
+    def handleInputRows(self, key, rows, timers):
+        done = self.closed.exists()
+        for chunk in rows:
+            for rank, arrival in zip(chunk["rank"].tolist(), chunk["arrival"].tolist()):
+                if not done:
+                    first = min(arrival, self.flags.getValue((rank,))[0]) if self.flags.containsKey((rank,)) else arrival
+                    self.flags.updateValue((rank,), (first,))
+        arrivals = [] if done else [v[0] for v in self.flags.values()]
+        if len(arrivals) == self.ranks:
+            self.flags.clear()
+            self.closed.update((max(arrivals),))
+            yield pd.DataFrame({"epoch": [key[0]], "closed_in": [max(arrivals)]})
+
+    def close(self) -> None:
+        pass
+
+
+def close_epochs(stream: DataFrame, ranks: int, keep_ms: int = DAY_MS) -> DataFrame:
+    """Flags (epoch, rank, arrival): an epoch closes with the last rank's first flag.
+    Its flags are dropped then, and its number is kept for ``keep_ms``, so that late
+    repeats don't open it again; after that the state store forgets it."""
+    return stream.select("epoch", "rank", "arrival").groupBy("epoch").transformWithStateInPandas(
+        _Epochs(ranks, keep_ms), "epoch long, closed_in long", "Append", "ProcessingTime")
+
+
+class _Batches(StatefulProcessor):
+    """How many rows of a worker have arrived, and those of its open batch."""
+
+    def __init__(self, size: int, drop_last: bool):
+        self.size, self.drop_last = size, drop_last
+
+    def init(self, handle) -> None:
+        self.count = handle.getValueState("count", "n long")
+        self.open = handle.getListState("open", "sample_id long")
+
+    def handleInputRows(self, key, rows, timers):
+        n = self.count.get()[0] if self.count.exists() else 0
+        held = [x[0] for x in self.open.get()] if self.drop_last and self.open.exists() else []
+        ids = held + sorted(pd.concat(list(rows))["sample_id"].tolist())
+        begin = n - len(held)
+        total = begin + len(ids)
+        ready = total // self.size * self.size - begin if self.drop_last else len(ids)
+        self.count.update((total,))
+        if self.drop_last:
+            self.open.clear()
+            if ids[ready:]:  # less than a batch
+                self.open.put([(x,) for x in ids[ready:]])
+        if ready > 0:
+            place = pd.Series(range(begin, begin + ready))
+            yield pd.DataFrame({"worker": key[0], "sample_id": ids[:ready], "batch_id": place // self.size, "pos_in_batch": place % self.size})
+
+    def close(self) -> None:
+        pass
+
+
+def batch_arrivals(stream: DataFrame, size: int, drop_last: bool = False) -> DataFrame:
+    """Rows (worker, sample_id) in batches by order of arrival, by id inside a
+    micro-batch (files of one micro-batch have no order). With ``drop_last`` rows wait
+    until their batch is full, so an unfinished batch at the end is never written."""
+    return stream.select("worker", "sample_id").groupBy("worker").transformWithStateInPandas(
+        _Batches(size, drop_last), "worker long, sample_id long, batch_id long, pos_in_batch long", "Append", "None")
+
+
+def progress_totals(stream: DataFrame, left, finished) -> DataFrame:
+    """Running totals of each rank of a node (streaming aggregation)."""
+    return stream.groupBy("node", "rank").agg(
+        F.count(F.lit(1)).alias("batch_no"), F.sum(F.when(left, 1).otherwise(0)).alias("left_tasks"), F.max(finished).alias("finished"))
+
+
+def straggler_report(totals: DataFrame, threshold: int) -> DataFrame:
+    """The report over the totals of one micro-batch."""
+    return stragglers(totals, "node", "rank", "batch_no", "left_tasks", "finished", threshold)
+
+
+def summary(batch: DataFrame) -> dict:
+    """What a reporter is told about a micro-batch."""
+    return batch.agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("high")).first().asDict()

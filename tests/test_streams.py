@@ -8,31 +8,46 @@ from kilnset.streaming import windows as W
 
 
 def test_gap_holds_back_later_items(spark):
-    # one stream holds most rows; index 3 arrives last
+    # one stream holds most rows; index 3 arrives last, index 1 twice
     rows = spark.createDataFrame(
-        [(0, 0, 0), (0, 1, 0), (0, 2, 1), (0, 3, 2), (0, 4, 0), (0, 5, 1), (1, 1, 0), (1, 0, 2)], "stream long, idx long, p int")
+        [(0, 0, 0), (0, 1, 0), (0, 2, 1), (0, 3, 2), (0, 4, 0), (0, 5, 1), (1, 1, 0), (1, 0, 2), (0, 1, 1)], "stream long, idx long, p int")
     rows = rows.withColumn("payload", F.lit(1.0))
-    base = S.run_in_parts(rows, F.col("p"), 3, "t", ST.reassemble)
-    got = {(r.stream, r.idx): r.released_in for r in spark.read.parquet(f"{base}/released").collect()}
+    out = S.Arrivals(rows, F.col("p"), "t").run(3, ST.reassemble).collect()
+    got = {(r.stream, r.idx): r.released_in for r in out}
+    assert len(out) == len(got)
     assert got == {(0, 0): 0, (0, 1): 0, (0, 2): 1, (0, 3): 2, (0, 4): 2, (0, 5): 2, (1, 0): 2, (1, 1): 2}
 
 
-def test_repeated_batch_changes_nothing(spark):
-    rows = spark.createDataFrame([(0, 0, 1.0), (0, 2, 1.0)], "stream long, idx long, payload double")
-    state = S.State(S.fresh_path(spark, "t"))
-    for _ in range(2):
-        ST.reassemble(rows, 0, state)
-    late = spark.createDataFrame([(0, 1, 1.0)], "stream long, idx long, payload double")
-    for _ in range(2):
-        ST.reassemble(late, 1, state)
-    got = sorted((r.idx, r.released_in) for r in spark.read.parquet(f"{state.base}/released").collect())
-    assert got == [(0, 0), (1, 1), (2, 1)]
+def test_mini_batches_complete_over_arrivals(spark):
+    rows = [(7, 4, 40, 10, 0), (7, 4, 44, 10, 1), (7, 2, 20, 10, 2), (8, 3, 3, 3, 1), (9, 1, 1, 5, 0), (9, 3, 3, 5, 2)]
+    feed = S.Arrivals(spark.createDataFrame(rows, "mini_batch long, samples long, bytes long, size long, p int"), F.col("p"), "t")
+    got = {tuple(r) for r in feed.run(3, ST.complete_mini_batches).collect()}
+    assert got == {(7, 3, 10, 104, 2), (8, 1, 3, 3, 1)}  # 9 still waits for a sample
+
+
+def test_closed_epochs_stay_closed_until_they_expire(spark):
+    rows = [(1, 0, 0), (1, 1, 0), (1, 0, 1), (1, 1, 1), (2, 0, 0), (2, 0, 1), (2, 1, 2)]
+    table = spark.createDataFrame(rows, "epoch long, rank long, p int")
+    got = S.Arrivals(table, F.col("p"), "t").run(3, lambda s: ST.close_epochs(s, 2)).collect()
+    assert sorted((r.epoch, r.closed_in) for r in got) == [(1, 0), (2, 2)]
+    # forgotten at once, the repeats of the next arrival open epoch 1 again
+    got = S.Arrivals(table, F.col("p"), "t").run(3, lambda s: ST.close_epochs(s, 2, keep_ms=1)).collect()
+    assert sorted((r.epoch, r.closed_in) for r in got) == [(1, 0), (1, 1), (2, 2)]
+
+
+def test_full_batches_only(spark):
+    table = spark.range(50).select((F.col("id") % 2).alias("worker"), F.col("id").alias("sample_id"), (F.col("id") % 3).alias("p"))
+    out = S.Arrivals(table, F.col("p"), "t").run(3, lambda s: ST.batch_arrivals(s, 4, drop_last=True)).collect()
+    sizes = {}
+    for r in out:
+        sizes.setdefault((r.worker, r.batch_id), []).append(r.pos_in_batch)
+    assert len(out) == 48 and all(sorted(v) == [0, 1, 2, 3] for v in sizes.values())
 
 
 def test_reporter_sees_every_batch(spark):
     seen = []
     rows = spark.range(30).select((F.col("id") % 3).cast("int").alias("p"), F.col("id").cast("double").alias("value"))
-    S.run_in_parts(rows, F.col("p"), 3, "t", ST.report_with(lambda n, m: seen.append((n, m["n"], m["high"]))))
+    S.Arrivals(rows, F.col("p"), "t").run(3, lambda s: s, handle=lambda b, n: seen.append((n, *ST.summary(b).values())))
     assert seen == [(0, 10, 27.0), (1, 10, 28.0), (2, 10, 29.0)]
 
 
