@@ -22,6 +22,8 @@ from kilnset.sources.catalog import OP_RANGES, TENSOR_OPS
 
 #: Sub-policies that are broadcast; larger tables are joined by shuffle.
 BROADCAST_POLICIES = 10000
+#: Candidates of all layers that travel as one value; a search has some hundreds.
+MOST_CANDIDATES = 1 << 18
 
 
 def _entry(op: Column, arg: Column, applied: Column) -> Column:
@@ -196,7 +198,10 @@ def weighted_layers(df: DataFrame, key: str, candidates: DataFrame, levels: int,
     ordered = summed.groupBy("layer").agg(
         F.sort_array(F.collect_list(F.struct("cand_id", "upto", "op", "magnitude"))).alias("c"))
     folded = ordered.agg(F.sort_array(F.collect_list(F.struct("layer", "c"))).alias("__layers"))
-    largest = candidates.groupBy("layer").count().agg(F.max("count")).first()[0] or 1
+    counted = candidates.groupBy("layer").count().agg(F.max("count"), F.sum("count")).first()
+    largest, every = counted[0] or 1, counted[1] or 0
+    if every > MOST_CANDIDATES:
+        raise ValueError(f"{every} candidates travel with each task; at most {MOST_CANDIDATES} can")
     powers = F.array(*[F.lit(1 << k) for k in reversed(range(largest.bit_length()))])
     draw = _draw("layer", seed, epoch, key)
     ranges = OP_RANGES["weighted"] + [r for r in OP_RANGES["crop_extra"] if r[0] != "Identity"]

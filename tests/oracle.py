@@ -78,6 +78,7 @@ if __name__ == "__main__":
     sf = sys.argv[1]
     wanted = sys.argv[2:]
     import os
+    import tempfile
 
     from pyspark.sql import SparkSession
 
@@ -87,7 +88,7 @@ if __name__ == "__main__":
         spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").getOrCreate()
     else:
         spark = build_session(master="local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
-                              spark__driver__memory="12g")
+                              spark__driver__memory="12g", spark__checkpoint__dir=tempfile.mkdtemp(prefix="oracle-"))
     spark.sparkContext.setLogLevel("OFF")
     sqls = entry.oracle_sql()
     bad = 0

@@ -101,6 +101,17 @@ def test_recurrences_match_a_loop(spark):
         assert warm[i] == pytest.approx(wstate[g], rel=1e-12)
 
 
+def test_recurrences_of_any_depth(spark, monkeypatch):
+    """Blocks of four: five levels above the rows, none with more than four entries."""
+    monkeypatch.setattr(R, "BLOCK", 4)
+    rows = [(i, "hot" if i % 10 else "cold", (i * 31 % 97) / 7) for i in range(3000)]
+    found = {r.i: r.ema for r in loss_ema(spark.createDataFrame(rows, "i long, g string, x double"), F.col("x"), ["i"], ["g"]).collect()}
+    state = {}
+    for i, g, x in rows:
+        state[g] = 0.9 * state[g] + 0.1 * x if g in state else x
+        assert found[i] == pytest.approx(state[g], rel=1e-9)
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
