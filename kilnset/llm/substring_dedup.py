@@ -112,9 +112,9 @@ def _candidates(half: int, width: int):
     return run
 
 
-def _judged(pos, keys, marks):
-    """Document, position and hash of each candidate, which of them repeat, and
-    which also start in an earlier document."""
+def _judged(pos, keys, marks, earlier: bool):
+    """Document, position and hash of each candidate, and which of them repeat
+    (``earlier``: start in an earlier document)."""
     at, counts = split_binary(pos, np.int32)
     keys, _ = split_binary(keys, np.uint64)
     marks, each = split_binary(marks, np.int32)
@@ -122,9 +122,9 @@ def _judged(pos, keys, marks):
     doc, at = np.repeat(np.arange(n), counts), at.astype(np.int64)
     place = doc << 32 | at
     wanted = np.repeat(np.arange(n), each) << 32 | (marks >> 1).astype(np.int64)
-    spot = np.searchsorted(place, wanted)
-    later = (marks & 1).astype(bool)
-    return doc, at, keys, _spread(keys, doc, np.unique(spot)), _spread(keys, doc, np.unique(spot[later]))
+    if earlier:
+        wanted = wanted[(marks & 1).astype(bool)]
+    return doc, at, keys, _spread(keys, doc, np.searchsorted(place, wanted))
 
 
 def _cut(width: int):
@@ -136,11 +136,11 @@ def _cut(width: int):
             texts = as_strings(batch.column(2))
             for a, b in slices(texts, LOCAL_BYTES):
                 words = Words(texts.slice(a, b - a))
-                doc, pos, _, _, again = _judged(*(batch.column(k).slice(a, b - a) for k in (3, 4, 5)))
+                doc, pos, _, again = _judged(*(batch.column(k).slice(a, b - a) for k in (3, 4, 5)), True)
                 cover = np.zeros(len(words.start) + 1, dtype=np.int64)
-                start = words.first[doc[again]] + pos[again]
-                np.add.at(cover, start, 1)
-                np.add.at(cover, start + width, -1)
+                start = words.first[doc[again]] + pos[again]  # each once
+                cover[start] += 1
+                cover[start + width] -= 1
                 gone = np.cumsum(cover)[:-1] > 0
                 removed = np.bincount(words.doc[gone], minlength=b - a)
                 data, starts, ends = words.data.tobytes(), words.start.tolist(), words.end.tolist()
@@ -163,7 +163,7 @@ def _double(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = len(batch)
-            doc, pos, keys, repeated, _ = _judged(batch.column(2), batch.column(3), batch.column(4))
+            doc, pos, keys, repeated = _judged(batch.column(2), batch.column(3), batch.column(4), False)
             d2, p2, k2 = _paired(keys, doc, pos, repeated, width, 2 * width)
             counts = np.bincount(d2, minlength=n)
             yield pa.RecordBatch.from_arrays([
@@ -208,7 +208,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     both = source.join(_gathered(marks), ["rank", "row"]).select("rank", "row", "text", "marks")
     state = scratch.write(both.mapInArrow(_candidates(half, window), "rank long, row long, pos binary, keys binary"))
     scratch.drop(marks)
-    lengths, width, out = [], window, None
+    lengths, width, out, made = [], window, None, state
     while not state.isEmpty():
         marks = scratch.write(exchange(state.mapInArrow(_next_level(ranges), ENTRY_SCHEMA)))
         both = state.join(_gathered(marks), ["rank", "row"]).select("rank", "row", "pos", "keys", "marks")
@@ -216,9 +216,10 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             out = _kept(source, both, window, scratch, with_text)
         after = scratch.write(both.mapInArrow(
             _double(width), "rank long, row long, pos binary, keys binary, repeats boolean"))
-        scratch.drop(marks, state)
-        lengths.append(after.where("repeats").select("rank", "row", F.lit(width).cast("long").alias("reach")))
-        state = scratch.write(after.where(F.length("pos") > 0).select("rank", "row", "pos", "keys"))
+        lengths.append(scratch.write(after.where("repeats").select("rank", "row", F.lit(width).cast("long").alias("reach"))))
+        scratch.drop(marks, made)
+        made = after
+        state = after.where(F.length("pos") > 0).select("rank", "row", "pos", "keys")
         width *= 2
     if out is None:
         out = _kept(source, state.withColumn("marks", F.lit(b"")), window, scratch, with_text)
