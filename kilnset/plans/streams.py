@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from kilnset.functions.hashing import pick, uniform
 from kilnset.plans.registry import query, u
 from kilnset.streaming import feeds as S
+from kilnset.streaming import late as LT
 from kilnset.streaming import stateful as ST
 from kilnset.streaming import windows as W
 
@@ -157,3 +158,35 @@ def reporter_callback(t):
     feed = S.Arrivals(t.events.select("event_id", "value"), _part(), "reports")
     feed.run(3, lambda s: s, handle=lambda batch, n: seen.append((n, *ST.summary(batch).values())))
     return t.spark.createDataFrame(seen, "batch_no int, n bigint, high double")
+
+
+#: Ten days of events an arrival; a fifth of the rows is held up until the next one.
+LATE = f"""
+with e as (select event_id, ts, least(2, datediff('day', (select min(ts) from events), ts) // 10
+  + case when {u('delay', SEED, 0, 'event_id')} < 0.2 then 1 else 0 end) as arrival from events),
+h as (select arrival, max(ts) as high from e group by 1),
+m as (select a.arrival, max(b.high) - interval '1 day' as mark from h a left join h b on b.arrival < a.arrival group by 1),
+j as (select event_id, arrival::bigint as arrival, coalesce(ts < mark, false) as late from e join m using (arrival))"""
+
+
+def _split_by_lateness(t):
+    first = t.events.agg(F.min("ts").cast("date")).first()[0]
+    held_up = F.when(uniform("delay", SEED, 0, "event_id") < 0.2, 1).otherwise(0)
+    arrival = F.least(F.lit(2), F.floor(F.datediff(F.col("ts").cast("date"), F.lit(first)) / 10) + held_up)
+    feed = S.Arrivals(t.events.select("event_id", "ts"), arrival, "late")
+    split = LT.LateRows(t.spark, feed.base, "ts", "1 day")
+    feed.run(3, lambda s: s, handle=split)
+    return split.rows()
+
+
+@query("late_rows", "T10", f"""{LATE}
+select event_id, arrival from j where late""")
+def late_rows(t):
+    return _split_by_lateness(t).where("late").select("event_id", "arrival")
+
+
+@query("late_counts", "T10", f"""{LATE}
+select arrival, count(*) as n, count(*) filter (where late) as n_late from j group by 1""")
+def late_counts(t):
+    return _split_by_lateness(t).groupBy("arrival").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("late"), 1)).alias("n_late"))

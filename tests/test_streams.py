@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from kilnset.streaming import feeds as S
+from kilnset.streaming import late as LT
 from kilnset.streaming import stateful as ST
 from kilnset.streaming import windows as W
 
@@ -59,3 +60,20 @@ def test_batch_and_stream_windows_agree(spark):
     missing = whole.select("window_start", "event_type", "n").exceptAll(closed.select("window_start", "event_type", "n"))
     assert closed.select("window_start", "event_type", "n").exceptAll(whole.select("window_start", "event_type", "n")).isEmpty()
     assert missing.count() <= 5
+
+
+def test_late_rows_are_kept_aside(spark):
+    day = lambda d: None if d is None else f"2024-01-{d:02d} 12:00:00"
+    # (id, day, arrival): 4 is two days behind 3, 5 within the delay, 7 has no time, 8 behind an arrival before the last
+    rows = [(1, 1, 0), (2, 5, 0), (3, 9, 0), (4, 7, 1), (5, 8, 1), (6, 2, 1), (7, None, 1), (8, 6, 2), (9, 20, 2), (10, 3, 2)]
+    table = spark.createDataFrame([(i, day(d), a) for i, d, a in rows], "id long, at string, a int")
+    table = table.select("id", F.col("at").cast("timestamp_ntz").alias("ts"), "a")
+    feed = S.Arrivals(table, F.col("a"), "t")
+    split = LT.LateRows(spark, feed.base, "ts", "1 day")
+    feed.run(3, lambda s: s, handle=split)
+    got = split.rows().collect()
+    assert len(got) == len(rows)
+    assert {r.id for r in got if r.late} == {4, 6, 8, 10}
+    # a micro-batch that runs again changes nothing
+    split(feed.spark.read.schema(feed.schema).parquet(f"{feed.base}/feed/1"), 1)
+    assert sorted((r.id, r.late) for r in split.rows().collect()) == sorted((r.id, r.late) for r in got)
