@@ -93,7 +93,8 @@ if __name__ == "__main__":
     sqls = entry.oracle_sql()
     bad = 0
     for name, run in entry.queries().items():
-        mod = entry.catalog.QUERIES[name].run.__module__.rsplit(".", 1)[-1]
+        known = entry.catalog.QUERIES.get(name)
+        mod = known.run.__module__.rsplit(".", 1)[-1] if known else "llm"
         if wanted and not any(w in name or w == mod for w in wanted):
             continue
         try:
