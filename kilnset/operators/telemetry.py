@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 from kilnset.operators.meters import percentiles
 
 
+def _rate(samples: Column, seconds: Column) -> Column:
+    """Samples a second; infinite where no time has passed."""
+    return F.when(seconds == 0, F.lit(float("inf"))).otherwise(samples / seconds)
+
+
 def throughput(df: DataFrame, batch_size: int, seconds: str, groups: list[str]) -> DataFrame:
     """Mean of the per-iteration rates, and total samples over total time."""
     n = F.count(F.lit(1))
     return df.groupBy(*groups).agg(
-        n.alias("iterations"), F.avg(F.lit(float(batch_size)) / F.col(seconds)).alias("mean_rate"),
-        (n * batch_size / F.sum(seconds)).alias("overall_rate"))
+        n.alias("iterations"), F.avg(_rate(F.lit(float(batch_size)), F.col(seconds))).alias("mean_rate"),
+        _rate((n * batch_size).cast("double"), F.sum(seconds)).alias("overall_rate"))
 
 
 def stage_latency(df: DataFrame, stage: str, seconds: str, key: str, qs: list[float]) -> DataFrame:
