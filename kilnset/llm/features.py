@@ -110,24 +110,35 @@ def fit(texts: pa.Array, target: np.ndarray, steps: int = 80, penalty: float = 1
     high = target >= 0.5
     if n < 8 or min(high[held].sum(), (~high)[held].sum(), high[~held].sum(), (~high)[~held].sum()) == 0:
         return Linear(np.zeros(BINS), 1.0, 40.0)
-    rows, bins, values = [], [], []
+    # a slice of the rows at a time, in narrow types: the vectors have thousands of
+    # entries a row, and temporary arrays of them all would be most of a task's memory
+    cells = []
     for a, b in slices(texts):
         r, c, v = vectors(texts.slice(a, b - a))
-        rows.append(r + a)
-        bins.append(c)
-        values.append(v)
-    rows, bins, values = np.concatenate(rows), np.concatenate(bins), np.concatenate(values)
+        cells.append((a, b, r.astype(np.int32), c.astype(np.uint16), v))
+
+    def by_bin(weights):
+        """Sum by bin, in the order of the rows."""
+        total, every = np.zeros(BINS), np.arange(BINS)
+        for part in cells:
+            total = np.bincount(np.concatenate([every, part[3]]), weights=np.concatenate([total, weights(part)]), minlength=BINS)
+        return total
+
+    def by_row(weights):
+        return np.concatenate([np.bincount(part[2], weights=weights(part), minlength=part[1] - part[0]) for part in cells])
+
     # bins seen often move by small steps and rare ones by large ones
-    mean = np.bincount(bins, weights=values, minlength=BINS) / n
+    mean = by_bin(lambda part: part[4]) / n
     scale = 1.0 / np.sqrt(mean + 1e-5)
-    data = values * scale[bins]
+    for _, _, _, c, v in cells:
+        v *= scale[c]
     share = np.where(high, 0.5 / high[~held].sum(), 0.5 / (~high)[~held].sum()) if balanced else np.full(n, 1.0 / n)
     weight = np.where(held, 0.0, share)
 
     def margin(w, b):
-        return np.bincount(rows, weights=data * w[bins], minlength=n) + b
+        return by_row(lambda part: part[4] * w[part[3]]) + b
 
-    norm = np.bincount(rows, weights=data * data, minlength=n)
+    norm = by_row(lambda part: part[4] * part[4])
     rate = 4.0 / (float(norm.max()) + 1.0)
     w = y = np.zeros(BINS)
     b = yb = 0.0
@@ -135,7 +146,7 @@ def fit(texts: pa.Array, target: np.ndarray, steps: int = 80, penalty: float = 1
     for _ in range(steps):
         p = 1.0 / (1.0 + np.exp(-np.clip(margin(y, yb), -40, 40)))
         r = weight * (p - target)
-        nw = y - rate * (np.bincount(bins, weights=data * r[rows], minlength=BINS) + penalty * y)
+        nw = y - rate * (by_bin(lambda part: part[4] * r[part[0]:part[1]][part[2]]) + penalty * y)
         nb = yb - rate * r.sum()
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y, yb = nw + (t - 1) / t2 * (nw - w), nb + (t - 1) / t2 * (nb - b)
