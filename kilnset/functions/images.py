@@ -72,7 +72,7 @@ def run(df: DataFrame, steps, px: str = "px", h: str = "h", w: str = "w") -> Dat
 def to_bytes(df: DataFrame, name: str) -> DataFrame:
     """An array column of 0..255 as binary, whole batches at once."""
     def packed(batches):
-        for batch in batches:
+        for batch in pixels.pieces(batches):
             lists = batch[name]
             values = lists.flatten().cast(pa.uint8())
             ends = np.concatenate([[0], np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
@@ -90,7 +90,7 @@ def map_images(df: DataFrame, name: str, kind: str, body: Callable, inputs=(), p
     arrow = {"binary": pa.binary(), "double": pa.float64(), "string": pa.string()}[kind]
 
     def mapped(batches):
-        for batch in batches:
+        for batch in pixels.pieces(batches):
             images = (pixels.image(raw.as_buffer(), a, b) for raw, a, b in zip(
                 batch[px], batch[h].to_pylist(), batch[w].to_pylist()))
             more = [batch[i].to_pylist() for i in inputs]

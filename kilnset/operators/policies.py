@@ -16,6 +16,7 @@ from kilnset.functions import images as I
 from kilnset.functions import magnitudes as M
 from kilnset.functions.binding import bind
 from kilnset.functions.hashing import beta_symmetric, dirichlet_one, pick, sign, uniform
+from kilnset.functions.pixels import pieces
 from kilnset.functions.tensors import literal_array
 from kilnset.sources.catalog import OP_RANGES, TENSOR_OPS
 
@@ -169,7 +170,7 @@ def mixed_chains(
 
 
 def _mixed(batches):
-    for batch in batches:
+    for batch in pieces(batches):
         out = []
         for original, share, chains in zip(batch["__o"], batch["__w0"].to_pylist(), batch["__c"].to_pylist()):
             total = np.frombuffer(original.as_buffer(), dtype=np.uint8) * share

@@ -25,18 +25,26 @@ def _cells(side: int) -> tuple[np.ndarray, np.ndarray]:
     y, x, ch = np.indices((side, side, 3))
     block = side // 8
     place = ((y // block) * 8 + x // block + 21 * ch) % 64
-    return place.ravel(), (9 * (x % block) + 5 * (y % block)).ravel()
+    return place.ravel(), ((9 * (x % block) + 5 * (y % block)) % 256).astype(np.uint8).ravel()
+
+
+#: Bytes of pixels that are laid out at once.
+PIECE_BYTES = 1 << 20
 
 
 def _laid_out(place, ramp):
+    rows = max(1, PIECE_BYTES // len(place))
+
     def run(batches):
-        for batch in batches:
-            values = batch["embedding"].flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(batch), -1)
-            q = np.clip(np.floor((values + 0.6) / 1.2 * 256), 0, 255).astype(np.int64)
-            px = ((q[:, place] + ramp) % 256).astype(np.uint8)
-            ends = np.arange(len(batch) + 1, dtype=np.int32) * px.shape[1]
-            raw = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(px.tobytes())])
-            yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["label"], raw], ["vec_id", "label", "px"])
+        for whole in batches:
+            for begin in range(0, len(whole), rows):
+                batch = whole.slice(begin, rows)
+                values = batch["embedding"].flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(batch), -1)
+                q = np.clip(np.floor((values + 0.6) / 1.2 * 256), 0, 255).astype(np.uint8)
+                px = np.ascontiguousarray(q[:, place] + ramp)  # bytes: modulo 256
+                ends = np.arange(len(batch) + 1, dtype=np.int32) * px.shape[1]
+                raw = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(px)])
+                yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["label"], raw], ["vec_id", "label", "px"])
     return run
 
 
