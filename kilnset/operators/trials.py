@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from kilnset.functions.tensors import literal_array
 
 
+#: Trials of one task: a decoded one takes some KB and 30 draws, and a file of a few
+#: MB, which one task reads, holds a million.
+ROWS_PER_TASK = 1 << 15
+
+
+def spread(trials: DataFrame) -> DataFrame:
+    """The rows dealt evenly to tasks of at most about ``ROWS_PER_TASK``, before
+    columns that are wide or costly are added."""
+    least = int(trials.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return trials.repartition(max(least, -(-trials.count() // ROWS_PER_TASK)))
+
+
 def top_per_fold(trials: DataFrame, fold: str, reward: str, trial: str, n: int = 10) -> DataFrame:
     """Best n trials per fold. The rank limit is applied in every task before
     the shuffle, so a hot fold sends n rows per task."""

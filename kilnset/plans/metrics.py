@@ -325,8 +325,8 @@ def _trials(t):
 
     op = entries("policy", lambda k, i, j: F.floor(draw(k, i, j) * len(SEARCH_OPS)).cast("double"))
     config = F.map_from_entries(F.concat(op, entries("prob", draw), entries("level", draw)))
-    return t.part.select(F.col("p_brand").alias("fold"), F.col("p_partkey").alias("trial_id"),
-                         F.col("p_retailprice").alias("reward"), config.alias("config"))
+    trials = t.part.select(F.col("p_brand").alias("fold"), F.col("p_partkey").alias("trial_id"), F.col("p_retailprice").alias("reward"), "p_partkey")
+    return R.spread(trials).select("fold", "trial_id", "reward", config.alias("config"))
 
 
 OPS_SQL = "[" + ", ".join(f"'{o}'" for o in SEARCH_OPS) + "]"
