@@ -10,6 +10,7 @@ only guards against late repeats expires.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,29 +50,67 @@ def meters(stream: DataFrame) -> DataFrame:
         _Meters(), "rank long, step long, val double, sum double, count long, ema double", "Append", "None")
 
 
+#: Items of a stream that wait as one value: each call to the state store is a trip to
+#: the engine and back, so items go in blocks of neighbouring indexes.
+BLOCK = 1024
+#: Items of one micro-batch that are kept back before they go to the state store.
+MOST_FRESH = 1 << 16
+ITEM = np.dtype([("idx", "<i8"), ("payload", "<f8"), ("arrival", "<i8")])
+
+
 class _Reassembly(StatefulProcessor):
     """Items wait until every smaller index of their stream has arrived."""
 
     def init(self, handle) -> None:
-        self.next = handle.getValueState("next", "idx long, high long")
-        self.held = handle.getMapState("held", "idx long", "payload double, arrival long")
+        self.next = handle.getValueState("next", "idx long, high long, blocks long")
+        self.held = handle.getMapState("held", "block long", "items binary")
+
+    def _waiting(self, block, fresh, stored):
+        """Items of a block by index, the latest of each, and whether it is in the state."""
+        found = self.held.getValue((block,)) if stored else None
+        items = np.concatenate([np.frombuffer(found[0], ITEM) if found else np.empty(0, ITEM), *fresh])[::-1]
+        return items[np.unique(items["idx"], return_index=True)[1]], found is not None
+
+    def _hold(self, fresh, stored):
+        """Put blocks into the state; the number of blocks there."""
+        for block, parts in fresh.items():
+            items, was = self._waiting(block, parts, stored)
+            self.held.updateValue((block,), (items.tobytes(),))
+            stored += not was
+        return stored
 
     def handleInputRows(self, key, rows, timers):
-        at, high = self.next.get() if self.next.exists() else (0, -1)
+        at, high, stored = self.next.get() or (0, -1, 0)
+        fresh, n = {}, 0
         for chunk in rows:
-            for idx, payload, arrival in zip(chunk["idx"].tolist(), chunk["payload"].tolist(), chunk["arrival"].tolist()):
-                if idx >= at:  # else a repeat of what has left
-                    self.held.updateValue((idx,), (payload, arrival))
-        out = []
-        while self.held.containsKey((at,)):
-            payload, arrival = self.held.getValue((at,))
-            self.held.removeKey((at,))
-            high = max(high, arrival)
-            out.append((key[0], at, payload, high))
-            at += 1
-        self.next.update((at, high))
-        if out:
-            yield pd.DataFrame(out, columns=["stream", "idx", "payload", "released_in"])
+            items = np.empty(len(chunk), ITEM)
+            for name in ITEM.names:
+                items[name] = chunk[name]
+            items = items[items["idx"] >= at]  # else a repeat of what has left
+            items = items[np.argsort(items["idx"], kind="stable")]
+            for part in np.split(items, np.flatnonzero(np.diff(items["idx"] // BLOCK)) + 1) if len(items) else ():
+                fresh.setdefault(int(part["idx"][0]) // BLOCK, []).append(part)
+            n += len(items)
+            if n >= MOST_FRESH:
+                stored, fresh, n = self._hold(fresh, stored), {}, 0
+        while stored or at // BLOCK in fresh:
+            block = at // BLOCK
+            items, was = self._waiting(block, fresh.pop(block, []), stored)
+            gap = np.flatnonzero(items["idx"] != np.arange(at, at + len(items)))
+            ready, left = np.split(items, gap[:1]) if len(gap) else (items, items[:0])
+            if len(left):
+                self.held.updateValue((block,), (left.tobytes(),))
+                stored += not was
+            elif was:
+                self.held.removeKey((block,))
+                stored -= 1
+            if len(ready):
+                latest = np.maximum(np.maximum.accumulate(ready["arrival"]), high)
+                yield pd.DataFrame({"stream": [key[0]] * len(ready), "idx": ready["idx"], "payload": ready["payload"], "released_in": latest})
+                at, high = at + len(ready), int(latest[-1])
+            if len(left) or not len(ready) or at % BLOCK:
+                break
+        self.next.update((at, high, self._hold(fresh, stored)))
 
     def close(self) -> None:
         pass
