@@ -1,7 +1,9 @@
 """Source and sink queries."""
 
 import gzip
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from kilnset.functions import tensors as X
@@ -67,9 +69,9 @@ def compression_sniffing(t):
 @query("decompressed_texts", "S5", """
 select doc_id, case when lang = 'en' then 'gzip' else 'plain' end as codec, md5(text) as text_md5 from documents""")
 def decompressed_texts(t):
-    @F.pandas_udf("binary")
-    def pack(text):
-        return text.map(lambda x: gzip.compress(x.encode(), mtime=0))
+    @F.arrow_udf("binary")
+    def pack(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return S.in_pieces(batches, lambda x: gzip.compress(x.as_py().encode(), mtime=0))
 
     content = F.when(F.col("lang") == "en", pack("text")).otherwise(F.encode("text", "UTF-8"))
     packed = t.documents.select("doc_id", content.alias("content")).withColumn("codec", S.codec(F.col("content")))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import gzip
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,13 +64,31 @@ def codec(content: Column) -> Column:
     return F.when(F.hex(F.substring(content, 1, 2)) == GZIP_MAGIC, F.lit("gzip")).otherwise(F.lit("plain"))
 
 
+#: Bytes that leave a function on contents at once: a batch may hold 10,000 of them.
+PIECE_BYTES = 1 << 20
+
+
+def in_pieces(batches: Iterator[pa.Array], body: Callable[[pa.Scalar], bytes | None]) -> Iterator[pa.Array]:
+    """``body`` of every value, handed on as soon as ``PIECE_BYTES`` are there."""
+    for batch in batches:
+        out, size = [], 0
+        for value in batch:
+            out.append(body(value))
+            size += len(out[-1] or b"")
+            if size >= PIECE_BYTES:
+                yield pa.array(out, pa.binary())
+                out, size = [], 0
+        if out:
+            yield pa.array(out, pa.binary())
+
+
 def decompress(df: DataFrame, content: str = "content") -> DataFrame:
     """Content after gunzip where the magic bytes say gzip; only those rows
     carry their bytes to Python."""
 
-    @F.pandas_udf("binary")
-    def gunzip(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda b: None if b is None else gzip.decompress(b))
+    @F.arrow_udf("binary")
+    def gunzip(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return in_pieces(batches, lambda b: gzip.decompress(b.as_buffer()) if b.is_valid else None)
 
     packed = F.when(codec(F.col(content)) == "gzip", F.col(content))
     return df.withColumn(content, F.coalesce(gunzip(packed), F.col(content)))
