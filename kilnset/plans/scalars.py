@@ -67,7 +67,8 @@ def softmax_vectors(t):
 @query("normalised_images", "C11", f"""
 with {IMG} select vec_id, round(list_sum([(px[k+1] / 255.0::double - [0.485, 0.456, 0.406][k % 3 + 1]::double) / [0.229, 0.224, 0.225][k % 3 + 1]::double * (k + 1) {IDX}), 5) as checksum from img""")
 def normalised_images(t):
-    rows = I.map_images(images(t), "checksum", "double", lambda img: I.weighted(I.tensor(img, X.CHANNEL_STATS["imagenet"])))
+    stats = X.CHANNEL_STATS["imagenet"]
+    rows = I.map_images(images(t), "checksum", "double", lambda img: I.weighted(I.tensor(img, stats)))
     return rows.select("vec_id", F.round("checksum", 5).alias("checksum"))
 
 
