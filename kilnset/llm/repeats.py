@@ -83,34 +83,66 @@ def _runs(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return doc[begin], np.diff(np.append(begin, len(doc)))
 
 
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the keys in their order (equal ones as they come), and which key is new there."""
+    n = len(keys)
+    low = np.uint64((1 << max(1, n.bit_length())) - 1)
+    packed = keys & ~low
+    packed |= np.arange(n, dtype=np.uint64)
+    packed.sort()
+    order = (packed & low).astype(np.int64)
+    fresh = np.ones(n, dtype=bool)
+    k = keys[order]
+    fresh[1:] = k[1:] != k[:-1]
+    packed &= ~low
+    if (fresh[1:] & (packed[1:] == packed[:-1])).any():  # keys that differ in the low bits only
+        order = np.argsort(keys, kind="stable")
+        k = keys[order]
+        fresh[1:] = k[1:] != k[:-1]
+    return order, fresh
+
+
+def _by_range(keys: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stable order by hash range, and the ranges in that order."""
+    target = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    target = target.astype(np.uint16 if ranges <= 1 << 16 else np.int64)  # two bytes are sorted digit by digit
+    by = np.argsort(target, kind="stable")
+    return by, target[by]
+
+
 def emit(keys: np.ndarray, doc: np.ndarray, pos: np.ndarray, rank: np.ndarray, row: np.ndarray,
          ranges: int) -> pa.RecordBatch:
     """Entries of one slice. ``doc`` indexes ``rank`` and ``row``, which must
     rise by rank; items are listed document by document."""
-    order = np.argsort(keys, kind="stable")
-    k, d = keys[order], doc[order]
-    fresh = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
-    once = fresh.copy()
-    once[1:] |= d[1:] != d[:-1]
-    group = np.cumsum(fresh) - 1
-    least = rank[d[fresh]][group] if len(k) else rank[:0]
-    most = np.maximum.reduceat(rank[d], np.flatnonzero(fresh))[group] if len(k) else rank[:0]
-    sent = once & (rank[d] == least)
-    here = once & (most > least)
+    order, fresh = _grouped(keys)
+    begin = np.flatnonzero(fresh)
+    size = np.diff(np.append(begin, len(keys)))
+    sent, here, later = (np.zeros(len(keys), dtype=bool) for _ in range(3))
+    sent[order[begin]] = True
+    if len(begin) < len(keys):  # the rest is about items that occur more than once
+        many = size > 1
+        at, size = order[np.repeat(many, size)], size[many]
+        begin = np.cumsum(size) - size
+        d = doc[at]
+        r = rank[d]
+        least, most = (np.repeat(x, size) for x in (r[begin], np.maximum.reduceat(r, begin)))
+        once = np.ones(len(at), dtype=bool)
+        once[1:] = d[1:] != d[:-1]
+        once[begin] = True
+        sent[at[once & (r == least)]] = True
+        here[at[once & (most > least)]] = True
+        later[at] = r > least
     buckets, blobs = [], []
     # decided here: the lowest bit tells the later ones from the first
-    at = np.sort(order[here])
+    at = np.flatnonzero(here)
     if len(at):
-        later = np.zeros(len(keys), dtype=bool)
-        later[order] = rank[d] > least
         names, counts = _runs(doc[at])
         blobs.append(_pack(1, rank[names], row[names], counts, pos[at] * 2 + later[at], keys[:0]))
         buckets.append(int((int(rank[names[0]]) * 0x9E3779B1 + int(len(at))) % ranges))
-    at = np.sort(order[sent])
+    at = np.flatnonzero(sent)
     if len(at):
-        target = (((keys[at] >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
-        by = np.argsort(target, kind="stable")
-        at, target = at[by], target[by]
+        by, target = _by_range(keys[at], ranges)
+        at = at[by]
         found, counts = _runs(target)
         for bucket, part in zip(found.tolist(), np.split(at, np.cumsum(counts)[:-1])):
             names, each = _runs(doc[part])
@@ -153,9 +185,8 @@ def emit_sets(keys: np.ndarray, doc: np.ndarray, sizes: np.ndarray, prints: np.n
         buckets.append(at)
     some = np.sort(order[(rank[d] == least)])
     if len(some):
-        target = (((keys[some] >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
-        by = np.argsort(target, kind="stable")
-        some, target = some[by], target[by]
+        by, target = _by_range(keys[some], ranges)
+        some = some[by]
         found, counts = _runs(target)
         for bucket, part in zip(found.tolist(), np.split(some, np.cumsum(counts)[:-1])):
             names, each = _runs(doc[part])
@@ -216,45 +247,41 @@ def exchange_sets(entries: DataFrame, scratch) -> DataFrame:
         F.max("n").alias("n"), F.sum("copies").alias("copies"), F.max("cls").alias("cls"), F.listagg("keys").alias("keys"))
 
 
-def _marks(rank: np.ndarray, row: np.ndarray, marks: np.ndarray) -> pa.Table:
-    order = np.lexsort((row, rank))
-    rank, row, marks = rank[order], row[order], marks[order]
-    change = np.ones(len(rank), dtype=bool)
-    change[1:] = (rank[1:] != rank[:-1]) | (row[1:] != row[:-1])
-    begin = np.flatnonzero(change)
-    counts = np.diff(np.append(begin, len(rank)))
-    return pa.table({"rank": pa.array(rank[begin]), "row": pa.array(row[begin]),
-                     "marks": join_binary(marks.astype(np.int32), counts).cast(pa.binary())})
-
-
 def judge(table: pa.Table) -> pa.Table:
     """Marks of one hash range: ``2 * position + later`` for every entry whose
     item another rank holds too."""
-    ranks, rows, counts, positions, keys = [], [], [], [], []
-    done = []
+    held, done = [], []
     for blob in table["blob"]:
-        kind, rank, row, each, pos, key = _unpack(blob.as_py())
+        kind, rank, row, each, pos, key = _unpack(blob.as_buffer())
         if kind:
-            done.append((np.repeat(rank, each), np.repeat(row, each), pos))
+            done.append((rank, row, each, pos))
         else:
-            ranks.append(np.repeat(rank, each))
-            rows.append(np.repeat(row, each))
-            positions.append(pos)
-            keys.append(key)
-    if keys:
-        key, rank = np.concatenate(keys), np.concatenate(ranks)
+            held.append((rank, row, each, pos, key))
+    if held:
+        rank, row, each, pos, key = (np.concatenate(x) for x in zip(*held))
+        doc = np.repeat(np.arange(len(each), dtype=np.int32), each)
         order = np.argsort(key)
-        k, r = key[order], rank[order]
+        k = key[order]
         begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         size = np.diff(np.append(begin, len(k)))
-        least = np.repeat(np.minimum.reduceat(r, begin), size)
-        some = np.repeat(np.maximum.reduceat(r, begin), size) > least
-        at = order[some]
-        done.append((rank[at], np.concatenate(rows)[at],
-                     np.concatenate(positions)[at] * 2 + (r[some] > least[some])))
+        many = size > 1
+        at, size = order[np.repeat(many, size)], size[many]
+        if len(at):
+            r = rank[doc[at]]
+            begin = np.cumsum(size) - size
+            least, most = (np.repeat(f.reduceat(r, begin), size) for f in (np.minimum, np.maximum))
+            marked, later = np.zeros(len(key), dtype=bool), np.zeros(len(key), dtype=bool)
+            marked[at[most > least]] = True
+            later[at] = r > least
+            at = np.flatnonzero(marked)  # still document by document
+            counts = np.bincount(doc[at], minlength=len(each))
+            some = np.flatnonzero(counts)
+            done.append((rank[some], row[some], counts[some], pos[at] * 2 + later[at]))
     if not done:
-        return _marks(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
-    return _marks(*(np.concatenate(x) for x in zip(*done)))
+        done = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))]
+    rank, row, counts, marks = (np.concatenate(x) for x in zip(*done))
+    return pa.table({"rank": pa.array(rank), "row": pa.array(row),
+                     "marks": join_binary(marks.astype(np.int32), counts).cast(pa.binary())})
 
 
 def exchange(entries: DataFrame) -> DataFrame:

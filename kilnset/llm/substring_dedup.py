@@ -26,20 +26,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kilnset.llm.repeats import (
-    ENTRY_SCHEMA, LOCAL_BYTES, NO_ID, emit, exchange, join_binary, named, range_count, split_binary)
+    ENTRY_SCHEMA, NO_ID, emit, exchange, join_binary, named, range_count, split_binary)
 from kilnset.llm.scratch import Scratch
 from kilnset.llm.words import Words, as_strings, mix, slices, window_hashes
 
 WINDOW = 13
+#: Text bytes whose windows a task holds at once, and bytes that it gets in one batch.
+SLICE_BYTES = 2 << 20
+BATCH_BYTES = 8 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _windows(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, document and word position (inside the document) of each window."""
+    """Hash, document and first word (of all words) of each window."""
     found = window_hashes(words.hashes(), width)
     inside = np.flatnonzero(words.doc[:len(found)] == words.doc[width - 1:]) if len(found) else np.zeros(0, int)
-    doc = words.doc[inside]
-    return found[inside], doc, (inside - words.first[doc]).astype(np.int64)
+    return found[inside], words.doc[inside], inside
 
 
 def _first_level(width: int, ranges: int):
@@ -47,9 +49,10 @@ def _first_level(width: int, ranges: int):
         for batch in batches:
             batch = batch.take(pa.array(np.argsort(batch.column(0).to_numpy(), kind="stable")))
             rank, row, column = batch.column(0).to_numpy(), batch.column(1).to_numpy(), as_strings(batch.column(2))
-            for a, b in slices(column, LOCAL_BYTES):
-                keys, doc, pos = _windows(Words(column.slice(a, b - a)), width)
-                yield emit(keys, doc, pos, rank[a:b], row[a:b], ranges)
+            for a, b in slices(column, SLICE_BYTES):
+                words = Words(column.slice(a, b - a))
+                keys, doc, at = _windows(words, width)
+                yield emit(keys, doc, at - words.first[doc], rank[a:b], row[a:b], ranges)
 
     return run
 
@@ -67,29 +70,34 @@ def _next_level(ranges: int):
     return run
 
 
-def _spread(keys: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _spread(keys: np.ndarray, doc: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """Mask of all items that equal a marked item of their document."""
-    mask = np.zeros(len(keys), dtype=bool)
-    if not len(at):
+    if not mask.any():
         return mask
     some = np.zeros(int(doc.max()) + 1, dtype=bool)
-    some[doc[at]] = True
+    some[doc[mask]] = True
     near = np.flatnonzero(some[doc])
     own = mix(keys[near] + doc[near].astype(np.uint64) * _ODD)
-    marked = mix(keys[at] + doc[at].astype(np.uint64) * _ODD)
-    mask[near] = np.isin(own, marked)
+    twice = np.sort(own)
+    twice = twice[1:][twice[1:] == twice[:-1]]
+    if len(twice):
+        among = twice[np.minimum(np.searchsorted(twice, own), len(twice) - 1)] == own
+        near, own = near[among], own[among]
+        mask[near] = np.isin(own, own[mask[near]])
     return mask
 
 
-def _paired(keys, doc, pos, repeated, step: int, width: int):
-    """Candidates of ``width`` words: pairs of surviving windows ``step`` apart."""
+def _paired(keys, doc, cell, total: int, repeated, step: int, width: int):
+    """Candidates of ``width`` words: pairs of surviving windows ``step`` apart, as
+    the index of the left one and the hash of both. ``cell`` is the place of
+    a window's first word among the ``total`` words of all documents."""
     at = np.flatnonzero(repeated)
-    place = doc[at].astype(np.int64) << 32 | pos[at]
-    other = np.searchsorted(place, place + step)
-    fits = other < len(place)
-    fits[fits] = place[other[fits]] == place[fits] + step
-    left, right = at[fits], at[other[fits]]
-    return doc[left], pos[left], mix(keys[left] * _ODD + keys[right] + np.uint64(width))
+    place = np.full(total + step, -1, dtype=np.int64)
+    place[cell[at]] = at
+    right = place[cell[at] + step]
+    fits = (right >= 0) & (doc[right] == doc[at])
+    left, right = at[fits], right[fits]
+    return left, mix(keys[left] * _ODD + keys[right] + np.uint64(width))
 
 
 def _candidates(half: int, width: int):
@@ -97,12 +105,15 @@ def _candidates(half: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_strings(batch.column(2))
-            for a, b in slices(texts, LOCAL_BYTES):
-                keys, doc, pos = _windows(Words(texts.slice(a, b - a)), half)
-                first = np.searchsorted(doc, np.arange(b - a))
+            for a, b in slices(texts, SLICE_BYTES):
+                words = Words(texts.slice(a, b - a))
+                keys, doc, cell = _windows(words, half)
                 marks, each = split_binary(batch.column(3).slice(a, b - a), np.int32)
-                at = np.repeat(first, each) + (marks >> 1)
-                d2, p2, k2 = _paired(keys, doc, pos, _spread(keys, doc, at), width - half, width)
+                marked = np.zeros(len(words.start), dtype=bool)
+                marked[np.repeat(words.first[:-1], each) + (marks >> 1)] = True
+                left, k2 = _paired(keys, doc, cell, len(marked), _spread(keys, doc, marked[cell]), width - half, width)
+                d2 = doc[left]
+                p2 = cell[left] - words.first[d2]
                 counts = np.bincount(d2, minlength=b - a)
                 some = pa.array(np.flatnonzero(counts))
                 out = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a),
@@ -112,63 +123,89 @@ def _candidates(half: int, width: int):
     return run
 
 
-def _judged(pos, keys, marks, earlier: bool):
-    """Document, position and hash of each candidate, and which of them repeat
-    (``earlier``: start in an earlier document)."""
-    at, counts = split_binary(pos, np.int32)
-    keys, _ = split_binary(keys, np.uint64)
-    marks, each = split_binary(marks, np.int32)
-    n = len(counts)
-    doc, at = np.repeat(np.arange(n), counts), at.astype(np.int64)
-    place = doc << 32 | at
-    wanted = np.repeat(np.arange(n), each) << 32 | (marks >> 1).astype(np.int64)
-    if earlier:
-        wanted = wanted[(marks & 1).astype(bool)]
-    return doc, at, keys, _spread(keys, doc, np.searchsorted(place, wanted))
-
-
-def _cut(width: int):
-    """Texts without the words that candidates of an earlier document cover."""
+def _cut(with_text: bool):
+    """Texts without the words that the ``cover`` of their document names."""
     names = ["rank", "row", "n_words", "n_removed", "kept_sha256", "kept_text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_strings(batch.column(2))
-            for a, b in slices(texts, LOCAL_BYTES):
+            for a, b in slices(texts, SLICE_BYTES):
                 words = Words(texts.slice(a, b - a))
-                doc, pos, _, again = _judged(*(batch.column(k).slice(a, b - a) for k in (3, 4, 5)), True)
-                cover = np.zeros(len(words.start) + 1, dtype=np.int64)
-                start = words.first[doc[again]] + pos[again]  # each once
-                cover[start] += 1
-                cover[start + width] -= 1
-                gone = np.cumsum(cover)[:-1] > 0
+                spans, each = split_binary(batch.column(3).slice(a, b - a), np.int32)
+                spans = (spans + np.repeat(words.first[:-1], each)).reshape(-1, 2)
+                cover = np.zeros(len(words.start) + 1, dtype=np.int8)
+                cover[spans[:, 0]] += 1  # spans are apart, so each place comes once
+                cover[spans[:, 1]] -= 1
+                gone = np.cumsum(cover[:-1], dtype=np.int8) > 0
                 removed = np.bincount(words.doc[gone], minlength=b - a)
-                data, starts, ends = words.data.tobytes(), words.start.tolist(), words.end.tolist()
-                kept, lost = [], gone.tolist()
-                whole = words.first.tolist()
-                for i in range(b - a):
-                    kept.append(b" ".join([data[starts[w]:ends[w]] for w in range(whole[i], whole[i + 1]) if not lost[w]]))
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(words.n.astype(np.int64)),
-                    pa.array(removed.astype(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in kept]),
-                    pa.array(kept, pa.binary()).cast(pa.string())], names)
+                data, offsets = _joined(words, np.flatnonzero(~gone))
+                raw = memoryview(data)
+                places = offsets.tolist()
+                out = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(words.n.astype(np.int64)),
+                       pa.array(removed.astype(np.int64)),
+                       pa.array([hashlib.sha256(raw[x:y]).hexdigest() for x, y in zip(places, places[1:])], pa.string())]
+                if with_text:
+                    out.append(pa.LargeStringArray.from_buffers(b - a, pa.py_buffer(offsets), pa.py_buffer(data)).cast(pa.string()))
+                yield pa.RecordBatch.from_arrays(out, names[:len(out)])
 
     return run
 
 
-def _double(width: int):
-    """Which candidates repeat, and those of twice the length."""
-    names = ["rank", "row", "pos", "keys", "repeats"]
+def _joined(words: Words, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The kept words of each document joined by one space, as bytes and offsets."""
+    edge = np.zeros(len(words.data) + 1, dtype=np.int8)
+    edge[words.start[kept]] += 1
+    edge[words.end[kept]] -= 1
+    stays = np.cumsum(edge[:-1], dtype=np.int8) > 0
+    doc = words.doc[kept]
+    gap = words.end[kept[:-1][doc[1:] == doc[:-1]]]  # a word follows in the text, so this byte is between words
+    stays[gap] = True
+    data = words.data.copy()
+    data[gap] = 0x20
+    total = np.concatenate([[0], np.cumsum(stays, dtype=np.int64)])
+    return data[stays], total[words.offsets]
+
+
+def _covered(doc: np.ndarray, pos: np.ndarray, width: int, n: int) -> pa.Array:
+    """Words that windows cover, as first word and end of spans that lie apart."""
+    fresh, last = np.ones(len(doc), dtype=bool), np.ones(len(doc), dtype=bool)
+    fresh[1:] = (doc[1:] != doc[:-1]) | (pos[1:] > pos[:-1] + width)
+    last[:-1] = fresh[1:]
+    spans = np.column_stack([pos[fresh], pos[last] + width]).astype(np.int32)
+    return join_binary(spans.ravel(), 2 * np.bincount(doc[fresh], minlength=n)).cast(pa.binary())
+
+
+def _double(width: int, cover: bool):
+    """Which candidates repeat, and those of twice the length; with ``cover`` also
+    what candidates that start in an earlier document cover."""
+    names = ["rank", "row", "pos", "keys", "repeats", "cover"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = len(batch)
-            doc, pos, keys, repeated = _judged(batch.column(2), batch.column(3), batch.column(4), False)
-            d2, p2, k2 = _paired(keys, doc, pos, repeated, width, 2 * width)
-            counts = np.bincount(d2, minlength=n)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), join_binary(p2.astype(np.int32), counts).cast(pa.binary()),
-                join_binary(k2, counts).cast(pa.binary()), pa.array(np.bincount(doc[repeated], minlength=n) > 0)], names)
+            pos, counts = split_binary(batch.column(2), np.int32)
+            keys, _ = split_binary(batch.column(3), np.uint64)
+            marks, each = split_binary(batch.column(4), np.int32)
+            doc = np.repeat(np.arange(n), counts)
+            # positions rise, so the last one tells how many cells a document needs
+            room = np.zeros(n, dtype=np.int64)
+            room[counts > 0] = pos[np.cumsum(counts)[counts > 0] - 1] + 1
+            first, total = np.cumsum(room) - room, int(room.sum())
+            cell, wanted = np.repeat(first, counts) + pos, np.repeat(first, each) + (marks >> 1)
+            marked = np.zeros(total, dtype=bool)
+            marked[wanted] = True
+            repeated = _spread(keys, doc, marked[cell])
+            left, k2 = _paired(keys, doc, cell, total, repeated, width, 2 * width)
+            made = np.bincount(doc[left], minlength=n)
+            out = [batch.column(0), batch.column(1), join_binary(pos[left], made).cast(pa.binary()),
+                   join_binary(k2, made).cast(pa.binary()), pa.array(np.bincount(doc[repeated], minlength=n) > 0)]
+            if cover:
+                marked[:] = False
+                marked[wanted[(marks & 1).astype(bool)]] = True
+                again = _spread(keys, doc, marked[cell])
+                out.append(_covered(doc[again], pos[again], width, n))
+            yield pa.RecordBatch.from_arrays(out, names[:len(out)])
 
     return run
 
@@ -178,15 +215,13 @@ def _gathered(marks: DataFrame) -> DataFrame:
     return marks.groupBy("rank", "row").agg(F.listagg("marks").alias("marks"))
 
 
-def _kept(source: DataFrame, judged: DataFrame, window: int, scratch: Scratch, with_text: bool) -> DataFrame:
-    """All documents cut by the judged candidates of the window's length."""
-    empty = F.lit(b"")
-    judged = judged.dropDuplicates(["rank", "row"])  # equal rows have equal candidates
-    rows = source.join(judged, ["rank", "row"], "left").select(
-        "rank", "row", "text", *[F.coalesce(c, empty).alias(c) for c in ("pos", "keys", "marks")])
-    cut = rows.mapInArrow(
-        _cut(window), "rank long, row long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    return scratch.write(cut if with_text else cut.drop("kept_text"))
+def _kept(source: DataFrame, cover: DataFrame, scratch: Scratch, with_text: bool) -> DataFrame:
+    """All documents without the covered words."""
+    cover = cover.dropDuplicates(["rank", "row"])  # equal rows have equal candidates
+    rows = source.join(cover, ["rank", "row"], "left").select(
+        "rank", "row", "text", F.coalesce("cover", F.lit(b"")).alias("cover"))
+    schema = "rank long, row long, n_words long, n_removed long, kept_sha256 string"
+    return scratch.write(rows.mapInArrow(_cut(with_text), schema + ", kept_text string" * with_text))
 
 
 def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW,
@@ -200,7 +235,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     one; other columns of ``docs`` are not looked at.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "substring-dedup")
+    scratch = Scratch(spark, "substring-dedup", BATCH_BYTES)
     ranges = range_count(docs, text)
     source = named(docs, key, text)
     half = (window + 1) // 2
@@ -212,17 +247,17 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     while not state.isEmpty():
         marks = scratch.write(exchange(state.mapInArrow(_next_level(ranges), ENTRY_SCHEMA)))
         both = state.join(_gathered(marks), ["rank", "row"]).select("rank", "row", "pos", "keys", "marks")
+        schema = "rank long, row long, pos binary, keys binary, repeats boolean"
+        after = scratch.write(both.mapInArrow(_double(width, out is None), schema + ", cover binary" * (out is None)))
         if out is None:
-            out = _kept(source, both, window, scratch, with_text)
-        after = scratch.write(both.mapInArrow(
-            _double(width), "rank long, row long, pos binary, keys binary, repeats boolean"))
+            out = _kept(source, after.where(F.length("cover") > 0).select("rank", "row", "cover"), scratch, with_text)
         lengths.append(scratch.write(after.where("repeats").select("rank", "row", F.lit(width).cast("long").alias("reach"))))
         scratch.drop(marks, made)
         made = after
         state = after.where(F.length("pos") > 0).select("rank", "row", "pos", "keys")
         width *= 2
     if out is None:
-        out = _kept(source, state.withColumn("marks", F.lit(b"")), window, scratch, with_text)
+        out = _kept(source, state.select("rank", "row", F.lit(b"").alias("cover")), scratch, with_text)
         lengths = [state.select("rank", "row", F.lit(window).cast("long").alias("reach"))]
     every = lengths[0]
     for more in lengths[1:]:

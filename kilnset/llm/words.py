@@ -72,7 +72,7 @@ class Words:
             data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
         self.data = data
         size = len(data)
-        solid = ~SPACE[data]
+        solid = (data != 0x20) & (data - np.uint8(0x09) > 4)  # below 9 it wraps
         fresh = np.zeros(size + 1, dtype=bool)
         fresh[self.offsets] = True
         begin = solid.copy()
@@ -97,7 +97,8 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int
     eight = np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
     length = end - start
     out = mix(length.astype(np.uint64) * _ODD + np.uint64(seed * 2 + 1))
-    some, done = np.arange(len(start)), 0
+    out = mix((out ^ (eight[start] & _LOW_BYTES[np.minimum(length, 8)])) * _STEP + _ODD)
+    some, done = np.flatnonzero(length > 8), 8
     while len(some):
         left = length[some] - done
         part = eight[start[some] + done] & _LOW_BYTES[np.minimum(left, 8)]
