@@ -16,8 +16,8 @@ task. All other pairs travel as sorted coordinates with counts, by hash range;
 the number of ranges follows the text. A task adds up its slices first, so a pair is
 sent once for each task.
 
-Rewriting: up to ``FEW`` frequent words or pairs (of all languages, counted first) go
-to every task. More of them meet what the slices ask for by tile or range, in a join
+Rewriting and naming: up to ``FEW`` frequent words or pairs (of all languages, counted
+first) go to every task. More of them meet what the slices ask for by tile or range, in a join
 that adaptive execution can split, and what a slice gets back is bounded by the slice.
 
 Words are 64-bit hashes until frequent ones are named (by one slice each).
@@ -426,16 +426,20 @@ def _counted(entries: DataFrame, scratch: Scratch, words: bool, least: int, fan:
     dense tiles go through a tree of ``fan`` entries a task."""
     whole = F.lit(0).cast("long")
     if words:
-        return _by_part(entries, whole).mapInArrow(_summed(words, least, False), COUNT_SCHEMA)
+        return scratch.write(_by_part(entries, whole).mapInArrow(_summed(words, least, False), COUNT_SCHEMA))
     entries = scratch.write(entries.withColumn("slice", F.monotonically_increasing_id()))
+    made = [entries]
     sparse, dense = entries.where("ta < 0"), entries.where("ta >= 0")
     most = dense.groupBy("lang", "ta", "tb").count().agg(F.max("count")).first()[0] or 0
     groups = -(-most // fan)
     while groups > 1:
         dense = scratch.write(_by_part(dense, F.pmod(F.xxhash64("slice"), F.lit(groups)).cast("long")).mapInArrow(
             _summed(words, least, True), ENTRY_SCHEMA))
+        made.append(dense)
         groups = -(-groups // fan)
-    return _by_part(sparse.unionByName(dense), whole).mapInArrow(_summed(words, least, False), COUNT_SCHEMA)
+    out = scratch.write(_by_part(sparse.unionByName(dense), whole).mapInArrow(_summed(words, least, False), COUNT_SCHEMA))
+    scratch.drop(*made)
+    return out
 
 
 def _packed(table: pa.Table) -> pa.Table:
@@ -586,9 +590,11 @@ def phrases(docs: DataFrame, least: int = 100, fan: int = FAN, slice_bytes: int
     total = scratch.write(slices.groupBy("lang").agg(F.sum("n").alias("n")))
 
     entries = slices.select("slice", "lang", "keys", "counts").mapInArrow(_entries(True, ranges), ENTRY_SCHEMA)
-    found = scratch.write(_counted(entries, scratch, True, least, fan))
+    found = _counted(entries, scratch, True, least, fan)
     ranked = scratch.write(positions(found.withColumn("less", -F.col("n")), ["less", "a"], ["lang"], name="id").drop("less"))
     asked = ranked.groupBy("lang", F.col("teller").alias("slice")).agg(F.collect_list("a").alias("asked")).drop("lang")
+    if ranked.limit(few + 1).count() <= few:  # so that the letters of all slices stay where they are
+        asked = F.broadcast(asked)
     words = slices.select("slice", "lang", "keys", "lengths", "letters").join(asked, "slice").mapInArrow(
         _named, "lang string, a long, word string")
     known = scratch.write(ranked.join(words, ["lang", "a"]).select(
@@ -600,7 +606,7 @@ def phrases(docs: DataFrame, least: int = 100, fan: int = FAN, slice_bytes: int
     levels = []
     for size in range(2, LONGEST + 1):
         entries = streams.mapInArrow(_entries(False, ranges), ENTRY_SCHEMA)
-        found = scratch.write(_counted(entries, scratch, False, least, fan))
+        found = _counted(entries, scratch, False, least, fan)
         ranked = scratch.write(positions(
             found.withColumn("less", -F.col("n")), ["less", "a", "b"], ["lang"], name="id").drop("less", "teller"))
         first = known.select("lang", F.col("id").alias("a"), F.col("words").alias("w"), F.col("heads").alias("h"))

@@ -42,3 +42,29 @@ def test_items_that_differ_in_low_bits_only():
         for k, cell in zip(marks["rank"].to_pylist(), marks["marks"].to_pylist()):
             found |= {(k, m >> 1, m & 1) for m in np.frombuffer(cell, np.int32).tolist()}
     assert found == {(10, 0, 0), (20, 2, 1), (30, 6, 1), (10, 1, 0), (30, 4, 1)}
+
+
+def test_naming_frequent_words_leaves_the_slices_in_place(spark, monkeypatch):
+    from kilnset.llm.collocations import phrases
+    from kilnset.llm.scratch import Scratch
+
+    plans, write = [], Scratch.write
+
+    def seen(self, df):
+        if "heads" in df.columns and "a" not in df.columns:  # the names of words
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(self, df)
+
+    monkeypatch.setattr(Scratch, "write", seen)
+    rows = [("en", f"one two three {k % 3}") for k in range(40)] + [(None, "one two, two one")] * 9
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for asked words beyond it
+    try:
+        found = {(r.lang, " ".join(r.words)): r.a for r in phrases(docs, least=9).collect()}
+        far = {(r.lang, " ".join(r.words)): r.a for r in phrases(docs, least=9, few=1).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found == far and found["en", "one two three"] == 40 and found["und", "two one"] == 9
+    assert "slice" in plans[0] and "BroadcastHashJoin [slice" in plans[0]
+    assert "SortMergeJoin [slice" in plans[1]
