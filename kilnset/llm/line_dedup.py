@@ -31,13 +31,15 @@ from pyspark.sql import functions as F
 from kilnset.llm.groups import block_pairs, by_key, runs
 from kilnset.llm.jaccard_join import enough, least_overlap
 from kilnset.llm.repeats import (
-    ENTRY_SCHEMA, LOCAL_BYTES, NO_ID, decided, emit, exchange, named, range_count, split_binary)
+    ENTRY_SCHEMA, NO_ID, decided, emit, exchange, named, range_count, split_binary)
 from kilnset.llm.scratch import Scratch
 from kilnset.llm.words import Words, as_strings, mix, slices
 
 PERCENT = 80
 #: Slots of the word counts (their size is the bound on what the driver holds).
 SLOTS = 1 << 20
+#: Text bytes whose lines a task holds at once.
+SLICE_BYTES = 2 << 20
 #: Rows that a table of fixed size travels in.
 PIECES = 64
 #: Candidates of a line that are verified first.
@@ -57,7 +59,8 @@ class Lines:
     line with a word; ``word``/``line`` list its distinct words, line by line, by
     rising ``rarity`` class (a table over the low bits of the hash) and hash."""
 
-    def __init__(self, words: Words, rarity: np.ndarray | None = None, wanted: np.ndarray | None = None):
+    def __init__(self, words: Words, rarity: np.ndarray | None = None, wanted: np.ndarray | None = None,
+                 gone: np.ndarray | None = None):
         self.words = words
         cut = np.flatnonzero(words.data == 10)
         before = np.searchsorted(cut, words.offsets[:-1])
@@ -67,9 +70,12 @@ class Lines:
         line = np.cumsum(fresh) - 1
         self.doc, self.number = words.doc[fresh], number[fresh].astype(np.int64)
         hashes = self.hashes = words.hashes()
-        if wanted is not None:  # lines without a wanted word are left out
-            hit = np.zeros(len(self.doc), dtype=bool)
-            hit[line[wanted[(hashes & np.uint64(len(wanted) - 1)).astype(np.int64)]]] = True
+        if wanted is not None or gone is not None:  # lines without a wanted word and those that are gone are left out
+            hit = np.full(len(self.doc), wanted is None)
+            if wanted is not None:
+                hit[line[wanted[(hashes & np.uint64(len(wanted) - 1)).astype(np.int64)]]] = True
+            if gone is not None:
+                hit[_at(self, gone)] = False
             self.doc, self.number = self.doc[hit], self.number[hit]
             inside = hit[line]
             hashes, line = hashes[inside], (np.cumsum(hit) - 1)[line[inside]]
@@ -109,13 +115,17 @@ def _ranked(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.take(pa.array(np.argsort(batch.column(0).to_numpy(), kind="stable")))
 
 
-def _parts(batches: Iterator[pa.RecordBatch], rarity: np.ndarray | None = None, wanted: np.ndarray | None = None):
-    """Rows and lines of each slice of each batch, by rising rank."""
+def _parts(batches: Iterator[pa.RecordBatch], rarity: np.ndarray | None = None, wanted: np.ndarray | None = None,
+           leads: bool = False):
+    """Rows and lines of each slice of each batch, by rising rank; with ``leads`` only
+    lines that the marks in the fourth column don't name."""
     for batch in batches:
         batch = _ranked(batch)
         column = as_strings(batch.column(2))
-        for a, b in slices(column, LOCAL_BYTES):
-            yield batch.slice(a, b - a), Lines(Words(column.slice(a, b - a)), rarity, wanted)
+        for a, b in slices(column, SLICE_BYTES):
+            rows = batch.slice(a, b - a)
+            gone = _marked(*split_binary(rows.column(3), np.int32)) if leads else None
+            yield rows, Lines(Words(column.slice(a, b - a)), rarity, wanted, gone)
 
 
 def _same_sets(ranges: int, slots: int):
@@ -123,14 +133,21 @@ def _same_sets(ranges: int, slots: int):
     into each slot, as rows of buckets below zero."""
     def run(batches):
         total = np.zeros(slots, dtype=np.int64)
+        held, size = [], 0
         for rows, lines in _parts(batches):
-            total += np.bincount((lines.hashes & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
+            held.append((lines.hashes & np.uint64(slots - 1)).astype(np.int32))
+            size += len(held[-1])
+            if size >= slots:
+                total += np.bincount(np.concatenate(held), minlength=slots)
+                held, size = [], 0
             key, again = lines.keys()
             at, rank, row = np.flatnonzero(~again), rows.column(0).to_numpy(), rows.column(1).to_numpy()
             yield emit(key[at], lines.doc[at], lines.number[at], rank, row, ranges)
             at = np.flatnonzero(again)
             if len(at):
                 yield decided(lines.doc[at], lines.number[at], rank, row, ranges)
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=slots)
         width = slots // PIECES
         for i in range(PIECES):
             part = total[i * width:(i + 1) * width]
@@ -215,16 +232,13 @@ def _prefix_entries(rarity: np.ndarray, percent: int, ranges: int, wanted: np.nd
 
     def run(batches):
         known = None if packed is None else np.unpackbits(packed).astype(bool)
-        for rows, lines in _parts(batches, rarity, known):
-            lead = np.ones(len(lines.doc), dtype=bool)
-            marks, each = split_binary(rows.column(3), np.int32)
-            lead[_marked_lines(marks, each, lines)] = False
-            asks = np.ones(len(lead), dtype=np.int32)
+        for rows, lines in _parts(batches, rarity, known, leads=True):
+            asks = np.ones(len(lines.doc), dtype=np.int32)
             if rows.num_columns > 4:
                 asks[:] = 0
                 asks[_chosen(rows.column(4), lines)] = 1
             n = lines.n
-            size = np.where(lead, n - least_overlap(n, percent) + 1, 0)
+            size = n - least_overlap(n, percent) + 1
             first = np.cumsum(n) - n
             sent = np.repeat(np.arange(len(n)), size)
             spot = np.arange(len(sent)) - np.repeat(np.cumsum(size) - size, size)
@@ -233,9 +247,9 @@ def _prefix_entries(rarity: np.ndarray, percent: int, ranges: int, wanted: np.nd
             rank, row = rows.column(0).to_numpy(), rows.column(1).to_numpy()
             out["rank"], out["row"] = rank[lines.doc[sent]], row[lines.doc[sent]]
             bit = mix(lines.word + np.uint64(13))
-            one = np.uint64(1) << (bit >> np.uint64(1)) % np.uint64(64)
-            parity = [np.bitwise_xor.reduceat(np.where((bit & np.uint64(1)) == np.uint64(j), one, np.uint64(0)), first)
-                    if len(first) else one for j in range(2)]
+            one = np.uint64(1) << ((bit >> np.uint64(1)) & np.uint64(63))
+            parity = [np.bitwise_xor.reduceat(x, first) if len(first) else x for x in (one, one * (bit & np.uint64(1)))]
+            parity[0] = parity[0] ^ parity[1]
             out["s0"], out["s1"] = parity[0][sent], parity[1][sent]
             out["line"], out["n"], out["at"], out["asks"] = lines.number[sent], n[sent], spot, asks[sent]
             if known is not None:
@@ -265,11 +279,11 @@ def _entries(blob: bytes) -> np.ndarray:
     return out
 
 
-def _marked_lines(marks, counts, lines: Lines) -> np.ndarray:
-    """Lines of which an earlier document, or their own further up, has an equal one."""
+def _marked(marks: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Places of lines of which an earlier document, or their own further up, has an equal one."""
     later = (marks & 1).astype(bool)
     doc = np.repeat(np.arange(len(counts)), counts)[later]
-    return _at(lines, doc.astype(np.int64) << 32 | (marks[later] >> 1))
+    return doc.astype(np.int64) << 32 | (marks[later] >> 1)
 
 
 def _at(lines: Lines, wanted: np.ndarray) -> np.ndarray:
@@ -282,56 +296,62 @@ def _passing(e: np.ndarray, percent: int, side: np.ndarray | None = None):
     """Pairs of entries of one word that pass the filters, as (later, earlier)
     entry indices, and how many bits their bitmaps differ in. ``e`` is sorted by (key, n); with ``side``, both sides of a
     pair must differ in it."""
-    size = len(e)
     left, right, differ = [], [], []
-    active, step = np.arange(size), 0
+    key, rank, row, s0, s1, line, asks = (np.ascontiguousarray(e[f]) for f in ("key", "rank", "row", "s0", "s1", "line", "asks"))
     n, at = e["n"].astype(np.int64), e["at"].astype(np.int64)
+    # n rises inside a list, so whoever is too short stays so
+    word = np.zeros(len(e), dtype=np.int64)
+    word[1:] = np.cumsum(key[1:] != key[:-1])
+    longest = np.minimum(100 * n // percent, (1 << 32) - 1)
+    end = np.searchsorted(word << 32 | n, word << 32 | longest, "right")
+    active, step = np.arange(len(e)), 0
     while len(active):
         step += 1
-        active = active[active + step < size]
-        other = active + step
-        # n rises inside a list, so whoever is too short stays so
-        fits = (e["key"][active] == e["key"][other]) & (100 * n[active] >= percent * n[other])
-        active = active[fits]
+        active = active[active + step < end[active]]
         other = active + step
         a, b = n[active], n[other]
         need = -(-percent * (a + b) // (100 + percent))
         ok = 1 + np.minimum(a - at[active] - 1, b - at[other] - 1) >= need
-        ok &= (e["asks"][active] | e["asks"][other]) > 0
+        ok &= (asks[active] | asks[other]) > 0
         if side is not None:
             ok &= side[active] != side[other]
         x, y = active[ok], other[ok]
-        odd = np.bitwise_count(e["s0"][x] ^ e["s0"][y]).astype(np.int64) + np.bitwise_count(e["s1"][x] ^ e["s1"][y])
+        odd = np.bitwise_count(s0[x] ^ s0[y]).astype(np.int64) + np.bitwise_count(s1[x] ^ s1[y])
         ok2 = odd <= (a + b - 2 * need)[ok]
         left.append(x[ok2])
         right.append(y[ok2])
         differ.append(odd[ok2])
     x = np.concatenate(left) if left else np.zeros(0, int)
     y = np.concatenate(right) if right else np.zeros(0, int)
-    swap = (e["rank"][x] < e["rank"][y]) | ((e["rank"][x] == e["rank"][y]) & (e["line"][x] < e["line"][y]))
+    swap = (rank[x] < rank[y]) | ((rank[x] == rank[y]) & (line[x] < line[y]))
     x, y = np.where(swap, y, x), np.where(swap, x, y)
-    right_order = (e["rank"][x] > e["rank"][y]) | ((e["row"][x] == e["row"][y]) & (e["line"][x] > e["line"][y]))
-    ok = right_order & (e["asks"][x] > 0)
+    right_order = (rank[x] > rank[y]) | ((row[x] == row[y]) & (line[x] > line[y]))
+    ok = right_order & (asks[x] > 0)
     return x[ok], y[ok], (np.concatenate(differ) if differ else x)[ok]
 
 
 def _pair_table(e: np.ndarray, x: np.ndarray, y: np.ndarray, differ: np.ndarray, first: int | None) -> pa.Table:
     """Distinct pairs, the ``first`` partners of each line with the nearest
     bitmaps."""
-    order = np.lexsort((e["line"][y], e["row"][y], e["rank"][y], differ, e["line"][x], e["row"][x], e["rank"][x]))
-    x, y = x[order], y[order]
-
-    def changes(i, names):
-        out = np.ones(len(i), dtype=bool)
-        for f in names:
-            v = e[f][i]
-            out[1:] &= v[1:] == v[:-1]
-        out[:1] = False
-        return ~out
-
-    lines = changes(x, ("rank", "row", "line"))
-    fresh = lines | changes(y, ("rank", "row", "line"))
-    x, y, lines = x[fresh], y[fresh], lines[fresh]
+    # lines by number, so that a pair and its distance are one number to sort by
+    held = np.zeros(len(e), dtype=bool)
+    held[x] = held[y] = True
+    held = np.flatnonzero(held)
+    parts = [e[f][held] for f in ("line", "row", "rank")]
+    order = np.lexsort(parts)
+    fresh = np.ones(len(held), dtype=bool)
+    fresh[1:] = np.logical_or.reduce([v[order][1:] != v[order][:-1] for v in parts])
+    number = np.zeros(len(e), dtype=np.int64)
+    number[held[order]] = np.cumsum(fresh) - 1
+    lead = held[order][fresh]
+    bits = len(lead).bit_length()
+    pairs = np.sort(number[x] << (bits + 8) | differ.astype(np.int64) << bits | number[y])  # they differ in 128 bits at most
+    once = np.ones(len(pairs), dtype=bool)
+    once[1:] = pairs[1:] != pairs[:-1]
+    pairs = pairs[once]
+    lines = np.ones(len(pairs), dtype=bool)
+    lines[1:] = (pairs[1:] >> (bits + 8)) != (pairs[:-1] >> (bits + 8))
+    x, y = lead[pairs >> (bits + 8)], lead[pairs & ((1 << bits) - 1)]
     begin = np.flatnonzero(lines)
     size = np.diff(np.append(begin, len(x)))
     spot = np.arange(len(x)) - np.repeat(begin, size)
@@ -349,10 +369,14 @@ def _judge_lists(percent: int, first: int | None):
     come back as they are (with the word in ``key``)."""
     def run(table: pa.Table) -> pa.Table:
         e = np.concatenate([_entries(b.as_py()) for b in table["blob"]]) if len(table) else np.zeros(0, ENTRY)
-        e = e[np.lexsort((e["n"], e["key"]))]
-        begin = np.flatnonzero(np.concatenate([[True], e["key"][1:] != e["key"][:-1]])) if len(e) else np.zeros(0, int)
-        size = np.repeat(np.diff(np.append(begin, len(e))), np.diff(np.append(begin, len(e))))
-        some = e[(size > 1) & (size <= LIST_BLOCK)]
+        order = np.argsort(e["key"])
+        k = e["key"][order]
+        begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(e) else np.zeros(0, int)
+        size = np.diff(np.append(begin, len(e)))
+        e, size = e[order[np.repeat(size > 1, size)]], size[size > 1]  # nobody meets a word alone
+        word, size = np.repeat(np.arange(len(size)), size), np.repeat(size, size)
+        e = e[np.argsort(word << 32 | e["n"])]
+        some = e[size <= LIST_BLOCK]
         pairs = _pair_table(some, *_passing(some, percent), first)
         pairs = pairs.append_column("key", pa.nulls(len(pairs), pa.int64())).append_column(
             "entry", pa.nulls(len(pairs), pa.binary()))

@@ -68,3 +68,12 @@ def test_naming_frequent_words_leaves_the_slices_in_place(spark, monkeypatch):
     assert found == far and found["en", "one two three"] == 40 and found["und", "two one"] == 9
     assert "slice" in plans[0] and "BroadcastHashJoin [slice" in plans[0]
     assert "SortMergeJoin [slice" in plans[1]
+
+
+def test_lines_that_are_gone_are_not_sorted():
+    from kilnset.llm.line_dedup import Lines
+    from kilnset.llm.words import Words
+
+    column = pa.array(["b a a\n\nc d", "", "e e\nc d\nf"], pa.large_string())
+    lines = Lines(Words(column), gone=np.array([2, 2 << 32 | 1]))
+    assert list(zip(lines.doc.tolist(), lines.number.tolist(), lines.n.tolist())) == [(0, 0, 2), (2, 0, 1), (2, 2, 1)]
