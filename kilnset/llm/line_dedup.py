@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,7 +113,10 @@ class Lines:
 
 
 def _ranked(batch: pa.RecordBatch) -> pa.RecordBatch:
-    return batch.take(pa.array(np.argsort(batch.column(0).to_numpy(), kind="stable")))
+    rank = batch.column(0).to_numpy()
+    if (rank[1:] >= rank[:-1]).all():
+        return batch
+    return batch.take(pa.array(np.argsort(rank, kind="stable")))
 
 
 def _parts(batches: Iterator[pa.RecordBatch], rarity: np.ndarray | None = None, wanted: np.ndarray | None = None,
@@ -200,23 +204,27 @@ def _or_bits(width: int):
 
 
 def asked_words(asks: DataFrame, rarity: np.ndarray, percent: int, bits: int = FILTER_BITS) -> np.ndarray:
-    """Filter of fixed size that knows the prefix words of the asking lines (it
-    may take other words for them, which costs time only)."""
+    """Filter of fixed size that knows the prefix words of the asking lines, whose
+    ``words`` it gets (it may take other words for them, which costs time only)."""
     width = bits // PIECES
 
     def run(batches):
-        for rows, lines in _parts(batches, rarity):
-            at = np.unique(_chosen(rows.column(3), lines))
-            size = lines.n[at] - least_overlap(lines.n[at], percent) + 1
-            first = (np.cumsum(lines.n) - lines.n)[at]
-            take = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            place = np.unique(lines.word[take] & np.uint64(bits - 1)).astype(np.int64)
+        for batch in batches:
+            lists = batch.column(0)
+            n = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            words = np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False)).view(np.uint64)
+            classes = rarity[(words & np.uint64(len(rarity) - 1)).astype(np.int64)]
+            order = np.lexsort((words, classes, np.repeat(np.arange(len(n)), n)))  # as in Lines
+            size = n - least_overlap(n, percent) + 1
+            first = np.cumsum(n) - n
+            take = order[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+            place = np.unique(words[take] & np.uint64(bits - 1)).astype(np.int64)
             for i in np.unique(place // width).tolist():
                 part = (place[place // width == i] - i * width).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["piece", "at"])
 
-    found = asks.select("rank", "row", "text", "asks").mapInArrow(run, "piece int, at binary").groupBy("piece").applyInArrow(
+    found = asks.select("words").mapInArrow(run, "piece int, at binary").groupBy("piece").applyInArrow(
         _or_bits(width), "piece int, bits binary")
     out = np.zeros(bits, dtype=bool)
     for piece, packed in found.collect():  # ``bits`` bits
@@ -487,8 +495,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
         return pairs.unionByName(more).groupBy("rank", "row", "line", "y_rank", "y_row", "y_line").agg(
             F.max("more").alias("more"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Lines of the pairs, and whether a partner matches."""
+    def verified(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Lines of the pairs, and whether a partner matches; the words of all these lines."""
         both = pairs.select("rank", "row", "line").union(pairs.select("y_rank", "y_row", "y_line"))
         sets = scratch.write(source.join(_numbers(both, "lines"), ["rank", "row"]).select(
             "rank", "row", "text", "lines").mapInArrow(
@@ -498,18 +506,18 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
         inter = F.size(F.array_intersect("words", "y_words"))
         match = enough(inter, F.size("words"), F.size("y_words"), percent)
         out = joined.groupBy("rank", "row", "line").agg(F.max(match).alias("match"), F.max("more").alias("more"))
-        return scratch.write(out)
+        return scratch.write(out), sets
 
     some = scratch.write(candidates(known, FIRST_CANDIDATES))
-    seen = verified(some)
+    seen, sets = verified(some)
     lost = seen.where("match")
     asking = seen.where("not match and more")
     if not asking.isEmpty():
         numbers = scratch.write(_numbers(asking, "asks"))
-        wanted = asked_words(source.join(numbers, ["rank", "row"]), rarity, percent)
+        wanted = asked_words(sets.join(asking, ["rank", "row", "line"], "left_semi"), rarity, percent)
         asks = known.join(numbers, ["rank", "row"], "left").withColumn("asks", F.coalesce("asks", empty))
         rest = scratch.write(candidates(asks.select("rank", "row", "text", "marks", "asks"), None, wanted))
-        lost = lost.unionByName(verified(rest).where("match"))
+        lost = lost.unionByName(verified(rest)[0].where("match"))
     out = known.join(_numbers(lost, "near"), ["rank", "row"], "left").withColumn("near", F.coalesce("near", empty))
     out = scratch.write(out.select("rank", "row", "text", "marks", "near").mapInArrow(
         _cut, "rank long, row long, n_lines long, n_removed long, n_similar long, kept_text string, kept_sha256 string"))
