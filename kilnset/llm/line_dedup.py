@@ -15,7 +15,8 @@ verified on the words themselves. A line needs one earlier match only: the
 candidates with the nearest bitmaps are verified first, and lines that have more
 and no match yet go round again with all of them (other lines only join in where
 they share a prefix word of such a line). Long lists are split into
-blocks that meet pairwise in tasks of their own.
+blocks that meet pairwise in tasks of their own. Texts are shuffled where most
+documents are needed; where few are, the others are left out before that.
 """
 
 from __future__ import annotations
@@ -32,9 +33,9 @@ from pyspark.sql import functions as F
 from kilnset.llm.groups import block_pairs, by_key, runs
 from kilnset.llm.jaccard_join import enough, least_overlap
 from kilnset.llm.repeats import (
-    ENTRY_SCHEMA, NO_ID, decided, emit, exchange, named, range_count, split_binary)
+    ENTRY_SCHEMA, MARK_SCHEMA, NO_ID, decided, emit, join_binary, judge, named, range_count, split_binary)
 from kilnset.llm.scratch import Scratch
-from kilnset.llm.words import Words, as_strings, mix, slices
+from kilnset.llm.words import Words, as_strings, mix, slices, text_bytes
 
 PERCENT = 80
 #: Slots of the word counts (their size is the bound on what the driver holds).
@@ -47,6 +48,10 @@ PIECES = 64
 FIRST_CANDIDATES = 8
 #: Size of the filter that the second round looks words up in.
 FILTER_BITS = 1 << 23
+#: Share of that filter up to which documents without a wanted word are left out first.
+FEW_WANTED = 1 / 4096
+#: Documents whose marks or line numbers a task gathers before it sorts.
+GATHERED = 10_000
 #: Members of a word's list that are compared in one task.
 LIST_BLOCK = 4096
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -163,6 +168,17 @@ def _same_sets(ranges: int, slots: int):
     return run
 
 
+def _later(table: pa.Table) -> pa.Table:
+    """Marks of one hash range, those of later lines only."""
+    found = judge(table)
+    marks, counts = split_binary(found["marks"], np.int32)
+    keep = (marks & 1).astype(bool)
+    counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[keep], minlength=len(counts))
+    some = np.flatnonzero(counts)
+    found = found.take(pa.array(some))
+    return found.set_column(2, "marks", join_binary(marks[keep], counts[some]).cast(pa.binary()))
+
+
 def word_counts(entries: DataFrame, slots: int = SLOTS) -> np.ndarray:
     """How many words of the corpus fall into each slot, from the rows below zero."""
     width = slots // PIECES
@@ -232,6 +248,30 @@ def asked_words(asks: DataFrame, rarity: np.ndarray, percent: int, bits: int = F
     return out
 
 
+def _prefixes(lines: Lines, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line, position and place in ``lines.word`` of each prefix word."""
+    size = lines.n - least_overlap(lines.n, percent) + 1
+    sent = np.repeat(np.arange(len(size)), size)
+    spot = np.arange(len(sent)) - np.repeat(np.cumsum(size) - size, size)
+    return sent, spot, (np.cumsum(lines.n) - lines.n)[sent] + spot
+
+
+def _holding(rarity: np.ndarray, percent: int, wanted: np.ndarray):
+    """Documents with a line that has a ``wanted`` word in its prefix."""
+    packed = np.packbits(wanted)
+
+    def run(batches):
+        known = np.unpackbits(packed).astype(bool)
+        for rows, lines in _parts(batches, rarity, known):
+            sent, _, place = _prefixes(lines, percent)
+            hit = known[(lines.word[place] & np.uint64(len(known) - 1)).astype(np.int64)]
+            at = np.unique(lines.doc[sent[hit]])
+            if len(at):
+                yield rows.take(pa.array(at))
+
+    return run
+
+
 def _prefix_entries(rarity: np.ndarray, percent: int, ranges: int, wanted: np.ndarray | None = None):
     """Packed prefix entries of the lines that are the first of their set.
     ``marks`` names lines that an earlier document has, ``asks`` (if there) the
@@ -245,46 +285,54 @@ def _prefix_entries(rarity: np.ndarray, percent: int, ranges: int, wanted: np.nd
             if rows.num_columns > 4:
                 asks[:] = 0
                 asks[_chosen(rows.column(4), lines)] = 1
-            n = lines.n
-            size = n - least_overlap(n, percent) + 1
-            first = np.cumsum(n) - n
-            sent = np.repeat(np.arange(len(n)), size)
-            spot = np.arange(len(sent)) - np.repeat(np.cumsum(size) - size, size)
-            out = np.zeros(len(sent), dtype=ENTRY)
-            out["key"] = lines.word[first[sent] + spot]
-            rank, row = rows.column(0).to_numpy(), rows.column(1).to_numpy()
-            out["rank"], out["row"] = rank[lines.doc[sent]], row[lines.doc[sent]]
+            sent, spot, place = _prefixes(lines, percent)
+            key = lines.word[place]
+            if known is not None:
+                some = known[(key & np.uint64(len(known) - 1)).astype(np.int64)]
+                sent, spot, key = sent[some], spot[some], key[some]
+            target = ((key >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+            target = target.astype(np.uint16 if ranges <= 1 << 16 else np.int64)  # two bytes are sorted digit by digit
+            by = np.argsort(target, kind="stable")
+            target, sent = target[by], sent[by]
+            first = np.cumsum(lines.n) - lines.n
             bit = mix(lines.word + np.uint64(13))
             one = np.uint64(1) << ((bit >> np.uint64(1)) & np.uint64(63))
             parity = [np.bitwise_xor.reduceat(x, first) if len(first) else x for x in (one, one * (bit & np.uint64(1)))]
             parity[0] = parity[0] ^ parity[1]
-            out["s0"], out["s1"] = parity[0][sent], parity[1][sent]
-            out["line"], out["n"], out["at"], out["asks"] = lines.number[sent], n[sent], spot, asks[sent]
-            if known is not None:
-                out = out[known[(out["key"] & np.uint64(len(known) - 1)).astype(np.int64)]]
-            target = (((out["key"] >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
-            by = np.argsort(target, kind="stable")
-            out, target = out[by], target[by]
-            begin = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]])) if len(out) else np.zeros(0, int)
-            blobs = [_columns(x) for x in np.split(out, begin[1:])] if len(out) else []
+            rank, row = rows.column(0).to_numpy()[lines.doc], rows.column(1).to_numpy()[lines.doc]
+            columns = {"key": key[by], "rank": rank[sent], "row": row[sent], "s0": parity[0][sent], "s1": parity[1][sent],
+                       "line": lines.number[sent], "n": lines.n[sent], "at": spot[by], "asks": asks[sent]}
+            begin = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]])) if len(sent) else np.zeros(0, int)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(target[begin], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+                [pa.array(target[begin].astype(np.int64)), pa.array(_columns(columns, begin), pa.binary())], ["bucket", "blob"])
 
     return run
 
 
-def _columns(entries: np.ndarray) -> bytes:
-    """Entries field by field: repeated fields compress well that way."""
-    return b"".join(np.ascontiguousarray(entries[f]).tobytes() for f in ENTRY.names)
-
-
-def _entries(blob: bytes) -> np.ndarray:
-    n = len(blob) // ENTRY.itemsize
-    out, at = np.zeros(n, dtype=ENTRY), 0
+def _columns(entries: dict[str, np.ndarray], begin: np.ndarray) -> list[bytes]:
+    """Entries of each part, field by field; small numbers take 1, 2 or 4 bytes (the head says which)."""
+    fields = []
     for f in ENTRY.names:
-        out[f] = np.frombuffer(blob, ENTRY[f], n, at)
-        at += n * ENTRY[f].itemsize
-    return out
+        x, kind = entries[f], ENTRY[f]
+        if kind.kind == "i" and len(x) and x.min() >= 0:
+            kind = next((k for k in map(np.dtype, ("<u1", "<u2", "<u4")) if k.itemsize < kind.itemsize and x.max() <= np.iinfo(k).max), kind)
+        fields.append(x.astype(kind, copy=False))
+    head = bytes(x.itemsize for x in fields)
+    end = np.append(begin[1:], len(entries["key"])) if len(begin) else begin
+    return [head + b"".join(x[a:b].tobytes() for x in fields) for a, b in zip(begin.tolist(), end.tolist())]
+
+
+def _entries(blobs: list) -> dict[str, np.ndarray]:
+    """All entries of some blobs, field by field."""
+    parts = {f: [np.zeros(0, ENTRY[f])] for f in ENTRY.names}
+    for blob in blobs:
+        head = bytes(blob[:len(ENTRY.names)])
+        n, at = (len(blob) - len(head)) // sum(head), len(head)
+        for f, width in zip(ENTRY.names, head):
+            kind = ENTRY[f] if width == ENTRY[f].itemsize else np.dtype(f"<u{width}")
+            parts[f].append(np.frombuffer(blob, kind, n, at))
+            at += n * width
+    return {f: np.concatenate(x, dtype=ENTRY[f], casting="unsafe") for f, x in parts.items()}
 
 
 def _marked(marks: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -300,7 +348,7 @@ def _at(lines: Lines, wanted: np.ndarray) -> np.ndarray:
     return at[place[np.minimum(at, len(place) - 1)] == wanted] if len(place) else at[:0]
 
 
-def _passing(e: np.ndarray, percent: int, side: np.ndarray | None = None):
+def _passing(e: np.ndarray | dict[str, np.ndarray], percent: int, side: np.ndarray | None = None):
     """Pairs of entries of one word that pass the filters, as (later, earlier)
     entry indices, and how many bits their bitmaps differ in. ``e`` is sorted by (key, n); with ``side``, both sides of a
     pair must differ in it."""
@@ -308,11 +356,11 @@ def _passing(e: np.ndarray, percent: int, side: np.ndarray | None = None):
     key, rank, row, s0, s1, line, asks = (np.ascontiguousarray(e[f]) for f in ("key", "rank", "row", "s0", "s1", "line", "asks"))
     n, at = e["n"].astype(np.int64), e["at"].astype(np.int64)
     # n rises inside a list, so whoever is too short stays so
-    word = np.zeros(len(e), dtype=np.int64)
+    word = np.zeros(len(key), dtype=np.int64)
     word[1:] = np.cumsum(key[1:] != key[:-1])
     longest = np.minimum(100 * n // percent, (1 << 32) - 1)
     end = np.searchsorted(word << 32 | n, word << 32 | longest, "right")
-    active, step = np.arange(len(e)), 0
+    active, step = np.arange(len(key)), 0
     while len(active):
         step += 1
         active = active[active + step < end[active]]
@@ -338,18 +386,18 @@ def _passing(e: np.ndarray, percent: int, side: np.ndarray | None = None):
     return x[ok], y[ok], (np.concatenate(differ) if differ else x)[ok]
 
 
-def _pair_table(e: np.ndarray, x: np.ndarray, y: np.ndarray, differ: np.ndarray, first: int | None) -> pa.Table:
+def _pair_table(e: np.ndarray | dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, differ: np.ndarray, first: int | None) -> pa.Table:
     """Distinct pairs, the ``first`` partners of each line with the nearest
     bitmaps."""
     # lines by number, so that a pair and its distance are one number to sort by
-    held = np.zeros(len(e), dtype=bool)
+    held = np.zeros(len(e["key"]), dtype=bool)
     held[x] = held[y] = True
     held = np.flatnonzero(held)
     parts = [e[f][held] for f in ("line", "row", "rank")]
     order = np.lexsort(parts)
     fresh = np.ones(len(held), dtype=bool)
     fresh[1:] = np.logical_or.reduce([v[order][1:] != v[order][:-1] for v in parts])
-    number = np.zeros(len(e), dtype=np.int64)
+    number = np.zeros(len(e["key"]), dtype=np.int64)
     number[held[order]] = np.cumsum(fresh) - 1
     lead = held[order][fresh]
     bits = len(lead).bit_length()
@@ -376,19 +424,22 @@ def _judge_lists(percent: int, first: int | None):
     """Pairs of one hash range; members of lists that are too long for one task
     come back as they are (with the word in ``key``)."""
     def run(table: pa.Table) -> pa.Table:
-        e = np.concatenate([_entries(b.as_py()) for b in table["blob"]]) if len(table) else np.zeros(0, ENTRY)
+        e = _entries([memoryview(b.as_buffer()) for b in table["blob"]])
         order = np.argsort(e["key"])
         k = e["key"][order]
-        begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(e) else np.zeros(0, int)
-        size = np.diff(np.append(begin, len(e)))
-        e, size = e[order[np.repeat(size > 1, size)]], size[size > 1]  # nobody meets a word alone
+        begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, int)
+        size = np.diff(np.append(begin, len(k)))
+        order, size = order[np.repeat(size > 1, size)], size[size > 1]  # nobody meets a word alone
         word, size = np.repeat(np.arange(len(size)), size), np.repeat(size, size)
-        e = e[np.argsort(word << 32 | e["n"])]
-        some = e[size <= LIST_BLOCK]
+        order = order[np.argsort(word << 32 | e["n"][order])]
+        some, many = order[size <= LIST_BLOCK], order[size > LIST_BLOCK]
+        long = np.zeros(len(many), ENTRY)
+        for f in ENTRY.names:
+            long[f] = e[f][many]
+        some = {f: x[some] for f, x in e.items()}
         pairs = _pair_table(some, *_passing(some, percent), first)
         pairs = pairs.append_column("key", pa.nulls(len(pairs), pa.int64())).append_column(
             "entry", pa.nulls(len(pairs), pa.binary()))
-        long = e[size > LIST_BLOCK]
         blank = [pa.nulls(len(long), t) for t in (pa.int64(), pa.int64(), pa.int32()) * 2] + [pa.nulls(len(long), pa.bool_())]
         rows = pa.table(blank + [pa.array(long["key"].view(np.int64) if len(long) else np.zeros(0, np.int64)),
                                  pa.array([x.tobytes() for x in long], pa.binary())], pairs.column_names)
@@ -411,9 +462,23 @@ def _judge_blocks(percent: int, first: int | None):
     return run
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose rank and row are not those of the row before."""
+    last = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        rank, row = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        fresh = np.ones(len(batch), dtype=bool)
+        fresh[1:] = (rank[1:] != rank[:-1]) | (row[1:] != row[:-1])
+        fresh[0] = (rank[0], row[0]) != last
+        last = rank[-1], row[-1]
+        yield batch if fresh.all() else batch.filter(pa.array(fresh))
+
+
 def _line_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """rank, row, line, words of the named lines."""
-    for rows, lines in _parts(batches):
+    """rank, row, line, words of the named lines; rows come by rank and row, repeated ones count once."""
+    for rows, lines in _parts(_once(batches)):
         at = np.unique(_chosen(rows.column(3), lines))
         first = np.cumsum(lines.n) - lines.n
         take = np.repeat(first[at], lines.n[at]) + np.arange(lines.n[at].sum()) - np.repeat(
@@ -431,25 +496,29 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without the marked lines (as numbers, the words aren't needed)."""
     for rows in batches:
         column = as_strings(rows.column(2))
+        data, offsets = text_bytes(column)
+        breaks = np.searchsorted(np.flatnonzero(data == 10), offsets)
         marks, each = split_binary(rows.column(3), np.int32)
         near, some = split_binary(rows.column(4), np.int32)
         # 2 * number + 1 says that an equal line is further up
         keep = (marks & 1).astype(bool)
         ends, near_ends = np.cumsum(each), np.cumsum(some)
-        total, removed, similar, kept = [], [], [], []
-        for i in range(len(rows)):
-            text = column[i].as_py()
+        removed, similar = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows), dtype=np.int64)
+        raw = memoryview(data)
+        kept = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        for i in np.flatnonzero(each + some).tolist():
             part = slice(ends[i] - each[i], ends[i])
             alike = set(near[near_ends[i] - some[i]:near_ends[i]].tolist())
             lost = set((marks[part][keep[part]] >> 1).tolist()) | alike
-            total.append(text.count("\n") + 1)
-            removed.append(len(lost))
-            similar.append(len(alike))
-            kept.append("\n".join(x for j, x in enumerate(text.split("\n")) if j not in lost) if lost else text)
+            removed[i], similar[i] = len(lost), len(alike)
+            if lost:
+                kept[i] = b"\n".join(x for j, x in enumerate(bytes(kept[i]).split(b"\n")) if j not in lost)
+        length = np.fromiter(map(len, kept), np.int64, len(kept))
+        out = pa.LargeStringArray.from_buffers(
+            len(kept), pa.py_buffer(np.append(0, np.cumsum(length)).tobytes()), pa.py_buffer(b"".join(kept)))
         yield pa.RecordBatch.from_arrays(
-            [rows.column(0), rows.column(1), pa.array(total, pa.int64()), pa.array(removed, pa.int64()),
-             pa.array(similar, pa.int64()), pa.array(kept, pa.string()),
-             pa.array([hashlib.sha256(x.encode()).hexdigest() for x in kept], pa.string())],
+            [rows.column(0), rows.column(1), pa.array(np.diff(breaks) + 1, pa.int64()), pa.array(removed),
+             pa.array(similar), out.cast(pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())],
             ["rank", "row", "n_lines", "n_removed", "n_similar", "kept_text", "kept_sha256"])
 
 
@@ -461,6 +530,18 @@ def _numbers(lines: DataFrame, name: str) -> DataFrame:
         F.listagg(F.unhex(swapped)).alias(name))
 
 
+def _only(source: DataFrame, rows: DataFrame) -> DataFrame:
+    """``source`` without most documents that ``rows`` doesn't name: bits of a fixed
+    size, by the row's hash, go to every task."""
+    place = F.pmod("row", F.lit(FILTER_BITS)) + 1
+    bits = rows.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    known = source.join(F.broadcast(bits), F.bitmap_bucket_number(place) == F.col("part"))
+    return known.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*source.columns)
+
+
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per document: rank-free key, row (a hash of key and text),
     n_lines, n_removed, n_similar (removed for a set that is alike, not equal),
@@ -469,18 +550,22 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     A null text is empty and has one line without a word. Documents with a null
     key come after all others; lines of rows that share a key don't remove each
     other across rows. An empty table gives an empty one; other columns of
-    ``docs`` are not looked at.
+    ``docs`` are not looked at. The texts are cut when the table is read.
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
+    scratch.settings["spark.sql.objectHashAggregate.sortBased.fallbackThreshold"] = str(GATHERED)
     ranges = range_count(docs, text)
     source = named(docs, key, text)
     entries = scratch.write(source.mapInArrow(_same_sets(ranges, SLOTS), ENTRY_SCHEMA))
-    found = scratch.write(exchange(entries.where("bucket >= 0")))
+    found = scratch.write(entries.where("bucket >= 0").groupBy("bucket").applyInArrow(_later, MARK_SCHEMA))
     marks = scratch.write(found.groupBy("rank", "row").agg(F.listagg("marks").alias("marks")))
     rarity = rarity_classes(word_counts(entries, SLOTS))
     scratch.drop(found, entries)
     empty = F.lit(b"")
-    known = source.join(marks, ["rank", "row"], "left").withColumn("marks", F.coalesce("marks", empty))
+
+    def marked(rows: DataFrame) -> DataFrame:
+        # small tables are looked up, the texts needn't be sorted
+        return rows.join(marks.hint("shuffle_hash"), ["rank", "row"], "left").withColumn("marks", F.coalesce("marks", empty))
 
     def candidates(rows: DataFrame, first: int | None, wanted: np.ndarray | None = None) -> DataFrame:
         entries = rows.mapInArrow(_prefix_entries(rarity, percent, ranges, wanted), ENTRY_SCHEMA)
@@ -498,9 +583,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     def verified(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Lines of the pairs, and whether a partner matches; the words of all these lines."""
         both = pairs.select("rank", "row", "line").union(pairs.select("y_rank", "y_row", "y_line"))
-        sets = scratch.write(source.join(_numbers(both, "lines"), ["rank", "row"]).select(
-            "rank", "row", "text", "lines").mapInArrow(
-                _line_sets, "rank long, row long, line int, words array<long>").dropDuplicates(["rank", "row", "line"]))
+        # sorted, so that rows that repeat are side by side
+        sets = scratch.write(_only(source, both).join(_numbers(both, "lines").hint("merge"), ["rank", "row"]).select(
+            "rank", "row", "text", "lines").mapInArrow(_line_sets, "rank long, row long, line int, words array<long>"))
         other = sets.select(*[F.col(c).alias(f"y_{c}") for c in sets.columns])
         joined = pairs.join(sets, ["rank", "row", "line"]).join(other, ["y_rank", "y_row", "y_line"])
         inter = F.size(F.array_intersect("words", "y_words"))
@@ -508,18 +593,22 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
         out = joined.groupBy("rank", "row", "line").agg(F.max(match).alias("match"), F.max("more").alias("more"))
         return scratch.write(out), sets
 
-    some = scratch.write(candidates(known, FIRST_CANDIDATES))
+    some = scratch.write(candidates(marked(source), FIRST_CANDIDATES))
     seen, sets = verified(some)
     lost = seen.where("match")
     asking = seen.where("not match and more")
     if not asking.isEmpty():
         numbers = scratch.write(_numbers(asking, "asks"))
         wanted = asked_words(sets.join(asking, ["rank", "row", "line"], "left_semi"), rarity, percent)
-        asks = known.join(numbers, ["rank", "row"], "left").withColumn("asks", F.coalesce("asks", empty))
+        texts = source
+        if wanted.mean() <= FEW_WANTED:
+            texts = source.mapInArrow(_holding(rarity, percent, wanted), source.schema)
+        asks = marked(texts).join(numbers, ["rank", "row"], "left").withColumn("asks", F.coalesce("asks", empty))
         rest = scratch.write(candidates(asks.select("rank", "row", "text", "marks", "asks"), None, wanted))
         lost = lost.unionByName(verified(rest)[0].where("match"))
-    out = known.join(_numbers(lost, "near"), ["rank", "row"], "left").withColumn("near", F.coalesce("near", empty))
-    out = scratch.write(out.select("rank", "row", "text", "marks", "near").mapInArrow(
-        _cut, "rank long, row long, n_lines long, n_removed long, n_similar long, kept_text string, kept_sha256 string"))
+    near = scratch.write(_numbers(lost, "near"))
+    out = marked(source).join(near.hint("shuffle_hash"), ["rank", "row"], "left").withColumn("near", F.coalesce("near", empty))
+    out = out.select("rank", "row", "text", "marks", "near").mapInArrow(
+        _cut, "rank long, row long, n_lines long, n_removed long, n_similar long, kept_text string, kept_sha256 string")
     return out.select(F.when(F.col("rank") != NO_ID, F.col("rank")).alias(key), "row", "n_lines", "n_removed",
                       "n_similar", "kept_text", "kept_sha256")
