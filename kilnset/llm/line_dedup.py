@@ -8,15 +8,17 @@ Equal sets are settled first, with one packed exchange of set hashes, so that
 only the first line of each set goes on. Its words are ordered by rarity in the
 whole corpus (a fixed-size count sketch, equal counts by hash), and the prefix of
 ``n - ceil(t n) + 1`` rarest words is sent to hash ranges, with the set size, the
-position of the word and a 128-bit parity bitmap of the set. Inside a word's list
+position of the word and a 128-bit parity bitmap of the set. These prefixes are
+written once, line by line, for both rounds below. Inside a word's list
 pairs pass the length filter, the positional filter and the bitmap bound (each
 odd bit of two xored bitmaps needs a word that only one line has). What passes is
 verified on the words themselves. A line needs one earlier match only: the
 candidates with the nearest bitmaps are verified first, and lines that have more
 and no match yet go round again with all of them (other lines only join in where
 they share a prefix word of such a line). Long lists are split into
-blocks that meet pairwise in tasks of their own. Texts are shuffled where most
-documents are needed; where few are, the others are left out before that.
+blocks that meet pairwise in tasks of their own. Texts are shuffled for the words
+of lines that are compared, where documents without one are left out before that,
+and for the cut; prefixes are made where the texts are read.
 """
 
 from __future__ import annotations
@@ -48,25 +50,30 @@ PIECES = 64
 FIRST_CANDIDATES = 8
 #: Size of the filter that the second round looks words up in.
 FILTER_BITS = 1 << 23
-#: Share of that filter up to which documents without a wanted word are left out first.
-FEW_WANTED = 1 / 4096
+#: Share of that filter up to which lines without a wanted word are left out before a join (beyond it few lines have none).
+FEW_WANTED = 1 / 8
 #: Documents whose marks or line numbers a task gathers before it sorts.
 GATHERED = 10_000
 #: Members of a word's list that are compared in one task.
 LIST_BLOCK = 4096
+LOW_HALF = np.uint64((1 << 32) - 1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 ENTRY = np.dtype([("key", "<u8"), ("rank", "<i8"), ("row", "<i8"), ("s0", "<u8"), ("s1", "<u8"),
                   ("line", "<i4"), ("n", "<i4"), ("at", "<i4"), ("asks", "<i4")])
+#: Lines of a document by number: set sizes, both halves of their bitmaps, the words of their prefixes.
+PREFIX_SCHEMA = "rank long, row long, numbers binary, sizes binary, parity binary, words binary"
 PAIR_SCHEMA = "rank long, row long, line int, y_rank long, y_row long, y_line int, more boolean"
 
 
 class Lines:
     """Lines of some documents as word sets. ``doc`` and ``number`` place each
     line with a word; ``word``/``line`` list its distinct words, line by line, by
-    rising ``rarity`` class (a table over the low bits of the hash) and hash."""
+    rising ``rarity`` class (a table over the low bits of the hash) and hash.
+    ``gone`` and ``only`` are places (document << 32 | number) of lines that are
+    left out and of the only ones that are kept."""
 
-    def __init__(self, words: Words, rarity: np.ndarray | None = None, wanted: np.ndarray | None = None,
-                 gone: np.ndarray | None = None):
+    def __init__(self, words: Words, rarity: np.ndarray | None = None, gone: np.ndarray | None = None,
+                 only: np.ndarray | None = None):
         self.words = words
         cut = np.flatnonzero(words.data == 10)
         before = np.searchsorted(cut, words.offsets[:-1])
@@ -76,10 +83,10 @@ class Lines:
         line = np.cumsum(fresh) - 1
         self.doc, self.number = words.doc[fresh], number[fresh].astype(np.int64)
         hashes = self.hashes = words.hashes()
-        if wanted is not None or gone is not None:  # lines without a wanted word and those that are gone are left out
-            hit = np.full(len(self.doc), wanted is None)
-            if wanted is not None:
-                hit[line[wanted[(hashes & np.uint64(len(wanted) - 1)).astype(np.int64)]]] = True
+        if only is not None or gone is not None:
+            hit = np.full(len(self.doc), only is None)
+            if only is not None:
+                hit[_at(self, only)] = True
             if gone is not None:
                 hit[_at(self, gone)] = False
             self.doc, self.number = self.doc[hit], self.number[hit]
@@ -124,17 +131,15 @@ def _ranked(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.take(pa.array(np.argsort(rank, kind="stable")))
 
 
-def _parts(batches: Iterator[pa.RecordBatch], rarity: np.ndarray | None = None, wanted: np.ndarray | None = None,
-           leads: bool = False):
-    """Rows and lines of each slice of each batch, by rising rank; with ``leads`` only
-    lines that the marks in the fourth column don't name."""
+def _parts(batches: Iterator[pa.RecordBatch], rarity: np.ndarray | None = None, chosen: bool = False):
+    """Rows and lines of each slice of each batch, by rising rank; with ``chosen``
+    only lines that the numbers in the fourth column name."""
     for batch in batches:
         batch = _ranked(batch)
         column = as_strings(batch.column(2))
         for a, b in slices(column, SLICE_BYTES):
             rows = batch.slice(a, b - a)
-            gone = _marked(*split_binary(rows.column(3), np.int32)) if leads else None
-            yield rows, Lines(Words(column.slice(a, b - a)), rarity, wanted, gone)
+            yield rows, Lines(Words(column.slice(a, b - a)), rarity, only=_places(rows.column(3)) if chosen else None)
 
 
 def _same_sets(ranges: int, slots: int):
@@ -198,10 +203,10 @@ def word_counts(entries: DataFrame, slots: int = SLOTS) -> np.ndarray:
     return out
 
 
-def _chosen(column, lines: Lines) -> np.ndarray:
-    """Indices of the lines that a column of line numbers names."""
+def _places(column) -> np.ndarray:
+    """Places of the lines that a column of line numbers names."""
     numbers, counts = split_binary(column, np.int32)
-    return _at(lines, np.repeat(np.arange(len(counts)), counts).astype(np.int64) << 32 | numbers)
+    return np.repeat(np.arange(len(counts)), counts).astype(np.int64) << 32 | numbers
 
 
 def rarity_classes(counts: np.ndarray) -> np.ndarray:
@@ -248,45 +253,106 @@ def asked_words(asks: DataFrame, rarity: np.ndarray, percent: int, bits: int = F
     return out
 
 
-def _prefixes(lines: Lines, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Line, position and place in ``lines.word`` of each prefix word."""
-    size = lines.n - least_overlap(lines.n, percent) + 1
-    sent = np.repeat(np.arange(len(size)), size)
-    spot = np.arange(len(sent)) - np.repeat(np.cumsum(size) - size, size)
-    return sent, spot, (np.cumsum(lines.n) - lines.n)[sent] + spot
+class Prefixes:
+    """Lines of some documents without their texts. ``doc`` and ``number`` place each
+    line, ``n`` is the size of its set; ``word`` lists the ``size`` prefix words of
+    each, line by line and rarest first, ``parity`` has its two bitmaps."""
 
+    def __init__(self, doc: np.ndarray, number: np.ndarray, n: np.ndarray, parity: np.ndarray, word: np.ndarray, percent: int):
+        self.doc, self.number, self.n, self.parity, self.word, self.percent = doc, number, n, parity, word, percent
+        self.size = n - least_overlap(n, percent) + 1
 
-def _holding(rarity: np.ndarray, percent: int, wanted: np.ndarray):
-    """Documents with a line that has a ``wanted`` word in its prefix."""
+    @classmethod
+    def of(cls, lines: Lines, percent: int) -> Prefixes:
+        first = np.cumsum(lines.n) - lines.n
+        bit = mix(lines.word + np.uint64(13))
+        one = np.uint64(1) << ((bit >> np.uint64(1)) & np.uint64(63))
+        parity = [np.bitwise_xor.reduceat(x, first) if len(first) else x for x in (one, one * (bit & np.uint64(1)))]
+        size = lines.n - least_overlap(lines.n, percent) + 1
+        place = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return cls(lines.doc, lines.number, lines.n, np.stack([parity[0] ^ parity[1], parity[1]], 1), lines.word[place], percent)
+
+    @classmethod
+    def read(cls, rows: pa.RecordBatch, percent: int) -> Prefixes:
+        (number, each), (n, _), (parity, _), (word, _) = (
+            split_binary(rows.column(i), kind) for i, kind in ((2, np.int32), (3, np.int32), (4, np.uint64), (5, np.uint64)))
+        return cls(np.repeat(np.arange(len(each)), each), number, n.astype(np.int64), parity.reshape(-1, 2), word, percent)
+
+    def only(self, lines: np.ndarray) -> Prefixes:
+        """The lines that a mask says."""
+        return Prefixes(self.doc[lines], self.number[lines], self.n[lines], self.parity[lines],
+                        self.word[np.repeat(lines, self.size)], self.percent)
+
+    def table(self, rows: pa.RecordBatch) -> pa.RecordBatch:
+        """One row for each document that has a line."""
+        each = np.bincount(self.doc, minlength=len(rows))
+        some = np.flatnonzero(each)
+        words = np.bincount(np.repeat(self.doc, self.size), minlength=len(rows))[some]
+        each = each[some]
+        blobs = [join_binary(x, counts).cast(pa.binary()) for x, counts in (
+            (self.number.astype(np.int32), each), (self.n.astype(np.int32), each), (self.parity.ravel(), 2 * each), (self.word, words))]
+        names = [rows.column(i).take(pa.array(some)) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays(names + blobs, ["rank", "row", "numbers", "sizes", "parity", "words"])
+
+
+def _prefix_lines(rarity: np.ndarray, percent: int):
+    """The prefixes of all lines, as rows of their documents."""
+    def run(batches):
+        for rows, lines in _parts(batches, rarity):
+            yield Prefixes.of(lines, percent).table(rows)
+
+    return run
+
+
+def _read(batches: Iterator[pa.RecordBatch], percent: int):
+    """Rows and prefixes of each slice of each batch."""
+    for batch in batches:
+        for a, b in slices(batch.column(5).cast(pa.large_binary()), SLICE_BYTES):
+            rows = batch.slice(a, b - a)
+            yield rows, Prefixes.read(rows, percent)
+
+
+def _leads(percent: int):
+    """Only lines that ``marks`` doesn't name: the first of their set."""
+    def run(batches):
+        for rows, lines in _read(batches, percent):
+            keep = np.ones(len(lines.doc), dtype=bool)
+            keep[_at(lines, _marked(*split_binary(rows.column(6), np.int32)))] = False
+            yield lines.only(keep).table(rows)
+
+    return run
+
+
+def _holding(percent: int, wanted: np.ndarray):
+    """Only lines that have a ``wanted`` word in their prefix."""
     packed = np.packbits(wanted)
 
     def run(batches):
         known = np.unpackbits(packed).astype(bool)
-        for rows, lines in _parts(batches, rarity, known):
-            sent, _, place = _prefixes(lines, percent)
-            hit = known[(lines.word[place] & np.uint64(len(known) - 1)).astype(np.int64)]
-            at = np.unique(lines.doc[sent[hit]])
-            if len(at):
-                yield rows.take(pa.array(at))
+        for rows, lines in _read(batches, percent):
+            hit = known[(lines.word & np.uint64(len(known) - 1)).astype(np.int64)]
+            keep = np.zeros(len(lines.doc), dtype=bool)
+            keep[np.repeat(np.arange(len(keep)), lines.size)[hit]] = True
+            yield lines.only(keep).table(rows)
 
     return run
 
 
-def _prefix_entries(rarity: np.ndarray, percent: int, ranges: int, wanted: np.ndarray | None = None):
-    """Packed prefix entries of the lines that are the first of their set.
-    ``marks`` names lines that an earlier document has, ``asks`` (if there) the
-    only lines that look for a match; ``wanted`` words alone are sent then."""
+def _prefix_entries(percent: int, ranges: int, wanted: np.ndarray | None = None):
+    """Packed entries of the prefixes; the range and the low half of a word stand
+    for it. ``asks`` (if there) names the only lines that look for a match;
+    ``wanted`` words alone are sent then."""
     packed = None if wanted is None else np.packbits(wanted)
 
     def run(batches):
         known = None if packed is None else np.unpackbits(packed).astype(bool)
-        for rows, lines in _parts(batches, rarity, known, leads=True):
+        for rows, lines in _read(batches, percent):
             asks = np.ones(len(lines.doc), dtype=np.int32)
-            if rows.num_columns > 4:
+            if rows.num_columns > 6:
                 asks[:] = 0
-                asks[_chosen(rows.column(4), lines)] = 1
-            sent, spot, place = _prefixes(lines, percent)
-            key = lines.word[place]
+                asks[_at(lines, _places(rows.column(6)))] = 1
+            sent, key = np.repeat(np.arange(len(lines.doc)), lines.size), lines.word
+            spot = np.arange(len(sent)) - np.repeat(np.cumsum(lines.size) - lines.size, lines.size)
             if known is not None:
                 some = known[(key & np.uint64(len(known) - 1)).astype(np.int64)]
                 sent, spot, key = sent[some], spot[some], key[some]
@@ -294,14 +360,9 @@ def _prefix_entries(rarity: np.ndarray, percent: int, ranges: int, wanted: np.nd
             target = target.astype(np.uint16 if ranges <= 1 << 16 else np.int64)  # two bytes are sorted digit by digit
             by = np.argsort(target, kind="stable")
             target, sent = target[by], sent[by]
-            first = np.cumsum(lines.n) - lines.n
-            bit = mix(lines.word + np.uint64(13))
-            one = np.uint64(1) << ((bit >> np.uint64(1)) & np.uint64(63))
-            parity = [np.bitwise_xor.reduceat(x, first) if len(first) else x for x in (one, one * (bit & np.uint64(1)))]
-            parity[0] = parity[0] ^ parity[1]
             rank, row = rows.column(0).to_numpy()[lines.doc], rows.column(1).to_numpy()[lines.doc]
-            columns = {"key": key[by], "rank": rank[sent], "row": row[sent], "s0": parity[0][sent], "s1": parity[1][sent],
-                       "line": lines.number[sent], "n": lines.n[sent], "at": spot[by], "asks": asks[sent]}
+            columns = {"key": key[by] & LOW_HALF, "rank": rank[sent], "row": row[sent], "s0": lines.parity[sent, 0],
+                       "s1": lines.parity[sent, 1], "line": lines.number[sent], "n": lines.n[sent], "at": spot[by], "asks": asks[sent]}
             begin = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]])) if len(sent) else np.zeros(0, int)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(target[begin].astype(np.int64)), pa.array(_columns(columns, begin), pa.binary())], ["bucket", "blob"])
@@ -314,7 +375,7 @@ def _columns(entries: dict[str, np.ndarray], begin: np.ndarray) -> list[bytes]:
     fields = []
     for f in ENTRY.names:
         x, kind = entries[f], ENTRY[f]
-        if kind.kind == "i" and len(x) and x.min() >= 0:
+        if f not in ("s0", "s1") and len(x) and x.min() >= 0:
             kind = next((k for k in map(np.dtype, ("<u1", "<u2", "<u4")) if k.itemsize < kind.itemsize and x.max() <= np.iinfo(k).max), kind)
         fields.append(x.astype(kind, copy=False))
     head = bytes(x.itemsize for x in fields)
@@ -342,7 +403,7 @@ def _marked(marks: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return doc.astype(np.int64) << 32 | (marks[later] >> 1)
 
 
-def _at(lines: Lines, wanted: np.ndarray) -> np.ndarray:
+def _at(lines: Lines | Prefixes, wanted: np.ndarray) -> np.ndarray:
     place = lines.doc.astype(np.int64) << 32 | lines.number
     at = np.searchsorted(place, wanted)
     return at[place[np.minimum(at, len(place) - 1)] == wanted] if len(place) else at[:0]
@@ -425,6 +486,7 @@ def _judge_lists(percent: int, first: int | None):
     come back as they are (with the word in ``key``)."""
     def run(table: pa.Table) -> pa.Table:
         e = _entries([memoryview(b.as_buffer()) for b in table["blob"]])
+        e["key"] |= np.uint64(table["bucket"][0].as_py()) << np.uint64(32)  # a word of another range is another one
         order = np.argsort(e["key"])
         k = e["key"][order]
         begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, int)
@@ -478,17 +540,12 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _line_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """rank, row, line, words of the named lines; rows come by rank and row, repeated ones count once."""
-    for rows, lines in _parts(_once(batches)):
-        at = np.unique(_chosen(rows.column(3), lines))
-        first = np.cumsum(lines.n) - lines.n
-        take = np.repeat(first[at], lines.n[at]) + np.arange(lines.n[at].sum()) - np.repeat(
-            np.cumsum(lines.n[at]) - lines.n[at], lines.n[at])
+    for rows, lines in _parts(_once(batches), chosen=True):
         lists = pa.ListArray.from_arrays(
-            pa.array(np.concatenate([[0], np.cumsum(lines.n[at])]).astype(np.int32)),
-            pa.array(lines.word[take].view(np.int64)))
-        doc = pa.array(lines.doc[at])
+            pa.array(np.concatenate([[0], np.cumsum(lines.n)]).astype(np.int32)), pa.array(lines.word.view(np.int64)))
+        doc = pa.array(lines.doc)
         yield pa.RecordBatch.from_arrays(
-            [rows.column(0).take(doc), rows.column(1).take(doc), pa.array(lines.number[at].astype(np.int32)), lists],
+            [rows.column(0).take(doc), rows.column(1).take(doc), pa.array(lines.number.astype(np.int32)), lists],
             ["rank", "row", "line", "words"])
 
 
@@ -568,7 +625,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
         return rows.join(marks.hint("shuffle_hash"), ["rank", "row"], "left").withColumn("marks", F.coalesce("marks", empty))
 
     def candidates(rows: DataFrame, first: int | None, wanted: np.ndarray | None = None) -> DataFrame:
-        entries = rows.mapInArrow(_prefix_entries(rarity, percent, ranges, wanted), ENTRY_SCHEMA)
+        entries = rows.mapInArrow(_prefix_entries(percent, ranges, wanted), ENTRY_SCHEMA)
         judged = scratch.write(entries.groupBy("bucket").applyInArrow(
             _judge_lists(percent, first), PAIR_SCHEMA + ", key long, entry binary"))
         pairs = judged.where("key is null").drop("key", "entry")
@@ -593,20 +650,23 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
         out = joined.groupBy("rank", "row", "line").agg(F.max(match).alias("match"), F.max("more").alias("more"))
         return scratch.write(out), sets
 
-    some = scratch.write(candidates(marked(source), FIRST_CANDIDATES))
+    prefixes = scratch.write(marked(source.mapInArrow(_prefix_lines(rarity, percent), PREFIX_SCHEMA)).mapInArrow(
+        _leads(percent), PREFIX_SCHEMA))
+    some = scratch.write(candidates(prefixes, FIRST_CANDIDATES))
     seen, sets = verified(some)
     lost = seen.where("match")
     asking = seen.where("not match and more")
     if not asking.isEmpty():
         numbers = scratch.write(_numbers(asking, "asks"))
         wanted = asked_words(sets.join(asking, ["rank", "row", "line"], "left_semi"), rarity, percent)
-        texts = source
+        held = prefixes
         if wanted.mean() <= FEW_WANTED:
-            texts = source.mapInArrow(_holding(rarity, percent, wanted), source.schema)
-        asks = marked(texts).join(numbers, ["rank", "row"], "left").withColumn("asks", F.coalesce("asks", empty))
-        rest = scratch.write(candidates(asks.select("rank", "row", "text", "marks", "asks"), None, wanted))
+            held = prefixes.mapInArrow(_holding(percent, wanted), PREFIX_SCHEMA)
+        asks = held.join(numbers, ["rank", "row"], "left").withColumn("asks", F.coalesce("asks", empty))
+        rest = scratch.write(candidates(asks.select(*prefixes.columns, "asks"), None, wanted))
         lost = lost.unionByName(verified(rest)[0].where("match"))
     near = scratch.write(_numbers(lost, "near"))
+    scratch.drop(prefixes)
     out = marked(source).join(near.hint("shuffle_hash"), ["rank", "row"], "left").withColumn("near", F.coalesce("near", empty))
     out = out.select("rank", "row", "text", "marks", "near").mapInArrow(
         _cut, "rank long, row long, n_lines long, n_removed long, n_similar long, kept_text string, kept_sha256 string")

@@ -65,3 +65,58 @@ def test_second_round_with_and_without_documents_left_out(spark, monkeypatch, fe
     found = [tuple(r) for r in out.select("doc_id", "n_lines", "n_removed", "kept_text").collect()]
     order = lambda r: (r[0] is None, r[0] or 0, *map(str, r[1:]))
     assert sorted(found, key=order) == sorted(line_dedup(rows), key=order)
+
+
+@pytest.mark.parametrize("few", [0.0, 1.0])
+def test_texts_are_not_shuffled_for_prefixes(spark, monkeypatch, few):
+    """What exchanges texts while it is written are the words of compared lines alone, in either round."""
+    import re
+
+    from kilnset.llm import line_dedup as module
+
+    written = []
+
+    class Seen(module.Scratch):
+        def write(self, df):
+            mode = self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+            plan = df._jdf.queryExecution().explainString(mode)
+            sent = re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", plan)
+            written.append((df.columns, any(re.search(r"\btext#", x) for x in sent)))
+            return super().write(df)
+
+    monkeypatch.setattr(module, "Scratch", Seen)
+    monkeypatch.setattr(module, "FEW_WANTED", few)
+    monkeypatch.setattr(module, "FIRST_CANDIDATES", 1)
+    rng = random.Random(9)
+    rows = []
+    for i in range(40):
+        line = [f"w{j}" for j in range(30)]
+        for _ in range(rng.randint(0, 7)):
+            line[rng.randrange(30)] = f"x{rng.randrange(9)}"
+        rows.append((i, " ".join(line)))
+    out = module.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    sets = ["rank", "row", "line", "words"]
+    assert sum(columns == sets for columns, _ in written) == 2  # there was a second round
+    assert [columns for columns, sent in written if sent] == [sets, sets]
+    found = [tuple(r) for r in out.select("doc_id", "n_lines", "n_removed", "kept_text").collect()]
+    assert sorted(found) == sorted(line_dedup(rows))
+
+
+def test_prefixes_are_read_as_written():
+    from kilnset.llm.line_dedup import PERCENT, Lines, Prefixes, _entries, _leads, _prefix_entries, _prefix_lines
+    from kilnset.llm.words import Words
+
+    texts = ["b a a\n\nc d", "", None, "e e\nc d\nf"]
+    rows = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array([5, 6, 7, 8]), pa.array(texts)], ["rank", "row", "text"])
+    (made,) = _prefix_lines(np.zeros(16, np.uint64), PERCENT)(iter([rows]))
+    assert made["rank"].to_pylist() == [1, 4]
+    lines = Prefixes.of(Lines(Words(pa.array([t or "" for t in texts], pa.large_string())), np.zeros(16, np.uint64)), PERCENT)
+    back = Prefixes.read(made, PERCENT)
+    assert all((getattr(back, f) == getattr(lines, f)).all() for f in ("number", "n", "size", "parity", "word"))
+    marks = [np.array(x, np.int32).tobytes() for x in ([], [2 * 1 + 1, 2 * 2])]  # an earlier document has line 1 of the last
+    (left,) = _leads(PERCENT)(iter([made.append_column("marks", pa.array(marks, pa.binary()))]))
+    assert [np.frombuffer(x, np.int32).tolist() for x in left["numbers"].to_pylist()] == [[0, 2], [0, 2]]
+    (sent,) = _prefix_entries(PERCENT, 64)(iter([left]))
+    e = _entries(sent["blob"].to_pylist())
+    assert sorted(zip(e["rank"].tolist(), e["line"].tolist(), e["n"].tolist())) == [(1, 0, 2), (1, 2, 2), (4, 0, 1), (4, 2, 1)]
+    assert (e["key"] < 1 << 32).all()
